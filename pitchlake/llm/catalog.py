@@ -1,14 +1,20 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
+from .decontamination import OP1_SQL, op1_decontaminate
+from .language_id import op5_language_id
 from .packing import op4_pack
 from .sentence_spans import OP9_SQL, op9_sentence_spans
 from .sharding import op8_shard_bytes
 from .token_counts import op7_token_counts
+from .webp import op10_webp
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op4_pack": op4_pack,
+    "op5_language_id": op5_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_shard_bytes": op8_shard_bytes,
     "op9_sentence_spans": op9_sentence_spans,
+    "op10_webp": op10_webp,
 }
-ORACLE_SQL = {"op9_sentence_spans": OP9_SQL}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op9_sentence_spans": OP9_SQL}

@@ -4,12 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pitchlake.llm.base import materialize, read_table
+from pitchlake.llm.decontamination import find_leaks
+from pitchlake.llm.jaccard_join import near_duplicates
+from pitchlake.llm.language_id import predict, train
+from pitchlake.llm.packing import pack
+from pitchlake.llm.sentence_spans import remove_repeated_spans
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document whose n-grams the best language covers by less is none of the learned languages.
+LEAST_SCORE = 0.2
 
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages; those that are `und` or below LEAST_SCORE go."""
+    found = predict(docs, train(docs), keep=COLUMNS)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that links connect, the one with the least id stays."""
+    groups = near_duplicates(docs).select("doc_id", "component_id")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def repeated_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without sentences that repeat earlier ones; a text that loses all of them goes."""
+    left = remove_repeated_spans(docs, keep=["lang", "source", "n_chars"])
+    return left.where("n_removed = 0 or length(trim(text)) > 0").withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no benchmark item."""
+    leaks = find_leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts' tokens, packed."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language-id", language_id),
+    ("jaccard-join", one_of_each_group),
+    ("sentence-spans", repeated_sentences),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: None: language ID is trained, and packing needs a tokenizer; neither can be said in SQL.
 ORACLE_SQL = None
 
 

@@ -1,17 +1,23 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
 from .decontamination import OP1_SQL, op1_decontaminate
+from .jaccard_join import op6_jaccard_join
 from .language_id import op5_language_id
+from .license_scan import op2_license_scan
 from .packing import op4_pack
 from .sentence_spans import OP9_SQL, op9_sentence_spans
 from .sharding import op8_shard_bytes
+from .suffix_dedup import op3_suffix_dedup
 from .token_counts import op7_token_counts
 from .webp import op10_webp
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_license_scan": op2_license_scan,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_pack": op4_pack,
     "op5_language_id": op5_language_id,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_counts": op7_token_counts,
     "op8_shard_bytes": op8_shard_bytes,
     "op9_sentence_spans": op9_sentence_spans,

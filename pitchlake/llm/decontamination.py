@@ -10,21 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import read_table
+from .base import materialize, read_table
 
 #: The word offsets that each mask compares; the span of all is SPAN words.
 MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 3, 5, 8, 9), (0, 1, 4, 6, 7, 9))
 SPAN = 10
 #: Seeds and items go to all executors only while they are fewer and smaller than this; beyond, the join shuffles.
-MOST_SEEDS, MOST_ITEM_BYTES = 1_000_000, 64 << 20
+MOST_SEEDS, MOST_ITEM_BYTES, MOST_HITS = 200_000, 32 << 20, 50_000
 
 
 def _words(text: str) -> F.Column:
     return F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(words: str, at: str) -> F.Column:
-    return F.array(*[F.xxhash64(F.lit(m), *[F.get(words, F.col(at) + o) for o in mask]) for m, mask in enumerate(MASKS)])
+def _seeds(words: str) -> F.Column:
+    """All seed hashes of an array of words, those of one place together: len(MASKS) for each place. Each word is hashed once."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    at = lambda h, i: [F.xxhash64(F.lit(m), *[F.get(h, i + o) for o in mask]) for m, mask in enumerate(MASKS)]
+    places = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - SPAN), lambda i: F.array(*at(h, i)))
+    return F.flatten(F.element_at(F.transform(F.array(hashes), places), 1))
+
+
+def _few(df: DataFrame, rows: int, rows_most: int) -> DataFrame:
+    return F.broadcast(df) if rows <= rows_most else df
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, tolerance: float = 0.2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -35,15 +43,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, toleranc
     the most equal words in such a window. Items with fewer words than SPAN have no seed and are never found; null and
     empty texts have no words. Null ids are kept as one id; repeated rows give one pair. Extra columns are not read."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).where("item_text is not null").withColumn("item", _words("item_text")).drop("item_text").where(F.size("item") >= SPAN)
-    known = items.withColumn("j", F.explode(F.sequence(F.lit(0), F.size("item") - SPAN))).select("item_id", "item", "j", F.explode(_seeds("item", "j")).alias("seed"))
+    known = items.select("item_id", "item", F.posexplode(_seeds("item")).alias("j", "seed")).withColumn("j", F.floor(F.col("j") / len(MASKS)).cast("int"))
     seeds, width = known.agg(F.count("*"), F.coalesce(F.sum(F.expr("aggregate(item, 0L, (n, x) -> n + length(x))")), F.lit(0))).first()
-    if seeds <= MOST_SEEDS and width <= MOST_ITEM_BYTES:
-        known = F.broadcast(known)
-    tokens = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text")).where("doc_text is not null").select("doc_id", _words("doc_text").alias("words")).where(F.size("words") >= SPAN)
-    places = tokens.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("words") - SPAN)))
-    hits = places.select("doc_id", "words", "i", F.explode(_seeds("words", "i")).alias("seed")).join(known, "seed")
+    small = seeds <= MOST_SEEDS and width <= MOST_ITEM_BYTES
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text")).where("doc_text is not null")
+    tokens = own.select("doc_id", F.xxhash64("doc_text").alias("h"), _words("doc_text").alias("words")).where(F.size("words") >= SPAN)
+    places = tokens.select("doc_id", "h", F.posexplode(_seeds("words")).alias("i", "seed"))
+    spots = known.select("seed", "item_id", "item", "j").distinct()
+    hits = places.join(F.broadcast(spots) if small else spots, "seed").select("doc_id", "h", F.floor(F.col("i") / len(MASKS)).cast("int").alias("i"), "item_id", "item", "j").distinct()
+    hits = materialize(hits, "seed-hits")
+    around = tokens.join(_few(hits, hits.count(), MOST_HITS), [tokens["doc_id"].eqNullSafe(hits["doc_id"]), tokens["h"] == hits["h"]]).drop(hits["doc_id"]).drop(hits["h"])
     # the window's length; the item's words before and after the seed that some window with it has, cut to the document
-    shape = hits.withColumn("w", F.least(F.lit(window), F.size("item"))).withColumn("lo", F.greatest(F.col("j") - (F.col("w") - SPAN), F.lit(0))).withColumn("hi", F.least(F.col("j") + F.col("w"), F.size("item")))
+    shape = around.withColumn("w", F.least(F.lit(window), F.size("item"))).withColumn("lo", F.greatest(F.col("j") - (F.col("w") - SPAN), F.lit(0))).withColumn("hi", F.least(F.col("j") + F.col("w"), F.size("item")))
     near = shape.select("doc_id", "item_id", "w", F.slice("item", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("a"), F.expr("transform(sequence(lo, hi - 1), p -> if(i - j + p < 0, null, get(words, i - j + p)))").alias("b"))
     equal = near.select("doc_id", "item_id", "w", F.expr("zip_with(a, b, (x, y) -> if(x <=> y, 1, 0))").alias("e"))
     best = equal.select("doc_id", "item_id", F.col("w").cast("long").alias("n_window"), F.expr("array_max(transform(sequence(1, size(e) - w + 1), s -> aggregate(slice(e, s, w), 0, (n, x) -> n + x)))").cast("long").alias("n_equal"))

@@ -8,7 +8,7 @@ each language's hits are counted, and the hits expected by chance (from how full
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,19 +119,20 @@ def train(labelled: DataFrame, min_rate: float = 5e-6, share: float = 0.2, most:
     return build_filter(sets)
 
 
-def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, lang_pred, score (0 to 1: the corrected share of the text's n-grams that the language contains).
+def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Per row: id (or the columns `keep`), lang_pred, score (0 to 1: the corrected share of the text's n-grams that the
+    language contains).
 
     `und` with score 0 for a null text or one without letters, or if nothing was learned; ties go to the language first
-    by name. Extra columns are not read; repeated rows come out repeated."""
+    by name. Columns that aren't named here are not read; repeated rows come out repeated."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Filter = shared.value
         for batch in batches:
-            for a, b in chunks(text_bytes(batch.column(1))[1]):
+            for a, b in chunks(text_bytes(batch.column(0))[1]):
                 part = batch.slice(a, b - a)
-                code, edges = letters_of([t or "" for t in part.column(1).to_pylist()])
+                code, edges = letters_of([t or "" for t in part.column(0).to_pylist()])
                 h, doc = grams(code, edges)
                 k = len(edges) - 1
                 n = np.bincount(doc, minlength=k)
@@ -143,10 +144,13 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
                 best = share.argmax(axis=0)
                 name = [m.languages[i] if s else "und" for i, s in zip(best.tolist(), some.tolist(), strict=True)]
                 score = np.where(some, np.clip(share[best, np.arange(k)], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(name, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    out = list(keep) or [id_col]
+    names = [f"k{i}" for i in range(len(out))]
+    kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, out, strict=True))
+    own = docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(n) for n, c in zip(names, out, strict=True)))
+    return own.mapInArrow(run, f"{kinds}, lang_pred string, score double").withColumnsRenamed(dict(zip(names, out, strict=True)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -8,7 +8,7 @@ removed. Grouping a hash combines on the map side, so a passage in a third of al
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import xxhash
@@ -34,15 +34,16 @@ def span_hashes(text: str, span: int, min_chars: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeated_spans(docs: DataFrame, span: int = 3, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of `docs`: id, text (what stays), n_sentences, n_removed.
+def remove_repeated_spans(docs: DataFrame, span: int = 3, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Per row of `docs`: id, text (what stays), n_sentences, n_removed, and the columns `keep`.
 
     Sentences compare in lower case with white space trimmed. Runs with fewer characters than `min_chars` altogether
     (rows of dots, one-word lines) aren't compared. A text with fewer than `span` sentences is compared as one run.
     A null text stays null with 0 sentences; an empty one stays empty. Rows equal in id and text are one document to
     this operator: neither is a later copy of the other. A null id sorts before all others. An empty table gives no
-    rows. Extra columns, whatever their names, are not read."""
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("own_id"), F.col(text_col).alias("text"))
+    rows. Other columns, whatever their names, are not read."""
+    rest = {c: f"keep{i}" for i, c in enumerate(keep)}
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in rest.items()))
 
     def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,7 +57,7 @@ def remove_repeated_spans(docs: DataFrame, span: int = 3, min_chars: int = 40, i
     place = F.struct("id", "h", "pos")
     repeated = spans.groupBy("x").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     gone = spans.join(repeated, "x").where(place != F.col("first")).groupBy("id", "h").agg(F.collect_set("pos").alias("gone"))
-    joined = base.join(gone, ["id", "h"], "left").select("own_id", "text", "gone")
+    joined = base.join(gone, ["id", "h"], "left").select("own_id", "text", "gone", *rest.values())
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,10 +70,11 @@ def remove_repeated_spans(docs: DataFrame, span: int = 3, min_chars: int = 40, i
                     texts.append("".join(s for q, s in enumerate(parts) if q not in covered) if covered else text)
                     total.append(len(parts))
                     removed.append(len(covered))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["own_id", "text", "n_sentences", "n_removed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), *part.columns[3:]], names=["own_id", "text", "n_sentences", "n_removed", *rest.values()])
 
-    out = joined.mapInArrow(rebuild, f"own_id {docs.schema[id_col].dataType.simpleString()}, text string, n_sentences long, n_removed long")
-    return out.withColumnsRenamed({"own_id": id_col, "text": text_col})
+    kept = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in rest.items())
+    out = joined.mapInArrow(rebuild, f"own_id {docs.schema[id_col].dataType.simpleString()}, text string, n_sentences long, n_removed long{kept}")
+    return out.withColumnsRenamed({"own_id": id_col, "text": text_col} | {n: c for c, n in rest.items()})
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Equal sets are one class, and classes are compared. Each class's shingles are put in a rare-first order (by a table of
 the most frequent shingles, of bounded size, counted over all documents; then by hash). Two sets that are alike share a
 shingle within the first few of that order, the prefix. The prefixes are joined on the shingle; pairs must pass the
-length and the positional filter there and the suffix filter before their sets are compared, once a pair.
+length and the positional filter there and the suffix filter before their sets are compared, once a pair. The prefixes
+are longer than need be for one shingle in common, by 1 in every SHARE shingles of a set, so a pair has to meet that
+many times more.
 
 Only connected groups are asked for, so pairs that are connected already needn't be compared: first each class is
 compared with the one neighbour it meets most often, then all candidate pairs that this leaves in different groups.
@@ -24,6 +26,7 @@ from .graph import components
 LEAST = -(2**63)
 #: Document ids go to all executors only up to this many; beyond, the join shuffles.
 MOST_IDS = 1_000_000
+SHARE = 32
 _ROLLING = Rolling()
 
 
@@ -119,7 +122,7 @@ class Jaccard:
         return h[order], n[order]
 
     def prefixes(self, base: DataFrame, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-        """(g, class, n, pos): the rare-first prefix of each class, once a task at least."""
+        """(g, class, n, pos): the rare-first prefix of each class; a class may come from several tasks."""
         shared, words, percent = base.sparkSession.sparkContext.broadcast(table), self.words, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +135,7 @@ class Jaccard:
                     if not n or (c := set_hash(s)) in seen:
                         continue
                     seen.add(c)
-                    p = n - (percent * n + 99) // 100 + 1
+                    p = n - (percent * n + 99) // 100 + 1 + n // SHARE
                     if len(known):
                         i = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         often = np.where(known[i] == s, times[i], 0)
@@ -199,7 +202,7 @@ class Jaccard:
         rows = self.prefixes(base, self.frequent(keys))
         around = rows.withColumns({"_n": F.lag("n").over(by_shingle), "_pos": F.lag("pos").over(by_shingle), "_class": F.lag("class").over(by_shingle), "next": F.lead("class").over(by_shingle)})
         postings = materialize(around.where((F.col("_class") != F.col("class")) | (F.col("next") != F.col("class"))).drop("next"), "postings")
-        met = postings.where((F.col("_class") != F.col("class")) & self.may_link("", "_")).groupBy("class", "_class").agg(F.count("*").alias("n"))
+        met = postings.where((F.col("_class") != F.col("class")) & self.may_link("", "_")).groupBy("class", "_class").agg(F.count("*").alias("n"), F.min(F.least("n", "_n")).alias("least")).where(F.col("n") > F.col("least") / (2 * SHARE))
         first = met.groupBy("class").agg(F.max_by("_class", F.struct("n", "_class")).alias("b")).select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
         first = materialize(first, "first-pairs")
         near = self.verify(base, keys, first, "first")
@@ -213,7 +216,8 @@ class Jaccard:
         right = mixed.select("g", "main", *(F.col(c).alias(f"r_{c}") for c in ("class", "n", "pos", "component")))
         once = (F.col("r_component") == F.col("main")) | (F.col("l_class") < F.col("r_class"))
         crossing = left.join(right, "g").where((F.col("l_component") != F.col("r_component")) & once & self.may_link("l_", "r_"))
-        rest = crossing.select(F.least("l_class", "r_class").alias("a"), F.greatest("l_class", "r_class").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+        counted = crossing.groupBy(F.least("l_class", "r_class").alias("a"), F.greatest("l_class", "r_class").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("l_n", "r_n")).alias("least"))
+        rest = counted.where(F.col("n") >= 1 + F.floor(F.col("least") / SHARE)).select("a", "b").join(first, ["a", "b"], "left_anti")
         rest = materialize(rest, "rest-pairs")
         if rest.isEmpty():
             return keys, near

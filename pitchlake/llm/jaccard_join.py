@@ -27,6 +27,8 @@ LEAST = -(2**63)
 #: Document ids go to all executors only up to this many; beyond, the join shuffles.
 MOST_IDS = 1_000_000
 SHARE = 32
+#: So many shingles are counted together for a partition's summary; what occurs once in a block isn't frequent.
+BLOCK = 1 << 21
 _ROLLING = Rolling()
 
 
@@ -89,26 +91,35 @@ def _long(x: np.ndarray) -> pa.Array:
 class Jaccard:
     """percent: two sets link when 100 * intersection >= percent * union."""
 
-    def __init__(self, percent: int = 75, words: int = 5, table_size: int = 1 << 16, summary_size: int = 1 << 15) -> None:
+    def __init__(self, percent: int = 75, words: int = 5, table_size: int = 1 << 18, summary_size: int = 1 << 16) -> None:
         self.percent, self.words, self.table_size, self.summary_size = percent, words, table_size, summary_size
 
     def keys(self, base: DataFrame) -> DataFrame:
         """A row a document (id, class, n) and rows of the partitions' summaries (class null, id: shingle, n: documents with it)."""
         words, most = self.words, self.summary_size
 
+        def fold(kept: np.ndarray, counts: np.ndarray, block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            found, times = np.unique(np.concatenate([*block, kept[:0]]), return_counts=True)
+            new = (times >= 2) | np.isin(found, kept)
+            kept, back = np.unique(np.concatenate([kept, found[new]]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, times[new]]), len(kept)).astype(np.int64)
+            if len(kept) > 2 * most:
+                counts = counts - np.sort(counts)[-most]
+                kept, counts = kept[counts > 0], counts[counts > 0]
+            return kept, counts
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            kept, counts, block, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
             names = ["id", "class", "n"]
             for part, sets in _each_set(batches, words):
                 n = np.array([len(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_hash(s) if len(s) else 0 for s in sets], pa.int64()), pa.array(n)], names=names)
-                found, times = np.unique(np.concatenate(sets), return_counts=True)
-                new = (times >= 2) | np.isin(found, kept)
-                kept, back = np.unique(np.concatenate([kept, found[new]]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, times[new]]), len(kept)).astype(np.int64)
-                if len(kept) > 2 * most:
-                    counts = counts - np.sort(counts)[-most]
-                    kept, counts = kept[counts > 0], counts[counts > 0]
+                block += sets
+                size += int(n.sum())
+                if size >= BLOCK:
+                    kept, counts = fold(kept, counts, block)
+                    block, size = [], 0
+            kept, counts = fold(kept, counts, block)
             if len(kept):
                 yield pa.RecordBatch.from_arrays([_long(kept), pa.nulls(len(kept), pa.int64()), pa.array(counts)], names=names)
 

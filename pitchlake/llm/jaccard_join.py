@@ -8,7 +8,7 @@ are longer than need be for one shingle in common, by 1 in every SHARE shingles
 many times more.
 
 Only connected groups are asked for, so pairs that are connected already needn't be compared: first each class is
-compared with the one neighbour it meets most often, then all candidate pairs that this leaves in different groups.
+compared with the one list head it meets most often (lists are in order of class, so a group meets few heads), then all candidate pairs that this leaves in different groups.
 """
 
 from __future__ import annotations
@@ -209,9 +209,10 @@ class Jaccard:
     def links(self, base: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(keys, links between classes that connect whatever any links connect)."""
         keys = materialize(self.keys(base), "shingle-keys")
-        by_shingle = Window.partitionBy("g").orderBy("n", "class")
+        by_shingle = Window.partitionBy("g").orderBy("class")
         rows = self.prefixes(base, self.frequent(keys))
-        around = rows.withColumns({"_n": F.lag("n").over(by_shingle), "_pos": F.lag("pos").over(by_shingle), "_class": F.lag("class").over(by_shingle), "next": F.lead("class").over(by_shingle)})
+        head = by_shingle.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        around = rows.withColumns({"_n": F.first("n").over(head), "_pos": F.first("pos").over(head), "_class": F.first("class").over(head), "next": F.lead("class").over(by_shingle)})
         postings = materialize(around.where((F.col("_class") != F.col("class")) | (F.col("next") != F.col("class"))).drop("next"), "postings")
         met = postings.where((F.col("_class") != F.col("class")) & self.may_link("", "_")).groupBy("class", "_class").agg(F.count("*").alias("n"), F.min(F.least("n", "_n")).alias("least")).where(F.col("n") > F.col("least") / (2 * SHARE))
         first = met.groupBy("class").agg(F.max_by("_class", F.struct("n", "_class")).alias("b")).select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()

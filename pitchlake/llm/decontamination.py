@@ -16,7 +16,7 @@ from .base import materialize, read_table
 MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 3, 5, 8, 9), (0, 1, 4, 6, 7, 9))
 SPAN = 10
 #: Seeds and items go to all executors only while they are fewer and smaller than this; beyond, the join shuffles.
-MOST_SEEDS, MOST_ITEM_BYTES, MOST_HITS = 200_000, 32 << 20, 50_000
+MOST_SEEDS, MOST_ITEM_BYTES = 200_000, 32 << 20
 
 
 def _words(text: str) -> F.Column:
@@ -31,10 +31,6 @@ def _seeds(words: str) -> F.Column:
     return F.flatten(F.element_at(F.transform(F.array(hashes), places), 1))
 
 
-def _few(df: DataFrame, rows: int, rows_most: int) -> DataFrame:
-    return F.broadcast(df) if rows <= rows_most else df
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, tolerance: float = 0.2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of a document and a benchmark item that overlap: id, item id, n_equal, n_window.
 
@@ -52,7 +48,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, toleranc
     spots = known.select("seed", "item_id", "item", "j").distinct()
     hits = places.join(F.broadcast(spots) if small else spots, "seed").select("doc_id", "h", F.floor(F.col("i") / len(MASKS)).cast("int").alias("i"), "item_id", "item", "j").distinct()
     hits = materialize(hits, "seed-hits")
-    around = tokens.join(_few(hits, hits.count(), MOST_HITS), [tokens["doc_id"].eqNullSafe(hits["doc_id"]), tokens["h"] == hits["h"]]).drop(hits["doc_id"]).drop(hits["h"])
+    # texts cross the network once, and are cut into words only where something was hit
+    spot = hits.withColumnsRenamed({"doc_id": "hit_id", "h": "hit_h"})
+    same = [F.col("doc_id").eqNullSafe(F.col("hit_id")), F.col("h") == F.col("hit_h")]
+    texts = own.withColumn("h", F.xxhash64("doc_text"))
+    hit_texts = texts.join(spot.select("hit_id", "hit_h").distinct(), same, "left_semi").select("doc_id", "h", _words("doc_text").alias("words"))
+    around = hit_texts.join(spot, same)
     # the window's length; the item's words before and after the seed that some window with it has, cut to the document
     shape = around.withColumn("w", F.least(F.lit(window), F.size("item"))).withColumn("lo", F.greatest(F.col("j") - (F.col("w") - SPAN), F.lit(0))).withColumn("hi", F.least(F.col("j") + F.col("w"), F.size("item")))
     near = shape.select("doc_id", "item_id", "w", F.slice("item", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("a"), F.expr("transform(sequence(lo, hi - 1), p -> if(i - j + p < 0, null, get(words, i - j + p)))").alias("b"))

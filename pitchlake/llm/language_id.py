@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, mix, read_table, text_bytes
+from .base import chunks, materialize, mix, read_table, text_bytes
 from .pretoken import LETTER, character_classes
 
 SIZES = (3, 4)
@@ -104,7 +104,7 @@ def train(labelled: DataFrame, min_rate: float = 5e-6, share: float = 0.2, most:
                     keys, n = np.unique(h, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counted = labelled.where("lang is not null").select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counted = materialize(labelled.where("lang is not null").select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "gram-counts")
     by_gram = counted.groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("x"), F.sum("n").alias("all")).where("all > 1")  # one row a language
     totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:

@@ -28,7 +28,7 @@ LEAST = -(2**63)
 MOST_IDS = 1_000_000
 SHARE = 32
 #: So many shingles are counted together for a partition's summary; what occurs once in a block isn't frequent.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _ROLLING = Rolling()
 
 
@@ -79,7 +79,7 @@ def set_hash(shingles: np.ndarray) -> int:
 def _each_set(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         raw, offsets = text_bytes(batch.column(1))
-        for a, b in chunks(offsets, 2 << 20):
+        for a, b in chunks(offsets, 1 << 19):
             flat, at = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
             yield batch.slice(a, b - a), [flat[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
@@ -152,7 +152,7 @@ class Jaccard:
                         often = np.where(known[i] == s, times[i], 0)
                         s = s[np.argsort(often, kind="stable")[:p]]
                     rows.append((s[:p], c, n))
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 if rows:
                     size = np.array([len(s) for s, _, _ in rows])

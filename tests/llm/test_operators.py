@@ -95,6 +95,32 @@ def test_jaccard_join(docs, texts):
     assert got == {i: (len(s), g) for i, (s, g) in enumerate(zip(sets, group, strict=True))}
 
 
+def test_jaccard_join_of_a_large_group(spark):
+    """More near copies of a text than a part holds, a chain of small changes, and texts apart."""
+    rng = random.Random(9)
+    head = words(rng, 60).split()
+    texts = [" ".join(head)]
+    for _ in range(300):
+        copy = list(head)
+        copy[rng.randrange(60)] = words(rng, 1)
+        texts.append(" ".join(copy))
+    link = head
+    for i in range(10):
+        link = [*link[3:], *words(rng, 3).split()]
+        texts.append(" ".join(link))
+    texts += [words(rng, 50) for _ in range(50)]
+    rng.shuffle(texts)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(x & sets[j]) >= 75 * len(x | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    rows = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(root))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {r.node: r.component for r in components(links).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}

@@ -27,6 +27,8 @@ LEAST = -(2**63)
 #: Document ids go to all executors only up to this many; beyond, the join shuffles.
 MOST_IDS = 1_000_000
 SHARE = 32
+#: So many partners of a class are compared with it in one place.
+PART = 128
 #: So many shingles are counted together for a partition's summary; what occurs once in a block isn't frequent.
 BLOCK = 1 << 20
 _ROLLING = Rolling()
@@ -169,42 +171,54 @@ class Jaccard:
         return (100 * short >= self.percent * long) & ((100 + self.percent) * most >= self.percent * (n + m))
 
     def verify(self, base: DataFrame, keys: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-        """Those of `pairs` (a, b: classes) that link."""
+        """Those of `pairs` (a, b: classes) that link.
+
+        Of a pair the class with more partners is the hub. Texts, which are smaller than their sets, are sent to their
+        hubs; a hub's partners are dealt into parts of about PART, and each part gets the hub's text first."""
         percent, words = self.percent, self.words
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        wanted = materialize(keys.where("class is not null").join(nodes, "class").groupBy("class").agg(F.min("id").alias("id")), f"{name}-wanted")
+        degree = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("k"))
+        wanted = keys.where("class is not null").join(degree, "class").groupBy("class").agg(F.min("id").alias("id"), F.max("k").alias("k"))
+        wanted = materialize(wanted, f"{name}-wanted")
         ids = wanted.select("id").distinct()
         if wanted.count() <= MOST_IDS:
             ids = F.broadcast(ids)
-
-        def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, sets in _each_set(batches, words):
-                some = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_hash(s) for s in some], pa.int64()), pa.array([s.tobytes() for s in some], pa.binary())], names=["class", "shingles"])
-
-        sets = base.join(ids, "id", "left_semi").select("id", "text").mapInArrow(sets_of, "class long, shingles binary")
-        sets = materialize(sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]), f"{name}-sets")
+        of = lambda x: wanted.select(F.col("class").alias(x), F.struct("k", "class", "id").alias(f"{x}_"))
+        sides = pairs.join(of("a"), "a").join(of("b"), "b").select(F.greatest("a_", "b_").alias("x"), F.least("a_", "b_").alias("y"))
+        parts = F.ceil(F.col("x.k") / PART).cast("int")
+        sides = materialize(sides.select("x", "y", parts.alias("parts"), F.pmod(F.xxhash64("y.class"), parts).cast("int").alias("part")), f"{name}-sides")
+        hubs = sides.select("x", "part").distinct().select(F.col("x.id").alias("id"), F.col("x.class").alias("hub"), "part", F.lit(0).alias("role"), F.col("x.class").alias("class"))
+        sent = hubs.union(sides.select("y.id", F.col("x.class").alias("hub"), "part", F.lit(1).alias("role"), "y.class"))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            hub, mine, last = None, None, None
+            cuts = (np.arange(1, 16, dtype=np.uint64)) << np.uint64(60)
+            for part, sets in _each_set(batches, words):
+                found: list[tuple[int, int]] = []
+                for s, h, p, role, c in zip(sets, *(part.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+                    if (h, p, c) == last or set_hash(s) != c:  # a repeated row, or another text with this id
+                        continue
+                    last = h, p, c
+                    if role == 0:
+                        hub, mine = (h, p), s.copy()
+                        continue
+                    if hub != (h, p):
+                        raise ValueError("a part without its hub")
                     # suffix filter: the sets' sizes in 16 ranges of hashes bound how many are in one of them only
-                    cuts = (np.arange(1, 16, dtype=np.uint64)) << np.uint64(60)
-                    apart = np.abs(np.diff(np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]])) - np.diff(np.concatenate([[0], np.searchsorted(t, cuts), [len(t)]]))).sum()
-                    total = len(s) + len(t)
+                    apart = np.abs(np.diff(np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]])) - np.diff(np.concatenate([[0], np.searchsorted(mine, cuts), [len(mine)]]))).sum()
+                    total = len(s) + len(mine)
                     if (100 + percent) * (total - apart) < 2 * percent * total:
-                        keep.append(False)
                         continue
-                    both = np.concatenate([s, t])
+                    both = np.concatenate([s, mine])
                     both.sort()
                     same = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * same >= percent * (total - same))
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-        joined = pairs.join(sets.withColumnsRenamed({"class": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"class": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
-        return materialize(joined.mapInArrow(compare, "a long, b long"), f"{name}-links")
+                    if 100 * same >= percent * (total - same):
+                        found.append((min(h, c), max(h, c)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+        texts = base.join(ids, "id", "left_semi").join(sent.hint("merge"), "id").select("id", "text", "hub", "part", "role", "class")
+        dealt = texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "class")
+        return materialize(dealt.mapInArrow(compare, "a long, b long"), f"{name}-links")
 
     def links(self, base: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(keys, links between classes that connect whatever any links connect)."""

@@ -8,7 +8,8 @@ are longer than need be for one shingle in common, by 1 in every SHARE shingles
 many times more.
 
 Only connected groups are asked for, so pairs that are connected already needn't be compared: first each class is
-compared with the one list head it meets most often (lists are in order of class, so a group meets few heads), then all candidate pairs that this leaves in different groups.
+compared with the one list head it meets most often (heads are the classes that share the most shingles, so a group
+meets few of them), then all candidate pairs that this leaves in different groups.
 """
 
 from __future__ import annotations
@@ -164,10 +165,12 @@ class Jaccard:
         return base.select("id", "text").mapInArrow(run, "g long, class long, n int, pos int")
 
     def may_link(self, a: str, b: str) -> Column:
-        """The length and the positional filter for two prefix rows with the same shingle."""
-        n, m, i, j = (F.col(f"{t}{x}").cast("long") for x in ("n", "pos") for t in (a, b))
+        """The length and the positional filter for two prefix rows with the same shingle.
+
+        What both sets have before it is in both prefixes, so it is among the shared shingles before it."""
+        n, m, i, j, p, q = (F.col(f"{t}{x}").cast("long") for x in ("n", "pos", "before") for t in (a, b))
         short, long = F.least(n, m), F.greatest(n, m)
-        most = F.least(i, j) + F.least(n - i, m - j)  # common ones before, here and after at most
+        most = F.least(p, q) + F.least(n - i, m - j)  # common ones before, here and after at most
         return (100 * short >= self.percent * long) & ((100 + self.percent) * most >= self.percent * (n + m))
 
     def verify(self, base: DataFrame, keys: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
@@ -226,20 +229,28 @@ class Jaccard:
         by_shingle = Window.partitionBy("g").orderBy("class")
         rows = self.prefixes(base, self.frequent(keys))
         head = by_shingle.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        around = rows.withColumns({"_n": F.first("n").over(head), "_pos": F.first("pos").over(head), "_class": F.first("class").over(head), "next": F.lead("class").over(by_shingle)})
-        postings = materialize(around.where((F.col("_class") != F.col("class")) | (F.col("next") != F.col("class"))).drop("next"), "postings")
-        met = postings.where((F.col("_class") != F.col("class")) & self.may_link("", "_")).groupBy("class", "_class").agg(F.count("*").alias("n"), F.min(F.least("n", "_n")).alias("least")).where(F.col("n") > F.col("least") / (2 * SHARE))
+        around = rows.withColumns({"least": F.first("class").over(head), "next": F.lead("class").over(by_shingle)})
+        last = F.col("next").isNull() | (F.col("next") != F.col("class"))  # of a class's rows, which are alike
+        shared = around.where(last & ((F.col("least") != F.col("class")) | F.col("next").isNotNull())).select("g", "class", "n", "pos")
+        # `before`: a class's shared shingles before this one; k: all of them
+        of_class = Window.partitionBy("class")
+        before = F.row_number().over(of_class.orderBy("pos")) - 1
+        postings = materialize(shared.withColumns({"before": before, "k": F.count("*").over(of_class)}), "postings")
+        # the head of a list: its class with the most shared shingles; an original has more of them than its edited copies
+        head = Window.partitionBy("g").orderBy(F.desc("k"), "class").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        headed = postings.withColumns({f"_{c}": F.first(c).over(head) for c in ("n", "pos", "before", "class")})
+        met = headed.where((F.col("_class") != F.col("class")) & self.may_link("", "_")).groupBy("class", "_class").agg(F.count("*").alias("n"), F.min(F.least("n", "_n")).alias("least")).where(F.col("n") > F.col("least") / (2 * SHARE))
         first = met.groupBy("class").agg(F.max_by("_class", F.struct("n", "_class")).alias("b")).select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
         first = materialize(first, "first-pairs")
         near = self.verify(base, keys, first, "first")
         groups = components(near)
-        known = postings.select("g", "class", "n", "pos").distinct().join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        known = postings.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         known = materialize(known, "known")
         lists = known.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1").select("g", "main")
         mixed = materialize(known.join(lists, "g"), "mixed")
         # one of a pair is always outside its list's main group
-        left = mixed.where("component <> main").select("g", *(F.col(c).alias(f"l_{c}") for c in ("class", "n", "pos", "component")))
-        right = mixed.select("g", "main", *(F.col(c).alias(f"r_{c}") for c in ("class", "n", "pos", "component")))
+        left = mixed.where("component <> main").select("g", *(F.col(c).alias(f"l_{c}") for c in ("class", "n", "pos", "before", "component")))
+        right = mixed.select("g", "main", *(F.col(c).alias(f"r_{c}") for c in ("class", "n", "pos", "before", "component")))
         once = (F.col("r_component") == F.col("main")) | (F.col("l_class") < F.col("r_class"))
         crossing = left.join(right, "g").where((F.col("l_component") != F.col("r_component")) & once & self.may_link("l_", "r_"))
         counted = crossing.groupBy(F.least("l_class", "r_class").alias("a"), F.greatest("l_class", "r_class").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("l_n", "r_n")).alias("least"))

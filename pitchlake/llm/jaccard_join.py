@@ -3,9 +3,9 @@
 Equal sets are one class, and classes are compared. Each class's shingles are put in a rare-first order (by a table of
 the most frequent shingles, of bounded size, counted over all documents; then by hash). Two sets that are alike share a
 shingle within the first few of that order, the prefix. The prefixes are joined on the shingle; pairs must pass the
-length and the positional filter there and the suffix filter before their sets are compared, once a pair. The prefixes
-are longer than need be for one shingle in common, by 1 in every SHARE shingles of a set, so a pair has to meet that
-many times more.
+length and the positional filter there and two suffix filters before their sets are compared, once a pair: one by the
+parities of 512 ranges of hashes, at the join, one by the counts in 16 ranges, at the comparison. The prefixes are longer than need be for one shingle in common, by 1 in every SHARE shingles of a set, so a pair has to meet that many
+times more.
 
 Only connected groups are asked for, so pairs that are connected already needn't be compared: first each class is
 compared with the one list head it meets most often (heads are the classes that share the most shingles, so a group
@@ -30,6 +30,8 @@ MOST_IDS = 1_000_000
 SHARE = 32
 #: So many partners of a class are compared with it in one place.
 PART = 128
+#: 64-bit numbers in a set's sketch.
+SKETCH = 8
 #: So many shingles are counted together for a partition's summary; what occurs once in a block isn't frequent.
 BLOCK = 1 << 20
 _ROLLING = Rolling()
@@ -79,6 +81,18 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(mix(np.array([total % 2**64], np.uint64)).view(np.int64)[0])
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each set the parities of how many shingles are in each of 64 * SKETCH ranges of hashes, as SKETCH numbers end to end.
+
+    Bits that differ between two sketches are at most the shingles in only one of the two sets."""
+    bins = 64 * SKETCH
+    size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    place = np.repeat(np.arange(len(sets)) * bins, size) + (mix(flat) % np.uint64(bins)).astype(np.int64)
+    odd = (np.bincount(place, minlength=len(sets) * bins) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _each_set(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         raw, offsets = text_bytes(batch.column(1))
@@ -98,7 +112,7 @@ class Jaccard:
         self.percent, self.words, self.table_size, self.summary_size = percent, words, table_size, summary_size
 
     def keys(self, base: DataFrame) -> DataFrame:
-        """A row a document (id, class, n) and rows of the partitions' summaries (class null, id: shingle, n: documents with it)."""
+        """A row a document (id, class, n, sketch) and rows of the partitions' summaries (class null, id: shingle, n: documents with it)."""
         words, most = self.words, self.summary_size
 
         def fold(kept: np.ndarray, counts: np.ndarray, block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,10 +127,10 @@ class Jaccard:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept, counts, block, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-            names = ["id", "class", "n"]
+            names = ["id", "class", "n", "sketch"]
             for part, sets in _each_set(batches, words):
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_hash(s) if len(s) else 0 for s in sets], pa.int64()), pa.array(n)], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_hash(s) if len(s) else 0 for s in sets], pa.int64()), pa.array(n), pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH, sketches(sets))], names=names)
                 block += sets
                 size += int(n.sum())
                 if size >= BLOCK:
@@ -124,9 +138,9 @@ class Jaccard:
                     block, size = [], 0
             kept, counts = fold(kept, counts, block)
             if len(kept):
-                yield pa.RecordBatch.from_arrays([_long(kept), pa.nulls(len(kept), pa.int64()), pa.array(counts)], names=names)
+                yield pa.RecordBatch.from_arrays([_long(kept), pa.nulls(len(kept), pa.int64()), pa.array(counts), pa.nulls(len(kept), pa.list_(pa.int64()))], names=names)
 
-        return base.select("id", "text").mapInArrow(run, "id long, class long, n long")
+        return base.select("id", "text").mapInArrow(run, "id long, class long, n long, sketch array<long>")
 
     def frequent(self, keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """The most frequent shingles (rising) and their counts: `table_size` at most."""
@@ -173,6 +187,11 @@ class Jaccard:
         most = F.least(p, q) + F.least(n - i, m - j)  # common ones before, here and after at most
         return (100 * short >= self.percent * long) & ((100 + self.percent) * most >= self.percent * (n + m))
 
+    def near_enough(self, a: str, b: str) -> Column:
+        """The suffix filter by sketches: sets that link have at most (100 - percent) of (100 + percent) of their shingles in one of them only."""
+        apart = sum((F.bit_count(F.get(f"{a}sketch", F.lit(i)).bitwiseXOR(F.get(f"{b}sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+        return (100 + self.percent) * apart <= (100 - self.percent) * (F.col(f"{a}n").cast("long") + F.col(f"{b}n"))
+
     def verify(self, base: DataFrame, keys: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         """Those of `pairs` (a, b: classes) that link.
 
@@ -247,12 +266,14 @@ class Jaccard:
         known = postings.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         known = materialize(known, "known")
         lists = known.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1").select("g", "main")
-        mixed = materialize(known.join(lists, "g"), "mixed")
+        sketch = keys.where("class is not null").groupBy("class").agg(F.first("sketch").alias("sketch"))
+        mixed = materialize(known.join(lists, "g").join(sketch, "class"), "mixed")
         # one of a pair is always outside its list's main group
-        left = mixed.where("component <> main").select("g", *(F.col(c).alias(f"l_{c}") for c in ("class", "n", "pos", "before", "component")))
-        right = mixed.select("g", "main", *(F.col(c).alias(f"r_{c}") for c in ("class", "n", "pos", "before", "component")))
+        columns = ("class", "n", "pos", "before", "component", "sketch")
+        left = mixed.where("component <> main").select("g", *(F.col(c).alias(f"l_{c}") for c in columns))
+        right = mixed.select("g", "main", *(F.col(c).alias(f"r_{c}") for c in columns))
         once = (F.col("r_component") == F.col("main")) | (F.col("l_class") < F.col("r_class"))
-        crossing = left.join(right, "g").where((F.col("l_component") != F.col("r_component")) & once & self.may_link("l_", "r_"))
+        crossing = left.join(right, "g").where((F.col("l_component") != F.col("r_component")) & once & self.may_link("l_", "r_") & self.near_enough("l_", "r_"))
         counted = crossing.groupBy(F.least("l_class", "r_class").alias("a"), F.greatest("l_class", "r_class").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("l_n", "r_n")).alias("least"))
         rest = counted.where(F.col("n") >= 1 + F.floor(F.col("least") / SHARE)).select("a", "b").join(first, ["a", "b"], "left_anti")
         rest = materialize(rest, "rest-pairs")

@@ -10,7 +10,9 @@ Tokens come from the tokenizer's own encoding of each distinct pre-token, kept i
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .base import chunks, materialize, ragged, read_table, text_bytes
-from .pretoken import Pretokens, string_of
+from .pretoken import Pretokens
 
 CHUNK_BYTES = 3 << 20
 MERGE_GROUP = 1 << 15
@@ -32,6 +34,7 @@ _KEPT: dict = {}
 
 def _tools(path: str) -> tuple[Tokenizer, Pretokens, dict[int, bytes]]:
     if path not in _KEPT:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads wait for each other
         lib = Tokenizer.from_file(path)
         _KEPT[path] = lib, Pretokens(False, tuple(x.content for x in lib.get_added_tokens_decoder().values())), {}
     return _KEPT[path]
@@ -41,7 +44,9 @@ def encode_ids(texts: list[str], path: str, cache_size: int = 1 << 18) -> tuple[
     """Ids of all texts, end to end, and the n + 1 offsets: equal to the tokenizer's without added special tokens."""
     lib, pre, cache = _tools(path)
     odd = [pre.odd(t) for t in texts]
-    code, starts, ends, each = pre.cut(["" if o else t for t, o in zip(texts, odd, strict=True)])
+    plain = ["" if o else t for t, o in zip(texts, odd, strict=True)]
+    code, starts, ends, each = pre.cut(plain)
+    joined = "".join(plain)
     found, at, back = np.unique(pre.hashes(code, starts, ends), return_index=True, return_inverse=True)
     ids = [cache.get(h) for h in found.tolist()]
     miss = [k for k, x in enumerate(ids) if x is None]
@@ -49,11 +54,11 @@ def encode_ids(texts: list[str], path: str, cache_size: int = 1 << 18) -> tuple[
         cache.clear()
     for a in range(0, len(miss), 20_000):
         some = miss[a : a + 20_000]
-        words = [string_of(code, s, e) for s, e in zip(starts[at[some]].tolist(), ends[at[some]].tolist(), strict=True)]
+        words = [joined[s:e] for s, e in zip(starts[at[some]].tolist(), ends[at[some]].tolist(), strict=True)]
         for k, e in zip(some, lib.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            ids[k] = np.array(e.ids, "<u4").tobytes()
+            ids[k] = array("I", e.ids).tobytes()
     cache.update(zip(found[miss].tolist(), (ids[k] for k in miss), strict=True))
-    flat = np.frombuffer(b"".join(ids), "<u4")
+    flat = np.frombuffer(b"".join(ids), np.uint32)
     n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     begin = np.cumsum(n) - n
     length = n[back]

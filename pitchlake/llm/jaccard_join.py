@@ -264,7 +264,7 @@ class Jaccard:
         near = self.verify(base, keys, first, "first")
         groups = components(near)
         known = postings.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        known = materialize(known, "known")
+        known = materialize(known.drop("k"), "known").repartition("g")  # dealt out once, for both counts and the join
         lists = known.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1").select("g", "main")
         sketch = keys.where("class is not null").groupBy("class").agg(F.first("sketch").alias("sketch"))
         mixed = materialize(known.join(lists, "g").join(sketch, "class"), "mixed")

@@ -3,7 +3,7 @@
 First pass: every partition counts its pre-tokens in a summary of bounded size (when the summary is full, all counts
 are lowered until half of it is free, so a pre-token that is frequent in a partition is never lost). The summaries are
 summed and the most frequent `table_size` pre-tokens, with their token counts, are broadcast as two sorted arrays of
-known size. Second pass: each batch looks its distinct pre-tokens up there, then in the worker's own bounded cache, and
+known size; pre-tokens above MOST_CHARS stay out of both, so that summaries are bounded in bytes, and are encoded. Second pass: each batch looks its distinct pre-tokens up there, then in the worker's own bounded cache, and
 encodes what is left. No pre-token is shuffled; the summaries are at most `summary_size` rows a partition.
 """
 
@@ -22,6 +22,8 @@ from .base import chunks, read_table, text_bytes
 from .pretoken import Pretokens, string_of
 
 CHUNK_BYTES = 3 << 20
+#: Longer pre-tokens (code points) get into no summary.
+MOST_CHARS = 256
 _KEPT: dict = {}
 
 
@@ -60,7 +62,7 @@ def frequent_lengths(docs: DataFrame, path: str, table_size: int, summary_size:
             # only what can get into the summary needs its text
             room = np.sort(n)[-summary_size] if len(n) > summary_size else 0
             old = np.isin(found, keys)
-            take = (n >= max(2, room)) | old
+            take = ((n >= max(2, room)) | old) & (ends[at] - starts[at] <= MOST_CHARS)
             found, at, n = found[take], at[take], n[take]
             names = np.array([string_of(code, s, e) for s, e in zip(starts[at], ends[at], strict=True)] or [""], object)[: len(at)]
             keys, where, back = np.unique(np.concatenate([keys, found]), return_index=True, return_inverse=True)
@@ -77,7 +79,7 @@ def frequent_lengths(docs: DataFrame, path: str, table_size: int, summary_size:
     words = [r["word"] for r in top]
     code, starts, ends, n = pre.cut(words)
     whole = np.flatnonzero(n == 1)
-    hashes, lengths = pre.hashes(code, starts, ends), np.array(_encode_lengths(lib, words) or [0], np.uint16)[: len(words)]
+    hashes, lengths = pre.hashes(code, starts, ends), np.array(_encode_lengths(lib, words) or [0], np.int64)[: len(words)]
     hashes, lengths = hashes[(np.cumsum(n) - n)[whole]], lengths[whole]
     order = np.argsort(hashes)
     return hashes[order], lengths[order]

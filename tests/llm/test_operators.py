@@ -189,6 +189,18 @@ def test_token_counts(docs, texts):
         assert got[i] == (len((t or "").encode()), n, n > 2048), i
 
 
+def test_token_counts_of_a_repeated_long_word(spark):
+    """More tokens than 16 bits hold, in a pre-token that occurs twice in one chunk."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    long = "".join(chr(0x4E00 + i % 20_000) for i in range(30_000))
+    n = len(Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids)
+    assert n > 65_535
+    rows = count_tokens(spark.createDataFrame([(1, long), (2, long), (3, f"a {long} b")], "doc_id long, text string").coalesce(1), path).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {1: n, 2: n, 3: n + 2}
+
+
 def test_sharding(docs, texts):
     rows = shard_by_bytes(docs, piece_bytes=1 << 12).collect()
     sizes, slots = [0] * 8, [[] for _ in range(8)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.llm.base import materialize, read_table
 from pitchlake.llm.decontamination import find_leaks
-from pitchlake.llm.jaccard_join import near_duplicates
+from pitchlake.llm.jaccard_join import surplus
 from pitchlake.llm.language_id import predict, train
 from pitchlake.llm.packing import pack
 from pitchlake.llm.sentence_spans import remove_repeated_spans
@@ -26,11 +26,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs` without the rows whose id and text (as its hash h) are in `gone`; null is an id like others."""
+    same = [F.col("doc_id").eqNullSafe(F.col("gone_id")), F.xxhash64("text") == F.col("gone_h")]
+    return docs.join(gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")), same, "left_anti")
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links connect, the one with the least id stays."""
-    groups = near_duplicates(docs).select("doc_id", "component_id")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Of the documents that links connect, one with the least id stays, a null id before others; of equal ids, the one
+    with the least hash of its text. Of rows equal in id and text one stays, also where the text has no words; if
+    they differ in other columns, the one with the least of those. Documents that only share an id are apart."""
+    marks = materialize(surplus(docs), "surplus")
+    repeated = marks.where("stays").select("doc_id", "h")
+    left = _without(docs, marks).select(COLUMNS)
+    if repeated.isEmpty():
+        return left
+    same = [F.col("doc_id").eqNullSafe(F.col("many_id")), F.xxhash64("text") == F.col("many_h")]
+    many = docs.join(repeated.select(F.col("doc_id").alias("many_id"), F.col("h").alias("many_h")), same, "left_semi")
+    rest = COLUMNS[2:]
+    one = many.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest")).select("doc_id", "text", *(f"rest.{c}" for c in rest))
+    return left.union(one.select(COLUMNS))
 
 
 def repeated_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +56,8 @@ def repeated_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item."""
-    leaks = find_leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(COLUMNS)
+    leaks = find_leaks(docs, read_table(spark, sf_dir, "benchmark"), by_text=True).select("doc_id", "h").distinct()
+    return _without(docs, leaks).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,13 +31,15 @@ def _seeds(words: str) -> F.Column:
     return F.flatten(F.element_at(F.transform(F.array(hashes), places), 1))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, tolerance: float = 0.2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, tolerance: float = 0.2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", by_text: bool = False) -> DataFrame:
     """Pairs of a document and a benchmark item that overlap: id, item id, n_equal, n_window.
 
     Words are runs of letters and digits in lower case. An overlap: somewhere around a seed hit, of `window` consecutive
     words of the item (all, if it has fewer) at most the share `tolerance` differs from the document's words. n_equal is
     the most equal words in such a window. Items with fewer words than SPAN have no seed and are never found; null and
-    empty texts have no words. Null ids are kept as one id; repeated rows give one pair. Extra columns are not read."""
+    empty texts have no words. Null ids are kept as one id; repeated rows give one pair. `by_text`: pairs
+    are of an id and a text, and the text's xxhash64 comes out as h. Extra columns are not read."""
+    whose = ["doc_id", "h"] if by_text else ["doc_id"]
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).where("item_text is not null").withColumn("item", _words("item_text")).drop("item_text").where(F.size("item") >= SPAN)
     known = items.select("item_id", "item", F.posexplode(_seeds("item")).alias("j", "seed")).withColumn("j", F.floor(F.col("j") / len(MASKS)).cast("int"))
     seeds, width = known.agg(F.count("*"), F.coalesce(F.sum(F.expr("aggregate(item, 0L, (n, x) -> n + length(x))")), F.lit(0))).first()
@@ -56,11 +58,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, toleranc
     around = hit_texts.join(spot, same)
     # the window's length; the item's words before and after the seed that some window with it has, cut to the document
     shape = around.withColumn("w", F.least(F.lit(window), F.size("item"))).withColumn("lo", F.greatest(F.col("j") - (F.col("w") - SPAN), F.lit(0))).withColumn("hi", F.least(F.col("j") + F.col("w"), F.size("item")))
-    near = shape.select("doc_id", "item_id", "w", F.slice("item", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("a"), F.expr("transform(sequence(lo, hi - 1), p -> if(i - j + p < 0, null, get(words, i - j + p)))").alias("b"))
-    equal = near.select("doc_id", "item_id", "w", F.expr("zip_with(a, b, (x, y) -> if(x <=> y, 1, 0))").alias("e"))
-    best = equal.select("doc_id", "item_id", F.col("w").cast("long").alias("n_window"), F.expr("array_max(transform(sequence(1, size(e) - w + 1), s -> aggregate(slice(e, s, w), 0, (n, x) -> n + x)))").cast("long").alias("n_equal"))
+    near = shape.select(*whose, "item_id", "w", F.slice("item", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("a"), F.expr("transform(sequence(lo, hi - 1), p -> if(i - j + p < 0, null, get(words, i - j + p)))").alias("b"))
+    equal = near.select(*whose, "item_id", "w", F.expr("zip_with(a, b, (x, y) -> if(x <=> y, 1, 0))").alias("e"))
+    best = equal.select(*whose, "item_id", F.col("w").cast("long").alias("n_window"), F.expr("array_max(transform(sequence(1, size(e) - w + 1), s -> aggregate(slice(e, s, w), 0, (n, x) -> n + x)))").cast("long").alias("n_equal"))
     found = best.where(F.col("n_window") - F.col("n_equal") <= F.floor(F.col("n_window") * tolerance))
-    out = found.groupBy("doc_id", "item_id").agg(F.max("n_equal").alias("n_equal"), F.max("n_window").alias("n_window"))
+    out = found.groupBy(*whose, "item_id").agg(F.max("n_equal").alias("n_equal"), F.max("n_window").alias("n_window"))
     return out.withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
 
 

@@ -112,8 +112,9 @@ class Jaccard:
         self.percent, self.words, self.table_size, self.summary_size = percent, words, table_size, summary_size
 
     def keys(self, base: DataFrame) -> DataFrame:
-        """A row a document (id, class, n, sketch) and rows of the partitions' summaries (class null, id: shingle, n: documents with it)."""
+        """A row a document (id, class, n, sketch, and what else `base` has beside the text) and rows of the partitions' summaries (class null, id: shingle, n: documents with it)."""
         words, most = self.words, self.summary_size
+        more = [f for f in base.schema if f.name not in ("id", "text")]
 
         def fold(kept: np.ndarray, counts: np.ndarray, block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             found, times = np.unique(np.concatenate([*block, kept[:0]]), return_counts=True)
@@ -127,10 +128,10 @@ class Jaccard:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept, counts, block, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-            names = ["id", "class", "n", "sketch"]
+            names = ["id", "class", "n", "sketch", *(f.name for f in more)]
             for part, sets in _each_set(batches, words):
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_hash(s) if len(s) else 0 for s in sets], pa.int64()), pa.array(n), pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH, sketches(sets))], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_hash(s) if len(s) else 0 for s in sets], pa.int64()), pa.array(n), pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH, sketches(sets)), *part.columns[2:]], names=names)
                 block += sets
                 size += int(n.sum())
                 if size >= BLOCK:
@@ -138,9 +139,11 @@ class Jaccard:
                     block, size = [], 0
             kept, counts = fold(kept, counts, block)
             if len(kept):
-                yield pa.RecordBatch.from_arrays([_long(kept), pa.nulls(len(kept), pa.int64()), pa.array(counts), pa.nulls(len(kept), pa.list_(pa.int64()))], names=names)
+                rest = [pa.nulls(len(kept), part.column(2 + i).type) for i in range(len(more))]
+                yield pa.RecordBatch.from_arrays([_long(kept), pa.nulls(len(kept), pa.int64()), pa.array(counts), pa.nulls(len(kept), pa.list_(pa.int64())), *rest], names=names)
 
-        return base.select("id", "text").mapInArrow(run, "id long, class long, n long, sketch array<long>")
+        kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in more)
+        return base.select("id", "text", *(f.name for f in more)).mapInArrow(run, f"id long, class long, n long, sketch array<long>{kinds}")
 
     def frequent(self, keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """The most frequent shingles (rising) and their counts: `table_size` at most."""
@@ -301,5 +304,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
     return rows.join(named, "class", "left").select(back(F.col("id")).cast(kind).alias(id_col), F.col("n").alias("n_shingles"), back(F.coalesce("component_id", "id")).cast(kind).alias("component_id"))
 
 
+def surplus(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Which rows go so that one of each group of `near_duplicates` stays: id, h (xxhash64 of the text), stays, copies.
+
+    A row here stands for the `copies` rows of `docs` with that id (null is an id) and text. Only rows here with
+    `stays` false, or true with copies > 1, come out: of the first kind all rows go, of the second all but one. In each
+    group the one with the least (id, h) stays, a null id before all others; a text without words is its own group."""
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    keys, links = Jaccard(percent, words).links(base)
+    rows = keys.where("class is not null").groupBy("id", "h", "class").agg(F.count("*").alias("copies"), F.max("n").alias("n"))
+    groups = components(links).withColumnRenamed("node", "class")
+    named = rows.join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    place = F.struct("id", "h")
+    first = named.where("n > 0").groupBy("component").agg(F.min(place).alias("first"))
+    marked = named.join(first, "component", "left").withColumn("stays", (F.col("n") == 0) | (place == F.col("first")))
+    return marked.where("not stays or copies > 1").select(F.nullif("id", F.lit(LEAST)).cast(docs.schema[id_col].dataType).alias(id_col), "h", "stays", "copies")
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -13,7 +13,7 @@ from pitchlake.llm.decontamination import find_leaks
 from pitchlake.llm.jaccard_join import surplus
 from pitchlake.llm.language_id import predict, train
 from pitchlake.llm.packing import pack
-from pitchlake.llm.sentence_spans import remove_repeated_spans
+from pitchlake.llm.sentence_spans import remove_repeated_passages
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose n-grams the best language covers by less is none of the learned languages.
@@ -49,8 +49,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def repeated_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without sentences that repeat earlier ones; a text that loses all of them goes."""
-    left = remove_repeated_spans(docs, keep=["lang", "source", "n_chars"])
+    """Texts without sentences and passages that repeat earlier ones; a text that loses all its words goes."""
+    left = remove_repeated_passages(docs, keep=["lang", "source", "n_chars"])
     return left.where("n_removed = 0 or length(trim(text)) > 0").withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(COLUMNS)
 
 

@@ -3,6 +3,10 @@
 Every run of `span` consecutive sentences is hashed. The runs are grouped by hash over all documents; of each hash that
 occurs more than once the first run, by (doc_id, position), stays, and the sentences that any other run covers are
 removed. Grouping a hash combines on the map side, so a passage in a third of all documents costs one row a task.
+
+That is `remove_repeated_spans`, the rule of the query's SQL. A passage with fewer than `span` whole sentences in it is
+never compared there. `remove_repeated_passages`, the rule of the pipeline, also compares runs of WORDS words that
+begin at content-defined points, one at least in every WINDOW words, so it sees every repeat of WORDS + WINDOW - 1 words.
 """
 
 from __future__ import annotations
@@ -10,17 +14,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, read_table, text_bytes
+from .base import Rolling, chunks, materialize, mix, read_table, text_bytes
 
 #: A sentence with its end marks and the white space after it; all matches joined give the text again.
 SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+")
 BLANKS = str.maketrans("\t\r\n", "   ")
 LEAST = -(2**63)
+#: A run of words, and of so many neighbouring runs the one with the least hash is compared: together 49 words.
+WORDS, WINDOW = 34, 16
+_ROLLING = Rolling()
 
 
 def span_hashes(text: str, span: int, min_chars: int) -> list[tuple[int, int]]:
@@ -77,6 +85,126 @@ def remove_repeated_spans(docs: DataFrame, span: int = 3, min_chars: int = 40, i
     return out.withColumnsRenamed({"own_id": id_col, "text": text_col} | {n: c for c, n in rest.items()})
 
 
+def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each word in the bytes of texts end to end, and whether it begins a sentence.
+
+    A word ends at white space and after . ! ?; a sentence ends after . ! ? and at a line end."""
+    n = len(raw)
+    solid = ~np.isin(raw, np.frombuffer(b" \t\r\n", np.uint8))
+    mark = np.isin(raw, np.frombuffer(b".!?", np.uint8))
+    edge = np.zeros(n + 1, bool)
+    edge[offsets] = True
+    begins = solid.copy()
+    begins[1:] &= edge[1:n] | ~solid[:-1] | (mark[:-1] & ~mark[1:])
+    last = np.ones(n, bool)
+    last[:-1] = edge[1:n] | ~solid[1:] | begins[1:]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(solid & last) + 1
+    lines = np.concatenate([[0], np.cumsum(raw == 0x0A)])
+    opens = np.ones(len(starts), bool)
+    before = ends[:-1]
+    opens[1:] = mark[before - 1] | (lines[starts[1:]] > lines[before])
+    opens[np.searchsorted(starts, offsets[:-1])[np.diff(np.searchsorted(starts, offsets)) > 0]] = True
+    return starts, ends, opens
+
+
+def passage_spans(raw: np.ndarray, offsets: np.ndarray, span: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lower-cased texts end to end: text, first word, number of words and hash of every run that is compared."""
+    none = np.zeros(0, np.int64)
+    if not len(raw):
+        return none, none, none, none
+    starts, ends, opens = word_bounds(raw, offsets)
+    first = np.searchsorted(starts, offsets)  # the texts' first words
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    if not len(starts):
+        return none, none, none, none
+    # characters, without the white space between sentences
+    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    gap = np.zeros(len(starts), np.int64)
+    gap[1:] = np.where(opens[1:], chars[starts[1:]] - chars[ends[:-1]], 0)
+    gap = np.cumsum(gap)
+    size = lambda a, b: chars[ends[b - 1]] - chars[starts[a]] - gap[b - 1] + gap[a]
+    sums = _ROLLING.sums(_ROLLING.between(_ROLLING.sums(raw), starts, ends))
+    # runs of `span` sentences, longer ones where they are short: the shortest from each, and the shortest up to each
+    heads = np.flatnonzero(opens)
+    tails = np.append(heads[1:], len(starts))
+    total = np.concatenate([[0], np.cumsum(size(heads, tails))])
+    text = of[heads]
+    low, high = np.searchsorted(text, text, "left"), np.searchsorted(text, text, "right")
+    here = np.arange(len(heads))
+    until = np.maximum(here + span, np.searchsorted(total, total[:-1] + min_chars, "left"))
+    since = np.minimum(here + 1 - span, np.searchsorted(total, total[1:] - min_chars, "right") - 1)
+    whole = (high - low < span) & (here == low) & (total[high] - total[low] >= min_chars)
+    runs = [(here[x], y[x]) for x, y in ((until <= high, until), (whole, high))]
+    runs.append((since[since >= low], here[since >= low] + 1))
+    a, b = (np.concatenate(x) for x in zip(*runs, strict=True))
+    a, b = heads[a], tails[b - 1]
+    # runs of WORDS words
+    at = np.flatnonzero(np.arange(len(starts)) + WORDS <= first[of + 1])
+    if len(at) >= WINDOW:
+        keys = mix(_ROLLING.between(sums, at, at + WORDS) + np.uint64(0x2545F4914F6CDD1D))
+        q = np.flatnonzero(of[at[: len(at) - WINDOW + 1]] == of[at[WINDOW - 1 :]])
+        least = np.lib.stride_tricks.sliding_window_view(keys, WINDOW).argmin(axis=1)
+        picked = at[np.unique(q + least[q])]
+        picked = picked[size(picked, picked + WORDS) >= min_chars]
+        a, b = np.concatenate([a, picked]), np.concatenate([b, picked + WORDS])
+    both = np.unique((a << 32) | (b - a))
+    a, k = both >> 32, both & 0xFFFFFFFF
+    return of[a], a - first[of[a]], k, _ROLLING.between(sums, a, a + k).view(np.int64)
+
+
+def remove_repeated_passages(docs: DataFrame, span: int = 3, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Per row of `docs`: id, text (what stays), n_words, n_removed (words), and the columns `keep`.
+
+    Words compare in lower case, whatever the white space between them. Compared are runs of `span` sentences, of more
+    where these have fewer than `min_chars` characters, a text of fewer sentences as one run; and runs of WORDS words,
+    picked by content alone. Of each run that occurs more than once the first, by (doc_id, position), stays; the words
+    of the others go, with the white space after them. Of a repeat of WORDS + WINDOW - 1 words or more, WORDS at least
+    go, and what no run covers, fewer than WINDOW words at either end, may stay. Texts, ids, repeated rows and other
+    columns are treated as by `remove_repeated_spans`."""
+    rest = {c: f"keep{i}" for i, c in enumerate(keep)}
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in rest.items()))
+
+    def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(text_bytes(batch.column(2))[1], 1 << 20):
+                part = batch.slice(a, b - a)
+                raw, offsets = text_bytes(pa.array([(t or "").lower() for t in part.column(2).to_pylist()], pa.large_string()))
+                doc, pos, n, x = passage_spans(raw, offsets, span, min_chars)
+                if len(doc):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array(pos << 32 | n), pa.array(x)], names=["id", "h", "run", "x"])
+
+    spans = base.select("id", "h", "text").mapInArrow(spans_of, "id long, h long, run long, x long")
+    place = F.struct("id", "h", "run")
+    often = spans.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
+    repeated = materialize(spans.join(often, "x", "left_semi"), "repeated-runs")
+    first = repeated.groupBy("x").agg(F.min(place).alias("first"))
+    gone = repeated.join(first, "x").where(place != F.col("first")).groupBy("id", "h").agg(F.collect_set("run").alias("gone"))
+    joined = base.join(gone, ["id", "h"], "left").select("own_id", "text", "gone", *rest.values())
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = text_bytes(batch.column(1))
+            for a, b in chunks(offsets, 1 << 20):
+                part = batch.slice(a, b - a)
+                data, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                starts = word_bounds(data, at)[0] if len(data) else np.zeros(0, np.int64)
+                first = np.searchsorted(starts, at)
+                texts, removed = part.column(1).to_pylist(), [0] * (b - a)
+                for i, runs in enumerate(part.column(2).to_pylist()):
+                    if runs:
+                        n, runs = int(first[i + 1] - first[i]), np.array(runs, np.int64)
+                        edges = np.bincount(runs >> 32, minlength=n + 1) - np.bincount((runs >> 32) + (runs & 0xFFFFFFFF), minlength=n + 1)
+                        covered = np.cumsum(edges)[:n] > 0
+                        pieces = np.concatenate([at[i : i + 1], starts[first[i] + 1 : first[i + 1]], at[i + 1 : i + 2]])
+                        texts[i] = data[at[i] : at[i + 1]][np.repeat(~covered, np.diff(pieces))].tobytes().decode()
+                        removed[i] = int(covered.sum())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(np.diff(first).astype(np.int64)), pa.array(removed, pa.int64()), *part.columns[3:]], names=["own_id", "text", "n_words", "n_removed", *rest.values()])
+
+    kept = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in rest.items())
+    out = joined.mapInArrow(rebuild, f"own_id {docs.schema[id_col].dataType.simpleString()}, text string, n_words long, n_removed long{kept}")
+    return out.withColumnsRenamed({"own_id": id_col, "text": text_col} | {n: c for c, n in rest.items()})
+
+
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 

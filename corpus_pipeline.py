@@ -27,9 +27,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """`docs` without the rows whose id and text (as its hash h) are in `gone`; null is an id like others."""
+    """`docs` without the rows whose id and text (as its hash h) are in `gone`; null is an id like others.
+    The join shuffles at every size, so that its figures grow with the input."""
     same = [F.col("doc_id").eqNullSafe(F.col("gone_id")), F.xxhash64("text") == F.col("gone_h")]
-    return docs.join(gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")), same, "left_anti")
+    return docs.join(gone.select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).hint("merge"), same, "left_anti")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import display
 from .functions.pitch import CONTACT_ZONE, IN_BOX, TARGET_ZONE, goal_distance, metres, threat
 from .operators.relational import average_rank, first_per_key, min_max, next_value, possession_changes, share, strict_percentile, top_k
-from .plans import match, players, season
+from .plans import charts, match, players, season
 from .plans import metrics as M
 from .sources.adapter import EV_SQL, football_events
-from .sources.ingest import number, parse_label
+from .sources.ingest import boolean, number, parse_label
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,16 +53,16 @@ _events(
     f"o as (select g.match_id, g.team_name, sum(sec) as sec from g left join s on g.match_id = s.match_id and g.team_name <> s.holder group by all) "
     "select g.* exclude (interceptions), case when sec > 0 then cast(defensive_duels + interceptions as double) / (sec / 60) else 0e0 end as challenge_intensity from g join o using (match_id, team_name)",
 )
-_events(
-    "match_possession", match.possession,
+_POSSESSION_CTE = (
     f"{_FIRST}, e as (select match_id, possession_id, max(location_x) as far, max({IN_BOX}) as box from ev group by all), c as (select match_id, max(match_ts) - min(match_ts) as clock from ev group by all), "
-    "g as (select match_id, possession_team_name as team_name, coalesce(sum(possession_duration_sec), 0e0) as seconds, count(*) as possessions, count(case when far > 50 then 1 end) as reaching_half, count(case when box then 1 end) as reaching_box, avg(possession_duration_sec) as mean_seconds from fp join e using (match_id, possession_id) group by all) "
-    "select g.*, case when sum(seconds) over w > 0 then seconds / sum(seconds) over w * 100 end as share, greatest(clock - sum(seconds) over w, 0e0) as dead_time from g join c using (match_id) window w as (partition by match_id)",
+    "g as (select match_id, possession_team_name as team_name, coalesce(sum(possession_duration_sec), 0e0) as seconds, count(*) as possessions, count(case when far > 50 then 1 end) as reaching_half, count(case when box then 1 end) as reaching_box, avg(possession_duration_sec) as mean_seconds from fp join e using (match_id, possession_id) group by all), "
+    "po_ as (select g.*, case when sum(seconds) over w > 0 then seconds / sum(seconds) over w * 100 end as share, greatest(clock - sum(seconds) over w, 0e0) as dead_time from g join c using (match_id) window w as (partition by match_id))"
 )
+_events("match_possession", match.possession, f"{_POSSESSION_CTE} select * from po_")
 _D = "possession_duration_sec"
 _events(
     "match_open_play", match.open_play,
-    f", f as (select * from ev where match_ts is not null qualify row_number() over (partition by match_id, possession_id order by match_ts) = 1) select match_id, possession_team_name as team_name, count(*) as total, {M.n(_D + ' <= 10')} as to_10, {M.n(f'{_D} > 10 and {_D} <= 20')} as to_20, {M.n(f'{_D} > 20 and {_D} <= 45')} as to_45, {M.n(_D + ' > 45')} as over_45 from f where type_primary not in ('corner', 'free_kick', 'goal_kick', 'throw_in', 'penalty') group by all",
+    f", f as (select * from ev where match_ts is not null qualify row_number() over (partition by match_id, possession_id order by match_ts, seq) = 1) select match_id, possession_team_name as team_name, count(*) as total, {M.n(_D + ' <= 10')} as to_10, {M.n(f'{_D} > 10 and {_D} <= 20')} as to_20, {M.n(f'{_D} > 20 and {_D} <= 45')} as to_45, {M.n(_D + ' > 45')} as over_45 from f where type_primary not in ('corner', 'free_kick', 'goal_kick', 'throw_in', 'penalty') group by all",
 )
 _events(
     "match_attacks", match.attacks,
@@ -71,6 +72,20 @@ _events(
     f"ca as (select {_T}, possession_id from s where y0 in ('interception', 'duel', 'clearance', 'goalkeeper_exit') and d0 >= 40 and match_ts - t0 <= 5 group by all having max(d0) - min(dist) >= 30), c as (select {_T}, count(*) as n from ca group by all) "
     f"select {_T}, coalesce(p.n, 0) as positional_attacks, cast(coalesce(third, 0) as bigint) as final_third_entries, cast(coalesce(box, 0) as bigint) as box_entries, coalesce(c.n, 0) as counter_attacks from t left join p using ({_T}) left join en using ({_T}) left join c using ({_T})",
 )
+_CLOCKED = ", ".join(f"{display.clock(c)} as {c}" for c in ("seconds", "mean_seconds", "dead_time"))
+_events("match_possession_clock", match.possession_clock, f"{_POSSESSION_CTE} select {_T}, {_CLOCKED}, {display.to_duck(display.rounded('share', 1))} as share from po_")
+_events(
+    "match_tempo", match.tempo,
+    f"{_FIRST}, g as (select {_T}, {M.PASSES['passes']} as passes from ev group by all), h as (select match_id, possession_team_name as team_name, sum(possession_duration_sec) as sec from fp group by all) "
+    f"select {_T}, case when sec > 0 then {display.to_duck(display.rounded('cast(passes as double) / (sec / 60)', 1))} else 0e0 end as tempo from g left join h using ({_T})",
+)
+_GENERAL_NAMES = [*M.GENERAL, "fouls_suffered"]
+_events(
+    "match_report", match.report,
+    f", g0 as (select {_T}, {_list(M.GENERAL)} from ev group by all), g as (select *, sum(fouls) over (partition by match_id) - fouls as fouls_suffered from g0), h as (select match_id, min(home_team_name) as home from ev group by all), "
+    "t as (" + " union all ".join(f"select {_T}, {i + 1} as ord, '{c}' as metric, cast({c} as double) as value from g" for i, c in enumerate(_GENERAL_NAMES)) + ") "
+    "select match_id, ord, metric, max(case when team_name = h.home then value end) as home, max(case when team_name <> h.home then value end) as away from t join h using (match_id) group by match_id, ord, metric",
+)
 _PLAYERS = (
     f", g as (select {_T}, player_name, {_list(M.PLAYER_MATCH)}, min(seq) as s0, min(minute) as m0, max(minute) as m1 from ev where player_name is not null group by all), c as (select match_id, max(minute) as fin from ev group by all), "
     f"pm as (select g.* exclude (s0, m0, m1), cast(case when row_number() over (partition by {_T} order by s0) <= 11 then m1 else fin - m0 end as bigint) as minutes from g join c using (match_id))"
@@ -102,17 +117,32 @@ _RADAR = (
 )
 _events("team_radar", season.team_radar, f"{_RADAR} select * from radar")
 _RADAR_NAMES = [*_EACH, "directness", "possession_share", "xg_per_shot", "xg_per_shot_against", "aerial_pct", "defensive_duel_pct", "ppda"]
-_events(
-    "team_percentiles", season.team_percentiles,
-    f"{_RADAR}, l as (" + " union all ".join(f"select team_name, '{c}' as metric, {'-' if c in season.INVERTED else ''}cast(floor(coalesce({c}, 0e0) * 100 + 0.5e0) as bigint) as v from radar" for c in _RADAR_NAMES) + ") "
-    "select team_name, metric, (rank() over (partition by metric order by v) + (count(*) over (partition by metric, v) - 1) / 2e0) / count(v) over (partition by metric) * 100 as percentile from l",
+_PERCENTILES = (
+    f"{_RADAR}, l as (" + " union all ".join(f"select team_name, '{c}' as metric, {'-' if c in season.INVERTED else ''}cast(round_even(coalesce({c}, 0e0) * 100, 0) as bigint) as v from radar" for c in _RADAR_NAMES) + "), "
+    "tp as (select team_name, metric, (rank() over (partition by metric order by v) + (count(*) over (partition by metric, v) - 1) / 2e0) / count(v) over (partition by metric) * 100 as percentile from l)"
 )
+_events("team_percentiles", season.team_percentiles, f"{_PERCENTILES} select * from tp")
+_FAMILY_ROWS = ", ".join(f"('{f}', '{m}', {i}, {360.0 * i / len(ms)!r}e0)" for f, ms in season.FAMILIES.items() for i, m in enumerate(ms))
+_events("team_radar_vectors", season.radar_vectors, f"{_PERCENTILES}, fa(family, metric, ord, degrees) as (values {_FAMILY_ROWS}) select team_name, family, ord, metric, degrees, percentile from tp join fa using (metric)")
 _STRENGTH = (
     ", o as (select team_name, count(distinct match_id) as matches, count_if(shot_is_goal) as gf, cast(sum(shot_cents) as double) as cf from ev group by all), a as (select opponent_team_name as team_name, count_if(shot_is_goal) as ga, cast(sum(shot_cents) as double) as ca from ev group by all), "
     "st as (select team_name, matches, cast(gf as double) / matches as goals_for, cast(ga as double) / matches as goals_against, cast(gf as double) / matches * 0.3e0 + cf / 50000 / matches * 0.7e0 as attack, cast(ga as double) / matches * 0.3e0 + ca / 50000 / matches * 0.7e0 as defence from o join a using (team_name))"
 )
 _events("team_strength", season.strength, f"{_STRENGTH} select * from st")
-_events("strength_limits", season.strength_limits, f"{_STRENGTH} select " + ", ".join(f"min({c}) - (max({c}) - min({c})) / 10 as {c}_low, max({c}) + (max({c}) - min({c})) / 10 as {c}_high" for c in ("attack", "defence")) + " from st")
+_LIMITS = f"{_STRENGTH}, li as (select " + ", ".join(
+    f"min({c}) - (max({c}) - min({c})) / 10 as {c}_low, max({c}) + (max({c}) - min({c})) / 10 as {c}_high, {season.mean(c)} as {c}_mean" for c in ("attack", "defence")
+) + " from st)"
+_events("strength_limits", season.strength_limits, f"{_LIMITS} select * from li")
+_events(
+    "strength_diagonals", season.strength_diagonals,
+    f"{_LIMITS} select cast(unnest(range(cast(floor((attack_low - defence_high) * 10) as bigint), cast(ceil((attack_high - defence_low) * 10) as bigint) + 1)) as double) / 10 as c from li",
+)
+_AXIS = lambda c, a, b: f"{a} as {c}_first, {b} as {c}_last, cast(sum(cast(floor({c} * 1000000 + 0.5e0) as bigint)) over () as double) / count({c}) over () / 1000000 as {c}_mean"
+_LOW, _HIGH = (lambda c: f"min({c}) over () - (max({c}) over () - min({c}) over ()) / 10"), (lambda c: f"max({c}) over () + (max({c}) over () - min({c}) over ()) / 10")
+_events(
+    "team_scatter", season.scatter,
+    f"{_RADAR}, xy as (select team_name, xg as x, xg_against as y from radar) select team_name, x, y, {_AXIS('x', _LOW('x'), _HIGH('x'))}, {_AXIS('y', _HIGH('y'), _LOW('y'))} from xy",
+)
 _events(
     "corner_takers", season.corner_takers,
     f", x as (select *, coalesce(pass_length, {metres('location_x', 'location_y', 'pass_end_x', 'pass_end_y')}) as length_m from ev where type_primary = 'corner' and player_name is not null) select team_name, case when location_y < 50 then 'left' else 'right' end as side, player_name, {TARGET_ZONE} as zone, count(*) as corners from x group by all",
@@ -127,49 +157,94 @@ _MINUTES = f"{_PLAYERS}, mi as (select team_name, player_name, cast(sum(minutes)
 _events("player_minutes", players.minutes, f"{_MINUTES} select * from mi")
 _POSITIONS = ", pc as (select player_id, player_position, count(*) as n, min(seq) as s from ev where player_id is not null group by all), pr as (select *, row_number() over (partition by player_id order by n desc, s) as rk from pc), po as (select player_id, max(case when rk = 1 then player_position end) as primary_position, max(case when rk = 2 then player_position end) as secondary_position, max(case when rk = 3 then player_position end) as tertiary_position from pr where rk <= 3 group by all)"
 _events("player_positions", players.positions, f"{_POSITIONS} select * from po")
-_events(
-    "player_npxg_xa", players.npxg_xa,
+_SET_PIECE = "type_primary in ('corner', 'free_kick', 'throw_in', 'goal_kick')"
+_NPXG = (
     ", n as (select *, first_value(case when shot_cents is not null then struct_pack(c := shot_cents, k := type_primary) end ignore nulls) over (partition by match_id order by seq rows between current row and unbounded following) as ns from ev), "
-    "x as (select player_id, sum(case when type_primary not in ('corner', 'free_kick', 'throw_in', 'goal_kick') then ns.c end) as ao, sum(case when type_primary in ('corner', 'free_kick', 'throw_in', 'goal_kick') then ns.c end) as asp from n where contains(concat(',', tags, ','), ',shot_assist,') and ns.k <> 'penalty' group by all), "
-    "p as (select player_id, sum(shot_cents) as np from ev where type_primary <> 'penalty' and shot_cents is not null group by all) "
-    "select player_id, cast(coalesce(np, 0) as double) / 50000 as npxg, cast(coalesce(ao, 0) as double) / 50000 as xaop, cast(coalesce(asp, 0) as double) / 50000 as xasp, cast(coalesce(ao, 0) + coalesce(asp, 0) as double) / 50000 as xa from p full join x using (player_id)",
+    f"x as (select player_id, sum(case when not {_SET_PIECE} then ns.c end) as ao, sum(case when {_SET_PIECE} then ns.c end) as asp from n where contains(concat(',', tags, ','), ',shot_assist,') and ns.k <> 'penalty' group by all), "
+    "p as (select player_id, sum(shot_cents) as np from ev where type_primary <> 'penalty' and shot_cents is not null group by all), "
+    "nx as (select player_id, cast(coalesce(np, 0) as double) / 50000 as npxg, cast(coalesce(ao, 0) as double) / 50000 as xaop, cast(coalesce(asp, 0) as double) / 50000 as xasp, cast(coalesce(ao, 0) + coalesce(asp, 0) as double) / 50000 as xa from p full join x using (player_id))"
 )
-_events("player_counting", players.counting, f", g as (select player_id, {_list(M.COUNTING)} from ev where player_id is not null group by all) select *, {_list(M.RATIOS)} from g")
-_events(
-    "player_goalkeepers", players.goalkeepers,
+_events("player_npxg_xa", players.npxg_xa, f"{_NPXG} select * from nx")
+_COUNTED = f", cg as (select player_id, {_list(M.COUNTING)} from ev where player_id is not null group by all), ct as (select *, {_list(M.RATIOS)} from cg)"
+_events("player_counting", players.counting, f"{_COUNTED} select * from ct")
+_KEEPERS = (
     ", k as (select distinct player_id from ev where player_position = 'GK'), f as (select shot_gk_id as player_id, count(*) as faced, count(case when shot_is_goal then 1 end) as conceded, sum(shot_cents) as cents from ev where shot_on_target group by all), "
     f"o as (select player_id, count(case when type_primary = 'goalkeeper_exit' then 1 end) as exits, {M.n(M.exact('recovery'))} as recoveries, count(case when type_primary = 'pass' then 1 end) as passes, {M.n(M.exact('long_pass'))} as long_passes from ev where player_id in (select player_id from k) group by all), "
-    "j as (select player_id, coalesce(faced, 0) as faced, coalesce(conceded, 0) as conceded, cast(coalesce(cents, 0) as double) as cents, exits, recoveries, passes, long_passes from k left join f using (player_id) left join o using (player_id)) "
-    "select * exclude (cents), cents / 45000 - conceded as prevented, case when faced > 0 then (cents / 45000 - conceded) / faced else 0e0 end as prevented_per_shot, cents / 45000 as psxg from j",
+    "j as (select player_id, coalesce(faced, 0) as faced, coalesce(conceded, 0) as conceded, cast(coalesce(cents, 0) as double) as cents, exits, recoveries, passes, long_passes from k left join f using (player_id) left join o using (player_id)), "
+    "gk as (select * exclude (cents), cents / 45000 - conceded as prevented, case when faced > 0 then (cents / 45000 - conceded) / faced else 0e0 end as prevented_per_shot, cents / 45000 as psxg from j)"
 )
+_events("player_goalkeepers", players.goalkeepers, f"{_KEEPERS} select * from gk")
 _DUCK = ("[{}]", "list_extract({}, {})")
-_events(
-    "player_threat", players.expected_threat,
-    ", m as (select player_id, location_x, location_y, coalesce(pass_end_x, carry_end_x) as end_x, coalesce(pass_end_y, carry_end_y) as end_y from ev where (type_primary in ('touch', 'acceleration') or type_primary = 'pass' and pass_accurate) and player_id is not null) "
-    f"select player_id, cast(sum(greatest({threat('end_x', 'end_y', *_DUCK)} - {threat('location_x', 'location_y', *_DUCK)}, 0)) as double) / 100 as xt from m where end_x is not null and end_y is not null group by all",
+_END = lambda c: f"case when type_primary = 'pass' then pass_end_{c} else carry_end_{c} end as end_{c}"
+_THREAT = (
+    f", m as (select player_id, location_x, location_y, {_END('x')}, {_END('y')} from ev where (type_primary in ('touch', 'acceleration') or type_primary = 'pass' and pass_accurate) and player_id is not null), "
+    f"et as (select player_id, cast(sum(greatest({threat('end_x', 'end_y', *_DUCK)} - {threat('location_x', 'location_y', *_DUCK)}, 0)) as double) / 100 as xt from m where end_x is not null and end_y is not null group by all)"
+)
+_events("player_threat", players.expected_threat, f"{_THREAT} select * from et")
+_LINEUP = (
+    ", lf as (select match_id, team_name, player_id, min(seq) as s, min(minute) as m0 from ev where player_id is not null group by all), lr as (select *, row_number() over (partition by match_id, team_name order by s) as k from lf), ln as (select match_id, max(minute) as fin from ev group by all), "
+    "lm as (select a.player_id, a.team_name as team_id, cast(sum(case when a.k <= 11 then coalesce(b.m0, fin) else fin - a.m0 end) as bigint) as total_minutes from lr a join ln using (match_id) left join lr b on b.match_id = a.match_id and b.team_name = a.team_name and b.k = a.k + 11 and a.k <= 11 group by all)"
 )
-_P90 = ("goals", "shots", "passes", "duels", "recoveries", "losses", "dribbles", "interceptions")
-_PER90 = f"{_MINUTES}, pg as (select team_name, player_name, {_list({c: M.COUNTING[c] for c in _P90})} from ev where player_name is not null group by all), p90 as (select team_name, player_name, total_minutes, " + ", ".join(f"case when total_minutes > 0 then cast({c} as double) / total_minutes * 90 else 0e0 end as {c}" for c in _P90) + " from pg left join mi using (team_name, player_name))"
+_events("lineup_minutes", players.lineup_minutes, f"{_LINEUP} select * from lm")
+_OF_TABLE = {c: f"gk.{c[3:]}" if c.startswith("gk_") else f"nx.{c}" if c in ("npxg", "xaop", "xasp", "xa") else "et.xt" if c == "xt" else f"ct.{c}" for c in players.TABLE}
+_TABLE = (
+    f"{_COUNTED}{_NPXG}{_THREAT}{_KEEPERS}{_LINEUP}{_POSITIONS}, pn as (select player_id, max(player_name) as player_name from ev where player_id is not null group by all), "
+    "pl as (select player_id, first(team_id order by total_minutes desc, team_id) as team_name, cast(sum(total_minutes) as bigint) as total_minutes from lm group by all), "
+    "pt as (select ct.player_id, player_name, pl.team_name, coalesce(total_minutes, 0) as total_minutes, primary_position as position, " + ", ".join(f"cast(coalesce({x}, 0) as double) as {c}" for c, x in _OF_TABLE.items())
+    + " from ct left join nx using (player_id) left join et using (player_id) left join gk using (player_id) left join pn using (player_id) left join pl using (player_id) left join po using (player_id))"
+)
+_events("player_table", players.player_table, f"{_TABLE} select * from pt")
+_PER90 = f"{_TABLE}, p90 as (select player_id, player_name, team_name, total_minutes, position, " + ", ".join(c if c in players.FIXED else f"case when total_minutes > 0 then {c} / total_minutes * 90 else 0e0 end as {c}" for c in players.TABLE) + " from pt)"
 _events("player_per_90", players.per_90, f"{_PER90} select * from p90")
 _ROLE_ROWS = ", ".join(f"({i}, '{r}', '{m}', {float(w)}e0)" for i, (r, (_, ws)) in enumerate(players.ROLES.items()) for m, w in ws.items())
 _MEMBER_ROWS = ", ".join(f"({i}, '{p}')" for i, (ps, _) in enumerate(players.ROLES.values()) for p in ps)
-_events(
-    "archetype_scores", players.archetype_scores,
-    f"{_PER90}{_POSITIONS}, w(role_id, role, metric, weight) as (values {_ROLE_ROWS}), b(role_id, position) as (values {_MEMBER_ROWS}), "
-    "nm as (select player_name, max(player_id) as player_id from ev where player_name is not null group by all), q as (select p90.*, primary_position as position from p90 join nm using (player_name) join po using (player_id) where total_minutes >= 90), "
-    "l as (" + " union all ".join(f"select team_name, player_name, position, '{c}' as metric, {c} as value from q" for c in _P90) + "), "
+_ROLE_METRICS = list(dict.fromkeys(m for _, ws in players.ROLES.values() for m in ws))
+_INVERTED = ", ".join(f"'{m}'" for m in players.INVERTED)
+_ROLES = (
+    f"{_PER90}, w(role_id, role, metric, weight) as (values {_ROLE_ROWS}), b(role_id, position) as (values {_MEMBER_ROWS}), q as (select * from p90 where total_minutes >= 90), "
+    "l as (" + " union all ".join(f"select player_id, position, '{c}' as metric, {c} as value from q" for c in _ROLE_METRICS) + "), "
     "r as (select l.*, role_id, role, weight, (rank() over (partition by role_id, metric order by value) + (count(*) over (partition by role_id, metric, value) - 1) / 2e0) / count(value) over (partition by role_id, metric) as p0 from l join b using (position) join w using (role_id, metric)), "
-    "i as (select *, case when metric = 'losses' then 1 - p0 else p0 end as p from r), last as (select position, metric, max(role_id) as winner from b join w using (role_id) group by all), "
-    "ch as (select i.team_name, i.player_name, i.metric, i.p as won from i join last using (position, metric) where role_id = winner), "
-    "t as (select team_name, player_name, role, cast(sum(cast(floor(coalesce(won, p) * weight * 1000000 + 0.5e0) as bigint)) as double) / 1000000 as total from i left join ch using (team_name, player_name, metric) group by all), "
-    "s as (select *, case when max(total) over g > min(total) over g then (total - min(total) over g) / (max(total) over g - min(total) over g) * 100 else 0e0 end as score from t window g as (partition by role)) select *, dense_rank() over (partition by role order by score desc) as place from s",
+    f"i as (select *, case when metric in ({_INVERTED}) then 1 - p0 else p0 end as p from r), "
+    "z as (select *, last_value(p) over (partition by player_id, metric order by role_id rows between unbounded preceding and unbounded following) as won from i), "
+    "t as (select player_id, role, cast(sum(cast(floor(coalesce(won, 0e0) * weight * 1000000 + 0.5e0) as bigint)) as double) / 1000000 as total from z group by all), "
+    "s as (select *, case when max(total) over v > min(total) over v then (total - min(total) over v) / (max(total) over v - min(total) over v) * 100 else 0e0 end as score from t window v as (partition by role)), "
+    "sp as (select *, dense_rank() over (partition by role order by score desc) as place from s), "
+    "ar as (select q.player_id, player_name, team_name, e.role, coalesce(total, 0e0) as total, coalesce(score, 0e0) as score, coalesce(place, 0) as place from q cross join (select distinct role from w) e left join sp on sp.player_id = q.player_id and sp.role = e.role)"
+)
+_events("archetype_scores", players.archetype_scores, f"{_ROLES} select * from ar")
+_KIND = {m: k for k, ms in charts.KINDS.items() for m in ms}
+_PLACE_ROWS = ", ".join(f"('{r}', '{m}', {i}, {360.0 * i / len(ws)!r}e0, '{_KIND.get(m, 'other')}')" for r, (_, ws) in players.ROLES.items() for i, m in enumerate(ws))
+_events(
+    "player_radar", charts.player_radar,
+    f"{_ROLES}, pc2(role, metric, ord, degrees, kind) as (values {_PLACE_ROWS}) select player_id, role, ord, metric, degrees, kind, value, p * 100 as percentile, score, place from i join pc2 using (role, metric) join sp using (player_id, role)",
+)
+_events(
+    "player_distribution", charts.player_distribution,
+    f"{_ROLES}, d as (select player_id, role, metric, value, min(value) over v as lo, max(value) over v as hi, cast(floor(100 * (rank() over (partition by role, metric order by value) - 1) / count(value) over v) as bigint) as percent from r window v as (partition by role, metric)) "
+    f"select player_id, role, metric, concat(cast(percent as string), {display.ordinal('percent')}) as percentile, case when lo = hi then value - 0.1e0 else lo end as low, case when lo = hi then value + 0.1e0 else hi end as high, {display.to_duck(display.decimals('value', 2))} as value from d",
+)
+
+# ---- lists to select from
+
+_events("team_list", charts.team_list, " select distinct unnest([home_team_name, away_team_name]) as team from ev order by 1")
+_MATCHES = (
+    ", mg as (select match_id, home_team_name, away_team_name, count_if(team_name = home_team_name and shot_is_goal) as home, count_if(team_name = away_team_name and shot_is_goal) as away from ev group by all), "
+    "ml as (select match_id, home_team_name, away_team_name, home_team_name || ' vs ' || away_team_name || ' (' || home || ' - ' || away || ')' as display_name from mg)"
 )
+_events("match_list", charts.match_list, f"{_MATCHES} select * from ml order by match_id")
+_events("match_by_name", charts.match_by_name, f"{_MATCHES} select display_name, min(match_id) as match_id from ml group by 1")
+_events("player_list", charts.player_list, f"{_PER90} select player_id, player_name, team_name, total_minutes, player_name || ' (' || team_name || ', ' || total_minutes || ' min)' as display_name from p90 order by total_minutes desc, player_id")
+_events("team_fixtures", lambda ev: charts.fixtures(ev, "Team_3"), f"{_MATCHES} select * from ml where home_team_name = 'Team_3' or away_team_name = 'Team_3'")
 
 # ---- the relational catalogue, on the plain tables
 
 _table("scan_project_rename", "lineitem", lambda t: t.select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net")), "select l_orderkey as order_key, l_linenumber as line, l_extendedprice * (1 - l_discount) as net from lineitem")
 _table("cast_coerce", "events", lambda t: t.select("event_id", F.get_json_object("props", "$.k").try_cast("double").alias("k"), number(F.col("event_type")).alias("bad")), "select event_id, try_cast(json_extract_string(props, '$.k') as double) as k, try_cast(event_type as double) as bad from events")
-_table("bool_normalise", "orders", lambda t: t.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False).alias("finished")), "select o_orderkey, case o_orderstatus when 'F' then true when 'O' then false end as finished from orders")
+_table(
+    "bool_normalise", "orders",
+    lambda t: t.select("o_orderkey", boolean(F.element_at(F.array(*map(F.lit, ("true", " TRUE ", "1", "1.0", "False", "0", "0.0 ", "yes"))), (F.col("o_orderkey") % 8 + 1).cast("int"))).alias("finished")),
+    "select o_orderkey, case when o_orderkey % 8 < 4 then true when o_orderkey % 8 < 7 then false end as finished from orders",
+)
 _table("filter_eq_cmp", "lineitem", lambda t: t.where("l_returnflag = 'R' and l_quantity > 30").select("l_orderkey", "l_linenumber", "l_quantity"), "select l_orderkey, l_linenumber, l_quantity from lineitem where l_returnflag = 'R' and l_quantity > 30")
 _table("filter_in_list", "orders", lambda t: t.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).groupBy("o_orderpriority").agg(F.count("*").alias("n")), "select o_orderpriority, count(*) as n from orders where o_orderpriority in ('1-URGENT', '2-HIGH') group by 1")
 _table("filter_between", "part", lambda t: t.where(F.col("p_size").between(10, 20)).select("p_partkey", "p_size"), "select p_partkey, p_size from part where p_size between 10 and 20")
@@ -213,3 +288,18 @@ _events("distance_metre", lambda e: e.where("pass_end_x is not null").select("ev
 _events("case_ladder", lambda e: e.groupBy(F.expr(CONTACT_ZONE).alias("zone")).agg(F.count("*").alias("n")), f" select {CONTACT_ZONE} as zone, count(*) as n from ev group by 1")
 _table("minmax_scale", "customer", lambda t: t.select("c_custkey", min_max("c_acctbal", "c_mktsegment").alias("score")), "select c_custkey, case when max(c_acctbal) over w > min(c_acctbal) over w then (c_acctbal - min(c_acctbal) over w) / (max(c_acctbal) over w - min(c_acctbal) over w) * 100e0 else 0e0 end as score from customer window w as (partition by c_mktsegment)")
 _table("tumbling_counts", "events", lambda t: t.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("start"), "event_type", "n"), "select cast(floor(epoch(ts) / 3600) * 3600 as bigint) * 1000000 as start, event_type, count(*) as n from events group by 1, 2")
+
+# ---- order, rounding and display
+
+_events("row_reset", lambda e: e.select("event_id", (F.row_number().over(Window.partitionBy("match_id").orderBy("seq")) - 1).cast("long").alias("index")), " select event_id, row_number() over (partition by match_id order by seq) - 1 as index from ev")
+_events("distinct_rows", lambda e: e.select("player_id", "player_name").distinct(), " select distinct player_id, player_name from ev")
+_events(
+    "first_two_teams", lambda e: top_k(e.groupBy("match_id", "team_name").agg(F.min("seq").alias("s")), ["match_id"], 2, F.asc("s")).drop("s"),
+    ", f as (select match_id, team_name, min(seq) as s from ev group by all) select match_id, team_name, row_number() over (partition by match_id order by s) as rank from f qualify rank <= 2",
+)
+_table("sorted_distinct", "part", lambda t: t.select("p_brand").distinct().orderBy("p_brand"), "select distinct p_brand from part order by 1")
+_table("round_half_even", "lineitem", lambda t: t.select("l_orderkey", "l_linenumber", F.expr(display.rounded("l_quantity / 8", 2)).alias("r")), f"select l_orderkey, l_linenumber, {display.to_duck(display.rounded('l_quantity / 8', 2))} as r from lineitem")
+_table("date_format", "orders", lambda t: t.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")), "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders")
+_SHOWN = {"one": display.decimals("l_quantity / 8", 1), "two": display.decimals("l_quantity / 8", 2), "three": display.decimals("-l_quantity / 16", 3), "part": display.fraction("l_linenumber", "7"), "minute": display.minute("l_linenumber")}
+_table("display_text", "lineitem", lambda t: t.select("l_orderkey", "l_linenumber", *(F.expr(x).alias(c) for c, x in _SHOWN.items())), "select l_orderkey, l_linenumber, " + ", ".join(f"{display.to_duck(x)} as {c}" for c, x in _SHOWN.items()) + " from lineitem")
+_table("circle_angles", "nation", lambda t: t.select("n_nationkey", (F.col("n_nationkey") * 360 / F.lit(25)).alias("degrees")), "select n_nationkey, n_nationkey * 360 / 25e0 as degrees from nation")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.display import clock, rounded
 from ..functions.pitch import IN_BOX, goal_distance
 from ..operators.relational import first_per_key, possession_changes
 from . import metrics as M
@@ -58,9 +59,33 @@ def possession(ev: DataFrame) -> DataFrame:
     return out.join(clock, "match_id").withColumns({"share": F.when(whole > 0, F.col("seconds") / whole * 100), "dead_time": F.greatest(F.col("clock") - whole, F.lit(0.0))}).drop("clock")
 
 
+def possession_clock(ev: DataFrame) -> DataFrame:
+    """Pure possession, the mean length of a possession and dead time as mm:ss; the share of the ball with a decimal."""
+    x = possession(ev)
+    return x.select(*TEAM, F.expr(clock("seconds")).alias("seconds"), F.expr(clock("mean_seconds")).alias("mean_seconds"), F.expr(clock("dead_time")).alias("dead_time"), F.expr(rounded("share", 1)).alias("share"))
+
+
+def tempo(ev: DataFrame) -> DataFrame:
+    """Passes a minute of the team's own possession, with one decimal; 0 for a team that never held the ball."""
+    passed = ev.groupBy(*TEAM).agg(F.expr(M.PASSES["passes"]).alias("passes"))
+    held = first_events(ev).groupBy("match_id", F.col("possession_team_name").alias("team_name")).agg(F.sum("possession_duration_sec").alias("sec"))
+    value = "case when sec > 0 then " + rounded("passes / (sec / 60)", 1) + " else 0e0 end"
+    return passed.join(held, TEAM, "left").select(*TEAM, F.expr(value).alias("tempo"))
+
+
+def report(ev: DataFrame) -> DataFrame:
+    """A match's general metrics in rows, in the report's fixed order, with both teams side by side."""
+    names = [*M.GENERAL, "fouls_suffered"]
+    sides = ev.groupBy("match_id").agg(F.min("home_team_name").alias("home"))
+    tall = general(ev).unpivot(TEAM, [F.col(c).cast("double").alias(c) for c in names], "metric", "value").join(sides, "match_id")
+    order = F.array_position(F.array(*map(F.lit, names)), F.col("metric")).alias("ord")
+    home = F.col("team_name") == F.col("home")
+    return tall.groupBy("match_id", order, "metric").agg(F.max(F.when(home, F.col("value"))).alias("home"), F.max(F.when(~home, F.col("value"))).alias("away"))
+
+
 def open_play(ev: DataFrame) -> DataFrame:
     """Possessions that begin in open play, by length; those of unknown length count in the total only."""
-    first = first_per_key(ev.where("match_ts is not null"), ["match_id", "possession_id"], "match_ts").where("type_primary not in ('corner', 'free_kick', 'goal_kick', 'throw_in', 'penalty')")
+    first = first_per_key(ev.where("match_ts is not null"), ["match_id", "possession_id"], "match_ts", "seq").where("type_primary not in ('corner', 'free_kick', 'goal_kick', 'throw_in', 'penalty')")
     d = "possession_duration_sec"
     return first.groupBy("match_id", F.col("possession_team_name").alias("team_name")).agg(F.count("*").alias("total"), *(F.expr(M.n(c)).alias(k) for k, c in (("to_10", f"{d} <= 10"), ("to_20", f"{d} > 10 and {d} <= 20"), ("to_45", f"{d} > 20 and {d} <= 45"), ("over_45", f"{d} > 45"))))
 
@@ -91,7 +116,7 @@ def players(ev: DataFrame) -> DataFrame:
     """By player name within a team. The first eleven to appear play until their last event; others from their first on."""
     keys = [*TEAM, "player_name"]
     own = ev.where("player_name is not null").groupBy(*keys).agg(*aggregates(M.PLAYER_MATCH), F.min("seq").alias("first_seq"), F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"))
-    end = ev.groupBy("match_id").agg(F.max("minute").alias("end"))
+    end = ev.groupBy("match_id").agg(F.max("minute").alias("end"))  # of all events, those without a player too
     order = F.row_number().over(Window.partitionBy(*TEAM).orderBy("first_seq"))
     minutes = F.when(F.col("place") <= 11, F.col("last_minute")).otherwise(F.col("end") - F.col("first_minute"))
     return own.withColumn("place", order).join(end, "match_id").withColumn("minutes", minutes.cast("long")).drop("first_seq", "first_minute", "last_minute", "place", "end")

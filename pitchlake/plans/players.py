@@ -55,6 +55,9 @@ def counting(ev: DataFrame) -> DataFrame:
     return out.withColumns({k: F.expr(x) for k, x in M.RATIOS.items()})
 
 
+GOALKEEPING = ("faced", "conceded", "exits", "recoveries", "passes", "long_passes", "prevented", "prevented_per_shot", "psxg")
+
+
 def goalkeepers(ev: DataFrame) -> DataFrame:
     """Of every player seen in goal: shots on target faced, what was expected and conceded, and play with the ball."""
     keepers = ev.where("player_position = 'GK'").select("player_id").distinct()
@@ -68,46 +71,99 @@ _ARRAY, _AT = "array({})", "element_at({}, {})"
 
 
 def expected_threat(ev: DataFrame) -> DataFrame:
-    """Positive gains of threat of accurate passes, touches and accelerations, in hundredths divided last."""
-    moves = ev.where("type_primary in ('touch', 'acceleration') or type_primary = 'pass' and pass_accurate").withColumns({"end_x": F.coalesce("pass_end_x", "carry_end_x"), "end_y": F.coalesce("pass_end_y", "carry_end_y")})
+    """Positive gains of threat of accurate passes, touches and accelerations, in hundredths divided last. A pass ends
+    where the pass does, the others where the carry does; one without that end counts for nothing."""
+    passed = F.col("type_primary") == "pass"
+    ends = {f"end_{c}": F.when(passed, F.col(f"pass_end_{c}")).otherwise(F.col(f"carry_end_{c}")) for c in "xy"}
+    moves = ev.where("type_primary in ('touch', 'acceleration') or type_primary = 'pass' and pass_accurate").withColumns(ends)
     gain = F.expr(threat("end_x", "end_y", _ARRAY, _AT)) - F.expr(threat("location_x", "location_y", _ARRAY, _AT))
     known = moves.where("end_x is not null and end_y is not null and player_id is not null")
     return known.withColumn("gain", gain).groupBy("player_id").agg((F.sum(F.greatest("gain", F.lit(0))) / 100).alias("xt"))
 
 
-def per_90(ev: DataFrame, columns: Sequence[str] = ("goals", "shots", "passes", "duels", "recoveries", "losses", "dribbles", "interceptions")) -> DataFrame:
-    own = ev.where("player_name is not null").groupBy("team_name", "player_name").agg(*aggregates({c: M.COUNTING[c] for c in columns}))
-    x = own.join(minutes(ev), ["team_name", "player_name"], "left")
-    scaled = (F.when(F.col("total_minutes") > 0, F.col(c) / F.col("total_minutes") * 90).otherwise(0.0).alias(c) for c in columns)
-    return x.select("team_name", "player_name", "total_minutes", *scaled)
-
-
-#: An example of roles; pass your own to archetype_scores.
-ROLES = {"Finisher": (("CF", "SS", "AMF"), {"goals": 10, "shots": 3}), "Link": (("CF", "AMF", "DMF", "LCMF", "RCMF"), {"passes": 5, "dribbles": 2, "losses": 3}), "Stopper": (("CB", "LCB", "RCB", "DMF"), {"interceptions": 6, "recoveries": 4, "duels": 2, "losses": 1})}
+def lineups(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lineups and match lengths as `minutes_from_lineups` takes them, from events alone: the first eleven players of a
+    team to appear start; the next ones come on when they first appear, for the starters in the same order."""
+    first = ev.where("player_id is not null").groupBy("match_id", "team_name", "player_id").agg(F.min("seq").alias("s"), F.min("minute").alias("minute"))
+    seen = first.groupBy("match_id", F.col("team_name").alias("team_id")).agg(F.array_sort(F.collect_list(F.struct("s", "player_id", "minute"))).alias("p"))
+    off = lambda i: F.when(i < 11, F.get("p", i)["player_id"])
+    subs = F.transform(F.slice("p", F.lit(12), F.size("p")), lambda x, i: F.struct(x["player_id"].alias("player_in"), off(i).alias("player_out"), x["minute"].alias("minute")))
+    start = F.transform(F.slice("p", 1, 11), lambda x: x["player_id"])
+    return seen.select("match_id", "team_id", start.alias("lineup"), subs.alias("substitutions")), ev.groupBy("match_id").agg(F.max("minute").alias("minutes"))
+
+
+def lineup_minutes(ev: DataFrame) -> DataFrame:
+    return minutes_from_lineups(*lineups(ev))
+
+
+#: Metrics of a player table that are not scaled to 90 minutes.
+FIXED = (*M.RATIOS, "gk_prevented_per_shot")
+TABLE = [*(c for c in (*M.COUNTING, *M.RATIOS) if c != "npxg"), "npxg", "xaop", "xasp", "xa", "xt", *(f"gk_{c}" for c in GOALKEEPING)]
+
+
+def player_table(ev: DataFrame) -> DataFrame:
+    """One row a player id with every metric of TABLE (0 where there is none), the name (the last by alphabet), the team
+    with most minutes (ties to the first by alphabet), minutes over all teams, and positions (null if none is known)."""
+    played = lineup_minutes(ev).groupBy("player_id").agg(F.min_by("team_id", F.struct(-F.col("total_minutes"), "team_id")).alias("team_name"), F.sum("total_minutes").alias("total_minutes"))
+    names = ev.where("player_id is not null").groupBy("player_id").agg(F.max("player_name").alias("player_name"))
+    keepers = goalkeepers(ev).select("player_id", *(F.col(c).cast("double").alias(f"gk_{c}") for c in GOALKEEPING))
+    x = counting(ev).drop("npxg")
+    for part in (npxg_xa(ev), expected_threat(ev), keepers):
+        x = x.join(part, "player_id", "left")
+    x = x.na.fill(0, TABLE)
+    for part in (names, played, positions(ev)):
+        x = x.join(part, "player_id", "left")
+    whole = F.coalesce("total_minutes", F.lit(0)).cast("long").alias("total_minutes")
+    return x.select("player_id", "player_name", "team_name", whole, F.col("primary_position").alias("position"), *(F.col(c).cast("double").alias(c) for c in TABLE))
+
+
+def per_90(ev: DataFrame) -> DataFrame:
+    """The player table with all metrics but ratios by 90 minutes; 0 without minutes."""
+    x = player_table(ev)
+    scaled = (F.col(c) if c in FIXED else F.when(F.col("total_minutes") > 0, F.col(c) / F.col("total_minutes") * 90).otherwise(0.0).alias(c) for c in TABLE)
+    return x.select("player_id", "player_name", "team_name", "total_minutes", "position", *scaled)
+
+
+#: An example of roles: positions, and weights of metrics. Pass your own to archetype_scores.
+ROLES = {
+    "Finisher": (("CF", "SS", "AMF"), {"goals": 10, "shots": 3, "xg_per_shot": 2, "npxg": 4}),
+    "Link": (("CF", "AMF", "DMF", "LCMF", "RCMF"), {"passes": 5, "dribbles": 2, "losses": 3, "xa": 3, "loss_index": 1}),
+    "Runner": (("LW", "RW", "LWF", "RWF", "LAMF", "RAMF"), {"progressive_runs": 4, "dribbles_pct": 3, "xt": 4, "crosses": 2}),
+    "Flank": (("LB", "RB", "LWB", "RWB", "LB5", "RB5"), {"crosses_ok": 3, "xaop": 2, "defensive_duels_pct": 3, "interceptions": 2}),
+    "Stopper": (("CB", "LCB", "RCB", "DMF"), {"interceptions": 6, "recoveries": 4, "aerial_duels_pct": 2, "losses": 1}),
+    "Keeper": (("GK",), {"gk_prevented_per_shot": 6, "gk_conceded": 3, "gk_exits": 1, "passes_pct": 1}),
+}
+INVERTED = ("losses", "loss_index", "gk_conceded")
+
+
+def role_percentiles(stats: DataFrame, roles: Mapping[str, tuple[Sequence[str], Mapping[str, float]]] = ROLES, inverted: Sequence[str] = INVERTED) -> DataFrame:
+    """Per player, role of its position and metric of the role: value, weight, and percentile among the role's players."""
+    spark = stats.sparkSession
+    weights = [(i, r, m, float(w)) for i, (r, (_, ws)) in enumerate(roles.items()) for m, w in ws.items()]
+    member = [(i, p) for i, (ps, _) in enumerate(roles.values()) for p in ps]
+    w = F.broadcast(spark.createDataFrame(weights, "role_id int, role string, metric string, weight double"))  # as many rows as the parameter has
+    belongs = F.broadcast(spark.createDataFrame(member, "role_id int, position string"))
+    names = list(dict.fromkeys(m for _, _, m, _ in weights))
+    placed = stats.join(belongs, "position")
+    long = placed.unpivot(["player_id", "player_name", "team_name", "position", "role_id"], names, "metric", "value").join(w, ["role_id", "metric"])
+    p = average_rank("value", "role_id", "metric")
+    return long.withColumn("p", F.when(F.col("metric").isin(*inverted), 1 - p).otherwise(p))
 
 
-def archetype_scores(ev: DataFrame, roles: Mapping[str, tuple[Sequence[str], Mapping[str, float]]] = ROLES, inverted: Sequence[str] = ("losses",), least_minutes: int = 90, per_archetype: bool = False) -> DataFrame:
-    """Per player, team and role: the weighted percentiles (total) and their place between the role's least and greatest (score).
+def archetype_scores(ev: DataFrame, roles: Mapping[str, tuple[Sequence[str], Mapping[str, float]]] = ROLES, inverted: Sequence[str] = INVERTED, least_minutes: int = 90, per_archetype: bool = False) -> DataFrame:
+    """Per player and role: the weighted percentiles (total), their place between the role's least and greatest (score),
+    and the rank (place). A player whose position is not of the role has 0 in all three.
 
     A player's percentile in a metric is that among the positions of the last role, in order, that has the player's
     position and the metric; with `per_archetype` that of the role itself. `roles`: name → (positions, weights)."""
-    spark = ev.sparkSession
-    weights = [(i, r, m, float(w)) for i, (r, (_, ws)) in enumerate(roles.items()) for m, w in ws.items()]
-    winners = {(p, m): i for i, (ps, ws) in enumerate(roles.values()) for p in ps for m in ws}
-    member = [(i, p) for i, (ps, _) in enumerate(roles.values()) for p in ps]
-    w = F.broadcast(spark.createDataFrame(weights, "role_id int, role string, metric string, weight double"))
-    last = F.broadcast(spark.createDataFrame([(p, m, i) for (p, m), i in winners.items()], "position string, metric string, winner int"))
-    belongs = F.broadcast(spark.createDataFrame(member, "role_id int, position string"))
     stats = per_90(ev).where(F.col("total_minutes") >= least_minutes)
-    names = [c for c in stats.columns if c not in ("team_name", "player_name", "total_minutes")]
-    named = ev.where("player_name is not null").groupBy("player_name").agg(F.max("player_id").alias("player_id")).join(positions(ev), "player_id").select("player_name", F.col("primary_position").alias("position"))
-    long = stats.join(named, "player_name").unpivot(["team_name", "player_name", "position"], names, "metric", "value")
-    ranked = long.join(belongs, "position").join(w, ["role_id", "metric"]).withColumn("p", average_rank("value", "role_id", "metric"))
-    ranked = ranked.withColumn("p", F.when(F.col("metric").isin(*inverted), 1 - F.col("p")).otherwise(F.col("p")))
+    ranked = role_percentiles(stats, roles, inverted)
     if not per_archetype:
-        chosen = ranked.join(last, ["position", "metric"]).where("role_id = winner").select("team_name", "player_name", "metric", F.col("p").alias("won"))
-        ranked = ranked.join(chosen, ["team_name", "player_name", "metric"], "left").withColumn("p", F.coalesce("won", "p"))
+        last = F.max_by("p", "role_id").over(Window.partitionBy("player_id", "metric"))
+        ranked = ranked.withColumn("p", last)
     # percentiles and weights in millionths: their sums don't depend on the order of rows
     total = F.sum(F.floor(F.coalesce("p", F.lit(0.0)) * F.col("weight") * 1000000 + 0.5).cast("long")) / 1000000
-    scored = ranked.groupBy("team_name", "player_name", "role").agg(total.alias("total"))
-    return scored.withColumn("score", min_max("total", "role")).withColumn("place", F.dense_rank().over(Window.partitionBy("role").orderBy(F.desc("score"))).cast("long"))
+    scored = ranked.groupBy("player_id", "role").agg(total.alias("total"))
+    scored = scored.withColumn("score", min_max("total", "role")).withColumn("place", F.dense_rank().over(Window.partitionBy("role").orderBy(F.desc("score"))).cast("long"))
+    every = stats.select("player_id", "player_name", "team_name", F.explode(F.array(*map(F.lit, roles))).alias("role"))
+    return every.join(scored, ["player_id", "role"], "left").na.fill(0, ["total", "score", "place"])

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.display import hundredths
 from ..functions.pitch import CONTACT_ZONE, TARGET_ZONE, metres
 from ..operators.relational import average_rank, first_per_key, possession_changes
 from . import metrics as M
 from .match import aggregates
 
-INVERTED = ("goals_against", "xg_against", "xg_per_shot_against", "shots_against", "ppda")
+INVERTED = ("goals_against", "xg_against", "xg_per_shot_against", "shots_against", "ppda", "losses")
 
 
 def corners(ev: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def team_percentiles(ev: DataFrame) -> DataFrame:
     radar = team_radar(ev)
     names = [c for c in radar.columns if c not in ("team_name", "matches")]
     long = radar.unpivot("team_name", [F.col(c).cast("double").alias(c) for c in names], "metric", "value")
-    cents = F.floor(F.coalesce("value", F.lit(0.0)) * 100 + 0.5).cast("long")
+    cents = F.expr(hundredths("coalesce(value, 0e0)"))
     ranked = long.select("team_name", "metric", F.when(F.col("metric").isin(*INVERTED), -cents).otherwise(cents).alias("v"))
     return ranked.select("team_name", "metric", (average_rank("v", "metric") * 100).alias("percentile"))
 
@@ -77,10 +78,49 @@ def strength(ev: DataFrame) -> DataFrame:
     return x.select("team_name", "matches", (F.col("gf") / F.col("matches")).alias("goals_for"), (F.col("ga") / F.col("matches")).alias("goals_against"), per("gf", "cf").alias("attack"), per("ga", "ca").alias("defence"))
 
 
+def mean(c: str) -> str:
+    """Of teams, in millionths, so that it doesn't depend on the order of rows."""
+    return f"cast(sum(cast(floor({c} * 1000000 + 0.5e0) as bigint)) as double) / count({c}) / 1000000"
+
+
 def strength_limits(ev: DataFrame) -> DataFrame:
     """Axis limits of the strength scatter, a tenth beyond either end, and its mean lines."""
     lo, hi = lambda c: F.min(c) - (F.max(c) - F.min(c)) / 10, lambda c: F.max(c) + (F.max(c) - F.min(c)) / 10
-    return strength(ev).agg(*(f(c).alias(f"{c}_{k}") for c in ("attack", "defence") for k, f in (("low", lo), ("high", hi))))
+    sides = ("attack", "defence")
+    return strength(ev).agg(*(f(c).alias(f"{c}_{k}") for c in sides for k, f in (("low", lo), ("high", hi))), *(F.expr(mean(c)).alias(f"{c}_mean") for c in sides))
+
+
+def strength_diagonals(ev: DataFrame) -> DataFrame:
+    """The constants c of the lines attack - defence = c that cross the scatter, a tenth apart."""
+    ends = F.sequence(F.floor((F.col("attack_low") - F.col("defence_high")) * 10), F.ceil((F.col("attack_high") - F.col("defence_low")) * 10))
+    return strength_limits(ev).where("attack_low is not null").select(F.explode(ends).alias("tenths")).select((F.col("tenths") / 10).alias("c"))
+
+
+def scatter(ev: DataFrame, x: str = "xg", y: str = "xg_against", invert_x: bool = False, invert_y: bool = True) -> DataFrame:
+    """Any two team metrics for every team, with the ends of both axes (first and last, swapped if inverted) and the mean lines."""
+    every = Window.partitionBy()  # over teams
+    out = team_radar(ev).select("team_name", F.col(x).alias("x"), F.col(y).alias("y"))
+    for c, swap in (("x", invert_x), ("y", invert_y)):
+        lo, hi = F.min(c).over(every), F.max(c).over(every)
+        ends = lo - (hi - lo) / 10, hi + (hi - lo) / 10
+        out = out.withColumns({f"{c}_first": ends[swap], f"{c}_last": ends[not swap]})
+    means = {f"{c}_mean": F.sum(F.floor(F.col(c) * 1000000 + 0.5).cast("long")).over(every).cast("double") / F.count(c).over(every) / 1000000 for c in "xy"}
+    return out.withColumns(means)
+
+
+#: Which metrics each of a team's three radars shows, in their order.
+FAMILIES = {
+    "offensive": ("goals", "xg", "xg_per_shot", "shots", "box_actions", "box_passes", "crosses", "dribbles"),
+    "distribution": ("passes", "progressive_passes", "directness", "possession_share", "final_third_entries", "losses"),
+    "defensive": ("goals_against", "xg_against", "xg_per_shot_against", "shots_against", "aerial_pct", "defensive_duel_pct", "interceptions", "fouls", "ppda"),
+}
+
+
+def radar_vectors(ev: DataFrame) -> DataFrame:
+    """The vectors of the three radars of each team: family, place and angle (degrees) on it, percentile."""
+    rows = [(f, m, i, 360.0 * i / len(ms)) for f, ms in FAMILIES.items() for i, m in enumerate(ms)]
+    places = ev.sparkSession.createDataFrame(rows, "family string, metric string, ord int, degrees double")
+    return team_percentiles(ev).join(F.broadcast(places), "metric").select("team_name", "family", "ord", "metric", "degrees", "percentile")
 
 
 def corner_takers(ev: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,9 +46,60 @@ def flatten(schema: T.StructType, prefix: str = "") -> list[Column]:
 
 
 def read_events(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """One event a line; missing fields are null columns. `seq` orders the rows: file name, then place in the file."""
+    """One event a line; missing fields are null columns. `seq` orders the rows: file name, then place in the file.
+
+    It is a struct, compared field by field: the file, where the split that a row was read from begins in it, and the
+    place in that split. (Spark packs splits into partitions by size, so a row number alone would follow that.)"""
     raw = spark.read.schema(EVENTS).option("mode", "PERMISSIVE").format(fmt).load(path)
-    return raw.select(F.monotonically_increasing_id().alias("seq"), *flatten(raw.schema))
+    seq = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return raw.select(seq.alias("seq"), *flatten(raw.schema))
+
+
+#: What the landed lists of other entities hold: the array's name, and its elements' fields.
+ENTITIES = {
+    "competitions": "wyId long, name string, format string, type string, category string, gender string",
+    "teams": "wyId long, name string, officialName string, city string, type string, gender string",
+    "players": "wyId long, shortName string, firstName string, lastName string, birthDate string, currentTeamId long, foot string",
+    "seasons": "seasonId long, season struct<wyId:long,name:string,startDate:string,endDate:string,active:boolean,competitionId:long>",
+}
+SEASON = "wyId long, name string, competitionName string, competitionId long, startDate string, endDate string, active boolean"
+
+
+def read_entities(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A landed response with a list of competitions, teams, players or seasons, a row each; those of teams without a name go."""
+    x = spark.read.schema(f"{kind} array<struct<{', '.join(f.replace(' ', ':', 1) for f in ENTITIES[kind].split(', '))}>>").option("multiLine", True).json(path)
+    rows = x.select(F.inline(kind))
+    rows = rows.select(*flatten(rows.schema))
+    return rows.where("name is not null") if kind == "teams" else rows
+
+
+def accessible_seasons(spark: SparkSession, path: str) -> DataFrame:
+    """Of landed season responses, a file each, those that name their competition; what isn't JSON counts as no season."""
+    return spark.read.schema(SEASON).option("multiLine", True).option("mode", "PERMISSIVE").json(path).where("competitionName is not null and competitionName <> ''")
+
+
+def missing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Those of `paths` that are not there, in any store that Spark reads."""
+    out = []
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if not at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+            out.append(p)
+    return out
+
+
+def load_tables(spark: SparkSession, folder: str, names: Sequence[str], keep: bool = False) -> dict[str, DataFrame]:
+    """Parquet tables of a folder; an error names all that are missing. With `keep` they stay in memory and on disk."""
+    paths = {n: f"{folder}/{n}.parquet" for n in names}
+    if gone := missing_paths(spark, list(paths.values())):
+        raise FileNotFoundError("missing: " + ", ".join(gone))
+    out = {n: spark.read.parquet(p) for n, p in paths.items()}
+    return {n: df.persist(StorageLevel.MEMORY_AND_DISK) for n, df in out.items()} if keep else out
+
+
+def inspect(tables: Mapping[str, DataFrame]) -> dict[str, tuple[list[tuple[str, str]], list]]:
+    """Of each table the columns with their types, and the first row, if any."""
+    return {n: (df.dtypes, df.head(1)) for n, df in tables.items()}
 
 
 def read_schedule(spark: SparkSession, path: str, season: int | None = None) -> DataFrame:
@@ -73,6 +127,12 @@ def read_lineups(spark: SparkSession, path: str) -> DataFrame:
     return x.select(F.col("matchId").alias("match_id"), F.col("team").try_cast("long").alias("team_id"), F.col("data.formation.lineup.playerId").alias("lineup"), subs.alias("substitutions"))
 
 
+def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """What `write_table` wrote, with its schema."""
+    reader = spark.read.schema(schema)
+    return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
     (writer.option("header", True).csv if fmt == "csv" else writer.format(fmt).save)(path)

@@ -76,6 +76,91 @@ def test_minutes_from_lineups(spark):
     assert got == {1: 60 + 50 + 90, 2: 185, 3: 35 + 60, 4: 15, 5: 40}
 
 
+def test_derived_lineups_and_table(spark):
+    ev = football_events(spark, SF)
+    table = players.player_table(ev)
+    assert table.count() == ev.where("player_id is not null").select("player_id").distinct().count()
+    assert table.where("total_minutes < 0 or total_minutes is null").count() == 0
+    scores = players.archetype_scores(ev)
+    inside = players.role_percentiles(players.per_90(ev).where("total_minutes >= 90")).select("player_id", "role").distinct()
+    outside = scores.join(inside, ["player_id", "role"], "left_anti")
+    assert outside.count() > 0 and outside.where("total <> 0 or score <> 0 or place <> 0").count() == 0
+
+
+def test_threat_ends_where_its_type_says(spark):
+    schema = "type_primary string, pass_accurate boolean, player_id int, location_x double, location_y double, pass_end_x double, pass_end_y double, carry_end_x double, carry_end_y double"
+    rows = [("pass", True, 1, 10.0, 50.0, None, None, 99.0, 50.0), ("touch", None, 2, 10.0, 50.0, 99.0, 50.0, None, None), ("pass", True, 3, 10.0, 50.0, 99.0, 50.0, 1.0, 1.0)]
+    assert {r.player_id: r.xt for r in players.expected_threat(spark.createDataFrame(rows, schema)).collect()} == {3: pytest.approx(0.25)}
+
+
+def test_open_play_ties_go_to_the_first_row(spark):
+    schema = "match_id int, possession_id int, seq int, match_ts double, type_primary string, possession_team_name string, possession_duration_sec double"
+    rows = [(1, 1, 2, 5.0, "corner", "A", 3.0), (1, 1, 1, 5.0, "pass", "A", 3.0), (1, 2, 3, 9.0, "throw_in", "A", 3.0), (1, 2, 4, 9.0, "pass", "A", 3.0)]
+    assert [(r.total, r.to_10) for r in match.open_play(spark.createDataFrame(rows, schema)).collect()] == [(1, 1)]
+
+
+def test_half_even_and_texts(spark):
+    from pitchlake.functions import display
+
+    df = spark.createDataFrame([(0.25,), (0.35,), (2.5,), (-0.004,), (59.999,)], "x double")
+    got = [tuple(r) for r in df.select(F.expr(display.rounded("x", 1)), F.expr(display.decimals("x", 2)), F.expr(display.clock("x * 60"))).collect()]
+    assert got == [(0.2, "0.25", "00:15"), (0.4, "0.35", "00:21"), (2.5, "2.50", "02:30"), (0.0, "0.00", got[3][2]), (60.0, "60.00", "59:59")]
+
+
+def test_event_order_follows_files(spark, tmp_path):
+    """Splits are packed into partitions by size; seq must still follow file names, then lines."""
+    n = 0
+    for name, size in (("a", 10), ("b", 3000), ("c", 200)):
+        with open(tmp_path / f"{name}.json", "w") as f:
+            for _ in range(size):
+                f.write(json.dumps({"id": n, "matchId": 1}) + "\n")
+                n += 1
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = [r.id for r in ingest.read_events(spark, str(tmp_path)).orderBy("seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(range(n))
+
+
+def test_landed_entities(spark, tmp_path):
+    (tmp_path / "teams.json").write_text(json.dumps({"teams": [{"wyId": 1, "name": "A"}, {"wyId": 2, "name": None}]}))
+    (tmp_path / "seasons.json").write_text(json.dumps({"seasons": [{"seasonId": 5, "season": {"wyId": 5, "name": "2025"}}]}))
+    (tmp_path / "players.json").write_text(json.dumps({"players": [{"wyId": 7, "shortName": "P"}], "meta": 1}))
+    (tmp_path / "competitions.json").write_text("[]")
+    read = lambda kind: ingest.read_entities(spark, str(tmp_path / f"{kind}.json"), kind)
+    assert [(r.wyId, r.name) for r in read("teams").collect()] == [(1, "A")]
+    assert [(r.seasonId, r.season_name) for r in read("seasons").collect()] == [(5, "2025")]
+    assert [r.shortName for r in read("players").collect()] == ["P"] and read("competitions").count() == 0
+    (tmp_path / "scan").mkdir()
+    for i, text in enumerate(('{"wyId": 1, "competitionName": "Liga"}', '{"error": "no access"}', "not json")):
+        (tmp_path / "scan" / f"{i}.json").write_text(text)
+    assert [r.wyId for r in ingest.accessible_seasons(spark, str(tmp_path / "scan")).collect()] == [1]
+
+
+def test_schedule_and_lineups(spark, tmp_path):
+    game = lambda i, s, date: {"matchId": i, "seasonId": s, "label": "A - B, 1-0", "dateutc": date, "team1Id": 1, "team2Id": 2, "teamsData": {"1": {"name": "A FC", "teamId": 1}}}
+    (tmp_path / "s.json").write_text(json.dumps({"matches": [game(1, 9, "2025-02-01 10:00:00"), game(2, 9, "2025-01-01 10:00:00"), game(3, 8, None)]}))
+    got = [(r.matchId, r.home, r.away, r.score) for r in ingest.read_schedule(spark, str(tmp_path / "s.json"), 9).collect()]
+    assert got == [(2, "A FC", "B", "1-0"), (1, "A FC", "B", "1-0")]
+    teams = {"10": {"formation": {"lineup": [{"playerId": 1}], "substitutions": [{"playerIn": 2, "playerOut": 1, "minute": 30}]}}}
+    (tmp_path / "l.json").write_text(json.dumps({"matchId": 5, "teamsData": teams}))
+    [r] = ingest.read_lineups(spark, str(tmp_path / "l.json")).collect()
+    assert (r.match_id, r.team_id, r.lineup, [tuple(s) for s in r.substitutions]) == (5, 10, [1], [(2, 1, 30)])
+
+
+def test_tables_written_read_and_missing(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")
+    for fmt in ("csv", "parquet"):
+        ingest.write_table(df, str(tmp_path / f"t.{fmt}"), fmt)
+        assert sorted(map(tuple, ingest.read_table(spark, str(tmp_path / f"t.{fmt}"), "x int, y string", fmt).collect())) == [(1, "a"), (2, None)]
+    with pytest.raises(FileNotFoundError, match="u.parquet"):
+        ingest.load_tables(spark, str(tmp_path), ["t", "u"])
+    kept = ingest.load_tables(spark, str(tmp_path), ["t"], keep=True)
+    assert kept["t"].is_cached and ingest.inspect(kept)["t"][0] == [("x", "int"), ("y", "string")]
+    kept["t"].unpersist()
+
+
 def test_json_events_and_labels(spark, tmp_path):
     rows = [{"id": 1, "matchId": 7, "location": {"x": 50, "y": "bad"}, "shot": {"isGoal": True}, "type": {"primary": "shot", "secondary": ["a"]}, "possession": {"duration": "12.3s"}}, {"id": 2, "matchId": 7, "shot": {"isGoal": "0"}}]
     (tmp_path / "e.json").write_text("\n".join(map(json.dumps, rows)))

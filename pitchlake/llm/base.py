@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 
@@ -19,10 +20,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a local session (tests) gets one of
+    its own, and any other an error, as no folder of one machine is seen by all."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="spark-llm-")
@@ -34,7 +38,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what `materialize` wrote, once all that reads it is written itself."""
+    for df in written:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def most_frequent(counted: DataFrame, most: int, n: str = "n") -> DataFrame:
+    """The rows of `counted` with the greatest `n`: all above a threshold that lets `most` rows through at most.
+
+    The threshold comes from a histogram over the leading bits of n, so that no more rows than that ever meet."""
+    size = F.length(F.bin(n))
+    level = size.cast("long") * 64 + F.call_function("shiftright", F.col(n), F.greatest(size - 6, F.lit(0)))
+    left, least = most, None
+    for r in sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        left -= r["rows"]
+        if left < 0:
+            break
+        least = r["level"]
+    return counted.where(level >= least) if least is not None else counted.limit(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,31 +98,46 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """64-bit hashes of any substring in constant time, from running sums of byte values times powers."""
+    """62-bit hashes of any substring in constant time: two polynomials modulo the prime 2**31 - 1 with bases of their own.
+
+    A prime modulus has no strings that cancel out whatever the base is, as those modulo 2**64 have."""
 
-    BASE = np.uint64(0x9E3779B97F4A7C15)
+    PRIME, SHIFT = np.uint64(2**31 - 1), np.uint64(31)
+    BASES = (1_186_940_521, 1_847_306_993)
 
     def __init__(self) -> None:
         rng = np.random.default_rng(20240229)
-        self.value = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.inverse = np.uint64(pow(int(self.BASE), -1, 2**64))
-        self.power = self.unpower = np.ones(1, np.uint64)
+        self.value = rng.integers(1, 2**31 - 1, (2, 256), dtype=np.uint64)
+        self.power = self.unpower = np.ones((2, 1), np.uint32)
 
     def _grow(self, n: int) -> None:
-        if len(self.power) < n:
+        if self.power.shape[1] < n:
             n = max(n, 1 << 16)
-            self.power, self.unpower = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)]), dtype=np.uint64) for b in (self.BASE, self.inverse))
+            self.power, self.unpower = (np.stack([self._powers(b if up else pow(b, -1, int(self.PRIME)), n) for b in self.BASES]) for up in (True, False))
+
+    def _powers(self, base: int, n: int) -> np.ndarray:
+        out = np.ones(n, np.uint32)
+        k = 1
+        while k < n:
+            m = min(k, n - k)
+            out[k : k + m] = out[:m].astype(np.uint64) * np.uint64(pow(base, k, int(self.PRIME))) % self.PRIME
+            k *= 2
+        return out
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Running sums for `between`; values are bytes, or 64-bit numbers that are well mixed already."""
-        self._grow(len(values) + 1)
-        x = self.value[values] if values.dtype == np.uint8 else values
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(x * self.power[: len(values)], out=out[1:])
+        n = len(values)
+        self._grow(n + 1)
+        out = np.zeros((2, n + 1), np.uint64)
+        for i in range(2):
+            x = self.value[i][values] if values.dtype == np.uint8 else (values >> np.uint64(33 * i)) & self.PRIME
+            x = x * self.power[i, :n]
+            np.cumsum((x & self.PRIME) + (x >> self.SHIFT), out=out[i, 1:])  # fits for 2**31 values
         return out
 
     def between(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((sums[end] - sums[start]) * self.unpower[start] + (end - start).astype(np.uint64))
+        one, two = ((sums[i][end] - sums[i][start]) % self.PRIME * self.unpower[i][start] % self.PRIME for i in range(2))
+        return mix(mix((one << self.SHIFT | two) + np.uint64(1)) + (end - start).astype(np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,15 +1,17 @@
 """Suffix-array dedup by longest-previous-factor arrays, over a sparse suffix array.
 
 Only some suffixes are sorted: every window of `length` bytes chooses its anchor, the place in it whose KGRAM bytes have
-the least hash, so windows with equal bytes choose the same place. The suffixes at anchors that begin with the same
-KGRAM are brought together and put in suffix order; the array of common prefixes of neighbours in that order, and the
-previous and next smaller text positions in it, give each suffix's longest earlier match (LPF) and its longest match
-anywhere. A window that begins d bytes before its anchor is repeated if another suffix shares length - d bytes after the
-anchor (a run of the suffix order) and the d bytes before it.
-
-What an anchor's windows span is its content. Contents that are equal byte for byte are counted first, combining on the
-map side, and are sorted only once; where all suffixes at a key have one content no bytes need be read again. A key with
-more than `hot` contents isn't put into one task: its windows are then grouped by their hashes, which splits.
+the least hash, so windows with equal bytes choose the same place. Anchors that begin with the same KGRAM are brought
+together and put in suffix order, and what stands before them in the order of the reversed prefixes. Common prefixes of
+neighbours in both orders say, for windows that begin d bytes before their anchors, which suffixes from there agree. In
+that order the previous and the next smaller text position give each suffix's longest earlier match (LPF); its mirror
+gives the longest later match. A window is a later copy if its LPF is `length`; the chain of earlier matches ends at
+its first copy. It is repeated at all if its LPF or the mirror is `length`.
+
+What an anchor's windows span is its content. Contents that are equal (by 62-bit hashes of the content and of its
+KGRAM) are counted first, combining on the map side, and sorted once; copies of a key's only content need no order but
+that of their positions. A key with more than HOT contents is split: of its windows, those with d in a band of BAND
+share all but BAND bytes with their copies, and are dealt out by these; they are then ordered in the same way.
 """
 
 from __future__ import annotations
@@ -18,14 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Rolling, chunks, materialize, mix, read_table, text_bytes
+from .base import Rolling, chunks, discard, materialize, mix, read_table, text_bytes
 
 KGRAM = 32
 LEAST = -(2**63)
 PIECE_BYTES = 1 << 20
+#: A key with more contents is split, into bands of so many places before the anchor.
+HOT, BAND = 8_192, 64
 #: Rows of (id, ranges) go to all executors only up to this many bytes; beyond, the join shuffles.
 MOST_BYTES = 32 << 20
 _ROLLING = Rolling()
@@ -87,66 +92,80 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple
         yield docs[own], s + shift, e + shift, p + shift, gram[p], content
 
 
-def previous_factors(order: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For suffixes in suffix order with text positions `order` and common prefixes lcp[i] of i - 1 and i: the lengths of
-    the longest match with an earlier position (by the previous and the next smaller position) and with any other."""
-    n = len(order)
-    lpf = np.zeros(n, np.int64)
-    stack: list[tuple[int, int]] = []  # (row, common prefix with the stack's row below)
-    positions, common = order.tolist(), lcp.tolist()
-    out = [0] * n
-    for i in range(n):
-        c = common[i]
-        while stack and positions[stack[-1][0]] > positions[i]:
-            j, with_previous = stack.pop()
-            out[j] = max(with_previous, c)  # i is the next smaller of j
-            c = min(c, with_previous)
-        stack.append((i, c if stack else 0))
-    while stack:
-        j, with_previous = stack.pop()
-        out[j] = with_previous
-    lpf[:] = out
-    return lpf, np.maximum(lcp, np.append(lcp[1:], 0))
-
-
-def repeated_windows(key: np.ndarray, copies: np.ndarray, place: np.ndarray, before: list[bytes], after: list[bytes], first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
-    """Rows in order of (key, after): (row, d, d of the end, row with the first place) for runs of repeated windows.
+def _smaller(positions: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The previous row with a smaller position (-1: none), and the common prefix with it; common[i] is that of i - 1 and i.
+
+    All rows step at once: if the row reached is greater, the row that it has reached itself is next."""
+    reach, least = np.arange(len(positions)) - 1, common.copy()
+    open_ = np.flatnonzero(reach >= 0)
+    while len(open_ := open_[positions[reach[open_]] > positions[open_]]):
+        at = reach[open_]
+        least[open_], reach[open_] = np.minimum(least[open_], least[at]), reach[at]
+        open_ = open_[reach[open_] >= 0]
+    least[reach < 0] = 0
+    return reach, least
+
+
+def previous_factors(positions: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes in suffix order, with their text positions and common[i], the common prefix of i - 1 and i: the length
+    of the longest match with an earlier position (LPF), and a row that has it (-1 where LPF is 0)."""
+    n = len(positions)
+    before, one = _smaller(positions, common)
+    mirrored = np.concatenate([[0], common[:0:-1]]) if n else common
+    after, two = (x[::-1] for x in _smaller(positions[::-1], mirrored))
+    after = np.where(after >= 0, n - 1 - after, -1)
+    lpf = np.maximum(one, two)
+    return lpf, np.where(lpf == 0, -1, np.where(one >= two, before, after))
+
+
+def _common(rows: list[bytes], group: np.ndarray, width: int) -> np.ndarray:
+    """Common prefixes of neighbouring rows, -1 where another group begins."""
+    m = len(rows)
+    sizes = np.array([len(x) for x in rows], np.int64)
+    wide = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in rows), np.uint8).reshape(m, width) if width else np.zeros((m, 0), np.uint8)
+    out = np.full(m, -1, np.int64)
+    if m > 1:
+        differ = wide[1:] != wide[:-1]
+        at = np.where(differ.any(axis=1), differ.argmax(axis=1), width) if width else np.zeros(m - 1, np.int64)
+        out[1:] = np.where(group[1:] == group[:-1], np.minimum(at, np.minimum(sizes[1:], sizes[:-1])), -1)
+    return out
+
+
+def repeated_windows(group: np.ndarray, copies: np.ndarray, place: np.ndarray, before: list[bytes], after: list[bytes], first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
+    """Rows in order of (group, after): (row, d, d of the end, row with the first place) for runs of repeated windows.
 
     before: the bytes before the anchor, from right to left; first, last: the least and the greatest d; place: the order of text positions."""
-    m = len(key)
-    sizes = np.array([len(x) for x in after])
-    right = np.zeros((m, length), np.uint8)
-    for i, x in enumerate(after):
-        right[i, : len(x)] = np.frombuffer(x, np.uint8)
-    lcp = np.zeros(m, np.int64)
-    if m > 1:
-        differ = right[1:] != right[:-1]
-        at = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
-        lcp[1:] = np.where(key[1:] == key[:-1], np.minimum(at, np.minimum(sizes[1:], sizes[:-1])), 0)
-    _, longest = previous_factors(place, lcp)
+    m = len(group)
+    if not m:
+        return []
+    right = _common(after, group, length)
+    # what is repeated with other bytes before the anchor left out of account: nothing else can be
+    inner = np.maximum(right, 0)
+    longest = np.maximum(previous_factors(place, inner)[0], previous_factors(-place, inner)[0])
     longest = np.where(copies > 1, length, longest)
-    most = int(last.max()) if m else 0
-    left = np.zeros((m, most + 1), np.uint64)
-    for i, x in enumerate(before):
-        b = np.frombuffer(x, np.uint8)
-        left[i, 1 : len(b) + 1] = np.cumsum(_ROLLING.value[b] * _ROLLING.power[: len(b)], dtype=np.uint64)
+    most = int(last.max())
+    by_left = np.array(sorted(range(m), key=lambda i: (group[i], before[i])), np.int64)
+    left = _common([before[i] for i in by_left], group[by_left], max(len(x) for x in before))
     winner = np.full((m, most + 2), -1, np.int64)
+    run = np.empty(m, np.int64)
     for d in range(most + 1):
-        alive = np.flatnonzero((first <= d) & (last >= d) & (longest >= length - d))
-        if not len(alive):
+        rows = np.flatnonzero((first <= d) & (last >= d) & (longest >= length - d))
+        if not len(rows):
+            continue
+        run[by_left] = np.cumsum(left < d)  # rows with the same d bytes before the anchor
+        order = rows[np.argsort(run[rows], kind="stable")]  # of the suffixes from d bytes before the anchor
+        agree = np.cumsum(right < length - d)[order]
+        same = np.zeros(len(order), np.int64)
+        same[1:] = np.where((agree[1:] == agree[:-1]) & (run[order[1:]] == run[order[:-1]]), length, 0)
+        lpf, earlier = previous_factors(place[order], same)
+        later, _ = previous_factors(-place[order], same)
+        found = np.flatnonzero((lpf >= length) | (later >= length) | (copies[order] > 1))
+        if not len(found):
             continue
-        run = np.cumsum(lcp < length - d)[alive].astype(np.uint64)
-        same = mix(mix(run + np.uint64(0x9FB21C651E98DF25)) + left[alive, d])
-        _, back = np.unique(same, return_inverse=True)
-        classes = int(back.max()) + 1
-        often = np.bincount(back, copies[alive], classes) > 1
-        by_place = alive[np.argsort(place[alive], kind="stable")]
-        least = np.full(classes, -1, np.int64)
-        lookup = np.empty(m, np.int64)
-        lookup[alive] = back
-        least[lookup[by_place[::-1]]] = by_place[::-1]
-        hit = often[back]
-        winner[alive[hit], d] = least[back[hit]]
+        root = np.where(lpf >= length, earlier, np.arange(len(order)))
+        while (root[root] != root).any():
+            root = root[root]
+        winner[order[found], d] = order[root[found]]
     flat = winner.ravel()
     change = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
     until = np.append(change[1:], len(flat))
@@ -156,7 +175,7 @@ def repeated_windows(key: np.ndarray, copies: np.ndarray, place: np.ndarray, bef
 
 
 class SuffixDedup:
-    def __init__(self, length: int = 400, hot: int = 20_000) -> None:
+    def __init__(self, length: int = 400, hot: int = HOT) -> None:
         if length < 2 * KGRAM:
             raise ValueError(f"a length under {2 * KGRAM} has no anchors")
         self.length, self.hot = length, hot
@@ -174,8 +193,8 @@ class SuffixDedup:
         return base.mapInArrow(run, "id long, h long, p long, d0 short, d1 short, key long, content long")
 
     def _contexts(self, base: DataFrame, wanted: DataFrame) -> DataFrame:
-        """The bytes around the anchors of `wanted` (content, copies, id, h, p, d0, d1, key)."""
-        length = self.length
+        """The bytes around the anchors of `wanted` (key, content, copies, contents, id, h, p, d0, d1); a row for each band of a key that is split."""
+        length, hot = self.length, self.hot
         mine = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("content", "copies", "p", "d0", "d1", "key", "contents")).alias("places"))
         joined = base.join(mine, ["id", "h"]).select("id", "h", "text", "places")
 
@@ -188,11 +207,19 @@ class SuffixDedup:
                         data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
                         for x in places:
                             p, d0, d1 = x["p"], x["d0"], x["d1"]
-                            rows.append((x["key"], x["content"], x["copies"], x["contents"], i, h, p, d0, d1, data[p - d1 : p][::-1], data[p : p + length - d0]))
+                            before, after = data[p - d1 : p][::-1], data[p : p + length - d0]
+                            own = x["key"], x["content"], x["copies"], i, h, p
+                            if x["contents"] <= hot:
+                                rows.append((*own, 0, d0, d1, before, after))
+                                continue
+                            for k in range(d0 // BAND, d1 // BAND + 1):
+                                lo, hi = max(d0, BAND * k), min(d1, BAND * k + BAND - 1)
+                                common = xxhash.xxh3_64_intdigest(before[: BAND * k] + after[: length - BAND * k - BAND + 1])
+                                rows.append((*own, (common >> 7 << 6 | k) + LEAST, lo, hi, before[:hi], after[: length - lo]))
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), CONTEXT.types, strict=True)], schema=CONTEXT)
 
-        return joined.mapInArrow(run, CONTEXT_SQL).dropDuplicates(["key", "content"])
+        return joined.mapInArrow(run, CONTEXT_SQL)
 
     def _in_suffix_order(self, contexts: DataFrame) -> DataFrame:
         """(key, content, lo, hi, id0, h0, p0): windows lo..hi before the anchor are repeated, first at the anchor p0 of id0."""
@@ -209,8 +236,8 @@ class SuffixDedup:
                 if size < 8_000:
                     continue
                 table = pa.Table.from_batches(held).combine_chunks()
-                keys = table.column("key").to_numpy()
-                cut = int(np.searchsorted(keys, keys[-1], "left"))
+                keys, parts = (table.column(c).to_numpy() for c in ("key", "part"))
+                cut = int(np.flatnonzero((keys != keys[-1]) | (parts != parts[-1])).max(initial=-1)) + 1
                 if cut:
                     yield solve(table.slice(0, cut))
                 held = table.slice(cut).to_batches()
@@ -219,37 +246,22 @@ class SuffixDedup:
                 yield solve(pa.Table.from_batches(held).combine_chunks())
 
         def solve(table: pa.Table) -> pa.RecordBatch:
-            col = {c: table.column(c).to_numpy() for c in ("key", "content", "copies", "id", "h", "p", "d0", "d1")}
+            new = np.ones(table.num_rows, bool)  # rows that are equal in id and text give a content more than once
+            key, part, content = (table.column(c).to_numpy() for c in ("key", "part", "content"))
+            new[1:] = (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+            group = np.cumsum(new)
+            _, one = np.unique(np.stack([group, content]), axis=1, return_index=True)
+            one.sort()
+            table, group = table.take(one), group[one]
+            col = {c: table.column(c).to_numpy() for c in ("key", "content", "copies", "id", "h", "p", "lo", "hi")}
             place = np.empty(table.num_rows, np.int64)
             place[np.lexsort((col["p"], col["h"], col["id"]))] = np.arange(table.num_rows)
-            runs = repeated_windows(col["key"], col["copies"], place, table.column("before").to_pylist(), table.column("after").to_pylist(), col["d0"].astype(np.int64), col["d1"].astype(np.int64), length)
+            runs = repeated_windows(group, col["copies"], place, table.column("before").to_pylist(), table.column("after").to_pylist(), col["lo"].astype(np.int64), col["hi"].astype(np.int64), length)
             row, lo, hi, win = (np.array(x, np.int64) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.int64),) * 4
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (col["key"][row], col["content"][row], lo.astype(np.int16), hi.astype(np.int16), col["id"][win], col["h"][win], col["p"][win])], names=FOUND)
 
-        _ROLLING.sums(np.zeros(length, np.uint8))
-        sorted_ = contexts.repartition("key").sortWithinPartitions("key", "after")
-        return sorted_.mapInArrow(run, FOUND_SQL)
-
-    def _by_window(self, contexts: DataFrame) -> DataFrame:
-        """The same rows for hot keys: the windows of all contents are grouped by their hashes."""
-        length = self.length
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    data = np.frombuffer(row["before"][::-1] + row["after"], np.uint8)
-                    d = np.arange(row["d0"], row["d1"] + 1)
-                    sums, s = _ROLLING.sums(data), row["d1"] - d
-                    x = _ROLLING.between(sums, s, s + length)
-                    y = _ROLLING.between(_ROLLING.sums(mix(data.astype(np.uint64) + _SECOND)), s, s + length)
-                    n = len(d)
-                    same = lambda v, t, n=n: pa.array(np.full(n, v, t))
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), same(row["key"], np.int64), same(row["content"], np.int64), same(row["copies"], np.int64), pa.array(d.astype(np.int16)), same(row["id"], np.int64), same(row["h"], np.int64), same(row["p"], np.int64)], names=["x", "y", "key", "content", "copies", "d", "id", "h", "p"])
-
-        windows = contexts.mapInArrow(run, "x long, y long, key long, content long, copies long, d short, id long, h long, p long")
-        first = F.min(F.struct("id", "h", "p")).alias("first")
-        often = windows.groupBy("x", "y").agg(F.sum("copies").alias("n"), first).where("n > 1").select("x", "y", "first")
-        return windows.join(often, ["x", "y"]).select("key", "content", F.col("d").alias("lo"), F.col("d").alias("hi"), F.col("first.id").alias("id0"), F.col("first.h").alias("h0"), F.col("first.p").alias("p0"))
+        dealt = contexts.repartition("key", "part").sortWithinPartitions("key", "part", "after")
+        return dealt.mapInArrow(run, FOUND_SQL)
 
     def ranges(self, base: DataFrame, keep_first: bool) -> DataFrame:
         """(id, h, ranges): the byte ranges to remove from each document that has any."""
@@ -259,24 +271,23 @@ class SuffixDedup:
         shared = materialize(contents.join(keys, "key").select("key", "content", "copies", "contents", "first.*"), "shared")
         # one content only: all its windows are repeated, in its copies
         alone = shared.where("contents = 1").select("key", "content", F.col("d0").alias("lo"), F.col("d1").alias("hi"), F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("p").alias("p0"))
-        contexts = materialize(self._contexts(base, shared.where("contents > 1")), "contexts")
-        found = alone.union(self._in_suffix_order(contexts.where(F.col("contents") <= self.hot)))
-        if not contexts.where(F.col("contents") > self.hot).isEmpty():
-            found = found.union(self._by_window(contexts.where(F.col("contents") > self.hot)))
+        found = alone.union(self._in_suffix_order(self._contexts(base, shared.where("contents > 1"))))
         hits = places.select("id", "h", "p", "key", "content").join(found, ["key", "content"])
         if keep_first:
             hits = hits.where(~((F.col("id") == F.col("id0")) & (F.col("h") == F.col("h0")) & (F.col("p") == F.col("p0"))))
         span = F.struct((F.col("p") - F.col("hi")).alias("a"), (F.col("p") - F.col("lo") + self.length).alias("b"))
-        return materialize(hits.groupBy("id", "h").agg(F.array_sort(F.collect_set(span)).alias("ranges")), "ranges")
+        out = materialize(hits.groupBy("id", "h").agg(F.array_sort(F.collect_set(span)).alias("ranges")), "ranges")
+        discard(places, shared)
+        return out
 
 
-CONTEXT = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("contents", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("p", pa.int64()), ("d0", pa.int16()), ("d1", pa.int16()), ("before", pa.binary()), ("after", pa.binary())])
-CONTEXT_SQL = "key long, content long, copies long, contents long, id long, h long, p long, d0 short, d1 short, before binary, after binary"
+CONTEXT_SQL = "key long, content long, copies long, id long, h long, p long, part long, lo short, hi short, before binary, after binary"
+CONTEXT = pa.schema([(x.split()[0], {"long": pa.int64(), "short": pa.int16(), "binary": pa.binary()}[x.split()[1]]) for x in CONTEXT_SQL.split(", ")])
 FOUND = ["key", "content", "lo", "hi", "id0", "h0", "p0"]
 FOUND_SQL = "key long, content long, lo short, hi short, id0 long, h0 long, p0 long"
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, hot: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary, what stays).
 
     Texts are UTF-8 bytes. A byte goes if a string of `length` bytes that covers it also begins elsewhere, in this or

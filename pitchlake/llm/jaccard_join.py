@@ -3,13 +3,20 @@
 Equal sets are one class, and classes are compared. Each class's shingles are put in a rare-first order (by a table of
 the most frequent shingles, of bounded size, counted over all documents; then by hash). Two sets that are alike share a
 shingle within the first few of that order, the prefix. The prefixes are joined on the shingle; pairs must pass the
-length and the positional filter there and two suffix filters before their sets are compared, once a pair: one by the
-parities of 512 ranges of hashes, at the join, one by the counts in 16 ranges, at the comparison. The prefixes are longer than need be for one shingle in common, by 1 in every SHARE shingles of a set, so a pair has to meet that many
-times more.
+length and the positional filter there, and a suffix filter: a shingle that both have is the pivot, and the parities of
+the numbers of shingles in ranges of hashes (twice as many as shingles) bound how many after the pivot are in one suffix
+only. What is left is compared, whole sets, once a pair.
 
-Only connected groups are asked for, so pairs that are connected already needn't be compared: first each class is
+Only connected groups are asked for, so pairs that are connected already needn't be compared. First each class is
 compared with the one list head it meets most often (heads are the classes that share the most shingles, so a group
-meets few of them), then all candidate pairs that this leaves in different groups.
+meets few of them). Then classes of a list that are in different groups meet. Such a pair comes out of the lists only
+where a run of shingles that both have begins (the shared shingle before it is not the same), not at each of them; and
+not where both were compared with one head and their distances to it differ by more than linked sets can (the Jaccard
+distance obeys the triangle inequality). No filter drops a pair that links.
+
+Lists of BIG rows or more join with sketches of the sets, so that only pairs that may link come out of them. A shingle in
+many sets (kind HOT, by the table) is dealt out by class as well, and its head is found by an aggregate
+that combines on the map side, so no list is held or sorted in one task.
 """
 
 from __future__ import annotations
@@ -21,17 +28,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import Rolling, chunks, materialize, mix, read_table, text_bytes
+from .base import Rolling, chunks, discard, materialize, mix, most_frequent, read_table, text_bytes
 from .graph import components
 
 LEAST = -(2**63)
 #: Document ids go to all executors only up to this many; beyond, the join shuffles.
 MOST_IDS = 1_000_000
-SHARE = 32
+#: Kinds of shingles: not in the table of frequent ones; in it; in it and in so many documents that its list is dealt out.
+RARE, FREQUENT, HOT = 0, 1, 2
+HOT_FROM, HOT_PARTS = 1_000, 1_024
 #: So many partners of a class are compared with it in one place.
 PART = 128
 #: 64-bit numbers in a set's sketch.
 SKETCH = 8
+#: In lists of so many rows pairs must pass the sketches to come out.
+BIG = 32
 #: So many shingles are counted together for a partition's summary; what occurs once in a block isn't frequent.
 BLOCK = 1 << 20
 _ROLLING = Rolling()
@@ -81,16 +92,19 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(mix(np.array([total % 2**64], np.uint64)).view(np.int64)[0])
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Of each set the parities of how many shingles are in each of 64 * SKETCH ranges of hashes, as SKETCH numbers end to end.
+def parities(sets: list[np.ndarray], bins: int) -> np.ndarray:
+    """Of each set the parities of how many shingles are in each of `bins` ranges of hashes (by the leading bits): sets x bins.
 
-    Bits that differ between two sketches are at most the shingles in only one of the two sets."""
-    bins = 64 * SKETCH
-    size = np.array([len(s) for s in sets], np.int64)
+    Bits that differ between two sets are at most the shingles in only one of them."""
     flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    place = np.repeat(np.arange(len(sets)) * bins, size) + (mix(flat) % np.uint64(bins)).astype(np.int64)
-    odd = (np.bincount(place, minlength=len(sets) * bins) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view(np.int64)
+    place = np.repeat(np.arange(len(sets)) * bins, [len(s) for s in sets]) + (flat >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
+    return (np.bincount(place, minlength=len(sets) * bins) & 1).astype(np.uint8).reshape(len(sets), bins)
+
+
+def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, list[bytes | None]]:
+    """Parities in 64 * SKETCH ranges, as SKETCH numbers a set end to end; and in twice as many ranges as shingles, for sets that are larger than that."""
+    coarse = np.packbits(parities(sets, 64 * SKETCH), axis=1, bitorder="little").view(np.int64).ravel()
+    return coarse, [np.packbits(parities([s], 1 << (2 * len(s) - 1).bit_length()), bitorder="little").tobytes() if len(s) > 32 * SKETCH else None for s in sets]
 
 
 def _each_set(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -112,7 +126,7 @@ class Jaccard:
         self.percent, self.words, self.table_size, self.summary_size = percent, words, table_size, summary_size
 
     def keys(self, base: DataFrame) -> DataFrame:
-        """A row a document (id, class, n, sketch, and what else `base` has beside the text) and rows of the partitions' summaries (class null, id: shingle, n: documents with it)."""
+        """A row a document (id, class, n, sketch, fine, and what else `base` has beside the text) and rows of the partitions' summaries (class null, id: shingle, n: documents with it)."""
         words, most = self.words, self.summary_size
         more = [f for f in base.schema if f.name not in ("id", "text")]
 
@@ -128,10 +142,11 @@ class Jaccard:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept, counts, block, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-            names = ["id", "class", "n", "sketch", *(f.name for f in more)]
+            names = ["id", "class", "n", "sketch", "fine", *(f.name for f in more)]
             for part, sets in _each_set(batches, words):
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_hash(s) if len(s) else 0 for s in sets], pa.int64()), pa.array(n), pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH, sketches(sets)), *part.columns[2:]], names=names)
+                coarse, fine = sketches(sets)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_hash(s) if len(s) else 0 for s in sets], pa.int64()), pa.array(n), pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH, coarse), pa.array(fine, pa.binary()), *part.columns[2:]], names=names)
                 block += sets
                 size += int(n.sum())
                 if size >= BLOCK:
@@ -140,20 +155,22 @@ class Jaccard:
             kept, counts = fold(kept, counts, block)
             if len(kept):
                 rest = [pa.nulls(len(kept), part.column(2 + i).type) for i in range(len(more))]
-                yield pa.RecordBatch.from_arrays([_long(kept), pa.nulls(len(kept), pa.int64()), pa.array(counts), pa.nulls(len(kept), pa.list_(pa.int64())), *rest], names=names)
+                yield pa.RecordBatch.from_arrays([_long(kept), pa.nulls(len(kept), pa.int64()), pa.array(counts), pa.nulls(len(kept), pa.list_(pa.int64())), pa.nulls(len(kept), pa.binary()), *rest], names=names)
 
         kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in more)
-        return base.select("id", "text", *(f.name for f in more)).mapInArrow(run, f"id long, class long, n long, sketch array<long>{kinds}")
+        return base.select("id", "text", *(f.name for f in more)).mapInArrow(run, f"id long, class long, n long, sketch array<long>, fine binary{kinds}")
 
     def frequent(self, keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """The most frequent shingles (rising) and their counts: `table_size` at most."""
-        top = keys.where("class is null").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(self.table_size).toPandas()
+        counted = materialize(keys.where("class is null").groupBy("id").agg(F.sum("n").alias("n")), "shingle-counts")
+        top = most_frequent(counted, self.table_size).toPandas()
+        discard(counted)
         h, n = top["id"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
         order = np.argsort(h)
         return h[order], n[order]
 
     def prefixes(self, base: DataFrame, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-        """(g, class, n, pos): the rare-first prefix of each class; a class may come from several tasks."""
+        """(g, class, n, pos, kind): the rare-first prefix of each class; a class may come from several tasks."""
         shared, words, percent = base.sparkSession.sparkContext.broadcast(table), self.words, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,20 +183,24 @@ class Jaccard:
                     if not n or (c := set_hash(s)) in seen:
                         continue
                     seen.add(c)
-                    p = n - (percent * n + 99) // 100 + 1 + n // SHARE
+                    p = n - (percent * n + 99) // 100 + 1
+                    often = np.zeros(n, np.int64)
                     if len(known):
                         i = np.minimum(np.searchsorted(known, s), len(known) - 1)
                         often = np.where(known[i] == s, times[i], 0)
-                        s = s[np.argsort(often, kind="stable")[:p]]
-                    rows.append((s[:p], c, n))
+                    first = np.argsort(often, kind="stable")[:p]
+                    often = often[first]
+                    rows.append((s[first], c, n, np.where(often >= HOT_FROM, HOT, often > 0)))
                 if len(seen) > 200_000:
                     seen.clear()
                 if rows:
-                    size = np.array([len(s) for s, _, _ in rows])
+                    sets_, classes, sizes, kinds = zip(*rows, strict=True)
+                    size = np.array([len(s) for s in sets_])
                     pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    yield pa.RecordBatch.from_arrays([_long(np.concatenate([s for s, _, _ in rows])), pa.array(np.repeat(np.array([c for _, c, _ in rows], np.int64), size)), pa.array(np.repeat(np.array([n for _, _, n in rows], np.int32), size)), pa.array(pos.astype(np.int32))], names=["g", "class", "n", "pos"])
+                    repeat = lambda x, t, size=size: pa.array(np.repeat(np.array(x, t), size))
+                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(sets_)), repeat(classes, np.int64), repeat(sizes, np.int32), pa.array(pos.astype(np.int32)), pa.array(np.concatenate(kinds).astype(np.int8))], names=["g", "class", "n", "pos", "kind"])
 
-        return base.select("id", "text").mapInArrow(run, "g long, class long, n int, pos int")
+        return base.select("id", "text").mapInArrow(run, "g long, class long, n int, pos int, kind byte")
 
     def may_link(self, a: str, b: str) -> Column:
         """The length and the positional filter for two prefix rows with the same shingle.
@@ -190,13 +211,34 @@ class Jaccard:
         most = F.least(p, q) + F.least(n - i, m - j)  # common ones before, here and after at most
         return (100 * short >= self.percent * long) & ((100 + self.percent) * most >= self.percent * (n + m))
 
-    def near_enough(self, a: str, b: str) -> Column:
-        """The suffix filter by sketches: sets that link have at most (100 - percent) of (100 + percent) of their shingles in one of them only."""
-        apart = sum((F.bit_count(F.get(f"{a}sketch", F.lit(i)).bitwiseXOR(F.get(f"{b}sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-        return (100 + self.percent) * apart <= (100 - self.percent) * (F.col(f"{a}n").cast("long") + F.col(f"{b}n"))
+    def suffixes_near(self, pairs: DataFrame) -> DataFrame:
+        """The suffix filter for `pairs` of sets (a, b) that share the pivot g: what is in one of them only bounds what both have.
+
+        All hashes above a rare pivot's come after it in either set, so ranges of hashes above its own are in the suffixes."""
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                stay = []
+                for r in batch.select(batch.schema.names[2:]).to_pylist():
+                    fine = r["a_fine"] is not None and r["b_fine"] is not None
+                    x, y = (np.unpackbits(np.frombuffer(r[f"{t}_fine"], np.uint8) if fine else np.array(r[f"{t}_sketch"], np.int64).view(np.uint8), bitorder="little") for t in "ab")
+                    bins = min(len(x), len(y))
+                    x, y = (v.reshape(bins, -1).sum(axis=1) & 1 for v in (x, y))
+                    differ = x != y
+                    total = r["a_n"] + r["b_n"]
+                    near = (100 + percent) * int(differ.sum()) <= (100 - percent) * total
+                    if near and r["kind"] == RARE:
+                        after = int(differ[((r["g"] % 2**64) >> (64 - bins.bit_length() + 1)) + 1 :].sum())
+                        most = 2 * (min(r["a_before"], r["b_before"]) + 1) + (r["a_n"] - r["a_pos"] - 1) + (r["b_n"] - r["b_pos"] - 1) - after  # twice what both can have
+                        near = (100 + percent) * most >= 2 * percent * total
+                    stay.append(near)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(stay, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+        return pairs.mapInArrow(run, "a long, b long")
 
     def verify(self, base: DataFrame, keys: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-        """Those of `pairs` (a, b: classes) that link.
+        """`pairs` (a, b: classes) compared: a, b, apart (their Jaccard distance), link.
 
         Of a pair the class with more partners is the hub. Texts, which are smaller than their sets, are sent to their
         hubs; a hub's partners are dealt into parts of about PART, and each part gets the hub's text first."""
@@ -216,9 +258,8 @@ class Jaccard:
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hub, mine, last = None, None, None
-            cuts = (np.arange(1, 16, dtype=np.uint64)) << np.uint64(60)
             for part, sets in _each_set(batches, words):
-                found: list[tuple[int, int]] = []
+                found: list[tuple] = []
                 for s, h, p, role, c in zip(sets, *(part.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                     if (h, p, c) == last or set_hash(s) != c:  # a repeated row, or another text with this id
                         continue
@@ -228,61 +269,88 @@ class Jaccard:
                         continue
                     if hub != (h, p):
                         raise ValueError("a part without its hub")
-                    # suffix filter: the sets' sizes in 16 ranges of hashes bound how many are in one of them only
-                    apart = np.abs(np.diff(np.concatenate([[0], np.searchsorted(s, cuts), [len(s)]])) - np.diff(np.concatenate([[0], np.searchsorted(mine, cuts), [len(mine)]]))).sum()
-                    total = len(s) + len(mine)
-                    if (100 + percent) * (total - apart) < 2 * percent * total:
-                        continue
                     both = np.concatenate([s, mine])
                     both.sort()
                     same = int((both[1:] == both[:-1]).sum())
-                    if 100 * same >= percent * (total - same):
-                        found.append((min(h, c), max(h, c)))
+                    union = len(both) - same
+                    found.append((min(h, c), max(h, c), 1 - same / union, 100 * same >= percent * union))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*found, strict=True)], names=["a", "b", "apart", "link"])
 
         texts = base.join(ids, "id", "left_semi").join(sent.hint("merge"), "id").select("id", "text", "hub", "part", "role", "class")
         dealt = texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "class")
-        return materialize(dealt.mapInArrow(compare, "a long, b long"), f"{name}-links")
+        out = materialize(dealt.mapInArrow(compare, "a long, b long, apart double, link boolean"), f"{name}-compared")
+        discard(wanted, sides)
+        return out
 
     def links(self, base: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(keys, links between classes that connect whatever any links connect)."""
         keys = materialize(self.keys(base), "shingle-keys")
-        by_shingle = Window.partitionBy("g").orderBy("class")
-        rows = self.prefixes(base, self.frequent(keys))
+        rows = self.prefixes(base, self.frequent(keys)).withColumn("salt", F.when(F.col("kind") == HOT, F.pmod("class", F.lit(HOT_PARTS))).otherwise(0).cast("int"))
+        by_shingle = Window.partitionBy("g", "salt").orderBy("class")
         head = by_shingle.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         around = rows.withColumns({"least": F.first("class").over(head), "next": F.lead("class").over(by_shingle)})
         last = F.col("next").isNull() | (F.col("next") != F.col("class"))  # of a class's rows, which are alike
-        shared = around.where(last & ((F.col("least") != F.col("class")) | F.col("next").isNotNull())).select("g", "class", "n", "pos")
-        # `before`: a class's shared shingles before this one; k: all of them
+        met = (F.col("kind") == HOT) | (F.col("least") != F.col("class")) | F.col("next").isNotNull()
+        shared = around.where(last & met).select("g", "class", "n", "pos", "kind")
+        # before: a class's shared shingles before this one; prev: the last of them; k: all of them
         of_class = Window.partitionBy("class")
-        before = F.row_number().over(of_class.orderBy("pos")) - 1
-        postings = materialize(shared.withColumns({"before": before, "k": F.count("*").over(of_class)}), "postings")
-        # the head of a list: its class with the most shared shingles; an original has more of them than its edited copies
-        head = Window.partitionBy("g").orderBy(F.desc("k"), "class").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        headed = postings.withColumns({f"_{c}": F.first(c).over(head) for c in ("n", "pos", "before", "class")})
-        met = headed.where((F.col("_class") != F.col("class")) & self.may_link("", "_")).groupBy("class", "_class").agg(F.count("*").alias("n"), F.min(F.least("n", "_n")).alias("least")).where(F.col("n") > F.col("least") / (2 * SHARE))
-        first = met.groupBy("class").agg(F.max_by("_class", F.struct("n", "_class")).alias("b")).select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
-        first = materialize(first, "first-pairs")
-        near = self.verify(base, keys, first, "first")
-        groups = components(near)
-        known = postings.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        known = materialize(known.drop("k"), "known").repartition("g")  # dealt out once, for both counts and the join
-        lists = known.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1").select("g", "main")
-        sketch = keys.where("class is not null").groupBy("class").agg(F.first("sketch").alias("sketch"))
-        mixed = materialize(known.join(lists, "g").join(sketch, "class"), "mixed")
+        in_order = of_class.orderBy("pos")
+        postings = materialize(shared.withColumns({"before": F.row_number().over(in_order) - 1, "prev": F.lag("g").over(in_order), "k": F.count("*").over(of_class)}), "postings")
+        first = materialize(self._head_pairs(postings), "first-pairs")
+        met_first = first.select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b")).distinct()
+        compared = self.verify(base, keys, met_first, "first")
+        groups = components(compared.where("link"))
+        # star: the one class that a class was compared with at first, and how far it is
+        star = first.select("class", "head", F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b")).join(compared, ["a", "b"]).select("class", "head", "apart")
+        labels = groups.withColumnRenamed("node", "class").join(star, "class", "full")
+        known = postings.drop("k").join(labels.hint("merge"), "class", "left").withColumns({"component": F.coalesce("component", "class"), "apart": F.coalesce("apart", F.lit(0.0)), "head": F.coalesce("head", "class")}).repartition("g")
+        lists = known.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.count("*").alias("parts"), F.sum("k").alias("rows"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1").select("g", "main", "rows")
+        mixed = materialize(known.join(lists, "g"), "mixed")
+        sketch = keys.where("n > 0").groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("fine").alias("fine"))
+        small = mixed.where(F.col("rows") < BIG)
+        big = mixed.where(F.col("rows") >= BIG).join(sketch.select("class", "sketch").hint("merge"), "class")
+        apart = sum((F.bit_count(F.get("l_sketch", F.lit(i)).bitwiseXOR(F.get("r_sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+        even = (100 + self.percent) * apart <= (100 - self.percent) * (F.col("l_n") + F.col("r_n")).cast("long")
+        pairs = self._crossing(small, F.lit(True)).union(self._crossing(big, even)).groupBy("a", "b").agg(F.min("x").alias("x"))
+        pairs = pairs.join(met_first, ["a", "b"], "left_anti")
+        flat = materialize(pairs.select("a", "b", F.col("x.kind").alias("kind"), F.col("x.g").alias("g"), *(F.col(f"x.{t}_.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("n", "pos", "before"))), "candidates")
+        of = lambda t: sketch.toDF(t, f"{t}_sketch", f"{t}_fine").hint("merge")
+        near = self.suffixes_near(flat.join(of("a"), "a").join(of("b"), "b").select("a", "b", *flat.columns[2:], "a_sketch", "b_sketch", "a_fine", "b_fine"))
+        rest = materialize(near, "rest-pairs")
+        discard(postings, mixed, flat)
+        links = compared.where("link").select("a", "b")
+        if rest.isEmpty():
+            return keys, links
+        return keys, links.union(self.verify(base, keys, rest, "rest").where("link").select("a", "b"))
+
+    def _crossing(self, mixed: DataFrame, even: Column) -> DataFrame:
+        """(a, b, x): pairs of classes of a list that are in different groups and pass the filters, with the place where they met."""
+        columns = [c for c in ("class", "n", "pos", "before", "prev", "component", "head", "apart", "sketch") if c in mixed.columns]
         # one of a pair is always outside its list's main group
-        columns = ("class", "n", "pos", "before", "component", "sketch")
-        left = mixed.where("component <> main").select("g", *(F.col(c).alias(f"l_{c}") for c in columns))
+        left = mixed.where("component <> main").select("g", "kind", *(F.col(c).alias(f"l_{c}") for c in columns))
         right = mixed.select("g", "main", *(F.col(c).alias(f"r_{c}") for c in columns))
         once = (F.col("r_component") == F.col("main")) | (F.col("l_class") < F.col("r_class"))
-        crossing = left.join(right, "g").where((F.col("l_component") != F.col("r_component")) & once & self.may_link("l_", "r_") & self.near_enough("l_", "r_"))
-        counted = crossing.groupBy(F.least("l_class", "r_class").alias("a"), F.greatest("l_class", "r_class").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("l_n", "r_n")).alias("least"))
-        rest = counted.where(F.col("n") >= 1 + F.floor(F.col("least") / SHARE)).select("a", "b").join(first, ["a", "b"], "left_anti")
-        rest = materialize(rest, "rest-pairs")
-        if rest.isEmpty():
-            return keys, near
-        return keys, near.union(self.verify(base, keys, rest, "rest"))
+        begins = ~F.col("l_prev").eqNullSafe(F.col("r_prev")) | F.col("l_prev").isNull()
+        within = (F.col("l_head") != F.col("r_head")) | (F.abs(F.col("l_apart") - F.col("r_apart")) <= (100 - self.percent) / 100 + 1e-9)
+        met = left.join(right.hint("merge"), "g").where((F.col("l_component") != F.col("r_component")) & once & begins & within & self.may_link("l_", "r_") & even)
+        turn = F.col("l_class") < F.col("r_class")
+        side = lambda x, y: F.struct(*(F.when(turn, F.col(f"{x}{c}")).otherwise(F.col(f"{y}{c}")).alias(c) for c in ("n", "pos", "before")))
+        return met.select(F.least("l_class", "r_class").alias("a"), F.greatest("l_class", "r_class").alias("b"), F.struct("kind", "g", side("l_", "r_").alias("a_"), side("r_", "l_").alias("b_")).alias("x"))
+
+    def _head_pairs(self, postings: DataFrame) -> DataFrame:
+        """(class, head): the head that a class meets most often in its lists; none for a class that meets no other.
+
+        A list's head is its class with the most shared shingles; an original has more of them than its edited copies.
+        The heads of HOT lists, as many as the table of frequent shingles has at most, go to all executors."""
+        columns = ("class", "n", "pos", "before")
+        order = Window.partitionBy("g").orderBy(F.desc("k"), "class").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cold = postings.where(F.col("kind") != HOT).withColumns({f"_{c}": F.first(c).over(order) for c in columns})
+        hot = postings.where(F.col("kind") == HOT)
+        heads = hot.groupBy("g").agg(F.max_by(F.struct(*columns), F.struct("k", "class")).alias("h")).select("g", *(F.col(f"h.{c}").alias(f"_{c}") for c in columns))
+        headed = cold.unionByName(hot.join(F.broadcast(heads), "g"))
+        met = headed.where((F.col("_class") != F.col("class")) & self.may_link("", "_")).groupBy("class", "_class").agg(F.count("*").alias("times"))
+        return met.groupBy("class").agg(F.max_by("_class", F.struct("times", "_class")).alias("head"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,97 +1,42 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of `span` consecutive sentences is hashed. The runs are grouped by hash over all documents; of each hash that
-occurs more than once the first run, by (doc_id, position), stays, and the sentences that any other run covers are
-removed. Grouping a hash combines on the map side, so a passage in a third of all documents costs one row a task.
-
-That is `remove_repeated_spans`, the rule of the query's SQL. A passage with fewer than `span` whole sentences in it is
-never compared there. `remove_repeated_passages`, the rule of the pipeline, also compares runs of WORDS words that
-begin at content-defined points, one at least in every WINDOW words, so it sees every repeat of WORDS + WINDOW - 1 words.
+Texts are cut into units: sentences, and these after commas, semicolons and colons. A span is a run of consecutive
+units: from each unit on the fewest, two at least, that have LEAST_WORDS words. Spans are hashed and grouped by hash
+over all documents; of each hash that occurs more than once the first span, by (doc_id, position), stays, and the units
+that any other span covers are removed. Grouping a hash combines on the map side, so a passage in a third of all
+documents costs one row a task.
+
+A repeat of 51 words holds such a span wherever it begins, if its units are of usual length. Where punctuation is rare
+it may not; with `windows` (the pipeline's stage) runs of WORDS words are compared as well, which begin at
+content-defined points, one at least in every WINDOW words, so every repeat of WORDS + WINDOW - 1 words is seen.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import Rolling, chunks, materialize, mix, read_table, text_bytes
 
-#: A sentence with its end marks and the white space after it; all matches joined give the text again.
-SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+")
-BLANKS = str.maketrans("\t\r\n", "   ")
 LEAST = -(2**63)
+MARKS = b".!?,;:"
+LEAST_WORDS = 30
 #: A run of words, and of so many neighbouring runs the one with the least hash is compared: together 49 words.
 WORDS, WINDOW = 34, 16
 _ROLLING = Rolling()
 
 
-def span_hashes(text: str, span: int, min_chars: int) -> list[tuple[int, int]]:
-    """(position, hash) of every run of `span` sentences with `min_chars` at least; one run if there are fewer sentences."""
-    parts = [s.translate(BLANKS).strip(" ").lower() for s in SENTENCE.findall(text)]
-    sizes = [len(s) for s in parts]
-    out = []
-    for i in range(max(1, len(parts) - span + 1)):
-        if sum(sizes[i : i + span]) >= min_chars:
-            out.append((i, xxhash.xxh3_64_intdigest("\n".join(parts[i : i + span])) + LEAST))
-    return out
-
-
-def remove_repeated_spans(docs: DataFrame, span: int = 3, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """Per row of `docs`: id, text (what stays), n_sentences, n_removed, and the columns `keep`.
-
-    Sentences compare in lower case with white space trimmed. Runs with fewer characters than `min_chars` altogether
-    (rows of dots, one-word lines) aren't compared. A text with fewer than `span` sentences is compared as one run.
-    A null text stays null with 0 sentences; an empty one stays empty. Rows equal in id and text are one document to
-    this operator: neither is a later copy of the other. A null id sorts before all others. An empty table gives no
-    rows. Other columns, whatever their names, are not read."""
-    rest = {c: f"keep{i}" for i, c in enumerate(keep)}
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in rest.items()))
-
-    def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in chunks(text_bytes(batch.column(2))[1]):
-                part = batch.slice(a, b - a)
-                rows = [(i, h, *x) for i, h, t in zip(*(c.to_pylist() for c in part.columns), strict=True) for x in span_hashes(t or "", span, min_chars)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["id", "h", "pos", "x"])
-
-    spans = base.select("id", "h", "text").mapInArrow(spans_of, "id long, h long, pos int, x long")
-    place = F.struct("id", "h", "pos")
-    repeated = spans.groupBy("x").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = spans.join(repeated, "x").where(place != F.col("first")).groupBy("id", "h").agg(F.collect_set("pos").alias("gone"))
-    joined = base.join(gone, ["id", "h"], "left").select("own_id", "text", "gone", *rest.values())
-
-    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in chunks(text_bytes(batch.column(1))[1]):
-                part = batch.slice(a, b - a)
-                texts, total, removed = [], [], []
-                for text, runs in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    parts = SENTENCE.findall(text or "")
-                    covered = {q for p in runs or () for q in range(p, min(p + span, len(parts)))}
-                    texts.append("".join(s for q, s in enumerate(parts) if q not in covered) if covered else text)
-                    total.append(len(parts))
-                    removed.append(len(covered))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), *part.columns[3:]], names=["own_id", "text", "n_sentences", "n_removed", *rest.values()])
-
-    kept = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in rest.items())
-    out = joined.mapInArrow(rebuild, f"own_id {docs.schema[id_col].dataType.simpleString()}, text string, n_sentences long, n_removed long{kept}")
-    return out.withColumnsRenamed({"own_id": id_col, "text": text_col} | {n: c for c, n in rest.items()})
-
-
 def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of each word in the bytes of texts end to end, and whether it begins a sentence.
+    """Begin and end of each word in the bytes of texts end to end, and whether it begins a unit.
 
-    A word ends at white space and after . ! ?; a sentence ends after . ! ? and at a line end."""
+    A word ends at white space and after a run of MARKS; a unit ends after MARKS and at a line end."""
     n = len(raw)
     solid = ~np.isin(raw, np.frombuffer(b" \t\r\n", np.uint8))
-    mark = np.isin(raw, np.frombuffer(b".!?", np.uint8))
+    mark = np.isin(raw, np.frombuffer(MARKS, np.uint8))
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begins = solid.copy()
@@ -107,60 +52,51 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, opens
 
 
-def passage_spans(raw: np.ndarray, offsets: np.ndarray, span: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def passage_spans(raw: np.ndarray, offsets: np.ndarray, least_words: int, windows: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of lower-cased texts end to end: text, first word, number of words and hash of every run that is compared."""
     none = np.zeros(0, np.int64)
     if not len(raw):
         return none, none, none, none
     starts, ends, opens = word_bounds(raw, offsets)
-    first = np.searchsorted(starts, offsets)  # the texts' first words
-    of = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     if not len(starts):
         return none, none, none, none
-    # characters, without the white space between sentences
-    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    gap = np.zeros(len(starts), np.int64)
-    gap[1:] = np.where(opens[1:], chars[starts[1:]] - chars[ends[:-1]], 0)
-    gap = np.cumsum(gap)
-    size = lambda a, b: chars[ends[b - 1]] - chars[starts[a]] - gap[b - 1] + gap[a]
+    first = np.searchsorted(starts, offsets)  # the texts' first words
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     sums = _ROLLING.sums(_ROLLING.between(_ROLLING.sums(raw), starts, ends))
-    # runs of `span` sentences, longer ones where they are short: the shortest from each, and the shortest up to each
     heads = np.flatnonzero(opens)
     tails = np.append(heads[1:], len(starts))
-    total = np.concatenate([[0], np.cumsum(size(heads, tails))])
+    unit = np.cumsum(opens) - 1  # of each word
     text = of[heads]
     low, high = np.searchsorted(text, text, "left"), np.searchsorted(text, text, "right")
     here = np.arange(len(heads))
-    until = np.maximum(here + span, np.searchsorted(total, total[:-1] + min_chars, "left"))
-    since = np.minimum(here + 1 - span, np.searchsorted(total, total[1:] - min_chars, "right") - 1)
-    whole = (high - low < span) & (here == low) & (total[high] - total[low] >= min_chars)
-    runs = [(here[x], y[x]) for x, y in ((until <= high, until), (whole, high))]
-    runs.append((since[since >= low], here[since >= low] + 1))
-    a, b = (np.concatenate(x) for x in zip(*runs, strict=True))
-    a, b = heads[a], tails[b - 1]
-    # runs of WORDS words
-    at = np.flatnonzero(np.arange(len(starts)) + WORDS <= first[of + 1])
-    if len(at) >= WINDOW:
-        keys = mix(_ROLLING.between(sums, at, at + WORDS) + np.uint64(0x2545F4914F6CDD1D))
-        q = np.flatnonzero(of[at[: len(at) - WINDOW + 1]] == of[at[WINDOW - 1 :]])
-        least = np.lib.stride_tricks.sliding_window_view(keys, WINDOW).argmin(axis=1)
-        picked = at[np.unique(q + least[q])]
-        picked = picked[size(picked, picked + WORDS) >= min_chars]
-        a, b = np.concatenate([a, picked]), np.concatenate([b, picked + WORDS])
+    reach = heads + least_words - 1  # the last word that must be in the run
+    fits = reach < first[text + 1]
+    until = np.maximum(np.where(high - low > 1, here + 1, here), unit[np.minimum(reach, len(starts) - 1)])
+    fits &= until < high
+    a, b = heads[fits], tails[until[fits]]
+    if windows:
+        at = np.flatnonzero(np.arange(len(starts)) + WORDS <= first[of + 1])
+        if len(at) >= WINDOW:
+            keys = mix(_ROLLING.between(sums, at, at + WORDS) + np.uint64(0x2545F4914F6CDD1D))
+            q = np.flatnonzero(of[at[: len(at) - WINDOW + 1]] == of[at[WINDOW - 1 :]])
+            least = np.lib.stride_tricks.sliding_window_view(keys, WINDOW).argmin(axis=1)
+            picked = at[np.unique(q + least[q])]
+            a, b = np.concatenate([a, picked]), np.concatenate([b, picked + WORDS])
     both = np.unique((a << 32) | (b - a))
     a, k = both >> 32, both & 0xFFFFFFFF
     return of[a], a - first[of[a]], k, _ROLLING.between(sums, a, a + k).view(np.int64)
 
 
-def remove_repeated_passages(docs: DataFrame, span: int = 3, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, windows: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Per row of `docs`: id, text (what stays), n_words, n_removed (words), and the columns `keep`.
 
-    Words compare in lower case, whatever the white space between them. Compared are runs of `span` sentences, of more
-    where these have fewer than `min_chars` characters, a text of fewer sentences as one run; and runs of WORDS words,
-    picked by content alone. Of each run that occurs more than once the first, by (doc_id, position), stays; the words
-    of the others go, with the white space after them. Of a repeat of WORDS + WINDOW - 1 words or more, WORDS at least
-    go, and what no run covers, fewer than WINDOW words at either end, may stay. Texts, ids, repeated rows and other
-    columns are treated as by `remove_repeated_spans`."""
+    Words compare in lower case, whatever the white space between them; it goes with the word before it, and at a
+    text's beginning with the first. A text of one unit is one span if it has `least_words`; a text with fewer words is
+    not compared. Of each run that occurs more than once the first, by (doc_id, position), stays. With `windows`, of a
+    repeat of WORDS + WINDOW - 1 words or more, WORDS at least go, and what no run covers, fewer than WINDOW words at
+    either end, may stay. A null text stays null with 0 words; an empty one stays empty. Rows equal in id and text are
+    one document to this operator: neither is a later copy of the other. A null id sorts before all others. An empty
+    table gives no rows. Other columns, whatever their names, are not read."""
     rest = {c: f"keep{i}" for i, c in enumerate(keep)}
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in rest.items()))
 
@@ -169,7 +105,7 @@ def remove_repeated_passages(docs: DataFrame, span: int = 3, min_chars: int = 40
             for a, b in chunks(text_bytes(batch.column(2))[1], 1 << 20):
                 part = batch.slice(a, b - a)
                 raw, offsets = text_bytes(pa.array([(t or "").lower() for t in part.column(2).to_pylist()], pa.large_string()))
-                doc, pos, n, x = passage_spans(raw, offsets, span, min_chars)
+                doc, pos, n, x = passage_spans(raw, offsets, least_words, windows)
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array(pos << 32 | n), pa.array(x)], names=["id", "h", "run", "x"])
 
@@ -206,22 +142,25 @@ def remove_repeated_passages(docs: DataFrame, span: int = 3, min_chars: int = 40
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return remove_repeated_passages(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 #: The same rows in DuckDB SQL; spans are compared as text, not by hash.
 OP9_SQL = r"""
-with p as (select doc_id, text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \t\r\n]*|[^.!?\n]+') as p from documents),
-s as (select doc_id, text, p, list_transform(p, lambda x: lower(trim(translate(x, chr(9) || chr(13) || chr(10), '   '), ' '))) as s from p),
-spans as (
-  select doc_id, text, i - 1 as pos, array_to_string(s[i:i+2], chr(10)) as x
-  from (select doc_id, text, s, unnest(range(1, greatest(1, len(s) - 2) + 1)) as i from s)
-  where coalesce(list_sum(list_transform(s[i:i+2], lambda y: length(y))), 0) >= 40),
-n as (select doc_id, pos, text, row_number() over (partition by x order by doc_id, pos) as k from spans),
-gone as (select doc_id, text, list(distinct q) as d from (select doc_id, text, unnest([pos, pos + 1, pos + 2]) as q from n where k > 1) group by 1, 2)
-select s.doc_id,
-  case when d is null then s.text else array_to_string([x for x, i in p if not list_contains(d, i - 1)], '') end as text,
-  cast(len(p) as bigint) as n_sentences,
-  cast(coalesce(len(list_filter(d, lambda q: q < len(p))), 0) as bigint) as n_removed
-from s left join gone on s.doc_id = gone.doc_id and s.text is not distinct from gone.text
+with u as (
+  select doc_id, text, regexp_extract(coalesce(text, ''), '^[ \t\r\n]*') as lead,
+    regexp_extract_all(regexp_replace(coalesce(text, ''), '^[ \t\r\n]+', ''), '[^.!?,;:\n]*(?:[.!?,;:]+|\n)[ \t\r\n]*|[^.!?,;:\n]+') as u
+  from documents),
+w as (select *, list_transform(u, lambda x: list_filter(regexp_split_to_array(lower(x), '[ \t\r\n]+'), lambda y: y <> '')) as w from u),
+n as (select *, flatten(w) as words, list_transform(w, lambda x: len(x)) as n, flatten(list_transform(range(1, len(w) + 1), lambda i: list_transform(w[i], lambda x: i))) as unit from w),
+heads as (select doc_id, text, words, unit, len(u) as k, i, cast(coalesce(list_sum(n[1:i - 1]), 0) as bigint) as a from (select *, unnest(range(1, len(u) + 1)) as i from n)),
+ends as (select *, greatest(case when k > 1 then i + 1 else i end, unit[a + 30]) as j from heads where a + 30 <= len(words)),
+spans as (select doc_id, text, a, i, j, array_to_string(words[a + 1:len(unit) - list_position(list_reverse(unit), j) + 1], ' ') as x from ends where j <= k),
+later as (select *, row_number() over (partition by x order by doc_id, a) as r from spans),
+gone as (select doc_id, text, list(distinct q) as d from (select doc_id, text, unnest(range(i, j + 1)) as q from later where r > 1) group by 1, 2)
+select n.doc_id,
+  case when d is null then n.text else (case when list_contains(d, 1) then '' else lead end) || array_to_string([x for x, i in u if not list_contains(d, i)], '') end as text,
+  cast(len(words) as bigint) as n_words,
+  cast(coalesce(list_sum(list_transform(d, lambda q: n[q])), 0) as bigint) as n_removed
+from n left join gone on n.doc_id = gone.doc_id and n.text is not distinct from gone.text
 """

@@ -3,6 +3,9 @@
 A seed mask looks at some words of a window and ignores the others, so a substituted word at an ignored position doesn't
 hide a match. Every window of the benchmark items and of the documents is hashed under each mask; the two are joined on
 the hash, and around each hit the words on the same diagonal are compared, which tolerates substitutions anywhere.
+
+The masks lose no overlap: those of MASKS leave one intact whichever two words of a 13-word window differ; for shorter
+items, and other windows and tolerances, the words are dealt out to one mask more than words may differ.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .base import materialize, read_table
 
-#: The word offsets that each mask compares; the span of all is SPAN words.
+#: For windows of 13 words of which two may differ: the word offsets that each mask compares; the span of all is SPAN words.
 MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 3, 5, 8, 9), (0, 1, 4, 6, 7, 9))
 SPAN = 10
 #: Seeds and items go to all executors only while they are fewer and smaller than this; beyond, the join shuffles.
@@ -23,46 +26,74 @@ def _words(text: str) -> F.Column:
     return F.array_remove(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(words: str) -> F.Column:
-    """All seed hashes of an array of words, those of one place together: len(MASKS) for each place. Each word is hashed once."""
+def masks_of(length: int, tolerance: float) -> tuple[tuple[tuple[int, ...], ...], int, int]:
+    """Masks for windows of `length` words, the words that they span, and how many words may differ."""
+    may = int(length * tolerance)
+    if (length, may) == (13, 2):
+        return MASKS, SPAN, may
+    return tuple(tuple(range(r, length, may + 1)) for r in range(may + 1)), length, may
+
+
+def _seeds(words: str, length: int, tolerance: float, edge: int) -> F.Column:
+    """All seed hashes of an array of words, those of one place together, as many as masks; null where a mask reaches over
+    the array's ends. The first place is -`edge`, the last as far beyond. Each word is hashed once."""
+    masks, span, _ = masks_of(length, tolerance)
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    at = lambda h, i: [F.xxhash64(F.lit(m), *[F.get(h, i + o) for o in mask]) for m, mask in enumerate(MASKS)]
-    places = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - SPAN), lambda i: F.array(*at(h, i)))
+
+    def at(h: F.Column, i: F.Column, m: int, mask: tuple[int, ...]) -> F.Column:
+        own = [F.get(h, i + o) for o in mask]
+        seed = F.xxhash64(F.lit(length), F.lit(m), *own)
+        return F.when(own[0].isNotNull() & own[-1].isNotNull(), seed) if edge else seed
+
+    places = lambda h: F.transform(F.sequence(F.lit(-edge), F.size(h) - span + edge), lambda i: F.array(*(at(h, i, m, mask) for m, mask in enumerate(masks))))
     return F.flatten(F.element_at(F.transform(F.array(hashes), places), 1))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, tolerance: float = 0.2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", by_text: bool = False) -> DataFrame:
     """Pairs of a document and a benchmark item that overlap: id, item id, n_equal, n_window.
 
-    Words are runs of letters and digits in lower case. An overlap: somewhere around a seed hit, of `window` consecutive
-    words of the item (all, if it has fewer) at most the share `tolerance` differs from the document's words. n_equal is
-    the most equal words in such a window. Items with fewer words than SPAN have no seed and are never found; null and
-    empty texts have no words. Null ids are kept as one id; repeated rows give one pair. `by_text`: pairs
-    are of an id and a text, and the text's xxhash64 comes out as h. Extra columns are not read."""
+    Words are runs of letters and digits in lower case. An overlap: of some `window` consecutive words of the item (all,
+    if it has fewer) at most the share `tolerance` differs from the document's words, or lies beyond its ends. n_equal is
+    the most equal words in such a window around a seed hit. An item of under five words must be there word for word.
+    Null and empty texts have no words and no pairs. Null ids are kept as one id; repeated rows give one pair, as do
+    ties of windows. `by_text`: pairs are of an id and a text, and the text's xxhash64 comes out as h. An empty table on
+    either side gives no rows. Extra columns are not read."""
     whose = ["doc_id", "h"] if by_text else ["doc_id"]
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).where("item_text is not null").withColumn("item", _words("item_text")).drop("item_text").where(F.size("item") >= SPAN)
-    known = items.select("item_id", "item", F.posexplode(_seeds("item")).alias("j", "seed")).withColumn("j", F.floor(F.col("j") / len(MASKS)).cast("int"))
-    seeds, width = known.agg(F.count("*"), F.coalesce(F.sum(F.expr("aggregate(item, 0L, (n, x) -> n + length(x))")), F.lit(0))).first()
-    small = seeds <= MOST_SEEDS and width <= MOST_ITEM_BYTES
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).where("item_text is not null").select("item_id", F.xxhash64("item_text").alias("item_h"), _words("item_text").alias("item")).where(F.size("item") > 0).distinct()
+    items = materialize(items.withColumn("w", F.least(F.lit(window), F.size("item"))), "items")
+    width, count = items.agg(F.coalesce(F.sum(F.expr("aggregate(item, 0L, (n, x) -> n + length(x))")), F.lit(0)), F.coalesce(F.sum(F.size("item")), F.lit(0))).first()
+    small = len(MASKS) * count <= MOST_SEEDS and width <= MOST_ITEM_BYTES
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text")).where("doc_text is not null")
-    tokens = own.select("doc_id", F.xxhash64("doc_text").alias("h"), _words("doc_text").alias("words")).where(F.size("words") >= SPAN)
-    places = tokens.select("doc_id", "h", F.posexplode(_seeds("words")).alias("i", "seed"))
-    spots = known.select("seed", "item_id", "item", "j").distinct()
-    hits = places.join(F.broadcast(spots) if small else spots, "seed").select("doc_id", "h", F.floor(F.col("i") / len(MASKS)).cast("int").alias("i"), "item_id", "item", "j").distinct()
-    hits = materialize(hits, "seed-hits")
+    tokens = own.select("doc_id", F.xxhash64("doc_text").alias("h"), _words("doc_text").alias("words"))
+    found = None
+    for length in sorted(r["w"] for r in items.select("w").distinct().collect()):  # `window` values at most
+        masks, span, may = masks_of(length, tolerance)
+        edge = 0 if length == window else may  # a whole item may lack words at either end of a text
+        n = len(masks)
+        known = items.where(F.col("w") == length).select("item_id", "item_h", F.posexplode(_seeds("item", length, tolerance, 0)).alias("j", "seed"))
+        spots = known.select("seed", "item_id", "item_h", F.floor(F.col("j") / n).cast("int").alias("j"), F.lit(span).alias("span")).distinct()
+        places = tokens.where(F.size("words") >= span - 2 * edge).where(F.size("words") > 0).select("doc_id", "h", F.posexplode(_seeds("words", length, tolerance, edge)).alias("i", "seed")).where("seed is not null")
+        hits = places.join(F.broadcast(spots) if small else spots, "seed").select("doc_id", "h", (F.floor(F.col("i") / n) - edge).cast("int").alias("i"), "item_id", "item_h", "j", "span").distinct()
+        found = hits if found is None else found.union(hits)
+    if found is None:
+        return docs.limit(0).select(F.col(id_col).alias("doc_id"), *([F.xxhash64(text_col).alias("h")] if by_text else [])).join(benchmark.limit(0).select(F.col(item_col).alias("item_id")), F.lit(False)).select(*whose, "item_id", F.lit(0).cast("long").alias("n_equal"), F.lit(0).cast("long").alias("n_window")).withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
+    hits = materialize(found, "seed-hits")
     # texts cross the network once, and are cut into words only where something was hit
     spot = hits.withColumnsRenamed({"doc_id": "hit_id", "h": "hit_h"})
     same = [F.col("doc_id").eqNullSafe(F.col("hit_id")), F.col("h") == F.col("hit_h")]
     texts = own.withColumn("h", F.xxhash64("doc_text"))
     hit_texts = texts.join(spot.select("hit_id", "hit_h").distinct(), same, "left_semi").select("doc_id", "h", _words("doc_text").alias("words"))
-    around = hit_texts.join(spot, same)
-    # the window's length; the item's words before and after the seed that some window with it has, cut to the document
-    shape = around.withColumn("w", F.least(F.lit(window), F.size("item"))).withColumn("lo", F.greatest(F.col("j") - (F.col("w") - SPAN), F.lit(0))).withColumn("hi", F.least(F.col("j") + F.col("w"), F.size("item")))
+    of_item = items.select(F.col("item_id").alias("own_id"), F.col("item_h").alias("own_h"), "item", "w")
+    mine = [F.col("item_id").eqNullSafe(F.col("own_id")), F.col("item_h") == F.col("own_h")]
+    around = hit_texts.join(spot, same).join(F.broadcast(of_item) if small else of_item, mine)
+    # the item's words before and after the seed that some window with it has, cut to the document
+    shape = around.withColumn("lo", F.greatest(F.col("j") - (F.col("w") - F.col("span")), F.lit(0))).withColumn("hi", F.least(F.col("j") + F.col("w"), F.size("item")))
     near = shape.select(*whose, "item_id", "w", F.slice("item", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("a"), F.expr("transform(sequence(lo, hi - 1), p -> if(i - j + p < 0, null, get(words, i - j + p)))").alias("b"))
     equal = near.select(*whose, "item_id", "w", F.expr("zip_with(a, b, (x, y) -> if(x <=> y, 1, 0))").alias("e"))
     best = equal.select(*whose, "item_id", F.col("w").cast("long").alias("n_window"), F.expr("array_max(transform(sequence(1, size(e) - w + 1), s -> aggregate(slice(e, s, w), 0, (n, x) -> n + x)))").cast("long").alias("n_equal"))
-    found = best.where(F.col("n_window") - F.col("n_equal") <= F.floor(F.col("n_window") * tolerance))
-    out = found.groupBy(*whose, "item_id").agg(F.max("n_equal").alias("n_equal"), F.max("n_window").alias("n_window"))
+    enough = best.where(F.col("n_window") - F.col("n_equal") <= F.floor(F.col("n_window") * tolerance))
+    # an id may stand for items of several lengths: the best of the longest window
+    out = enough.groupBy(*whose, "item_id").agg(F.max(F.struct("n_window", "n_equal")).alias("x")).select(*whose, "item_id", "x.n_equal", "x.n_window")
     return out.withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
 
 
@@ -70,21 +101,34 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def _sql_hits() -> str:
+    """Pairs of places with equal words under a mask, for items of 13 words and more, and of each smaller number."""
+    out = []
+    for length in range(1, 14):
+        masks, span, may = masks_of(length, 0.2)
+        edge = 0 if length == 13 else may
+        kind = "len(item) >= 13" if length == 13 else f"len(item) = {length}"
+        last = "len(item) - 9" if length == 13 else "1"
+        b = f"(select item_id, item, unnest(range(0, {last})) as j from b where {kind})"
+        d = f"(select doc_id, words, unnest(range({-edge}, len(words) - {span} + {edge} + 1)) as i from d where len(words) >= {span - 2 * edge} and exists (select 1 from b where {kind}))"
+        for mask in masks:
+            on = " and ".join(f"words[i + {o + 1}] = item[j + {o + 1}]" for o in mask)
+            out.append(f"select doc_id, words, i, item_id, item, j, {span} as span from {d} join {b} on {on} where i + {mask[0]} >= 0")
+    return " union ".join(out)
+
+
 #: The same rows in DuckDB SQL; seeds are compared as text.
 OP1_SQL = (
     r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as words from documents where text is not null),
 b as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as item from benchmark where text is not null),
-di as (select doc_id, words, unnest(range(0, len(words) - 9)) as i from d where len(words) >= 10),
-bi as (select item_id, item, unnest(range(0, len(item) - 9)) as j from b where len(item) >= 10),
 hits as ("""
-    + " union ".join(
-        "select doc_id, words, i, item_id, item, j from di join bi on " + " and ".join(f"words[i + {o + 1}] = item[j + {o + 1}]" for o in mask) for mask in MASKS
-    )
+    + _sql_hits()
     + r"""),
-s as (select *, least(13, len(item)) as w, greatest(j - (least(13, len(item)) - 10), 0) as lo, least(j + least(13, len(item)), len(item)) as hi from hits),
+s as (select *, least(13, len(item)) as w, greatest(j - (least(13, len(item)) - span), 0) as lo, least(j + least(13, len(item)), len(item)) as hi from hits),
 e as (select doc_id, item_id, w, list_transform(range(lo, hi), lambda p: case when i - j + p >= 0 and i - j + p < len(words) and words[i - j + p + 1] = item[p + 1] then 1 else 0 end) as e from s),
-best as (select doc_id, item_id, w, list_max(list_transform(range(1, len(e) - w + 2), lambda s: list_sum(e[s:s + w - 1]))) as n from e)
-select doc_id, item_id, cast(max(n) as bigint) as n_equal, cast(max(w) as bigint) as n_window from best where w - n <= floor(w * 0.2) group by 1, 2
+best as (select doc_id, item_id, w, list_max(list_transform(range(1, len(e) - w + 2), lambda s: list_sum(e[s:s + w - 1]))) as n from e),
+found as (select doc_id, item_id, w, max(n) as n from best where w - n <= floor(w * 0.2) group by 1, 2, 3)
+select doc_id, item_id, cast(n as bigint) as n_equal, cast(w as bigint) as n_window from found qualify row_number() over (partition by doc_id, item_id order by w desc) = 1
 """
 )

@@ -11,6 +11,7 @@ row counts of the pieces give every piece its first slot.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from .base import materialize, read_table
 
 LOW, SPAN = -(2**63), 2**64
 PROBES = 48
-MOST_PIECES = 4096
+MOST_PIECES = 1 << 16
 
 
 def _split(key: int) -> tuple[int, int]:
@@ -45,20 +46,30 @@ def _below(k: np.ndarray, d: np.ndarray, probes: list[int]) -> np.ndarray:
 def _histogram(keyed: DataFrame, probes: list[int]) -> list[tuple[int, int, int | None, int | None]]:
     """Exact (bytes, rows) below each probe, and the least and greatest key from it to the next probe (None: no row).
 
-    The result has one row a probe, however large the table is."""
+    A task folds its batches and emits a row a probe at most; the result has one row a probe, however large the table is."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(probes)
+        size, rows, seen = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        k0, d0, k1, d1 = (np.zeros(n, np.int64) for _ in range(4))
         for batch in batches:
             if not batch.num_rows:
                 continue
             k, d, s = _sorted(batch)
             at = _below(k, d, probes)
-            total = np.concatenate([[0], np.cumsum(s)])
+            size += np.concatenate([[0], np.cumsum(s)])[at]
+            rows += at
             until = np.append(at[1:], len(k))
-            has = until > at
-            first, last = np.minimum(at, len(k) - 1), np.maximum(until - 1, 0)
-            mask = ~has
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(probes), dtype=np.int32)), pa.array(total[at]), pa.array(at), pa.array(k[first], mask=mask), pa.array(d[first], mask=mask), pa.array(k[last], mask=mask), pa.array(d[last], mask=mask)], names=["i", "b", "r", "k0", "d0", "k1", "d1"])
+            has = np.flatnonzero(until > at)
+            a, z = at[has], until[has] - 1
+            less = ~seen[has] | (k[a] < k0[has]) | ((k[a] == k0[has]) & (d[a] < d0[has]))
+            more = ~seen[has] | (k[z] > k1[has]) | ((k[z] == k1[has]) & (d[z] > d1[has]))
+            k0[has[less]], d0[has[less]] = k[a[less]], d[a[less]]
+            k1[has[more]], d1[has[more]] = k[z[more]], d[z[more]]
+            seen[has] = True
+        some = np.flatnonzero(rows | seen)
+        mask = ~seen[some]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(size[some]), pa.array(rows[some]), *(pa.array(x[some], mask=mask) for x in (k0, d0, k1, d1))], names=["i", "b", "r", "k0", "d0", "k1", "d1"])
 
     rows = (
         keyed.mapInArrow(count, "i int, b long, r long, k0 long, d0 long, k1 long, d1 long").groupBy("i")
@@ -86,11 +97,10 @@ def find_splitters(keyed: DataFrame, total: int, targets: list[int], tolerances:
         counted = list(zip(ordered, _histogram(keyed, ordered), strict=True))
         for i in open_:
             lo, hi, _, _ = interval[i]
-            for p, (b, *_) in counted:
-                if lo <= p <= hi:
-                    best[i] = min(best[i], (abs(b - targets[i]), p))
-            under = [(p, x) for p, x in counted if lo <= p <= hi and x[0] <= targets[i]]
-            over = [p for p, x in counted if lo <= p <= hi and x[0] > targets[i]]
+            own = counted[bisect_left(ordered, lo) : bisect_right(ordered, hi)]
+            best[i] = min(best[i], *((abs(b - targets[i]), p) for p, (b, *_) in own))
+            under = [(p, x) for p, x in own if x[0] <= targets[i]]
+            over = [p for p, x in own if x[0] > targets[i]]
             p, (_, _, least, most) = under[-1]
             # the keys in [p, next probe) are all that is left: cut at the least, or after one of them
             if least is None or best[i][0] <= tolerances[i]:
@@ -114,7 +124,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.0005,
         docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("d")), "shard-keys"
     )
     total = keyed.agg(F.sum("size")).first()[0] or 0
-    per = max(8, min(MOST_PIECES // shards, -(-total // (shards * piece_bytes))))
+    per = max(8, min(max(8, MOST_PIECES // shards), -(-total // (shards * piece_bytes))))
     pieces = shards * per
     targets = [total * i // pieces for i in range(1, pieces)]
     tight, loose = max(1, int(total / shards * tolerance)), max(1, total // pieces // 10)
@@ -136,7 +146,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.0005,
 
     placed = keyed.mapInArrow(place, "doc_id long, size long, text_crc32 long, k long, d long, piece int")
     slot = F.row_number().over(Window.partitionBy("piece").orderBy("k", "d")) - 1
-    return placed.repartition(pieces, "piece").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.floor(F.col("piece") / per).cast("int").alias("shard"), (slot + F.element_at(F.array(*[F.lit(x).cast("long") for x in first]), F.col("piece") + 1)).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    starts = docs.sparkSession.createDataFrame(list(enumerate(first)), "piece int, first long")  # as many rows as pieces, MOST_PIECES at most
+    numbered = placed.repartition(pieces, "piece").withColumn("slot", slot).join(F.broadcast(starts), "piece")
+    shard = F.floor(F.col("piece") / per).cast("int").alias("shard")
+    return numbered.select(F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), shard, (F.col("slot") + F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,9 @@
 """Lossless WebP images in binary columns: a batch decoder, and an encoder for byte payloads.
 
+A text is one image, 16 pixels (64 bytes) wide, up to 16,384 rows; the rest of a longer one is in further files after
+it. The encoder looks at each image's content: few colours get a palette with packed pixels, pixels that resemble their
+left or upper neighbours the predictor, and pixels come as literals, hits of the colour cache, or copies of earlier ones.
+
 The decoder runs many images in lockstep: at each step every image that isn't finished gets one more pixel, by array
 look-ups over all of them. It knows prefix codes (simple and normal, several groups through an entropy image),
 back-references and the colour cache, and inverts the predictor, cross-colour, subtract-green and palette transforms.
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, read_table, text_bytes
+from .base import chunks, mix, read_table, text_bytes
 
 #: Fixed values of the format: the order of code-length code lengths.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -45,6 +49,10 @@ class Bits:
         self.at += n
         return out
 
+    def peek(self, n: int) -> int:
+        """The next n bits; zeros where the data end."""
+        return int.from_bytes(self.data[self.at >> 3 : (self.at + n + 7) >> 3], "little") >> (self.at & 7) & ((1 << n) - 1)
+
     def symbol(self, table: np.ndarray) -> int:
         a = self.at >> 3
         entry = int(table[int.from_bytes(self.data[a : a + 3], "little") >> (self.at & 7) & 0x7FFF])
@@ -122,7 +130,12 @@ class Stream:
     out_width: int = 0
 
 
-def read_stream(bits: Bits, width: int, height: int, main: bool) -> Stream:
+def read_stream(bits: Bits, width: int, height: int, main: bool, known: dict | None = None) -> Stream:
+    """`known`: code tables met before, by the bits that describe them (no entropy image), so that they aren't built again."""
+    for (as_main, n, blob), (cache_bits, tables) in (known or {}).items():
+        if as_main == main and bits.peek(n) == blob:
+            return Stream(width, height, bits.at + n, cache_bits, tables)
+    begin = bits.at
     cache_bits = bits.take(4) if bits.take(1) else 0
     groups, n = None, 1
     if main and bits.take(1):
@@ -133,17 +146,21 @@ def read_stream(bits: Bits, width: int, height: int, main: bool) -> Stream:
         groups = of[np.arange(height)[:, None] >> by, np.arange(width)[None, :] >> by].ravel()
         n = int(of.max()) + 1
     tables = np.stack([np.stack([read_code(bits, k) for k in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)]) for _ in range(n)])
+    if known is not None and groups is None and len(known) < 32:
+        n = bits.at - begin
+        bits.at = begin
+        known[main, n, bits.take(n)] = cache_bits, tables
     return Stream(width, height, bits.at, cache_bits, tables, groups)
 
 
-def sub_image(bits: Bits, width: int, height: int) -> np.ndarray:
-    stream = read_stream(bits, width, height, False)
+def sub_image(bits: Bits, width: int, height: int, known: dict | None = None) -> np.ndarray:
+    stream = read_stream(bits, width, height, False, known)
     pixels, ends = decode_lanes(bits.data, [stream], [stream.at])
     bits.at = int(ends[0])
     return pixels[0]
 
 
-def read_header(data: bytes, offset: int) -> Stream:
+def read_header(data: bytes, offset: int, known: dict | None = None) -> Stream:
     """The stream of the VP8L data that begins at byte `offset`."""
     bits = Bits(data, 8 * offset)
     if bits.take(8) != 0x2F:
@@ -156,16 +173,16 @@ def read_header(data: bytes, offset: int) -> Stream:
         kind = bits.take(2)
         if kind in (PREDICTOR, CROSS_COLOUR):
             by = bits.take(3) + 2
-            transforms.append((kind, own, by, sub_image(bits, -((-own) >> by), -((-height) >> by))))
+            transforms.append((kind, own, by, sub_image(bits, -((-own) >> by), -((-height) >> by), known)))
         elif kind == PALETTE:
             n = bits.take(8) + 1
-            colours = np.cumsum(sub_image(bits, n, 1).view(np.uint8).reshape(-1, 4), axis=0, dtype=np.uint8).view(np.uint32).ravel()
+            colours = np.cumsum(sub_image(bits, n, 1, known).view(np.uint8).reshape(-1, 4), axis=0, dtype=np.uint8).view(np.uint32).ravel()
             pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             transforms.append((kind, own, pack, colours))
             own = -((-own) >> pack)
         else:
             transforms.append((kind, own, 0, None))
-    stream = read_stream(bits, own, height, True)
+    stream = read_stream(bits, own, height, True, known)
     stream.transforms, stream.out_width = transforms, width
     return stream
 
@@ -310,6 +327,13 @@ def undo_predictor(px: np.ndarray, width: int, by: int, modes: np.ndarray) -> np
     x = px.view(np.uint8).reshape(height, width, 4).astype(np.int32)
     mode = (modes >> 8 & 15).reshape(-1, -((-width) >> by))
     x[0, 0] = (x[0, 0] + (0, 0, 0, 255)) & 255
+    if mode.min() == mode.max() and mode.min() in (1, 2):  # the whole image at once: sums along rows, or along columns
+        along = 1 if mode.min() == 1 else 0
+        edge = x[:, 0] if along else x[0]
+        edge[:] = np.cumsum(edge, axis=0)
+        return np.cumsum(x, axis=along).astype(np.uint8).reshape(-1).view(np.uint32)
+    x[0, 0] = (x[0, 0] - (0, 0, 0, 255)) & 255
+    x[0, 0] = (x[0, 0] + (0, 0, 0, 255)) & 255
     x[0, 1:] = np.cumsum(x[0], axis=0)[1:] & 255
     for i in range(1, height):
         x[i, 0] = (x[i, 0] + x[i - 1, 0]) & 255
@@ -371,7 +395,7 @@ def files_in(data: bytes) -> list[int]:
 
 
 def decode_batch(media: list[bytes], known: dict | None = None) -> list[list[np.ndarray]]:
-    """For each value its images as height x width x 4 arrays (B, G, R, A). `known`: headers seen before, by their bytes."""
+    """For each value its images as height x width x 4 arrays (B, G, R, A). `known`: code tables seen before."""
     joined = b"".join(media)
     streams, offset = [], 0
     counts = []
@@ -379,7 +403,7 @@ def decode_batch(media: list[bytes], known: dict | None = None) -> list[list[np.
     for m in media:
         at = files_in(m)
         counts.append(len(at))
-        streams += [_known_header(joined, offset + a, known) for a in at]
+        streams += [read_header(joined, offset + a, known) for a in at]
         offset += len(m)
     if not streams:
         return [[] for _ in media]
@@ -392,29 +416,18 @@ def decode_batch(media: list[bytes], known: dict | None = None) -> list[list[np.
     return out
 
 
-def _known_header(data: bytes, at: int, known: dict) -> Stream:
-    """read_header, but code tables met before (in images without transforms or entropy image) aren't built again."""
-    body = 8 * (at + 5)
-    for (n, blob), (cache_bits, tables) in known.items():
-        size = (n + 7) >> 3
-        if int.from_bytes(data[at + 5 : at + 5 + size], "little") & ((1 << n) - 1) == blob:
-            dims = Bits(data, 8 * at + 8)
-            w, h = dims.take(14) + 1, dims.take(14) + 1
-            return Stream(w, h, body + n, cache_bits, tables, out_width=w)
-    stream = read_header(data, at)
-    if not stream.transforms and stream.groups is None and len(known) < 16:
-        n = stream.at - body
-        known[n, int.from_bytes(data[at + 5 : at + 5 + ((n + 7) >> 3)], "little") & ((1 << n) - 1)] = stream.cache_bits, stream.tables
-    return stream
-
-
 # ---------------------------------------------------------------------------------------------------------------------
-# The encoder: every 64 bytes are a row of 16 pixels, so green, red, blue and alpha are payload bytes. One fixed set of
-# prefix codes serves all images; pixels come as literals, hits of the colour cache, or runs of the pixel to the left.
+# The encoder: every 64 bytes are a row of 16 pixels, so green, red, blue and alpha are payload bytes. Fixed sets of prefix
+# codes serve all images: one for texts, one for residuals of the predictor, which are mostly 0.
 
-WIDTH, ROWS, CACHE_BITS = 16, 64, 8
-TILE = WIDTH * ROWS * 4
-RUN = 4
+WIDTH, MOST_ROWS, CACHE_BITS = 16, 1 << 14, 8
+MOST_BYTES = 4 * WIDTH * MOST_ROWS
+#: Pixels that a copy has at least and at most.
+COPY, MOST_COPY = 4, 4096
+#: A palette with at most so many colours is tried, in images of so many pixels at least.
+COLOURS, LEAST_PIXELS = 16, 128
+#: Bits that the predictor must save.
+OVERHEAD = 512
 
 
 def huffman_lengths(weights: list[int]) -> list[int]:
@@ -470,25 +483,52 @@ def _limited(weights: list[int], most: int) -> list[int]:
     return lengths
 
 
-@cache
-def encoder() -> tuple[list[tuple[int, int]], list[tuple[np.ndarray, np.ndarray]]]:
-    """Fields of the common header; for green (with lengths and cache) and for the other channels, codes and lengths."""
-    each = byte_weights()
-    total = sum(each)
-    green = _limited([8 * w for w in each] + [1] * 24 + [max(1, total // 120)] * (1 << CACHE_BITS), 15)
-    plain = _limited(each, 15)
-    fields = [(0, 1), (1, 1), (CACHE_BITS, 4), (0, 1), *_code_bits(green), *(_code_bits(plain) * 3), (1, 1), (0, 1), (0, 1), (1, 1)]
-    coded = []
-    for lengths in (green, plain):
-        codes = canonical(lengths)
-        coded.append((np.array([codes.get(s, (0, 0))[0] for s in range(len(lengths))], np.uint64), np.array([codes.get(s, (0, 0))[1] for s in range(len(lengths))], np.uint64)))
-    value, n, packed = 0, 0, []
+def residual_weights() -> list[int]:
+    """A rule for differences of neighbouring pixels that resemble each other: 0 mostly, small ones sometimes."""
+    return [4096 if b == 0 else 64 if min(b, 256 - b) < 8 else 4 for b in range(256)]
+
+
+def _packed(fields: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(value, bits) fields as fields of 32 bits and a rest."""
+    value, n = 0, 0
     for v, k in fields:
         value |= v << n
         n += k
-    for i in range(0, n, 32):
-        packed.append((value >> i & 0xFFFFFFFF, min(32, n - i)))
-    return packed, coded
+    return [(value >> i & 0xFFFFFFFF, min(32, n - i)) for i in range(0, n, 32)]
+
+
+def _codes(lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    codes = canonical(lengths)
+    return tuple(np.array([codes.get(s, (0, 0))[i] for s in range(len(lengths))], np.uint64) for i in range(2))
+
+
+@cache
+def encoder(kind: str) -> tuple[list[tuple[int, int]], tuple, tuple, tuple]:
+    """For "text" or "residual": fields of the codes' description; codes and lengths of green (with lengths and cache), of the other channels, and of distances."""
+    each = byte_weights() if kind == "text" else residual_weights()
+    total = sum(each)
+    green = _limited([8 * w for w in each] + [max(1, total // 200)] * 24 + [max(1, total // 120)] * (1 << CACHE_BITS), 15)
+    plain = _limited(each, 15)
+    far = _limited([1 + i // 4 for i in range(40)], 15)
+    fields = [(1, 1), (CACHE_BITS, 4), (0, 1), *_code_bits(green), *(_code_bits(plain) * 3), *_code_bits(far)]
+    return _packed(fields), _codes(green), _codes(plain), _codes(far)
+
+
+NOTHING = [(1, 1), (0, 1), (0, 1), (0, 1)]  # a code with the one symbol 0
+
+
+def predictor_fields(mode: int) -> list[tuple[int, int]]:
+    """One mode for the whole image, in blocks of 512 by 512."""
+    return [(1, 1), (PREDICTOR, 2), (7, 3), (0, 1), (1, 1), (0, 1), (1, 1), (mode, 8), *(NOTHING * 4)]
+
+
+def palette_fields(colours: np.ndarray) -> list[tuple[int, int]]:
+    """Colours as differences, each byte by a code of eight bits."""
+    flat = [8] * 256
+    values = canonical(flat)
+    steps = np.diff(colours.view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), np.uint8))
+    bytes_ = [values[int(x[i])] for x in steps for i in (1, 2, 0, 3)]
+    return [(1, 1), (PALETTE, 2), (len(colours) - 1, 8), (0, 1), *_code_bits([*flat, *[0] * 24]), *(_code_bits(flat) * 3), *NOTHING, *bytes_]
 
 
 def _pack_bits(values: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -509,32 +549,60 @@ def _pack_bits(values: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tupl
     return out[:-1], begin, bits
 
 
-def encode_tiles(payload: np.ndarray, tiles: np.ndarray) -> list[bytes]:
-    """A WebP file for each tile: `tiles` are its bytes in `payload` (multiples of 64, TILE at most), end to end."""
-    header, ((gc, gn), (pc, pn)) = encoder()
-    px = payload.view(np.uint32)
-    count = tiles // 4
+def _prefix(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths or distances from 1 on as prefix symbol, extra bits' number and value."""
+    m = v - 1
+    high = np.where(m < 4, 0, np.frexp(np.maximum(m, 1).astype(np.float64))[1] - 1)
+    extra = np.where(m < 4, 0, high - 1)
+    symbol = np.where(m < 4, m, 2 * high + (m >> np.maximum(high - 1, 0) & 1))
+    return symbol, extra, np.where(m < 4, 0, m & ((1 << extra) - 1))
+
+
+def _copies(px: np.ndarray, image: np.ndarray) -> list[tuple[int, int, int]]:
+    """(pixel, length, distance) of copies of earlier pixels of the same image, in order and apart.
+
+    Places where the next COPY pixels were last seen at one distance make a run."""
+    n = len(px) - COPY + 1
+    if n < 2:
+        return []
+    h = image[:n].astype(np.uint64)
+    for j in range(COPY):
+        h = mix(h) + px[j : j + n]
+    order = np.argsort(h, kind="stable")
+    order = order[image[order] == image[order + COPY - 1]]
+    back = np.zeros(n, np.int64)
+    same = h[order[1:]] == h[order[:-1]]
+    here, before = order[1:][same], order[:-1][same]
+    equal = image[here] == image[before]
+    for j in range(COPY):
+        equal &= px[here + j] == px[before + j]
+    back[here[equal]] = (here - before)[equal]
+    found = back > 0
+    begins = np.flatnonzero(found & np.append(True, back[1:] != back[:-1]))
+    ends = np.append(np.flatnonzero(np.append(back[1:] != back[:-1], True) & found), 0)[: len(begins)] + COPY
+    out, free = [], 0
+    for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+        d, a = int(back[a]), max(a, free)
+        while b - a >= COPY:
+            k = min(b - a, MOST_COPY)
+            out.append((a, k, d))
+            a = free = a + k
+    return out
+
+
+def _emit(px: np.ndarray, count: np.ndarray, height: np.ndarray, kind: str, transforms: list[list[tuple[int, int]]]) -> list[bytes]:
+    """A WebP file for each image: `count` are its (perhaps packed) pixels in `px`, end to end; `height` its rows."""
+    header, (gc, gn), (pc, pn), (dc, dn) = encoder(kind)
     first = np.cumsum(count) - count
-    n = len(px)
-    tile = np.repeat(np.arange(len(tiles)), count)
-    start = np.zeros(n, bool)
-    start[first] = True
-    same = np.zeros(n, bool)
-    same[1:] = (px[1:] == px[:-1]) & ~start[1:]
-    # runs of the pixel to the left
-    head = np.flatnonzero(same & ~np.concatenate([[False], same[:-1]]))
-    tail = np.flatnonzero(same & ~np.concatenate([same[1:], [False]])) + 1
-    long = tail - head >= RUN
-    head, length = head[long], (tail - head)[long]
+    n, k = len(px), len(count)
+    image = np.repeat(np.arange(k), count)
     # the colour cache holds the last pixel with each key
     key = ((px * HASH) >> np.uint32(32 - CACHE_BITS)).astype(np.int64)
-    order = np.argsort(tile << CACHE_BITS | key, kind="stable")
-    group = (tile << CACHE_BITS | key)[order]
+    group = image << CACHE_BITS | key
+    order = np.argsort(group, kind="stable")
+    group = group[order]
     hit = np.zeros(n, bool)
     hit[order[1:]] = (group[1:] == group[:-1]) & (px[order[1:]] == px[order[:-1]])
-    emit = np.ones(n, bool)
-    for h, k in zip(head.tolist(), length.tolist(), strict=True):
-        emit[h + 1 : h + k] = False
     c = px.view(np.uint8).reshape(-1, 4)
     b, g, r, a = (c[:, i].astype(np.intp) for i in range(4))
     values, sizes = gc[g].copy(), gn[g].copy()
@@ -542,26 +610,33 @@ def encode_tiles(payload: np.ndarray, tiles: np.ndarray) -> list[bytes]:
         values |= pc[ch] << sizes
         sizes += pn[ch]
     values[hit], sizes[hit] = gc[280 + key[hit]], gn[280 + key[hit]]
-    if len(head):
-        m = length - 1
-        high = np.where(m < 4, 0, np.frexp(np.maximum(m, 1).astype(np.float64))[1] - 1)
-        extra = np.where(m < 4, 0, high - 1)
-        prefix = np.where(m < 4, m, 2 * high + (m >> np.maximum(high - 1, 0) & 1))
-        add = np.where(m < 4, 0, m & ((1 << extra) - 1))
-        values[head] = gc[256 + prefix] | add.astype(np.uint64) << gn[256 + prefix]
-        sizes[head] = gn[256 + prefix] + extra.astype(np.uint64)
+    emit = np.ones(n, bool)
+    if copies := _copies(px, image):
+        at, length, distance = (np.array(x, np.int64) for x in zip(*copies, strict=True))
+        edges = np.zeros(n + 1, np.int64)
+        edges[at + 1] += 1
+        edges[at + length] -= 1
+        emit = np.cumsum(edges)[:n] == 0
+        total, bits = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        for (codes, lengths), base, v in (((gc, gn), 256, length), ((dc, dn), 0, distance + 120)):
+            symbol, extra, add = _prefix(v)
+            total |= codes[base + symbol] << bits
+            bits += lengths[base + symbol]
+            total |= add.astype(np.uint64) << bits
+            bits += extra.astype(np.uint64)
+        values[at], sizes[at] = total, bits
     values, sizes = values[emit], sizes[emit]
     kept = np.cumsum(np.concatenate([[0], emit]))[first]
-    k = len(tiles)
-    head_fields = [(np.full(k, 0x2F | (WIDTH - 1) << 8, np.uint64) | (count // WIDTH - 1).astype(np.uint64) << np.uint64(22) | np.uint64(1 << 36), 40)] + [(np.full(k, v, np.uint64), s) for v, s in header]
-    lead = len(head_fields)
+    heads = [[*_packed([(0x2F, 8), (WIDTH - 1, 14), (h - 1, 14), (1, 1), (0, 3), *own, (0, 1)]), *header] for h, own in zip(height.tolist(), transforms, strict=True)]
+    lead = np.array([len(x) for x in heads])
     each = np.diff(np.append(kept, len(values))) + lead
     at = np.cumsum(each) - each
     every, every_n = np.zeros(int(each.sum()), np.uint64), np.zeros(int(each.sum()), np.uint64)
+    own = np.repeat(at, lead) + np.arange(lead.sum()) - np.repeat(np.cumsum(lead) - lead, lead)
+    flat = np.array([x for h in heads for x in h], np.uint64)
+    every[own], every_n[own] = flat[:, 0], flat[:, 1]
     body = np.ones(len(every), bool)
-    for i, (v, s) in enumerate(head_fields):
-        every[at + i], every_n[at + i] = v, s
-        body[at + i] = False
+    body[own] = False
     every[body], every_n[body] = values, sizes
     words, begin, bits = _pack_bits(every, every_n, at)
     raw = words.astype("<u8").tobytes()
@@ -573,12 +648,60 @@ def encode_tiles(payload: np.ndarray, tiles: np.ndarray) -> list[bytes]:
     return out
 
 
+def _residuals(px: np.ndarray, row: np.ndarray) -> dict[int, np.ndarray]:
+    """What the predictor leaves of pixels by left (1) and by upper (2) neighbours; `row`: each pixel's row in its image."""
+    c = px.view(np.uint8).reshape(-1, WIDTH, 4)
+    left, top = c.copy(), c.copy()
+    head, rest = row[::WIDTH] == 0, row[::WIDTH] > 0
+    left[:, 1:] -= c[:, :-1]
+    up = np.zeros_like(c)
+    up[1:] = c[:-1]
+    left[rest, 0] -= up[rest, 0]
+    top[rest] -= up[rest]
+    top[head, 1:] -= c[head, :-1]
+    for x in (left, top):
+        x[head, 0, 3] -= np.uint8(255)  # the first pixel's prediction is opaque black
+    return {1: left.reshape(-1).view(np.uint32), 2: top.reshape(-1).view(np.uint32)}
+
+
+def encode_images(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """A WebP file for each image: `sizes` are its bytes in `payload` (multiples of 64, MOST_BYTES at most), end to end."""
+    px, count = payload.view(np.uint32), sizes // 4
+    first = np.cumsum(count) - count
+    image = np.repeat(np.arange(len(count)), count)
+    # the number of colours
+    order = np.lexsort((px, image))
+    new = np.ones(len(px), bool)
+    new[1:] = (px[order[1:]] != px[order[:-1]]) | (image[order[1:]] != image[order[:-1]])
+    colours = np.bincount(image[order[new]], minlength=len(count))
+    # bits of literals by the codes for texts, or for residuals
+    bits = lambda x, kind: np.add.reduceat((lambda c, g, p: g[c[:, 1]] + p[c[:, 0]] + p[c[:, 2]] + p[c[:, 3]])(x.view(np.uint8).reshape(-1, 4), encoder(kind)[1][1][:256].astype(np.int64), encoder(kind)[2][1].astype(np.int64)), first)
+    left = _residuals(px, (np.arange(len(px)) - np.repeat(first, count)) // WIDTH)
+    cost = np.stack([bits(px, "text"), bits(left[1], "residual") + OVERHEAD, bits(left[2], "residual") + OVERHEAD])
+    mode = cost.argmin(axis=0)
+    palette = (colours <= COLOURS) & (count >= LEAST_PIXELS)
+    mode[palette] = 3
+    out: list[bytes] = [b""] * len(count)
+    for m, kind in ((0, "text"), (1, "residual"), (2, "residual")):
+        if len(own := np.flatnonzero(mode == m)):
+            pixels = (left[m] if m else px)[np.isin(image, own)] if len(own) < len(count) else (left[m] if m else px)
+            for i, f in zip(own.tolist(), _emit(pixels, count[own], count[own] // WIDTH, kind, [predictor_fields(m) if m else []] * len(own)), strict=True):
+                out[i] = f
+    for i in np.flatnonzero(mode == 3).tolist():
+        known, index = np.unique(px[first[i] : first[i] + count[i]], return_inverse=True)
+        pack = 3 if len(known) <= 2 else 2 if len(known) <= 4 else 1
+        each = 1 << pack
+        packed = (index.reshape(-1, each).astype(np.uint32) << (np.arange(each) * (8 >> pack)).astype(np.uint32)).sum(axis=1).astype(np.uint32)
+        [out[i]] = _emit(packed << np.uint32(8) | np.uint32(255 << 24), np.array([len(packed)]), count[i : i + 1] // WIDTH, "residual", [palette_fields(known)])
+    return out
+
+
 def encode_payloads(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Each payload (of `sizes` bytes, multiples of 64) as one WebP file for every TILE bytes, one after another."""
-    n = -(-sizes // TILE)
-    tiles = np.full(int(n.sum()), TILE, np.int64)
-    tiles[np.cumsum(n) - 1] = sizes - (n - 1) * TILE
-    files = encode_tiles(payload, tiles)
+    """Each payload (of `sizes` bytes, multiples of 64) as one WebP file; beyond MOST_BYTES as several, one after another."""
+    n = -(-sizes // MOST_BYTES)
+    parts = np.full(int(n.sum()), MOST_BYTES, np.int64)
+    parts[np.cumsum(n) - 1] = sizes - (n - 1) * MOST_BYTES
+    files = encode_images(payload, parts)
     edge = np.concatenate([[0], np.cumsum(n)]).tolist()
     return [b"".join(files[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
@@ -608,6 +731,8 @@ def read_payloads(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
+            # images are decoded in lockstep: those of like size go together
+            batch = batch.take(pa.array(np.argsort(np.diff(text_bytes(batch.column(1))[1]), kind="stable")))
             _, offsets = text_bytes(batch.column(1))
             for a, b in chunks(offsets, 4 << 20):
                 media = batch.column(1).slice(a, b - a).to_pylist()

@@ -29,10 +29,12 @@ from .pretoken import Pretokens
 
 CHUNK_BYTES = 3 << 20
 MERGE_GROUP = 1 << 15
+#: Longer pre-tokens (code points) aren't kept in the worker's cache, so that it is bounded in bytes.
+MOST_CHARS = 256
 _KEPT: dict = {}
 
 
-def _tools(path: str) -> tuple[Tokenizer, Pretokens, dict[int, bytes]]:
+def _tools(path: str) -> tuple[Tokenizer, Pretokens, dict[str, bytes]]:
     if path not in _KEPT:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads wait for each other
         lib = Tokenizer.from_file(path)
@@ -47,17 +49,17 @@ def encode_ids(texts: list[str], path: str, cache_size: int = 1 << 18) -> tuple[
     plain = ["" if o else t for t, o in zip(texts, odd, strict=True)]
     code, starts, ends, each = pre.cut(plain)
     joined = "".join(plain)
-    found, at, back = np.unique(pre.hashes(code, starts, ends), return_index=True, return_inverse=True)
-    ids = [cache.get(h) for h in found.tolist()]
+    at, back = pre.distinct(code, starts, ends)
+    words = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+    ids = list(map(cache.get, words))
     miss = [k for k, x in enumerate(ids) if x is None]
     if len(cache) + len(miss) > cache_size:
         cache.clear()
     for a in range(0, len(miss), 20_000):
         some = miss[a : a + 20_000]
-        words = [joined[s:e] for s, e in zip(starts[at[some]].tolist(), ends[at[some]].tolist(), strict=True)]
-        for k, e in zip(some, lib.encode_batch_fast(words, add_special_tokens=False), strict=True):
+        for k, e in zip(some, lib.encode_batch_fast([words[k] for k in some], add_special_tokens=False), strict=True):
             ids[k] = array("I", e.ids).tobytes()
-    cache.update(zip(found[miss].tolist(), (ids[k] for k in miss), strict=True))
+    cache.update((words[k], ids[k]) for k in miss if len(words[k]) <= MOST_CHARS)
     flat = np.frombuffer(b"".join(ids), np.uint32)
     n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     begin = np.cumsum(n) - n

@@ -11,7 +11,7 @@ import unicodedata
 
 import numpy as np
 
-from .base import Rolling, mix
+from .base import Rolling, mix, ragged
 
 LETTER, NUMBER, SPACE, OTHER, ODD = 1, 2, 3, 0, 4
 #: The code points with the White_Space property.
@@ -99,10 +99,26 @@ class Pretokens:
             after = after[kind[after] == LETTER]
             begins[after] = True
 
+    def distinct(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One place of each distinct pre-token, and for each pre-token the number of its place. They are brought together
+        by hash, and compared with their place's code points; one that differs gets a place of its own."""
+        _, at, back = np.unique(self.hashes(code, starts, ends), return_index=True, return_inverse=True)
+        n, like = ends - starts, at[back]
+        even = np.flatnonzero(n == n[like])
+        differ = np.ones(len(n), bool)
+        if len(even):
+            first = np.cumsum(n[even]) - n[even]
+            differ[even] = np.logical_or.reduceat(code[ragged(starts[even], n[even])] != code[ragged(starts[like[even]], n[even])], first)
+        own: dict[bytes, int] = {}
+        more: list[int] = []
+        for k in np.flatnonzero(differ).tolist():
+            name = code[starts[k] : ends[k]].tobytes()
+            if name not in own:
+                own[name] = len(at) + len(more)
+                more.append(k)
+            back[k] = own[name]
+        return np.concatenate([at, np.array(more, np.int64)]), back
+
     def hashes(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         sums = self.rolling.sums(mix(code.astype(np.uint64) + np.uint64(0x51ED27)))
         return self.rolling.between(sums, starts, ends)
-
-
-def string_of(code: np.ndarray, start: int, end: int) -> str:
-    return code[start:end].tobytes().decode("utf-32-le", "surrogatepass")

@@ -2,13 +2,15 @@
 
 First pass: every partition counts its pre-tokens in a summary of bounded size (when the summary is full, all counts
 are lowered until half of it is free, so a pre-token that is frequent in a partition is never lost). The summaries are
-summed and the most frequent `table_size` pre-tokens, with their token counts, are broadcast as two sorted arrays of
-known size; pre-tokens above MOST_CHARS stay out of both, so that summaries are bounded in bytes, and are encoded. Second pass: each batch looks its distinct pre-tokens up there, then in the worker's own bounded cache, and
-encodes what is left. No pre-token is shuffled; the summaries are at most `summary_size` rows a partition.
+summed, and of at most `table_size` of the most frequent pre-tokens the token counts are broadcast in a hash table by
+pre-token. Those above MOST_CHARS stay out of summaries, table and caches, so that these are bounded in bytes. Second
+pass: each batch looks its distinct pre-tokens up there, then in the worker's own bounded cache, and encodes what is
+left. No pre-token of a text is shuffled; only the summaries are, at most `summary_size` rows a partition.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .base import chunks, read_table, text_bytes
-from .pretoken import Pretokens, string_of
+from .base import chunks, discard, materialize, most_frequent, read_table, text_bytes
+from .pretoken import Pretokens
 
 CHUNK_BYTES = 3 << 20
 #: Longer pre-tokens (code points) get into no summary.
@@ -29,6 +31,7 @@ _KEPT: dict = {}
 
 def _tools(path: str) -> tuple[Tokenizer, Pretokens]:
     if path not in _KEPT:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads wait for each other
         lib = Tokenizer.from_file(path)
         _KEPT[path] = lib, Pretokens(True, tuple(x.content for x in lib.get_added_tokens_decoder().values()))
     return _KEPT[path]
@@ -50,39 +53,39 @@ def _encode_lengths(lib: Tokenizer, words: list[str]) -> list[int]:
     return out
 
 
-def frequent_lengths(docs: DataFrame, path: str, table_size: int, summary_size: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and token counts of the most frequent pre-tokens of all documents."""
+def frequent_lengths(docs: DataFrame, path: str, table_size: int, summary_size: int, text_col: str) -> dict[str, int]:
+    """Token counts of the most frequent pre-tokens of all documents, `table_size` at most."""
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, pre = _tools(path)
-        keys, counts, words = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+        kept: dict[str, int] = {}
         for _, texts in _batches(batches, text_col):
-            code, starts, ends, _ = pre.cut([t for t in texts if not pre.odd(t)])
-            found, at, n = np.unique(pre.hashes(code, starts, ends), return_index=True, return_counts=True)
-            # only what can get into the summary needs its text
+            plain = [t for t in texts if not pre.odd(t)]
+            code, starts, ends, _ = pre.cut(plain)
+            joined = "".join(plain)
+            at, back = pre.distinct(code, starts, ends)
+            n = np.bincount(back, minlength=len(at))
+            # what can't get into the summary needs no text, unless it is there already
             room = np.sort(n)[-summary_size] if len(n) > summary_size else 0
-            old = np.isin(found, keys)
-            take = ((n >= max(2, room)) | old) & (ends[at] - starts[at] <= MOST_CHARS)
-            found, at, n = found[take], at[take], n[take]
-            names = np.array([string_of(code, s, e) for s, e in zip(starts[at], ends[at], strict=True)] or [""], object)[: len(at)]
-            keys, where, back = np.unique(np.concatenate([keys, found]), return_index=True, return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            words = np.concatenate([words, names])[where]
-            if len(keys) > summary_size:
-                counts = counts - np.sort(counts)[-summary_size // 2]
-                stay = counts > 0
-                keys, counts, words = keys[stay], counts[stay], words[stay]
-        yield pa.RecordBatch.from_arrays([pa.array(words.tolist(), pa.string()), pa.array(counts)], names=["word", "n"])
-
-    top = docs.select(text_col).mapInArrow(summarize, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size).collect()
+            short = np.flatnonzero((ends[at] - starts[at] <= MOST_CHARS) & ((n >= max(2, room)) | bool(kept)))
+            for s, e, k in zip(starts[at[short]].tolist(), ends[at[short]].tolist(), n[short].tolist(), strict=True):
+                word = joined[s:e]
+                if k >= max(2, room) or word in kept:
+                    kept[word] = kept.get(word, 0) + k
+            if len(kept) > summary_size:
+                less = sorted(kept.values())[-summary_size // 2]
+                kept = {w: k - less for w, k in kept.items() if k > less}
+        yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["word", "n"])
+
+    counted = materialize(docs.select(text_col).mapInArrow(summarize, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "pre-tokens")
+    words = [r["word"] for r in most_frequent(counted, table_size).select("word").collect()]
+    discard(counted)
     lib, pre = _tools(path)
-    words = [r["word"] for r in top]
-    code, starts, ends, n = pre.cut(words)
-    whole = np.flatnonzero(n == 1)
-    hashes, lengths = pre.hashes(code, starts, ends), np.array(_encode_lengths(lib, words) or [0], np.int64)[: len(words)]
-    hashes, lengths = hashes[(np.cumsum(n) - n)[whole]], lengths[whole]
-    order = np.argsort(hashes)
-    return hashes[order], lengths[order]
+    # alone, a word must still be one pre-token
+    whole = [w for w in words if not pre.odd(w)]
+    alone = pre.cut(whole)[3]
+    whole = [w for w, n in zip(whole, alone.tolist(), strict=True) if n == 1]
+    return dict(zip(whole, _encode_lengths(lib, whole), strict=True))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, table_size: int = 1 << 15, summary_size: int = 1 << 15, cache_size: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,31 +96,26 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, table_size: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib, pre = _tools(path)
-        known, known_n = table.value
-        cache: dict[int, int] = _KEPT.setdefault(("lengths", path), {})
+        known: dict[str, int] = table.value
+        cache: dict[str, int] = _KEPT.setdefault(("lengths", path), {})
         for part, texts in _batches(batches, "text"):
             odd = np.array([pre.odd(t) for t in texts], bool)
-            code, starts, ends, each = pre.cut(["" if o else t for t, o in zip(texts, odd, strict=True)])
-            found, at, back = np.unique(pre.hashes(code, starts, ends), return_index=True, return_inverse=True)
-            n = np.zeros(len(found), np.int64)
-            if len(known):
-                i = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                hit = known[i] == found
-                n[hit] = known_n[i[hit]]
-            else:
-                hit = np.zeros(len(found), bool)
-            rest = np.flatnonzero(~hit)
-            got = [cache.get(h) for h in found[rest].tolist()]
-            miss = [k for k, x in enumerate(got) if x is None]
+            plain = ["" if o else t for t, o in zip(texts, odd, strict=True)]
+            code, starts, ends, each = pre.cut(plain)
+            joined = "".join(plain)
+            at, back = pre.distinct(code, starts, ends)
+            words = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            n = [known.get(w) or cache.get(w, -1) for w in words]
+            miss = [k for k, x in enumerate(n) if x < 0]
             if miss:
-                where = at[rest[miss]]
-                new = _encode_lengths(lib, [string_of(code, s, e) for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+                new = _encode_lengths(lib, [words[k] for k in miss])
                 if len(cache) + len(new) > cache_size:
                     cache.clear()
-                cache.update(zip(found[rest[miss]].tolist(), new, strict=True))
                 for k, x in zip(miss, new, strict=True):
-                    got[k] = x
-            n[rest] = got
+                    n[k] = x
+                    if len(words[k]) <= MOST_CHARS:
+                        cache[words[k]] = x
+            n = np.array(n, np.int64)
             running = np.concatenate([[0], np.cumsum(n[back])])
             edge = np.concatenate([[0], np.cumsum(each)])
             total = running[edge[1:]] - running[edge[:-1]]

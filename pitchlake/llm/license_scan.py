@@ -1,17 +1,18 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Every line of every text is a paragraph. A logistic regression over the word 1- to 3-grams that templates contain (a
-sparse vector: which of them the paragraph has) gives each licence family, and an unknown class, a probability. It is
-trained on variants of the templates (words left out, foreign words around them) and on paragraphs of a bounded sample
-of documents; a part of both is held out to find the temperature that calibrates the probabilities, and the bias of the
-unknown class that keeps held-out paragraphs without a licence unknown. A predicted family counts as confirmed if the
-paragraph has enough of the word pairs of one of its templates.
+Every line of every text is a paragraph, and so is every block of lines without an empty line between them, as notices
+are wrapped. A logistic regression over the word 1- to 3-grams that templates contain (a sparse vector: which of them the
+paragraph has) gives each licence family, and an unknown class, a probability. It is trained on variants of the
+templates (words left out, foreign words around them) and on paragraphs of a bounded sample of documents. A part of both
+is held out: it sets the bias of the unknown class so that of held-out paragraphs without a licence at most one in a
+thousand is taken for one, and then, with that bias, the temperature that calibrates the probabilities. A predicted
+family counts as confirmed if the paragraph has enough of the word pairs of one of its templates.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,26 +22,32 @@ from pyspark.sql import functions as F
 from .base import Rolling, chunks, mix, read_table, text_bytes
 
 UNKNOWN = "unknown"
-#: Usual notices of each licence family.
+#: Usual notices of each licence family, and paragraphs of the licences themselves.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "agpl": ("Licensed under the GNU Affero General Public License, version 3.", "This program is free software under the terms of the GNU Affero General Public License"),
-    "apache": ("Licensed under the Apache License, Version 2.0.", "You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    "bsd": ("Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause"),
+    "apache": ("Licensed under the Apache License, Version 2.0.", "You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    "bsd": ("Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
+    "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "cc0": ("Released into the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights"),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program."),
+    "isc": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"),
     "lgpl": ("Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"),
-    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"),
+    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "proprietary": ("All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."),
+    "unlicense": ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense"),
 }
 ORDERS = (1, 2, 3)
+#: Of held-out paragraphs without a licence, the share that may be taken for one.
+MOST_FALSE = 0.001
 _ROLLING = Rolling()
 
 
-def paragraph_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each word (runs of letters, digits and bytes from 128 on, A-Z as a-z), its paragraph, and the paragraph each text begins with (n + 1)."""
+def line_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each word (runs of letters, digits and bytes from 128 on, A-Z as a-z), its line, the line each text begins
+    with (n + 1), and for each line the first line of its block (no line of which is without words)."""
     n = len(raw)
     low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
     solid = np.zeros(n + 2, bool)
@@ -52,7 +59,14 @@ def paragraph_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     starts = np.flatnonzero(solid[1 : n + 1] & (~solid[:n] | edge[:n]))
     ends = np.flatnonzero(solid[1 : n + 1] & (~solid[2:] | edge[1:])) + 1
     number = np.concatenate([[0], np.cumsum(new)])
-    return _ROLLING.between(_ROLLING.sums(low), starts, ends), number[starts + 1] - 1 if n else starts, number[offsets]
+    line, first = number[starts + 1] - 1 if n else starts, number[offsets]
+    lines = int(number[-1])
+    full = np.bincount(line, minlength=lines) > 0
+    opens = np.ones(lines, bool)
+    opens[1:] = ~full[1:] | ~full[:-1]
+    opens[first[:-1][first[:-1] < lines]] = True
+    block = np.maximum.accumulate(np.where(opens, np.arange(lines), 0)) if lines else np.zeros(0, np.int64)
+    return _ROLLING.between(_ROLLING.sums(low), starts, ends), line, first, block
 
 
 def grams(words: np.ndarray, paragraph: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -72,7 +86,7 @@ def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gram_list(text: str) -> list[np.ndarray]:
-    words, paragraph, _ = paragraph_words(*_encode([text]))
+    words, paragraph, _, _ = line_words(*_encode([text]))
     return [h for h, _ in grams(words, paragraph)]
 
 
@@ -83,18 +97,31 @@ class Model:
     weights: np.ndarray  # vocabulary x families
     bias: np.ndarray
     temperature: float
-    templates: list[tuple[int, np.ndarray]]  # family, its features that are word pairs (or single words, if it has one word)
+    templates: list[tuple[int, np.ndarray]] = field(default_factory=list)  # family, its features that are word pairs (or single words, if it has one word)
+    held: dict[str, float] = field(default_factory=dict)  # held-out shares of false and of missed ones, and the log loss
 
-    def features(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(paragraph, feature) pairs, distinct and in order; the paragraph each text begins with."""
-        words, paragraph, first = paragraph_words(raw, offsets)
+    def features(self, words: np.ndarray, paragraph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(paragraph, feature) pairs, distinct and in order."""
         found = []
         for h, p in grams(words, paragraph):
             i = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
             hit = self.vocabulary[i] == h
             found.append(p[hit] * len(self.vocabulary) + i[hit])
         both = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return both // len(self.vocabulary), both % len(self.vocabulary), first
+        return both // len(self.vocabulary), both % len(self.vocabulary)
+
+    def classify(self, words: np.ndarray, paragraph: np.ndarray) -> list[tuple[int, str, float, float]]:
+        """(paragraph, family, probability, similarity) of the paragraphs that aren't unknown, in order."""
+        p, feature = self.features(words, paragraph)
+        found, prob = self.probabilities(p, feature)
+        best = prob.argmax(axis=1) if len(found) else np.zeros(0, np.int64)
+        out = []
+        for k in np.flatnonzero(best != len(self.families) - 1).tolist():
+            has = np.zeros(len(self.vocabulary), bool)
+            has[feature[np.searchsorted(p, found[k], "left") : np.searchsorted(p, found[k], "right")]] = True
+            similarity = max(float(has[own].mean()) for f, own in self.templates if f == best[k])
+            out.append((int(found[k]), self.families[best[k]], float(prob[k, best[k]]), similarity))
+        return out
 
     def probabilities(self, paragraph: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The paragraphs that have a feature, and their probabilities; all others are unknown."""
@@ -107,7 +134,8 @@ class Model:
 
 
 def _dense(model: Model, texts: list[str]) -> np.ndarray:
-    p, f, _ = model.features(*_encode(texts))
+    words, line, _, _ = line_words(*_encode(texts))
+    p, f = model.features(words, line)
     out = np.zeros((len(texts), len(model.vocabulary)))
     out[p, f] = 1
     return out
@@ -157,58 +185,65 @@ def fit(plain: list[str], variants: int = 40, steps: int = 400, seed: int = 7) -
         g = (e / e.sum(axis=1, keepdims=True) - y[~held]) * weight[~held, None] / (~held).sum()
         w -= 4.0 * (x[~held].T @ g + 1e-4 * w)
         b -= 4.0 * g.sum(axis=0)
-    z = x[held] @ w + b
+    z, truth = x[held] @ w + b, y[held]
+    negative = z[truth[:, -1] == 1]
+    if len(negative):
+        over = negative[:, :-1].max(axis=1) - negative[:, -1]
+        shift = max(0.0, float(np.quantile(over, 1 - MOST_FALSE, method="higher")) + 1e-6)
+        model.bias[-1] += shift
+        z[:, -1] += shift
 
     def loss(t: float) -> float:
         m = z / t
-        return float((np.log(np.exp(m - m.max(axis=1, keepdims=True)).sum(axis=1)) + m.max(axis=1) - (m * y[held]).sum(axis=1)).mean()) if len(z) else 0.0
+        return float((np.log(np.exp(m - m.max(axis=1, keepdims=True)).sum(axis=1)) + m.max(axis=1) - (m * truth).sum(axis=1)).mean()) if len(z) else 0.0
 
     model.temperature = min((float(t) for t in np.geomspace(0.25, 4, 33)), key=loss)
-    negative = z[y[held][:, -1] == 1]
-    if len(negative):
-        model.bias[-1] += max(0.0, float((negative[:, :-1].max(axis=1) - negative[:, -1]).max()) + 0.1)
+    if len(z):
+        known, right = truth[:, -1] == 0, z.argmax(axis=1) == truth.argmax(axis=1)
+        model.held = {"false": float(1 - right[~known].mean()) if (~known).any() else 0.0, "missed": float(1 - right[known].mean()) if known.any() else 0.0, "loss": loss(model.temperature)}
     return model
 
 
 def sample_paragraphs(docs: DataFrame, text_col: str, sample_docs: int) -> list[str]:
-    """The paragraphs of the `sample_docs` documents whose texts have the least hashes."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).orderBy(F.xxhash64("text"), "text").limit(sample_docs).collect()
-    return [p for r in rows for p in r["text"].split("\n") if p.strip()]
+    """The lines and blocks of the `sample_docs` different texts that have the least hashes."""
+    h = F.xxhash64(text_col)
+    some = docs.where(F.col(text_col).isNotNull()).select(h.alias("h")).distinct().orderBy("h").limit(sample_docs)
+    rows = docs.where(F.col(text_col).isNotNull()).select(h.alias("h"), F.col(text_col).alias("text")).join(F.broadcast(some), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
+    out = [p for r in rows for p in r["text"].split("\n") if p.strip()]
+    return out + [p.replace("\n", " ") for r in rows for p in r["text"].split("\n\n") if "\n" in p.strip()]
 
 
 def scan(docs: DataFrame, sample_docs: int = 48, confirm: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each paragraph with a licence: id, paragraph (its number in the text, from 0), family, probability,
-    similarity (greatest share of a template's word pairs, among the family's templates) and confirmed (is it at least `confirm`?).
-
-    Null and empty texts have no licence. Repeated rows come out repeated, null ids as they are; ties go to the family
-    first by name. An empty table gives no rows. Extra columns are not read. The model is fitted on at most
-    `sample_docs` documents; all paragraphs of all documents are classified, whole."""
+    """A row for each paragraph with a licence: id, paragraph (number of its first line in the text, from 0), lines,
+    family, probability, similarity (greatest share of a template's word pairs, among the family's templates) and
+    confirmed (is it at least `confirm`?).
+
+    A block of lines comes out only if it is confirmed and none of its lines is for the same family. Null and empty texts
+    have no licence. Repeated rows come out repeated, null ids as they are; ties go to the family first by name. An empty
+    table gives no rows. Extra columns are not read. The model is fitted on at most `sample_docs` documents; all
+    paragraphs of all documents are classified, whole."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(fit(sample_paragraphs(docs, "text", sample_docs)))
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        unknown, size = len(m.families) - 1, len(m.vocabulary)
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
             for a, b in chunks(offsets, 1 << 20):
-                paragraph, feature, first = m.features(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                found, prob = m.probabilities(paragraph, feature)
-                best = prob.argmax(axis=1) if len(found) else np.zeros(0, np.int64)
-                rows = []
-                for k in np.flatnonzero(best != unknown).tolist():
-                    lo, hi = np.searchsorted(paragraph, found[k], "left"), np.searchsorted(paragraph, found[k], "right")
-                    has = np.zeros(size, bool)
-                    has[feature[lo:hi]] = True
-                    similarity = max(float(has[own].mean()) for f, own in m.templates if f == best[k])
-                    doc = int(np.searchsorted(first, found[k], "right")) - 1
-                    rows.append((a + doc, int(found[k] - first[doc]), m.families[best[k]], float(prob[k, best[k]]), similarity, similarity >= confirm))
+                words, line, first, block = line_words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                size = np.bincount(block, minlength=len(block))
+                rows = [(x, 1, f, p, s) for x, f, p, s in m.classify(words, line)]
+                known = {(int(block[x]), f) for x, _, f, _, s in rows if s >= confirm}
+                wide = size[block[line]] > 1 if len(line) else np.zeros(0, bool)
+                rows += [(x, int(size[x]), f, p, s) for x, f, p, s in m.classify(words[wide], block[line[wide]]) if s >= confirm and (x, f) not in known]
+                rows.sort()
                 if rows:
-                    which, *rest = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), *(pa.array(list(c)) for c in rest)], names=["id", "paragraph", "family", "probability", "similarity", "confirmed"])
+                    doc = np.searchsorted(first, [x for x, *_ in rows], "right") - 1
+                    place, lines, family, probability, similarity = (list(c) for c in zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + doc)), pa.array(np.array(place) - first[doc]), pa.array(lines), pa.array(family), pa.array(probability), pa.array(similarity), pa.array([s >= confirm for s in similarity])], names=["id", "paragraph", "lines", "family", "probability", "similarity", "confirmed"])
 
-    return docs.mapInArrow(run, f"id {kind}, paragraph long, family string, probability double, similarity double, confirmed boolean").withColumnRenamed("id", id_col)
+    return docs.mapInArrow(run, f"id {kind}, paragraph long, lines long, family string, probability double, similarity double, confirmed boolean").withColumnRenamed("id", id_col)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,7 +185,76 @@ def test_license_scan(spark):
     plain = [(i, "\n".join(words(rng, 20) for _ in range(4)), None) for i in range(40)]
     notices = [(100 + i, f"{words(rng, 8)}\n{t[0]}\n{words(rng, 8)}", f) for i, (f, t) in enumerate(sorted(TEMPLATES.items()))]
     found = scan(spark.createDataFrame([(i, t) for i, t, _ in [*plain, *notices, (500, None, None), (501, "", None)]], "doc_id long, text string")).where("confirmed")
-    assert {(r.doc_id, r.paragraph, r.family) for r in found.collect()} == {(i, 1, f) for i, _, f in notices}
+    assert {(r.doc_id, r.paragraph, r.family) for r in found.where("lines = 1").collect()} == {(i, 1, f) for i, _, f in notices}
+
+
+def licence_words(text):
+    return re.findall(rb"[a-z0-9\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()))
+
+
+def licence_grams(text):
+    w = licence_words(text)
+    return {tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
+
+
+def test_license_scan_against_brute_force(spark):
+    """Sets of n-grams and the softmax by their definitions, for lines and for blocks of wrapped lines; null, empty and
+    repeated rows, null ids, clashing columns."""
+    from pitchlake.llm import license_scan as L
+
+    rng = random.Random(6)
+    plain = [words(rng, 15) for _ in range(60)]
+    wrap = lambda t, n: "\n".join(" ".join(w) for w in (t.split()[i : i + n] for i in range(0, len(t.split()), n)))
+    texts = [None, "", "\n\n", *("\n".join(rng.sample(plain, 4)) for _ in range(20))]
+    for family, templates in sorted(L.TEMPLATES.items()):
+        for t in templates:
+            texts += [f"{plain[1]}\n{t}\n\n{plain[2]}", f"{plain[3]}\n\n{wrap(t, 4)}\n\n{plain[4]}", f"{t} {t}", f"{plain[5]} {' '.join(t.split()[:2])}"]
+    rows = [(i, t, 1, "x", 0.5) for i, t in enumerate(texts)] + [(None, texts[30], 1, "x", 0.5), (24, texts[24], 1, "x", 0.5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lines int, family string, probability double").repartition(3)
+    model = L.fit(L.sample_paragraphs(df, "text", 48))
+    assert model.held["false"] <= 0.02 and model.held["missed"] <= 0.05
+    names = {}
+    for templates in L.TEMPLATES.values():
+        for t in templates:
+            for n, h in enumerate(L._gram_list(t), 1):
+                w = licence_words(t)
+                for i, x in enumerate(h.tolist()):
+                    names[int(np.searchsorted(model.vocabulary, np.uint64(x)))] = tuple(w[i : i + n])
+    number = {g: i for i, g in names.items()}
+    assert len(number) == len(model.vocabulary)
+
+    def judge(text):
+        has = sorted(number[g] for g in licence_grams(text) if g in number)
+        if not has:
+            return None
+        z = (model.weights[has].sum(axis=0) + model.bias) / model.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        best = int(p.argmax())
+        if best == len(model.families) - 1:
+            return None
+        pairs = [{g for g in licence_grams(t) if len(g) == min(2, len(licence_words(t)))} for t in L.TEMPLATES[model.families[best]]]
+        return model.families[best], float(p[best]), max(len(x & licence_grams(text)) / len(x) for x in pairs)
+
+    expected = []
+    for i, t, *_ in rows:
+        lines = (t or "").split("\n") if t else []
+        found = {k: judge(x) for k, x in enumerate(lines)}
+        expected += [(i, k, 1, *x) for k, x in found.items() if x]
+        k = 0
+        while k < len(lines):
+            n = next((j for j in range(k, len(lines)) if not licence_words(lines[j])), len(lines)) - k
+            if n > 1 and (x := judge(" ".join(lines[k : k + n]))) and x[2] >= 0.6 and not any(y and y[0] == x[0] and y[2] >= 0.6 for j, y in found.items() if k <= j < k + n):
+                expected.append((i, k, n, *x))
+            k += max(n, 1)
+    got = [(r.doc_id, r.paragraph, r.lines, r.family, r.probability, r.similarity) for r in L.scan(df).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:4])
+    got, expected = sorted(got, key=key), sorted(expected, key=key)
+    assert [r[:4] for r in got] == [r[:4] for r in expected]
+    assert np.allclose([r[4:] for r in got], [r[4:] for r in expected])
+    assert any(r[2] > 1 for r in got)
+    wrapped = {r[0] for r in got if r[5] >= 0.6}
+    assert len(wrapped) > 0.9 * 3 * sum(map(len, L.TEMPLATES.values()))
 
 
 def test_language_id_held_out(spark):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import decimals, ordinal
-from .players import INVERTED, ROLES, archetype_scores, per_90, role_percentiles
+from .players import INVERTED, ROLES, Roles, per_90, role_rows, scored
 
 #: What a metric tells of a player; others are "other".
 KINDS = {
@@ -20,22 +20,21 @@ KINDS = {
 }
 
 
-def player_radar(ev: DataFrame, roles: Mapping[str, tuple[Sequence[str], Mapping[str, float]]] = ROLES, inverted: Sequence[str] = INVERTED, least_minutes: int = 90) -> DataFrame:
+def player_radar(ev: DataFrame, roles: Roles = ROLES, inverted: Sequence[str] = INVERTED, least_minutes: int = 90) -> DataFrame:
     """Per player and role of its position: the role's metrics with place, angle, kind and percentile, and score and rank in the role."""
-    stats = per_90(ev).where(F.col("total_minutes") >= least_minutes)
     rows = [(r, m, i, 360.0 * i / len(ws), next((k for k, ms in KINDS.items() if m in ms), "other")) for r, (_, ws) in roles.items() for i, m in enumerate(ws)]
-    places = F.broadcast(ev.sparkSession.createDataFrame(rows, "role string, metric string, ord int, degrees double, kind string"))
-    scores = archetype_scores(ev, roles, inverted, least_minutes).select("player_id", "role", "score", "place")
-    x = role_percentiles(stats, roles, inverted).join(places, ["role", "metric"]).join(scores, ["player_id", "role"])
+    places = F.broadcast(ev.sparkSession.createDataFrame(rows, "role string, metric string, ord int, degrees double, kind string"))  # as many rows as the parameter has
+    stats = per_90(ev).where(F.col("total_minutes") >= least_minutes)
+    x = scored(role_rows(stats, roles, inverted)).where("member").join(places, ["role", "metric"])
     return x.select("player_id", "role", "ord", "metric", "degrees", "kind", "value", (F.col("p") * 100).alias("percentile"), "score", "place")
 
 
-def player_distribution(ev: DataFrame, roles: Mapping[str, tuple[Sequence[str], Mapping[str, float]]] = ROLES, least_minutes: int = 90) -> DataFrame:
+def player_distribution(ev: DataFrame, roles: Roles = ROLES, least_minutes: int = 90) -> DataFrame:
     """Where a player's value lies among the players of each of its roles: strict percentile with its ordinal, the axis'
     ends (a tenth around the value if all are equal) and the value as text."""
     stats = per_90(ev).where(F.col("total_minutes") >= least_minutes)
     group = Window.partitionBy("role", "metric")
-    x = role_percentiles(stats, roles).withColumns({"lo": F.min("value").over(group), "hi": F.max("value").over(group), "n": F.count("value").over(group), "below": F.rank().over(group.orderBy("value")) - 1})
+    x = role_rows(stats, roles).where("member").withColumns({"lo": F.min("value").over(group), "hi": F.max("value").over(group), "n": F.count("value").over(group), "below": F.rank().over(group.orderBy("value")) - 1})
     percent = F.floor(100 * F.col("below") / F.col("n")).cast("long")
     flat = F.col("lo") == F.col("hi")
     x = x.withColumns({"percent": percent, "low": F.when(flat, F.col("value") - 0.1).otherwise(F.col("lo")), "high": F.when(flat, F.col("value") + 0.1).otherwise(F.col("hi"))})

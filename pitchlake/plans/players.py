@@ -37,17 +37,22 @@ def positions(ev: DataFrame) -> DataFrame:
     return top.groupBy("player_id").pivot("rank", [1, 2, 3]).agg(F.first("player_position")).toDF("player_id", "primary_position", "secondary_position", "tertiary_position")
 
 
-def npxg_xa(ev: DataFrame) -> DataFrame:
-    """Expected goals without penalties, and expected assists: a shot assist takes those of the next shot of its match,
-    none if that is a penalty; from a set piece (xasp) or open play (xaop)."""
+def assisted(ev: DataFrame) -> DataFrame:
+    """Adds xa_cents and xa_kind: a shot assist takes the expected goals of the next shot of its match, none if that is a
+    penalty; from a set piece (xasp) or open play (xaop)."""
     shot = F.when(F.col("shot_cents").isNotNull(), F.struct("shot_cents", F.col("type_primary").alias("kind")))
     after = ev.withColumn("next_shot", next_value(shot, "match_id", "seq"))
-    assists = after.where("array_contains(split(tags, ','), 'shot_assist') and next_shot.kind <> 'penalty'")
+    assist = F.expr("array_contains(split(tags, ','), 'shot_assist') and next_shot.kind <> 'penalty'")
     kind = F.when(F.col("type_primary").isin("corner", "free_kick", "throw_in", "goal_kick"), "xasp").otherwise("xaop")
-    xa = assists.withColumn("kind", kind).groupBy("player_id").pivot("kind", ["xaop", "xasp"]).agg(F.sum("next_shot.shot_cents")).na.fill(0)
-    np = ev.where("type_primary <> 'penalty' and shot_cents is not null").groupBy("player_id").agg(F.sum("shot_cents").alias("np"))
-    out = np.join(xa, "player_id", "full").na.fill(0, ["np", "xaop", "xasp"])
-    return out.select("player_id", (F.col("np") / 50000).alias("npxg"), (F.col("xaop") / 50000).alias("xaop"), (F.col("xasp") / 50000).alias("xasp"), ((F.col("xaop") + F.col("xasp")) / 50000).alias("xa"))
+    return after.withColumns({"xa_cents": F.when(assist, F.col("next_shot.shot_cents")), "xa_kind": F.when(assist, kind)}).drop("next_shot")
+
+
+def npxg_xa(ev: DataFrame) -> DataFrame:
+    """Expected goals without penalties, and expected assists, of players with any."""
+    x = assisted(ev).where("type_primary <> 'penalty' and shot_cents is not null or xa_kind is not null").groupBy("player_id").agg(
+        *(F.coalesce(F.sum(F.when(F.expr(c), F.col(x))), F.lit(0)).alias(k) for k, c, x in (("np", "type_primary <> 'penalty'", "shot_cents"), ("xaop", "xa_kind = 'xaop'", "xa_cents"), ("xasp", "xa_kind = 'xasp'", "xa_cents")))
+    )
+    return x.select("player_id", (F.col("np") / 50000).alias("npxg"), (F.col("xaop") / 50000).alias("xaop"), (F.col("xasp") / 50000).alias("xasp"), ((F.col("xaop") + F.col("xasp")) / 50000).alias("xa"))
 
 
 def counting(ev: DataFrame) -> DataFrame:
@@ -58,27 +63,37 @@ def counting(ev: DataFrame) -> DataFrame:
 GOALKEEPING = ("faced", "conceded", "exits", "recoveries", "passes", "long_passes", "prevented", "prevented_per_shot", "psxg")
 
 
+def faced_shots(ev: DataFrame) -> DataFrame:
+    """Shots on target by the keeper who faced them: number, goals, and 100 times their value."""
+    on_target = ev.where("shot_on_target and shot_gk_id is not null")
+    return on_target.groupBy(F.col("shot_gk_id").alias("player_id")).agg(F.count("*").alias("faced"), F.expr(M.n("shot_is_goal")).alias("conceded"), F.sum("shot_cents").alias("cents"))
+
+
 def goalkeepers(ev: DataFrame) -> DataFrame:
     """Of every player seen in goal: shots on target faced, what was expected and conceded, and play with the ball."""
-    keepers = ev.where("player_position = 'GK'").select("player_id").distinct()
-    faced = ev.where("shot_on_target and shot_gk_id is not null").groupBy(F.col("shot_gk_id").alias("player_id")).agg(F.count("*").alias("faced"), F.expr(M.n("shot_is_goal")).alias("conceded"), F.sum("shot_cents").alias("cents"))
-    own = ev.join(keepers, "player_id", "left_semi").groupBy("player_id").agg(F.expr(M.n("type_primary = 'goalkeeper_exit'")).alias("exits"), F.expr(M.n(M.exact("recovery"))).alias("recoveries"), F.expr(M.n("type_primary = 'pass'")).alias("passes"), F.expr(M.n(M.exact("long_pass"))).alias("long_passes"))
-    x = keepers.join(faced, "player_id", "left").join(own, "player_id", "left").na.fill(0)
+    own = ev.where("player_id is not null").groupBy("player_id").agg(
+        F.max(F.coalesce(F.col("player_position") == "GK", F.lit(False))).alias("keeper"), F.expr(M.n("type_primary = 'goalkeeper_exit'")).alias("exits"), F.expr(M.n(M.exact("recovery"))).alias("recoveries"),
+        F.expr(M.n("type_primary = 'pass'")).alias("passes"), F.expr(M.n(M.exact("long_pass"))).alias("long_passes"),
+    )
+    x = own.where("keeper").drop("keeper").join(faced_shots(ev), "player_id", "left").na.fill(0, ["faced", "conceded", "cents"])
     return x.withColumn("prevented", F.col("cents") / 45000 - F.col("conceded")).withColumn("prevented_per_shot", F.when(F.col("faced") > 0, F.col("prevented") / F.col("faced")).otherwise(0.0)).withColumn("psxg", F.col("cents") / 45000).drop("cents")
 
 
 _ARRAY, _AT = "array({})", "element_at({}, {})"
 
 
-def expected_threat(ev: DataFrame) -> DataFrame:
-    """Positive gains of threat of accurate passes, touches and accelerations, in hundredths divided last. A pass ends
-    where the pass does, the others where the carry does; one without that end counts for nothing."""
+def threatened(ev: DataFrame) -> DataFrame:
+    """Adds gain: the positive gain of threat of an accurate pass, a touch or an acceleration, in hundredths; null for
+    other events and where no end is known. A pass ends where the pass does, the others where the carry does."""
     passed = F.col("type_primary") == "pass"
-    ends = {f"end_{c}": F.when(passed, F.col(f"pass_end_{c}")).otherwise(F.col(f"carry_end_{c}")) for c in "xy"}
-    moves = ev.where("type_primary in ('touch', 'acceleration') or type_primary = 'pass' and pass_accurate").withColumns(ends)
+    x = ev.withColumns({f"end_{c}": F.when(passed, F.col(f"pass_end_{c}")).otherwise(F.col(f"carry_end_{c}")) for c in "xy"})
     gain = F.expr(threat("end_x", "end_y", _ARRAY, _AT)) - F.expr(threat("location_x", "location_y", _ARRAY, _AT))
-    known = moves.where("end_x is not null and end_y is not null and player_id is not null")
-    return known.withColumn("gain", gain).groupBy("player_id").agg((F.sum(F.greatest("gain", F.lit(0))) / 100).alias("xt"))
+    moved = F.expr("(type_primary in ('touch', 'acceleration') or type_primary = 'pass' and pass_accurate) and end_x is not null and end_y is not null")
+    return x.withColumn("gain", F.when(moved, F.greatest(gain, F.lit(0)))).drop("end_x", "end_y")
+
+
+def expected_threat(ev: DataFrame) -> DataFrame:
+    return threatened(ev).where("gain is not null and player_id is not null").groupBy("player_id").agg((F.sum("gain") / 100).alias("xt"))
 
 
 def lineups(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,18 +118,25 @@ TABLE = [*(c for c in (*M.COUNTING, *M.RATIOS) if c != "npxg"), "npxg", "xaop",
 
 def player_table(ev: DataFrame) -> DataFrame:
     """One row a player id with every metric of TABLE (0 where there is none), the name (the last by alphabet), the team
-    with most minutes (ties to the first by alphabet), minutes over all teams, and positions (null if none is known)."""
+    with most minutes (ties to the first by alphabet), minutes over all teams, and positions (null if none is known).
+
+    What can be counted from a player's own events is one aggregation: `counting`, `npxg_xa`, `expected_threat` and most
+    of `goalkeepers`, after one window for the next shot."""
+    own = threatened(assisted(ev)).where("player_id is not null").groupBy("player_id").agg(
+        *aggregates({k: x for k, x in M.COUNTING.items() if k != "npxg"}),
+        *(F.coalesce(F.sum(F.when(F.expr(c), F.col(x))), F.lit(0)).alias(k) for k, c, x in (("np", "type_primary <> 'penalty'", "shot_cents"), ("ao", "xa_kind = 'xaop'", "xa_cents"), ("as", "xa_kind = 'xasp'", "xa_cents"), ("threat", "true", "gain"))),
+        F.max("player_name").alias("player_name"), F.max(F.coalesce(F.col("player_position") == "GK", F.lit(False))).alias("keeper"),
+        F.expr(M.n("type_primary = 'goalkeeper_exit'")).alias("exits"),
+    )
+    own = own.withColumns({k: F.expr(x) for k, x in M.RATIOS.items()} | {"npxg": F.col("np") / 50000, "xaop": F.col("ao") / 50000, "xasp": F.col("as") / 50000, "xa": (F.col("ao") + F.col("as")) / 50000, "xt": F.col("threat") / 100})
     played = lineup_minutes(ev).groupBy("player_id").agg(F.min_by("team_id", F.struct(-F.col("total_minutes"), "team_id")).alias("team_name"), F.sum("total_minutes").alias("total_minutes"))
-    names = ev.where("player_id is not null").groupBy("player_id").agg(F.max("player_name").alias("player_name"))
-    keepers = goalkeepers(ev).select("player_id", *(F.col(c).cast("double").alias(f"gk_{c}") for c in GOALKEEPING))
-    x = counting(ev).drop("npxg")
-    for part in (npxg_xa(ev), expected_threat(ev), keepers):
-        x = x.join(part, "player_id", "left")
-    x = x.na.fill(0, TABLE)
-    for part in (names, played, positions(ev)):
-        x = x.join(part, "player_id", "left")
+    x = own.join(faced_shots(ev), "player_id", "left").na.fill(0, ["faced", "conceded", "cents"])
+    prevented = F.col("cents") / 45000 - F.col("conceded")
+    keeping = {"faced": F.col("faced"), "conceded": F.col("conceded"), "exits": F.col("exits"), "recoveries": F.col("recoveries"), "passes": F.col("passes"), "long_passes": F.col("long_passes"), "prevented": prevented, "prevented_per_shot": F.when(F.col("faced") > 0, prevented / F.col("faced")).otherwise(0.0), "psxg": F.col("cents") / 45000}
+    x = x.withColumns({f"gk_{c}": F.when(F.col("keeper"), keeping[c].cast("double")).otherwise(0.0) for c in GOALKEEPING})
+    x = x.join(played, "player_id", "left").join(positions(ev), "player_id", "left")
     whole = F.coalesce("total_minutes", F.lit(0)).cast("long").alias("total_minutes")
-    return x.select("player_id", "player_name", "team_name", whole, F.col("primary_position").alias("position"), *(F.col(c).cast("double").alias(c) for c in TABLE))
+    return x.select("player_id", "player_name", "team_name", whole, F.col("primary_position").alias("position"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in TABLE))
 
 
 def per_90(ev: DataFrame) -> DataFrame:
@@ -134,36 +156,39 @@ ROLES = {
     "Keeper": (("GK",), {"gk_prevented_per_shot": 6, "gk_conceded": 3, "gk_exits": 1, "passes_pct": 1}),
 }
 INVERTED = ("losses", "loss_index", "gk_conceded")
+Roles = Mapping[str, tuple[Sequence[str], Mapping[str, float]]]
+
+
+def role_rows(stats: DataFrame, roles: Roles = ROLES, inverted: Sequence[str] = INVERTED) -> DataFrame:
+    """Per player and role: whether its position is of the role (member), and if so a row for each metric of the role with
+    weight, value and percentile p among the members; a row without these if not."""
+    each = [
+        F.struct(F.lit(i).alias("role_id"), F.lit(r).alias("role"), F.coalesce(F.col("position").isin(*ps), F.lit(False)).alias("member"), F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(float(w)).alias("weight"), F.col(m).alias("value")) for m, w in ws.items())).alias("items"))
+        for i, (r, (ps, ws)) in enumerate(roles.items())
+    ]
+    who = ["player_id", "player_name", "team_name"]
+    x = stats.select(*who, "position", F.inline(F.array(*each)))
+    x = x.select(*who, "role_id", "role", "member", F.explode_outer(F.when(F.col("member"), F.col("items"))).alias("i")).select(*who, "role_id", "role", "member", "i.*")
+    p = average_rank("value", "role_id", "metric")
+    return x.withColumn("p", F.when(F.col("metric").isin(*inverted), 1 - p).otherwise(p))
 
 
-def role_percentiles(stats: DataFrame, roles: Mapping[str, tuple[Sequence[str], Mapping[str, float]]] = ROLES, inverted: Sequence[str] = INVERTED) -> DataFrame:
-    """Per player, role of its position and metric of the role: value, weight, and percentile among the role's players."""
-    spark = stats.sparkSession
-    weights = [(i, r, m, float(w)) for i, (r, (_, ws)) in enumerate(roles.items()) for m, w in ws.items()]
-    member = [(i, p) for i, (ps, _) in enumerate(roles.values()) for p in ps]
-    w = F.broadcast(spark.createDataFrame(weights, "role_id int, role string, metric string, weight double"))  # as many rows as the parameter has
-    belongs = F.broadcast(spark.createDataFrame(member, "role_id int, position string"))
-    names = list(dict.fromkeys(m for _, _, m, _ in weights))
-    placed = stats.join(belongs, "position")
-    long = placed.unpivot(["player_id", "player_name", "team_name", "position", "role_id"], names, "metric", "value").join(w, ["role_id", "metric"])
-    p = average_rank("value", "role_id", "metric")
-    return long.withColumn("p", F.when(F.col("metric").isin(*inverted), 1 - p).otherwise(p))
+def scored(rows: DataFrame, per_archetype: bool = False) -> DataFrame:
+    """Adds to `role_rows` the player's total, score and place in the role, null for those who aren't members."""
+    p = F.col("p") if per_archetype else F.max_by("p", "role_id").over(Window.partitionBy("player_id", "metric"))
+    # percentiles and weights in millionths: their sums don't depend on the order of rows
+    x = rows.withColumn("part", F.floor(F.coalesce(p, F.lit(0.0)) * F.col("weight") * 1000000 + 0.5).cast("long"))
+    x = x.withColumn("total", F.sum("part").over(Window.partitionBy("player_id", "role")) / 1000000).drop("part")
+    x = x.withColumn("score", F.when(F.col("member"), min_max("total", "role")))
+    return x.withColumn("place", F.when(F.col("member"), F.dense_rank().over(Window.partitionBy("role", "member").orderBy(F.desc("score"))).cast("long")))
 
 
-def archetype_scores(ev: DataFrame, roles: Mapping[str, tuple[Sequence[str], Mapping[str, float]]] = ROLES, inverted: Sequence[str] = INVERTED, least_minutes: int = 90, per_archetype: bool = False) -> DataFrame:
+def archetype_scores(ev: DataFrame, roles: Roles = ROLES, inverted: Sequence[str] = INVERTED, least_minutes: int = 90, per_archetype: bool = False) -> DataFrame:
     """Per player and role: the weighted percentiles (total), their place between the role's least and greatest (score),
     and the rank (place). A player whose position is not of the role has 0 in all three.
 
     A player's percentile in a metric is that among the positions of the last role, in order, that has the player's
     position and the metric; with `per_archetype` that of the role itself. `roles`: name → (positions, weights)."""
-    stats = per_90(ev).where(F.col("total_minutes") >= least_minutes)
-    ranked = role_percentiles(stats, roles, inverted)
-    if not per_archetype:
-        last = F.max_by("p", "role_id").over(Window.partitionBy("player_id", "metric"))
-        ranked = ranked.withColumn("p", last)
-    # percentiles and weights in millionths: their sums don't depend on the order of rows
-    total = F.sum(F.floor(F.coalesce("p", F.lit(0.0)) * F.col("weight") * 1000000 + 0.5).cast("long")) / 1000000
-    scored = ranked.groupBy("player_id", "role").agg(total.alias("total"))
-    scored = scored.withColumn("score", min_max("total", "role")).withColumn("place", F.dense_rank().over(Window.partitionBy("role").orderBy(F.desc("score"))).cast("long"))
-    every = stats.select("player_id", "player_name", "team_name", F.explode(F.array(*map(F.lit, roles))).alias("role"))
-    return every.join(scored, ["player_id", "role"], "left").na.fill(0, ["total", "score", "place"])
+    rows = scored(role_rows(per_90(ev).where(F.col("total_minutes") >= least_minutes), roles, inverted), per_archetype)
+    values = ("total", "score", "place")
+    return rows.groupBy("player_id", "role", "player_name", "team_name").agg(*(F.first(c).alias(c) for c in values)).na.fill(0, list(values))

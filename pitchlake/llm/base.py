@@ -140,6 +140,10 @@ class Rolling:
         return mix(mix((one << self.SHIFT | two) + np.uint64(1)) + (end - start).astype(np.uint64))
 
 
+#: One for all that is hashed in a worker, as its tables of powers are as long as the longest text so far.
+ROLLING = Rolling()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finalizer that spreads every input bit over the 64 output bits."""
     x = x ^ (x >> np.uint64(31))

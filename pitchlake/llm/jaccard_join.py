@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import Rolling, chunks, discard, materialize, mix, most_frequent, read_table, text_bytes
+from .base import ROLLING, chunks, discard, materialize, mix, most_frequent, read_table, text_bytes
 from .graph import components
 
 LEAST = -(2**63)
@@ -45,7 +45,6 @@ SKETCH = 8
 BIG = 32
 #: So many shingles are counted together for a partition's summary; what occurs once in a block isn't frequent.
 BLOCK = 1 << 20
-_ROLLING = Rolling()
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +62,7 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.n
     before[0], before[1:] = True, blank[: n - 1]
     starts = np.flatnonzero(~blank[:n] & (before | edge[:n]))
     ends = np.flatnonzero(~blank[:n] & (blank[1:] | edge[1:])) + 1
-    hashes = _ROLLING.between(_ROLLING.sums(low), starts, ends)
+    hashes = ROLLING.between(ROLLING.sums(low), starts, ends)
     each = np.diff(np.searchsorted(starts, offsets))
     first = np.cumsum(each) - each
     rolled = np.zeros(max(0, len(hashes) - words + 1), np.uint64)

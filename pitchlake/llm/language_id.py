@@ -105,7 +105,7 @@ def train(labelled: DataFrame, min_rate: float = 5e-6, share: float = 0.2) -> Fi
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(text_bytes(batch.column(0))[1], 1 << 20):
+            for a, b in chunks(text_bytes(batch.column(0))[1], 1 << 19):
                 part = batch.slice(a, b - a)
                 langs = np.array(part.column(1).to_pylist(), object)
                 texts = part.column(0).to_pylist()
@@ -135,7 +135,7 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Filter = shared.value
         for batch in batches:
-            for a, b in chunks(text_bytes(batch.column(0))[1], 1 << 20):
+            for a, b in chunks(text_bytes(batch.column(0))[1], 1 << 19):
                 part = batch.slice(a, b - a)
                 k = b - a
                 n, got = np.zeros(k, np.int64), np.zeros((k, len(m.languages)), np.int64)

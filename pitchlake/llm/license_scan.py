@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Rolling, chunks, mix, read_table, text_bytes
+from .base import ROLLING, chunks, mix, read_table, text_bytes
 
 UNKNOWN = "unknown"
 #: Usual notices of each licence family, and paragraphs of the licences themselves.
@@ -42,7 +42,6 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 ORDERS = (1, 2, 3)
 #: Of held-out paragraphs without a licence, the share that may be taken for one.
 MOST_FALSE = 0.001
-_ROLLING = Rolling()
 
 
 def line_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +65,7 @@ def line_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     opens[1:] = ~full[1:] | ~full[:-1]
     opens[first[:-1][first[:-1] < lines]] = True
     block = np.maximum.accumulate(np.where(opens, np.arange(lines), 0)) if lines else np.zeros(0, np.int64)
-    return _ROLLING.between(_ROLLING.sums(low), starts, ends), line, first, block
+    return ROLLING.between(ROLLING.sums(low), starts, ends), line, first, block
 
 
 def grams(words: np.ndarray, paragraph: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:

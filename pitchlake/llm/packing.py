@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from .base import chunks, materialize, ragged, read_table, text_bytes
 from .pretoken import Pretokens
 
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 MERGE_GROUP = 1 << 15
 #: Longer pre-tokens (code points) aren't kept in the worker's cache, so that it is bounded in bytes.
 MOST_CHARS = 256
@@ -42,7 +42,7 @@ def _tools(path: str) -> tuple[Tokenizer, Pretokens, dict[str, bytes]]:
     return _KEPT[path]
 
 
-def encode_ids(texts: list[str], path: str, cache_size: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def encode_ids(texts: list[str], path: str, cache_size: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, end to end, and the n + 1 offsets: equal to the tokenizer's without added special tokens."""
     lib, pre, cache = _tools(path)
     odd = [pre.odd(t) for t in texts]

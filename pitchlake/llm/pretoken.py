@@ -11,7 +11,7 @@ import unicodedata
 
 import numpy as np
 
-from .base import Rolling, mix, ragged
+from .base import ROLLING, mix, ragged
 
 LETTER, NUMBER, SPACE, OTHER, ODD = 1, 2, 3, 0, 4
 #: The code points with the White_Space property.
@@ -31,7 +31,6 @@ class Pretokens:
     def __init__(self, lower: bool, special: tuple[str, ...]) -> None:
         self.lower, self.special = lower, special
         self.classes = character_classes()
-        self.rolling = Rolling()
 
     def odd(self, text: str) -> bool:
         """Must this text go to the tokenizer whole?"""
@@ -120,5 +119,5 @@ class Pretokens:
         return np.concatenate([at, np.array(more, np.int64)]), back
 
     def hashes(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        sums = self.rolling.sums(mix(code.astype(np.uint64) + np.uint64(0x51ED27)))
-        return self.rolling.between(sums, starts, ends)
+        sums = ROLLING.sums(mix(code.astype(np.uint64) + np.uint64(0x51ED27)))
+        return ROLLING.between(sums, starts, ends)

@@ -20,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Rolling, chunks, materialize, mix, read_table, text_bytes
+from .base import ROLLING, chunks, materialize, mix, read_table, text_bytes
 
 LEAST = -(2**63)
 MARKS = b".!?,;:"
 LEAST_WORDS = 30
 #: A run of words, and of so many neighbouring runs the one with the least hash is compared: together 49 words.
 WORDS, WINDOW = 34, 16
-_ROLLING = Rolling()
 
 
 def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +61,7 @@ def passage_spans(raw: np.ndarray, offsets: np.ndarray, least_words: int, window
         return none, none, none, none
     first = np.searchsorted(starts, offsets)  # the texts' first words
     of = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    sums = _ROLLING.sums(_ROLLING.between(_ROLLING.sums(raw), starts, ends))
+    sums = ROLLING.sums(ROLLING.between(ROLLING.sums(raw), starts, ends))
     heads = np.flatnonzero(opens)
     tails = np.append(heads[1:], len(starts))
     unit = np.cumsum(opens) - 1  # of each word
@@ -77,14 +76,14 @@ def passage_spans(raw: np.ndarray, offsets: np.ndarray, least_words: int, window
     if windows:
         at = np.flatnonzero(np.arange(len(starts)) + WORDS <= first[of + 1])
         if len(at) >= WINDOW:
-            keys = mix(_ROLLING.between(sums, at, at + WORDS) + np.uint64(0x2545F4914F6CDD1D))
+            keys = mix(ROLLING.between(sums, at, at + WORDS) + np.uint64(0x2545F4914F6CDD1D))
             q = np.flatnonzero(of[at[: len(at) - WINDOW + 1]] == of[at[WINDOW - 1 :]])
             least = np.lib.stride_tricks.sliding_window_view(keys, WINDOW).argmin(axis=1)
             picked = at[np.unique(q + least[q])]
             a, b = np.concatenate([a, picked]), np.concatenate([b, picked + WORDS])
     both = np.unique((a << 32) | (b - a))
     a, k = both >> 32, both & 0xFFFFFFFF
-    return of[a], a - first[of[a]], k, _ROLLING.between(sums, a, a + k).view(np.int64)
+    return of[a], a - first[of[a]], k, ROLLING.between(sums, a, a + k).view(np.int64)
 
 
 def remove_repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, windows: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -102,7 +101,7 @@ def remove_repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, wi
 
     def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in chunks(text_bytes(batch.column(2))[1], 1 << 20):
+            for a, b in chunks(text_bytes(batch.column(2))[1], 1 << 19):
                 part = batch.slice(a, b - a)
                 raw, offsets = text_bytes(pa.array([(t or "").lower() for t in part.column(2).to_pylist()], pa.large_string()))
                 doc, pos, n, x = passage_spans(raw, offsets, least_words, windows)
@@ -120,7 +119,7 @@ def remove_repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, wi
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column(1))
-            for a, b in chunks(offsets, 1 << 20):
+            for a, b in chunks(offsets, 1 << 19):
                 part = batch.slice(a, b - a)
                 data, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 starts = word_bounds(data, at)[0] if len(data) else np.zeros(0, np.int64)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Rolling, chunks, discard, materialize, mix, read_table, text_bytes
+from .base import ROLLING, chunks, discard, materialize, mix, read_table, text_bytes
 
 KGRAM = 32
 LEAST = -(2**63)
@@ -33,7 +33,6 @@ PIECE_BYTES = 1 << 20
 HOT, BAND = 8_192, 64
 #: Rows of (id, ranges) go to all executors only up to this many bytes; beyond, the join shuffles.
 MOST_BYTES = 32 << 20
-_ROLLING = Rolling()
 _SECOND = np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -67,9 +66,9 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple
         begin = np.cumsum(size) - size
         data = np.concatenate([raw[a:b] for a, b in zip(firsts.tolist(), ends.tolist(), strict=True)])
         n = len(data)
-        sums = _ROLLING.sums(data)
+        sums = ROLLING.sums(data)
         at = np.arange(n - KGRAM + 1)
-        gram = _ROLLING.between(sums, at, at + KGRAM)
+        gram = ROLLING.between(sums, at, at + KGRAM)
         m = (gram & ~low) | at.astype(np.uint64)
         w = 1
         while 2 * w <= width:
@@ -87,7 +86,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(window)) - 1
         s, e, p, own = window[head], window[tail], chosen[head], part[head]
-        content = mix(_ROLLING.between(sums, s, e + length) + (p - s).astype(np.uint64) * _SECOND)
+        content = mix(ROLLING.between(sums, s, e + length) + (p - s).astype(np.uint64) * _SECOND)
         shift = firsts[own] - offsets[docs[own]] - begin[own]
         yield docs[own], s + shift, e + shift, p + shift, gram[p], content
 

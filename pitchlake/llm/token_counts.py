@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from .base import chunks, discard, materialize, most_frequent, read_table, text_bytes
 from .pretoken import Pretokens
 
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 #: Longer pre-tokens (code points) get into no summary.
 MOST_CHARS = 256
 _KEPT: dict = {}
@@ -88,7 +88,7 @@ def frequent_lengths(docs: DataFrame, path: str, table_size: int, summary_size:
     return dict(zip(whole, _encode_lengths(lib, whole), strict=True))
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 2048, table_size: int = 1 << 15, summary_size: int = 1 << 15, cache_size: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 2048, table_size: int = 1 << 15, summary_size: int = 1 << 15, cache_size: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens, over_limit. A null text counts as empty: 0 and 0. Ids may repeat or be
     null: one row comes out for each that goes in. An empty table gives no rows. Extra columns are not read."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -95,28 +95,33 @@ def passes(ev: DataFrame) -> DataFrame:
 
 
 def attacks(ev: DataFrame) -> DataFrame:
-    """Positional attacks, final-third and box entries, and counter-attacks of every team of every match."""
-    teams = ev.select(*TEAM).distinct()
-    positional = first_events(ev).where("possession_attack_flank in ('central', 'left', 'right')").groupBy("match_id", F.col("possession_team_name").alias("team_name")).agg(F.count("*").alias("positional_attacks"))
+    """Positional attacks, final-third and box entries, and counter-attacks of every team of every match.
+
+    One row a possession and team says what it was; it counts for its team, and the possession's first event for the
+    team that held the ball."""
     here = [*TEAM, "possession_id"]
     dist = F.expr(goal_distance("location_x", "location_y"))
-    start = Window.partitionBy(*here).orderBy("match_ts", "seq")
-    timed = ev.where("match_ts is not null").withColumns({"t0": F.first("match_ts").over(start), "type0": F.first("type_primary").over(start), "d0": F.first(dist).over(start)})
-    counters = (
-        timed.where("type0 in ('interception', 'duel', 'clearance', 'goalkeeper_exit') and d0 >= 40 and match_ts - t0 <= 5")
-        .groupBy(*here).agg(F.max(F.col("d0")).alias("d0"), F.min(dist).alias("least")).where("d0 - least >= 30").groupBy(*TEAM).agg(F.count("*").alias("counter_attacks"))
+    opening = Window.partitionBy("match_id", "possession_id").orderBy("seq")
+    start = Window.partitionBy(*here).orderBy(F.col("match_ts").asc_nulls_last(), "seq")
+    timed = ev.withColumns({"place": F.row_number().over(opening), "t0": F.first("match_ts").over(start), "type0": F.first("type_primary").over(start), "d0": F.first(dist).over(start)})
+    soon = F.expr("match_ts is not null and type0 in ('interception', 'duel', 'clearance', 'goalkeeper_exit') and d0 >= 40 and match_ts - t0 <= 5")
+    each = timed.groupBy(*here).agg(
+        F.min("location_x").alias("lo"), F.max("location_x").alias("hi"), F.max(F.expr(IN_BOX)).alias("box"),
+        F.max(F.when(soon, F.col("d0"))).alias("from_"), F.min(F.when(soon, dist)).alias("to_"),
+        F.max(F.when(F.col("place") == 1, F.col("possession_team_name"))).alias("holder"), F.max(F.when(F.col("place") == 1, F.col("possession_attack_flank"))).alias("flank"),
     )
-    each = ev.groupBy(*here).agg(F.min("location_x").alias("lo"), F.max("location_x").alias("hi"), F.max(F.expr(IN_BOX)).alias("box"))
-    entries = each.groupBy(*TEAM).agg(F.expr(M.n("lo < 66 and hi >= 66")).alias("final_third_entries"), F.expr(M.n("box")).alias("box_entries"))
-    out = teams.join(positional, TEAM, "left").join(entries, TEAM, "left").join(counters, TEAM, "left")
-    return out.na.fill(0, ["positional_attacks", "final_third_entries", "box_entries", "counter_attacks"])
+    own = {"final_third_entries": F.expr("lo < 66 and hi >= 66"), "box_entries": F.col("box"), "counter_attacks": F.col("from_") - F.col("to_") >= 30}
+    held = F.col("flank").isin("central", "left", "right")
+    side = lambda name, mine: F.struct(F.col(name).alias("team_name"), F.lit(int(mine)).alias("own"), F.coalesce((held if not mine else F.lit(False)).cast("int"), F.lit(0)).alias("positional_attacks"), *(F.coalesce((c if mine else F.lit(False)).cast("int"), F.lit(0)).alias(k) for k, c in own.items()))
+    counts = each.select("match_id", F.inline(F.array(side("team_name", True), side("holder", False)))).groupBy(*TEAM).agg(F.max("own").alias("own"), *(F.sum(c).alias(c) for c in ("positional_attacks", *own)))
+    return counts.where("own = 1").drop("own")
 
 
 def players(ev: DataFrame) -> DataFrame:
     """By player name within a team. The first eleven to appear play until their last event; others from their first on."""
     keys = [*TEAM, "player_name"]
-    own = ev.where("player_name is not null").groupBy(*keys).agg(*aggregates(M.PLAYER_MATCH), F.min("seq").alias("first_seq"), F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"))
-    end = ev.groupBy("match_id").agg(F.max("minute").alias("end"))  # of all events, those without a player too
+    own = ev.groupBy(*keys).agg(*aggregates(M.PLAYER_MATCH), F.min("seq").alias("first_seq"), F.min("minute").alias("first_minute"), F.max("minute").alias("last_minute"))
+    own = own.withColumn("end", F.max("last_minute").over(Window.partitionBy("match_id"))).where("player_name is not null")  # events without a player end a match too
     order = F.row_number().over(Window.partitionBy(*TEAM).orderBy("first_seq"))
     minutes = F.when(F.col("place") <= 11, F.col("last_minute")).otherwise(F.col("end") - F.col("first_minute"))
-    return own.withColumn("place", order).join(end, "match_id").withColumn("minutes", minutes.cast("long")).drop("first_seq", "first_minute", "last_minute", "place", "end")
+    return own.withColumn("place", order).withColumn("minutes", minutes.cast("long")).drop("first_seq", "first_minute", "last_minute", "place", "end")

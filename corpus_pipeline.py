@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitchlake.llm.base import materialize, read_table
+from pitchlake.llm.base import discard, materialize, read_table
 from pitchlake.llm.decontamination import find_leaks
 from pitchlake.llm.jaccard_join import surplus
 from pitchlake.llm.language_id import held_out, predict, train
@@ -85,8 +85,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to `documents`; each result is written as Parquet and read again for the next."""
-    docs = read_table(spark, sf_dir, "documents")
+    """Apply the stages to `documents`; each result is written as Parquet and read again for the next, and deleted once
+    the next is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

@@ -14,12 +14,18 @@ from pyspark.sql import SparkSession
 
 from pitchlake import catalog
 
-HEADLINE = ("match_general", "match_attacks", "match_transitions", "match_duels", "match_possession", "match_passes", "match_players", "team_corners", "team_radar", "team_percentiles", "player_counting", "player_npxg_xa", "player_threat", "player_table", "archetype_scores")
+HEADLINE = (
+    "match_general", "match_attacks", "match_transitions", "match_duels", "match_possession", "match_passes", "match_players", "team_corners",
+    "team_radar", "team_percentiles", "player_counting", "player_npxg_xa", "player_threat", "player_table", "archetype_scores"
+)
 
 
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    conf = {"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", "spark.sql.session.timeZone": "UTC"}
+    conf = {
+        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
+        "spark.sql.session.timeZone": "UTC"
+    }
     spark = SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
@@ -36,7 +42,10 @@ def main() -> None:
             plan = out._jdf.queryExecution().executedPlan().toString()
             exchanges = sum(line.lstrip(" :+-*()0123456789").startswith("Exchange") for line in plan.splitlines())
             read = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-            print(f"| {name} | {sf_dir.rpartition('sf')[2]} | {read} | {rows} | {seconds[name]} | {exchanges} | {cpus} | {datetime.date.today()} |", file=sys.stderr)
+            print(
+                f"| {name} | {sf_dir.rpartition('sf')[2]} | {read} | {rows} | {seconds[name]} | {exchanges} | {cpus} | {datetime.date.today()} |",
+                file=sys.stderr
+            )
     print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": sf_dir.rstrip("/").rpartition("sf")[2]}))
 
 

@@ -57,7 +57,9 @@ def repeated_sentences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Null and empty texts stay; rows equal in id and text are one document, and all stay or change alike; a null id comes
     before others."""
     left = remove_repeated_passages(docs, windows=True, keep=["lang", "source", "n_chars"])
-    return left.where("n_removed = 0 or length(trim(text)) > 0").withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(COLUMNS)
+    return left.where("n_removed = 0 or length(trim(text)) > 0").withColumn(
+        "n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    ).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,8 +43,14 @@ _FIRST = ", fp as (select * from ev qualify row_number() over (partition by matc
 
 # ---- reports of a match
 
-_events("match_general", match.general, f", g as (select {_T}, {_list(M.GENERAL)} from ev group by all) select *, cast(sum(fouls) over (partition by match_id) - fouls as bigint) as fouls_suffered from g")
-_events("match_defence", match.defence, f", g as (select {_T}, {_list(M.DEFENCE)} from ev group by all) select {_T}, interceptions, clearances, case when press_actions > 0 then cast(sum(pressed_passes) over (partition by match_id) - pressed_passes as double) / press_actions else 0e0 end as ppda from g")
+_events(
+    "match_general", match.general,
+    f", g as (select {_T}, {_list(M.GENERAL)} from ev group by all) select *, cast(sum(fouls) over (partition by match_id) - fouls as bigint) as fouls_suffered from g"
+)
+_events(
+    "match_defence", match.defence,
+    f", g as (select {_T}, {_list(M.DEFENCE)} from ev group by all) select {_T}, interceptions, clearances, case when press_actions > 0 then cast(sum(pressed_passes) over (partition by match_id) - pressed_passes as double) / press_actions else 0e0 end as ppda from g"
+)
 _events("match_transitions", match.transitions, f"{_CHANGED} select {_T}, {_list(M.RECOVERIES | M.LOSSES)} from ch group by all")
 _events("match_passes", match.passes, f" select {_T}, {_list(M.PASSES)} from ev group by all")
 _events(
@@ -73,7 +79,10 @@ _events(
     f"select {_T}, coalesce(p.n, 0) as positional_attacks, cast(coalesce(third, 0) as bigint) as final_third_entries, cast(coalesce(box, 0) as bigint) as box_entries, coalesce(c.n, 0) as counter_attacks from t left join p using ({_T}) left join en using ({_T}) left join c using ({_T})",
 )
 _CLOCKED = ", ".join(f"{display.clock(c)} as {c}" for c in ("seconds", "mean_seconds", "dead_time"))
-_events("match_possession_clock", match.possession_clock, f"{_POSSESSION_CTE} select {_T}, {_CLOCKED}, {display.to_duck(display.rounded('share', 1))} as share from po_")
+_events(
+    "match_possession_clock", match.possession_clock,
+    f"{_POSSESSION_CTE} select {_T}, {_CLOCKED}, {display.to_duck(display.rounded('share', 1))} as share from po_"
+)
 _events(
     "match_tempo", match.tempo,
     f"{_FIRST}, g as (select {_T}, {M.PASSES['passes']} as passes from ev group by all), h as (select match_id, possession_team_name as team_name, sum(possession_duration_sec) as sec from fp group by all) "
@@ -83,7 +92,9 @@ _GENERAL_NAMES = [*M.GENERAL, "fouls_suffered"]
 _events(
     "match_report", match.report,
     f", g0 as (select {_T}, {_list(M.GENERAL)} from ev group by all), g as (select *, sum(fouls) over (partition by match_id) - fouls as fouls_suffered from g0), h as (select match_id, min(home_team_name) as home from ev group by all), "
-    "t as (" + " union all ".join(f"select {_T}, {i + 1} as ord, '{c}' as metric, cast({c} as double) as value from g" for i, c in enumerate(_GENERAL_NAMES)) + ") "
+    "t as (" + " union all ".join(
+        f"select {_T}, {i + 1} as ord, '{c}' as metric, cast({c} as double) as value from g" for i, c in enumerate(_GENERAL_NAMES)
+    ) + ") "
     "select match_id, ord, metric, max(case when team_name = h.home then value end) as home, max(case when team_name <> h.home then value end) as away from t join h using (match_id) group by match_id, ord, metric",
 )
 _PLAYERS = (
@@ -99,10 +110,15 @@ _events(
     "team_corners", season.corners,
     f", k as (select possession_id, team_name, possession_event_index as c, case when {metres('location_x', 'location_y', 'pass_end_x', 'pass_end_y')} <= 20 then 'short' else 'direct' end as delivery from ev where type_primary = 'corner' qualify row_number() over (partition by possession_id order by possession_event_index) = 1), "
     "e as (select possession_id, k.team_name, delivery, coalesce(min(case when possession_event_index = c + 1 then " + CONTACT_ZONE + " end), 'Unknown') as zone, "
-    + ", ".join(f"count_if(possession_event_index {p} and shot_cents is not null) as {n}_shots, count_if(possession_event_index {p} and shot_is_goal) as {n}_goals, coalesce(sum(case when possession_event_index {p} then shot_cents end), 0) as {n}_cents" for n, p in _PHASES.items())
+    + ", ".join(
+        f"count_if(possession_event_index {p} and shot_cents is not null) as {n}_shots, count_if(possession_event_index {p} and shot_is_goal) as {n}_goals, coalesce(sum(case when possession_event_index {p} then shot_cents end), 0) as {n}_cents" for n,
+        p in _PHASES.items()
+    )
     + " from ev join k using (possession_id) group by all), m as (select team_name, count(distinct match_id) as matches from ev group by all), g as (select team_name, count(*) as corners, count(case when delivery = 'short' then 1 end) as short, "
     + ", ".join(f"count(case when zone = '{z}' then 1 end) as {n}" for z, n in season.ZONES.items()) + ", "
-    + ", ".join(f"cast(sum({n}_shots) as bigint) as {n}_shots, cast(sum({n}_goals) as bigint) as {n}_goals, cast(sum({n}_cents) as double) as {n}_cents" for n in _PHASES)
+    + ", ".join(
+        f"cast(sum({n}_shots) as bigint) as {n}_shots, cast(sum({n}_goals) as bigint) as {n}_goals, cast(sum({n}_cents) as double) as {n}_cents" for n in _PHASES
+    )
     + " from e group by all) select g.* exclude (first_cents, second_cents, phase2_cents), matches, cast(corners as double) / matches as corners_per_match, (first_cents + second_cents + phase2_cents) / 50000 / matches as xg_per_match, (first_cents + second_cents + phase2_cents) / 50000 / corners as xg_per_corner, 100e0 * short / corners as short_pct, "
     + ", ".join(f"{n}_cents / 50000 as {n}_xg" for n in _PHASES) + " from g join m using (team_name)",
 )
@@ -111,19 +127,26 @@ _RADAR = (
     f"{_CHANGED}, own as (select team_name, {_list(M.TEAM_FOR)} from ch group by all), ag as (select opponent_team_name as team_name, {_list(M.TEAM_AGAINST)} from ev group by all), "
     "pe as (select team_name, possession_id, min(location_x) as lo, max(location_x) as hi from ev group by all), th as (select team_name, count(case when lo < 66.6e0 and hi >= 66.6e0 then 1 end) as final_third_entries from pe group by all), "
     "fp as (select * from ev qualify row_number() over (partition by possession_id order by seq) = 1), he as (select possession_team_name as team_name, coalesce(sum(possession_duration_sec), 0e0) as sec from fp group by all), hs as (select team_name, sec / sum(sec) over () * 100 as possession_share from he), "
-    "radar as (select team_name, matches, " + ", ".join(f"cast({c} as double) / matches as {c}" for c in _EACH) + ", directness, coalesce(possession_share, 0e0) as possession_share, case when shots > 0 then xg / shots else 0e0 end as xg_per_shot, case when shots_against > 0 then xg_against / shots_against else 0e0 end as xg_per_shot_against, "
+    "radar as (select team_name, matches, " + ", ".join(
+        f"cast({c} as double) / matches as {c}" for c in _EACH
+    ) + ", directness, coalesce(possession_share, 0e0) as possession_share, case when shots > 0 then xg / shots else 0e0 end as xg_per_shot, case when shots_against > 0 then xg_against / shots_against else 0e0 end as xg_per_shot_against, "
     "case when aerial_duels > 0 then cast(aerial_duels_won as double) / aerial_duels * 100 else 0e0 end as aerial_pct, case when defensive_duels > 0 then cast(defensive_duels_won as double) / defensive_duels * 100 else 0e0 end as defensive_duel_pct, case when press_actions > 0 then cast(pressed_passes as double) / press_actions else 999e0 end as ppda "
     "from own join ag using (team_name) join th using (team_name) left join hs using (team_name))"
 )
 _events("team_radar", season.team_radar, f"{_RADAR} select * from radar")
 _RADAR_NAMES = [*_EACH, "directness", "possession_share", "xg_per_shot", "xg_per_shot_against", "aerial_pct", "defensive_duel_pct", "ppda"]
 _PERCENTILES = (
-    f"{_RADAR}, l as (" + " union all ".join(f"select team_name, '{c}' as metric, {'-' if c in season.INVERTED else ''}cast(round_even(coalesce({c}, 0e0) * 100, 0) as bigint) as v from radar" for c in _RADAR_NAMES) + "), "
+    f"{_RADAR}, l as (" + " union all ".join(
+        f"select team_name, '{c}' as metric, {'-' if c in season.INVERTED else ''}cast(round_even(coalesce({c}, 0e0) * 100, 0) as bigint) as v from radar" for c in _RADAR_NAMES
+    ) + "), "
     "tp as (select team_name, metric, (rank() over (partition by metric order by v) + (count(*) over (partition by metric, v) - 1) / 2e0) / count(v) over (partition by metric) * 100 as percentile from l)"
 )
 _events("team_percentiles", season.team_percentiles, f"{_PERCENTILES} select * from tp")
 _FAMILY_ROWS = ", ".join(f"('{f}', '{m}', {i}, {360.0 * i / len(ms)!r}e0)" for f, ms in season.FAMILIES.items() for i, m in enumerate(ms))
-_events("team_radar_vectors", season.radar_vectors, f"{_PERCENTILES}, fa(family, metric, ord, degrees) as (values {_FAMILY_ROWS}) select team_name, family, ord, metric, degrees, percentile from tp join fa using (metric)")
+_events(
+    "team_radar_vectors", season.radar_vectors,
+    f"{_PERCENTILES}, fa(family, metric, ord, degrees) as (values {_FAMILY_ROWS}) select team_name, family, ord, metric, degrees, percentile from tp join fa using (metric)"
+)
 _STRENGTH = (
     ", o as (select team_name, count(distinct match_id) as matches, count_if(shot_is_goal) as gf, cast(sum(shot_cents) as double) as cf from ev group by all), a as (select opponent_team_name as team_name, count_if(shot_is_goal) as ga, cast(sum(shot_cents) as double) as ca from ev group by all), "
     "st as (select team_name, matches, cast(gf as double) / matches as goals_for, cast(ga as double) / matches as goals_against, cast(gf as double) / matches * 0.3e0 + cf / 50000 / matches * 0.7e0 as attack, cast(ga as double) / matches * 0.3e0 + ca / 50000 / matches * 0.7e0 as defence from o join a using (team_name))"
@@ -138,7 +161,9 @@ _events(
     f"{_LIMITS} select cast(unnest(range(cast(floor((attack_low - defence_high) * 10) as bigint), cast(ceil((attack_high - defence_low) * 10) as bigint) + 1)) as double) / 10 as c from li",
 )
 _AXIS = lambda c, a, b: f"{a} as {c}_first, {b} as {c}_last, cast(sum(cast(floor({c} * 1000000 + 0.5e0) as bigint)) over () as double) / count({c}) over () / 1000000 as {c}_mean"
-_LOW, _HIGH = (lambda c: f"min({c}) over () - (max({c}) over () - min({c}) over ()) / 10"), (lambda c: f"max({c}) over () + (max({c}) over () - min({c}) over ()) / 10")
+_LOW, _HIGH = (
+    lambda c: f"min({c}) over () - (max({c}) over () - min({c}) over ()) / 10"
+), (lambda c: f"max({c}) over () + (max({c}) over () - min({c}) over ()) / 10")
 _events(
     "team_scatter", season.scatter,
     f"{_RADAR}, xy as (select team_name, xg as x, xg_against as y from radar) select team_name, x, y, {_AXIS('x', _LOW('x'), _HIGH('x'))}, {_AXIS('y', _HIGH('y'), _LOW('y'))} from xy",
@@ -147,9 +172,15 @@ _events(
     "corner_takers", season.corner_takers,
     f", x as (select *, coalesce(pass_length, {metres('location_x', 'location_y', 'pass_end_x', 'pass_end_y')}) as length_m from ev where type_primary = 'corner' and player_name is not null) select team_name, case when location_y < 50 then 'left' else 'right' end as side, player_name, {TARGET_ZONE} as zone, count(*) as corners from x group by all",
 )
-_events("match_shots", season.match_shots, " select match_id, team_name, event_id, row_number() over (partition by match_id, team_name order by seq) as number, location_x, location_y, cast(shot_cents as double) / 50000 as xg, case when shot_is_goal then 'goal' when shot_on_target then 'on target' else 'other' end as outcome from ev where type_primary = 'shot'")
+_events(
+    "match_shots", season.match_shots,
+    " select match_id, team_name, event_id, row_number() over (partition by match_id, team_name order by seq) as number, location_x, location_y, cast(shot_cents as double) / 50000 as xg, case when shot_is_goal then 'goal' when shot_on_target then 'on target' else 'other' end as outcome from ev where type_primary = 'shot'"
+)
 for _name, _team, _against in (("season_shots", "team_name", False), ("season_shots_against", "opponent_team_name", True)):
-    _events(_name, lambda ev, a=_against: season.season_shots(ev, a), f" select {_team} as team_name, count(*) as shots, count(case when shot_is_goal then 1 end) as goals, cast(sum(shot_cents) as double) / 50000 as xg, cast(sum(shot_cents) as double) / 50000 / count(*) as xg_per_shot from ev where type_primary = 'shot' and not contains(tags, 'penalty') group by all")
+    _events(
+        _name, lambda ev, a=_against: season.season_shots(ev, a),
+        f" select {_team} as team_name, count(*) as shots, count(case when shot_is_goal then 1 end) as goals, cast(sum(shot_cents) as double) / 50000 as xg, cast(sum(shot_cents) as double) / 50000 / count(*) as xg_per_shot from ev where type_primary = 'shot' and not contains(tags, 'penalty') group by all"
+    )
 
 # ---- players
 
@@ -186,15 +217,21 @@ _LINEUP = (
     "lm as (select a.player_id, a.team_name as team_id, cast(sum(case when a.k <= 11 then coalesce(b.m0, fin) else fin - a.m0 end) as bigint) as total_minutes from lr a join ln using (match_id) left join lr b on b.match_id = a.match_id and b.team_name = a.team_name and b.k = a.k + 11 and a.k <= 11 group by all)"
 )
 _events("lineup_minutes", players.lineup_minutes, f"{_LINEUP} select * from lm")
-_OF_TABLE = {c: f"gk.{c[3:]}" if c.startswith("gk_") else f"nx.{c}" if c in ("npxg", "xaop", "xasp", "xa") else "et.xt" if c == "xt" else f"ct.{c}" for c in players.TABLE}
+_OF_TABLE = {
+    c: f"gk.{c[3:]}" if c.startswith("gk_") else f"nx.{c}" if c in ("npxg", "xaop", "xasp", "xa") else "et.xt" if c == "xt" else f"ct.{c}" for c in players.TABLE
+}
 _TABLE = (
     f"{_COUNTED}{_NPXG}{_THREAT}{_KEEPERS}{_LINEUP}{_POSITIONS}, pn as (select player_id, max(player_name) as player_name from ev where player_id is not null group by all), "
     "pl as (select player_id, first(team_id order by total_minutes desc, team_id) as team_name, cast(sum(total_minutes) as bigint) as total_minutes from lm group by all), "
-    "pt as (select ct.player_id, player_name, pl.team_name, coalesce(total_minutes, 0) as total_minutes, primary_position as position, " + ", ".join(f"cast(coalesce({x}, 0) as double) as {c}" for c, x in _OF_TABLE.items())
+    "pt as (select ct.player_id, player_name, pl.team_name, coalesce(total_minutes, 0) as total_minutes, primary_position as position, " + ", ".join(
+        f"cast(coalesce({x}, 0) as double) as {c}" for c, x in _OF_TABLE.items()
+    )
     + " from ct left join nx using (player_id) left join et using (player_id) left join gk using (player_id) left join pn using (player_id) left join pl using (player_id) left join po using (player_id))"
 )
 _events("player_table", players.player_table, f"{_TABLE} select * from pt")
-_PER90 = f"{_TABLE}, p90 as (select player_id, player_name, team_name, total_minutes, position, " + ", ".join(c if c in players.FIXED else f"case when total_minutes > 0 then {c} / total_minutes * 90 else 0e0 end as {c}" for c in players.TABLE) + " from pt)"
+_PER90 = f"{_TABLE}, p90 as (select player_id, player_name, team_name, total_minutes, position, " + ", ".join(
+    c if c in players.FIXED else f"case when total_minutes > 0 then {c} / total_minutes * 90 else 0e0 end as {c}" for c in players.TABLE
+) + " from pt)"
 _events("player_per_90", players.per_90, f"{_PER90} select * from p90")
 _ROLE_ROWS = ", ".join(f"({i}, '{r}', '{m}', {float(w)}e0)" for i, (r, (_, ws)) in enumerate(players.ROLES.items()) for m, w in ws.items())
 _MEMBER_ROWS = ", ".join(f"({i}, '{p}')" for i, (ps, _) in enumerate(players.ROLES.values()) for p in ps)
@@ -213,7 +250,9 @@ _ROLES = (
 )
 _events("archetype_scores", players.archetype_scores, f"{_ROLES} select * from ar")
 _KIND = {m: k for k, ms in charts.KINDS.items() for m in ms}
-_PLACE_ROWS = ", ".join(f"('{r}', '{m}', {i}, {360.0 * i / len(ws)!r}e0, '{_KIND.get(m, 'other')}')" for r, (_, ws) in players.ROLES.items() for i, m in enumerate(ws))
+_PLACE_ROWS = ", ".join(
+    f"('{r}', '{m}', {i}, {360.0 * i / len(ws)!r}e0, '{_KIND.get(m, 'other')}')" for r, (_, ws) in players.ROLES.items() for i, m in enumerate(ws)
+)
 _events(
     "player_radar", charts.player_radar,
     f"{_ROLES}, pc2(role, metric, ord, degrees, kind) as (values {_PLACE_ROWS}) select player_id, role, ord, metric, degrees, kind, value, p * 100 as percentile, score, place from i join pc2 using (role, metric) join sp using (player_id, role)",
@@ -233,73 +272,304 @@ _MATCHES = (
 )
 _events("match_list", charts.match_list, f"{_MATCHES} select * from ml order by match_id")
 _events("match_by_name", charts.match_by_name, f"{_MATCHES} select display_name, min(match_id) as match_id from ml group by 1")
-_events("player_list", charts.player_list, f"{_PER90} select player_id, player_name, team_name, total_minutes, player_name || ' (' || team_name || ', ' || total_minutes || ' min)' as display_name from p90 order by total_minutes desc, player_id")
+_events(
+    "player_list", charts.player_list,
+    f"{_PER90} select player_id, player_name, team_name, total_minutes, player_name || ' (' || team_name || ', ' || total_minutes || ' min)' as display_name from p90 order by total_minutes desc, player_id"
+)
 _events("team_fixtures", lambda ev: charts.fixtures(ev, "Team_3"), f"{_MATCHES} select * from ml where home_team_name = 'Team_3' or away_team_name = 'Team_3'")
 
 # ---- the relational catalogue, on the plain tables
 
-_table("scan_project_rename", "lineitem", lambda t: t.select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net")), "select l_orderkey as order_key, l_linenumber as line, l_extendedprice * (1 - l_discount) as net from lineitem")
-_table("cast_coerce", "events", lambda t: t.select("event_id", F.get_json_object("props", "$.k").try_cast("double").alias("k"), number(F.col("event_type")).alias("bad")), "select event_id, try_cast(json_extract_string(props, '$.k') as double) as k, try_cast(event_type as double) as bad from events")
+_table(
+    "scan_project_rename", "lineitem",
+    lambda t: t.select(
+        F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net")
+    ),
+    "select l_orderkey as order_key, l_linenumber as line, l_extendedprice * (1 - l_discount) as net from lineitem"
+)
+_table(
+    "cast_coerce", "events",
+    lambda t: t.select("event_id", F.get_json_object("props", "$.k").try_cast("double").alias("k"), number(F.col("event_type")).alias("bad")),
+    "select event_id, try_cast(json_extract_string(props, '$.k') as double) as k, try_cast(event_type as double) as bad from events"
+)
 _table(
     "bool_normalise", "orders",
-    lambda t: t.select("o_orderkey", boolean(F.element_at(F.array(*map(F.lit, ("true", " TRUE ", "1", "1.0", "False", "0", "0.0 ", "yes"))), (F.col("o_orderkey") % 8 + 1).cast("int"))).alias("finished")),
+    lambda t: t.select(
+        "o_orderkey",
+        boolean(
+            F.element_at(F.array(*map(F.lit, ("true", " TRUE ", "1", "1.0", "False", "0", "0.0 ", "yes"))), (F.col("o_orderkey") % 8 + 1).cast("int"))
+        ).alias("finished")
+    ),
     "select o_orderkey, case when o_orderkey % 8 < 4 then true when o_orderkey % 8 < 7 then false end as finished from orders",
 )
-_table("filter_eq_cmp", "lineitem", lambda t: t.where("l_returnflag = 'R' and l_quantity > 30").select("l_orderkey", "l_linenumber", "l_quantity"), "select l_orderkey, l_linenumber, l_quantity from lineitem where l_returnflag = 'R' and l_quantity > 30")
-_table("filter_in_list", "orders", lambda t: t.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).groupBy("o_orderpriority").agg(F.count("*").alias("n")), "select o_orderpriority, count(*) as n from orders where o_orderpriority in ('1-URGENT', '2-HIGH') group by 1")
-_table("filter_between", "part", lambda t: t.where(F.col("p_size").between(10, 20)).select("p_partkey", "p_size"), "select p_partkey, p_size from part where p_size between 10 and 20")
-_table("filter_half_open", "part", lambda t: t.where((F.col("p_size") > 10) & (F.col("p_size") <= 20)).select("p_partkey", "p_size"), "select p_partkey, p_size from part where p_size > 10 and p_size <= 20")
-_events("filter_null_default", lambda e: e.where("coalesce(location_x, 101) <= 50 or coalesce(location_x, 0) <= 33.3e0").groupBy("team_name").agg(F.count("*").alias("n")), " select team_name, count(*) as n from ev where coalesce(location_x, 101) <= 50 or coalesce(location_x, 0) <= 33.3e0 group by 1")
-_table("filter_substring", "part", lambda t: t.where(F.col("p_type").contains("STEEL") | F.col("p_name").contains("a")).select("p_partkey"), "select p_partkey from part where contains(p_type, 'STEEL') or contains(p_name, 'a')")
-_events("tag_contains_any", lambda e: e.where(F.exists(F.split("tags", ","), lambda t: t.contains("cross"))).select("event_id"), " select event_id from ev where len(list_filter(string_split(tags, ','), lambda t: contains(t, 'cross'))) > 0")
-_events("tag_exact", lambda e: e.where(F.array_contains(F.split("tags", ","), "cross")).select("event_id"), " select event_id from ev where list_contains(string_split(tags, ','), 'cross')")
-_add("left_join_default", lambda s, d: s.read.parquet(f"{d}/customer.parquet").join(s.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")), "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders")), "select c_custkey, coalesce(n, 0) as orders from customer left join (select o_custkey, count(*) as n from orders group by 1) on c_custkey = o_custkey")
-_events("full_join_coalesce", lambda e: e.where("type_primary = 'shot'").groupBy("player_id").agg(F.count("*").alias("shots")).join(e.where("type_primary = 'duel'").groupBy("player_id").agg(F.count("*").alias("duels")), "player_id", "full").na.fill(0), ", s as (select player_id, count(*) as shots from ev where type_primary = 'shot' group by 1), d as (select player_id, count(*) as duels from ev where type_primary = 'duel' group by 1) select player_id, coalesce(shots, 0) as shots, coalesce(duels, 0) as duels from s full join d using (player_id)")
-_add("semi_join", lambda s, d: s.read.parquet(f"{d}/orders.parquet").join(s.read.parquet(f"{d}/lineitem.parquet").where("l_quantity >= 49"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey"), "select o_orderkey from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity >= 49)")
-_events("opponent_join", lambda e: e.select("event_id", "match_id", "team_name").join(e.select("match_id", "home_team_name", "away_team_name").distinct(), "match_id", "left").select("event_id", F.when(F.col("team_name") == F.col("home_team_name"), F.col("away_team_name")).otherwise(F.col("home_team_name")).alias("opponent")), " select event_id, case when team_name = home_team_name then away_team_name else home_team_name end as opponent from ev")
-_add("map_lookup", lambda s, d: s.read.parquet(f"{d}/supplier.parquet").join(s.read.parquet(f"{d}/nation.parquet").where("n_regionkey < 3"), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("n_name", F.lit("Unknown")).alias("nation")), "select s_suppkey, coalesce(n_name, 'Unknown') as nation from supplier left join (select * from nation where n_regionkey < 3) on s_nationkey = n_nationkey")
-_table("distinct_count", "lineitem", lambda t: t.groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts")), "select l_returnflag, count(distinct l_suppkey) as suppliers, count(distinct l_partkey) as parts from lineitem group by 1")
-_table("freq_pct", "orders", lambda t: t.groupBy("o_orderpriority").agg(F.count("*").alias("n")).select("o_orderpriority", share("n").alias("pct")), "select o_orderpriority, 100e0 * count(*) / sum(count(*)) over () as pct from orders group by 1")
-_events("mode_top3", lambda e: top_k(e.groupBy("team_name", "type_primary").agg(F.count("*").alias("n"), F.min("seq").alias("s")), ["team_name"], 3, F.desc("n"), F.asc("s")).drop("s"), ", c as (select team_name, type_primary, count(*) as n, min(seq) as s from ev group by all) select team_name, type_primary, n, row_number() over (partition by team_name order by n desc, s) as rank from c qualify rank <= 3")
-_table("pivot_fill0", "lineitem", lambda t: t.groupBy("l_linestatus").pivot("l_returnflag", ["A", "N", "R"]).agg(F.count("l_orderkey")).na.fill(0), 'select l_linestatus, count(*) filter (l_returnflag = \'A\') as "A", count(*) filter (l_returnflag = \'N\') as "N", count(*) filter (l_returnflag = \'R\') as "R" from lineitem group by 1')
-_events("first_per_key", lambda e: first_per_key(e, ["player_name"], "seq").select("player_name", "event_id"), " select player_name, event_id from ev qualify row_number() over (partition by player_name order by seq) = 1")
-_events("argmin_row", lambda e: e.groupBy("match_id", "possession_id").agg(F.min_by(F.struct("event_id", "type_primary"), F.struct("match_ts", "seq")).alias("r")).select("possession_id", "r.event_id", "r.type_primary"), " select possession_id, event_id, type_primary from ev qualify row_number() over (partition by possession_id order by match_ts, seq) = 1")
-_events("group_filter", lambda e: e.withColumn("known", F.count("location_x").over(Window.partitionBy("possession_id"))).where("known = 5").groupBy("match_id").agg(F.count_distinct("possession_id").alias("full_possessions")), ", k as (select possession_id, match_id from ev group by all having count(location_x) = 5) select match_id, count(*) as full_possessions from k group by 1")
+_table(
+    "filter_eq_cmp", "lineitem", lambda t: t.where("l_returnflag = 'R' and l_quantity > 30").select("l_orderkey", "l_linenumber", "l_quantity"),
+    "select l_orderkey, l_linenumber, l_quantity from lineitem where l_returnflag = 'R' and l_quantity > 30"
+)
+_table(
+    "filter_in_list", "orders",
+    lambda t: t.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).groupBy("o_orderpriority").agg(F.count("*").alias("n")),
+    "select o_orderpriority, count(*) as n from orders where o_orderpriority in ('1-URGENT', '2-HIGH') group by 1"
+)
+_table(
+    "filter_between", "part", lambda t: t.where(F.col("p_size").between(10, 20)).select("p_partkey", "p_size"),
+    "select p_partkey, p_size from part where p_size between 10 and 20"
+)
+_table(
+    "filter_half_open", "part", lambda t: t.where((F.col("p_size") > 10) & (F.col("p_size") <= 20)).select("p_partkey", "p_size"),
+    "select p_partkey, p_size from part where p_size > 10 and p_size <= 20"
+)
+_events(
+    "filter_null_default",
+    lambda e: e.where("coalesce(location_x, 101) <= 50 or coalesce(location_x, 0) <= 33.3e0").groupBy("team_name").agg(F.count("*").alias("n")),
+    " select team_name, count(*) as n from ev where coalesce(location_x, 101) <= 50 or coalesce(location_x, 0) <= 33.3e0 group by 1"
+)
+_table(
+    "filter_substring", "part", lambda t: t.where(F.col("p_type").contains("STEEL") | F.col("p_name").contains("a")).select("p_partkey"),
+    "select p_partkey from part where contains(p_type, 'STEEL') or contains(p_name, 'a')"
+)
+_events(
+    "tag_contains_any", lambda e: e.where(F.exists(F.split("tags", ","), lambda t: t.contains("cross"))).select("event_id"),
+    " select event_id from ev where len(list_filter(string_split(tags, ','), lambda t: contains(t, 'cross'))) > 0"
+)
+_events(
+    "tag_exact", lambda e: e.where(F.array_contains(F.split("tags", ","), "cross")).select("event_id"),
+    " select event_id from ev where list_contains(string_split(tags, ','), 'cross')"
+)
+_add(
+    "left_join_default", lambda s,
+    d: s.read.parquet(f"{d}/customer.parquet").join(
+        s.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")), "c_custkey", "left"
+    ).select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders")),
+    "select c_custkey, coalesce(n, 0) as orders from customer left join (select o_custkey, count(*) as n from orders group by 1) on c_custkey = o_custkey"
+)
+_events(
+    "full_join_coalesce",
+    lambda e: e.where("type_primary = 'shot'").groupBy("player_id").agg(F.count("*").alias("shots")).join(
+        e.where("type_primary = 'duel'").groupBy("player_id").agg(F.count("*").alias("duels")), "player_id", "full"
+    ).na.fill(0),
+    ", s as (select player_id, count(*) as shots from ev where type_primary = 'shot' group by 1), d as (select player_id, count(*) as duels from ev where type_primary = 'duel' group by 1) select player_id, coalesce(shots, 0) as shots, coalesce(duels, 0) as duels from s full join d using (player_id)"
+)
+_add(
+    "semi_join", lambda s,
+    d: s.read.parquet(f"{d}/orders.parquet").join(
+        s.read.parquet(f"{d}/lineitem.parquet").where("l_quantity >= 49"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi"
+    ).select("o_orderkey"),
+    "select o_orderkey from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity >= 49)"
+)
+_events(
+    "opponent_join",
+    lambda e: e.select("event_id", "match_id", "team_name").join(
+        e.select("match_id", "home_team_name", "away_team_name").distinct(), "match_id", "left"
+    ).select(
+        "event_id",
+        F.when(F.col("team_name") == F.col("home_team_name"), F.col("away_team_name")).otherwise(F.col("home_team_name")).alias("opponent")
+    ),
+    " select event_id, case when team_name = home_team_name then away_team_name else home_team_name end as opponent from ev"
+)
+_add(
+    "map_lookup", lambda s,
+    d: s.read.parquet(f"{d}/supplier.parquet").join(
+        s.read.parquet(f"{d}/nation.parquet").where("n_regionkey < 3"), F.col("s_nationkey") == F.col("n_nationkey"), "left"
+    ).select("s_suppkey", F.coalesce("n_name", F.lit("Unknown")).alias("nation")),
+    "select s_suppkey, coalesce(n_name, 'Unknown') as nation from supplier left join (select * from nation where n_regionkey < 3) on s_nationkey = n_nationkey"
+)
+_table(
+    "distinct_count", "lineitem",
+    lambda t: t.groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts")),
+    "select l_returnflag, count(distinct l_suppkey) as suppliers, count(distinct l_partkey) as parts from lineitem group by 1"
+)
+_table(
+    "freq_pct", "orders", lambda t: t.groupBy("o_orderpriority").agg(F.count("*").alias("n")).select("o_orderpriority", share("n").alias("pct")),
+    "select o_orderpriority, 100e0 * count(*) / sum(count(*)) over () as pct from orders group by 1"
+)
+_events(
+    "mode_top3",
+    lambda e: top_k(
+        e.groupBy("team_name", "type_primary").agg(F.count("*").alias("n"), F.min("seq").alias("s")), ["team_name"], 3, F.desc("n"), F.asc("s")
+    ).drop("s"),
+    ", c as (select team_name, type_primary, count(*) as n, min(seq) as s from ev group by all) select team_name, type_primary, n, row_number() over (partition by team_name order by n desc, s) as rank from c qualify rank <= 3"
+)
+_table(
+    "pivot_fill0", "lineitem", lambda t: t.groupBy("l_linestatus").pivot("l_returnflag", ["A", "N", "R"]).agg(F.count("l_orderkey")).na.fill(0),
+    'select l_linestatus, count(*) filter (l_returnflag = \'A\') as "A", count(*) filter (l_returnflag = \'N\') as "N", count(*) filter (l_returnflag = \'R\') as "R" from lineitem group by 1'
+)
+_events(
+    "first_per_key", lambda e: first_per_key(e, ["player_name"], "seq").select("player_name", "event_id"),
+    " select player_name, event_id from ev qualify row_number() over (partition by player_name order by seq) = 1"
+)
+_events(
+    "argmin_row",
+    lambda e: e.groupBy("match_id", "possession_id").agg(
+        F.min_by(F.struct("event_id", "type_primary"), F.struct("match_ts", "seq")).alias("r")
+    ).select("possession_id", "r.event_id", "r.type_primary"),
+    " select possession_id, event_id, type_primary from ev qualify row_number() over (partition by possession_id order by match_ts, seq) = 1"
+)
+_events(
+    "group_filter",
+    lambda e: e.withColumn(
+        "known", F.count("location_x").over(Window.partitionBy("possession_id"))
+    ).where("known = 5").groupBy("match_id").agg(F.count_distinct("possession_id").alias("full_possessions")),
+    ", k as (select possession_id, match_id from ev group by all having count(location_x) = 5) select match_id, count(*) as full_possessions from k group by 1"
+)
 _events("possession_change", lambda e: possession_changes(e).where("changed").select("event_id"), f"{_CHANGED} select event_id from ch where changed")
-_events("next_shot_backfill", lambda e: e.withColumn("next_shot", next_value(F.when(F.col("type_primary") == "shot", F.col("event_id")), "match_id", "seq")).select("event_id", "next_shot"), " select event_id, first_value(case when type_primary = 'shot' then event_id end ignore nulls) over (partition by match_id order by seq rows between current row and unbounded following) as next_shot from ev")
-_events("group_broadcast_max", lambda e: e.select("event_id", F.max("location_x").over(Window.partitionBy("match_id", "possession_id")).alias("far")), " select event_id, max(location_x) over (partition by match_id, possession_id) as far from ev")
-_table("avg_pct_rank", "customer", lambda t: t.select("c_custkey", average_rank("c_nationkey", "c_mktsegment").alias("pct")), "select c_custkey, (rank() over (partition by c_mktsegment order by c_nationkey) + (count(*) over (partition by c_mktsegment, c_nationkey) - 1) / 2e0) / count(c_nationkey) over (partition by c_mktsegment) as pct from customer")
-_table("dense_rank_desc", "part", lambda t: t.select("p_partkey", F.dense_rank().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"))).cast("long").alias("place")), "select p_partkey, dense_rank() over (partition by p_brand order by p_size desc) as place from part")
-_table("strict_pct", "part", lambda t: t.select("p_partkey", strict_percentile("p_size", "p_brand").alias("pct")), "select p_partkey, 100e0 * (rank() over (partition by p_brand order by p_size) - 1) / count(*) over (partition by p_brand) as pct from part")
-_table("reverse_block", "orders", lambda t: t.select("o_orderkey", (F.floor((F.count(F.lit(1)).over(Window.partitionBy("o_custkey")) - F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))) / 10) + 1).cast("long").alias("block")), "select o_orderkey, cast(floor((count(*) over (partition by o_custkey) - row_number() over (partition by o_custkey order by o_orderkey)) / 10) + 1 as bigint) as block from orders")
-_events("first_n_distinct", lambda e: top_k(e.where("player_name is not null").groupBy("match_id", "team_name", "player_name").agg(F.min("seq").alias("s")), ["match_id", "team_name"], 11, F.asc("s")).drop("s"), ", f as (select match_id, team_name, player_name, min(seq) as s from ev where player_name is not null group by all) select match_id, team_name, player_name, row_number() over (partition by match_id, team_name order by s) as rank from f qualify rank <= 11")
-_table("sort_nulls_last", "supplier", lambda t: t.orderBy(F.col("s_acctbal").asc_nulls_last(), "s_suppkey").select("s_suppkey", "s_acctbal"), "select s_suppkey, s_acctbal from supplier order by s_acctbal asc nulls last, s_suppkey")
-_table("top_k_group", "orders", lambda t: top_k(t, ["o_custkey"], 3, F.desc("o_totalprice"), F.asc("o_orderkey")).select("o_custkey", "o_orderkey", "rank"), "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders qualify rank <= 3")
-_table("head_tail", "orders", lambda t: t.orderBy("o_orderkey").limit(15).union(t.orderBy(F.desc("o_orderkey")).limit(15)).select("o_orderkey"), "(select o_orderkey from orders order by o_orderkey limit 15) union all (select o_orderkey from orders order by o_orderkey desc limit 15)")
-_table("argmax_pick", "lineitem", lambda t: t.groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_quantity", -F.col("l_linenumber"))).alias("line")), "select l_orderkey, l_linenumber as line from lineitem qualify row_number() over (partition by l_orderkey order by l_quantity desc, l_linenumber) = 1")
-_events("union_distinct_teams", lambda e: e.select(F.col("home_team_name").alias("team")).union(e.select("away_team_name")).distinct(), " select home_team_name as team from ev union select away_team_name from ev")
-_events("union_recoveries", lambda e: e.where("type_primary = 'interception'").select("event_id").union(e.where("type_primary = 'clearance'").select("event_id")).union(e.where("type_primary = 'duel' and gd_recovered_possession").select("event_id")), f" select event_id from ev where {M.RECOVERY}")
-_table("label_parse", "orders", lambda t: parse_label(t.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("A"), F.col("o_custkey").cast("string"), F.lit(" - B, 2-1"))).when(F.col("o_orderkey") % 3 == 1, F.lit("no comma")).alias("label"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("Data")).alias("data1"), F.lit(None).cast("string").alias("data2"), F.when(F.col("o_orderkey") % 2 == 0, F.lit(3.0)).alias("score1"), F.lit(0.0).alias("score2"), F.lit("2025-01-31 18:00:00").alias("dateutc"))).select("o_orderkey", "home", "away", "score"),
+_events(
+    "next_shot_backfill",
+    lambda e: e.withColumn(
+        "next_shot", next_value(F.when(F.col("type_primary") == "shot", F.col("event_id")), "match_id", "seq")
+    ).select("event_id", "next_shot"),
+    " select event_id, first_value(case when type_primary = 'shot' then event_id end ignore nulls) over (partition by match_id order by seq rows between current row and unbounded following) as next_shot from ev"
+)
+_events(
+    "group_broadcast_max", lambda e: e.select("event_id", F.max("location_x").over(Window.partitionBy("match_id", "possession_id")).alias("far")),
+    " select event_id, max(location_x) over (partition by match_id, possession_id) as far from ev"
+)
+_table(
+    "avg_pct_rank", "customer", lambda t: t.select("c_custkey", average_rank("c_nationkey", "c_mktsegment").alias("pct")),
+    "select c_custkey, (rank() over (partition by c_mktsegment order by c_nationkey) + (count(*) over (partition by c_mktsegment, c_nationkey) - 1) / 2e0) / count(c_nationkey) over (partition by c_mktsegment) as pct from customer"
+)
+_table(
+    "dense_rank_desc", "part",
+    lambda t: t.select("p_partkey", F.dense_rank().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"))).cast("long").alias("place")),
+    "select p_partkey, dense_rank() over (partition by p_brand order by p_size desc) as place from part"
+)
+_table(
+    "strict_pct", "part", lambda t: t.select("p_partkey", strict_percentile("p_size", "p_brand").alias("pct")),
+    "select p_partkey, 100e0 * (rank() over (partition by p_brand order by p_size) - 1) / count(*) over (partition by p_brand) as pct from part"
+)
+_table(
+    "reverse_block", "orders",
+    lambda t: t.select(
+        "o_orderkey",
+        (
+            F.floor(
+                (F.count(F.lit(1)).over(Window.partitionBy("o_custkey")) - F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))) / 10
+            ) + 1
+        ).cast("long").alias("block")
+    ),
+    "select o_orderkey, cast(floor((count(*) over (partition by o_custkey) - row_number() over (partition by o_custkey order by o_orderkey)) / 10) + 1 as bigint) as block from orders"
+)
+_events(
+    "first_n_distinct",
+    lambda e: top_k(
+        e.where("player_name is not null").groupBy("match_id", "team_name", "player_name").agg(F.min("seq").alias("s")), ["match_id", "team_name"],
+        11, F.asc("s")
+    ).drop("s"),
+    ", f as (select match_id, team_name, player_name, min(seq) as s from ev where player_name is not null group by all) select match_id, team_name, player_name, row_number() over (partition by match_id, team_name order by s) as rank from f qualify rank <= 11"
+)
+_table(
+    "sort_nulls_last", "supplier", lambda t: t.orderBy(F.col("s_acctbal").asc_nulls_last(), "s_suppkey").select("s_suppkey", "s_acctbal"),
+    "select s_suppkey, s_acctbal from supplier order by s_acctbal asc nulls last, s_suppkey"
+)
+_table(
+    "top_k_group", "orders",
+    lambda t: top_k(t, ["o_custkey"], 3, F.desc("o_totalprice"), F.asc("o_orderkey")).select("o_custkey", "o_orderkey", "rank"),
+    "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders qualify rank <= 3"
+)
+_table(
+    "head_tail", "orders", lambda t: t.orderBy("o_orderkey").limit(15).union(t.orderBy(F.desc("o_orderkey")).limit(15)).select("o_orderkey"),
+    "(select o_orderkey from orders order by o_orderkey limit 15) union all (select o_orderkey from orders order by o_orderkey desc limit 15)"
+)
+_table(
+    "argmax_pick", "lineitem",
+    lambda t: t.groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_quantity", -F.col("l_linenumber"))).alias("line")),
+    "select l_orderkey, l_linenumber as line from lineitem qualify row_number() over (partition by l_orderkey order by l_quantity desc, l_linenumber) = 1"
+)
+_events(
+    "union_distinct_teams", lambda e: e.select(F.col("home_team_name").alias("team")).union(e.select("away_team_name")).distinct(),
+    " select home_team_name as team from ev union select away_team_name from ev"
+)
+_events(
+    "union_recoveries",
+    lambda e: e.where("type_primary = 'interception'").select("event_id").union(e.where("type_primary = 'clearance'").select("event_id")).union(
+        e.where("type_primary = 'duel' and gd_recovered_possession").select("event_id")
+    ),
+    f" select event_id from ev where {M.RECOVERY}"
+)
+_table("label_parse", "orders", lambda t: parse_label(
+    t.select(
+        "o_orderkey",
+        F.when(
+            F.col("o_orderkey") % 3 == 0, F.concat(F.lit("A"), F.col("o_custkey").cast("string"), F.lit(" - B, 2-1"))
+        ).when(F.col("o_orderkey") % 3 == 1, F.lit("no comma")).alias("label"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.lit("Data")).alias("data1"), F.lit(None).cast("string").alias("data2"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit(3.0)).alias("score1"), F.lit(0.0).alias("score2"), F.lit("2025-01-31 18:00:00").alias("dateutc")
+    )
+).select("o_orderkey", "home", "away", "score"),
     "with x as (select o_orderkey as k, o_custkey from orders) select k as o_orderkey, case when k % 5 = 0 then 'Data' when k % 3 = 0 then concat('A', o_custkey) else 'Unknown Home' end as home, case when k % 3 = 0 then 'B' else 'Unknown Away' end as away, case when k % 3 = 0 then '2-1' when k % 2 = 0 then '3 - 0' else '? - ?' end as score from x")
-_events("clock_format", lambda e: e.groupBy("match_id").agg(F.max("match_ts").alias("s")).select("match_id", F.format_string("%02d:%02d", F.floor(F.col("s") % 3600 / 60).cast("int"), (F.col("s") % 60).cast("int")).alias("clock")), ", c as (select match_id, cast(max(match_ts) as bigint) % 3600 as s from ev group by 1) select match_id, printf('%02d:%02d', s // 60, s % 60) as clock from c")
-_events("guarded_ratio", lambda e: e.groupBy("player_id").agg(F.expr(M.ratio("count_if(shot_is_goal)", "count_if(type_primary = 'shot')", " * 100")).alias("pct")), " select player_id, case when count_if(type_primary = 'shot') > 0 then cast(count_if(shot_is_goal) as double) / count_if(type_primary = 'shot') * 100 else 0e0 end as pct from ev group by 1")
-_table("ordinal_suffix", "part", lambda t: t.select("p_partkey", F.expr("case when p_size % 100 between 10 and 20 then 'th' when p_size % 10 = 1 then 'st' when p_size % 10 = 2 then 'nd' when p_size % 10 = 3 then 'rd' else 'th' end").alias("suffix")), "select p_partkey, case when p_size % 100 between 10 and 20 then 'th' else case p_size % 10 when 1 then 'st' when 2 then 'nd' when 3 then 'rd' else 'th' end end as suffix from part")
-_events("distance_metre", lambda e: e.where("pass_end_x is not null").select("event_id", F.expr(metres("location_x", "location_y", "pass_end_x", "pass_end_y")).alias("m")), f" select event_id, {metres('location_x', 'location_y', 'pass_end_x', 'pass_end_y')} as m from ev where pass_end_x is not null")
-_events("case_ladder", lambda e: e.groupBy(F.expr(CONTACT_ZONE).alias("zone")).agg(F.count("*").alias("n")), f" select {CONTACT_ZONE} as zone, count(*) as n from ev group by 1")
-_table("minmax_scale", "customer", lambda t: t.select("c_custkey", min_max("c_acctbal", "c_mktsegment").alias("score")), "select c_custkey, case when max(c_acctbal) over w > min(c_acctbal) over w then (c_acctbal - min(c_acctbal) over w) / (max(c_acctbal) over w - min(c_acctbal) over w) * 100e0 else 0e0 end as score from customer window w as (partition by c_mktsegment)")
-_table("tumbling_counts", "events", lambda t: t.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.unix_micros(F.col("w.start").cast("timestamp")).alias("start"), "event_type", "n"), "select cast(floor(epoch(ts) / 3600) * 3600 as bigint) * 1000000 as start, event_type, count(*) as n from events group by 1, 2")
+_events(
+    "clock_format",
+    lambda e: e.groupBy("match_id").agg(F.max("match_ts").alias("s")).select(
+        "match_id", F.format_string("%02d:%02d", F.floor(F.col("s") % 3600 / 60).cast("int"), (F.col("s") % 60).cast("int")).alias("clock")
+    ),
+    ", c as (select match_id, cast(max(match_ts) as bigint) % 3600 as s from ev group by 1) select match_id, printf('%02d:%02d', s // 60, s % 60) as clock from c"
+)
+_events(
+    "guarded_ratio",
+    lambda e: e.groupBy("player_id").agg(F.expr(M.ratio("count_if(shot_is_goal)", "count_if(type_primary = 'shot')", " * 100")).alias("pct")),
+    " select player_id, case when count_if(type_primary = 'shot') > 0 then cast(count_if(shot_is_goal) as double) / count_if(type_primary = 'shot') * 100 else 0e0 end as pct from ev group by 1"
+)
+_table(
+    "ordinal_suffix", "part",
+    lambda t: t.select(
+        "p_partkey",
+        F.expr(
+            "case when p_size % 100 between 10 and 20 then 'th' when p_size % 10 = 1 then 'st' when p_size % 10 = 2 then 'nd' when p_size % 10 = 3 then 'rd' else 'th' end"
+        ).alias("suffix")
+    ),
+    "select p_partkey, case when p_size % 100 between 10 and 20 then 'th' else case p_size % 10 when 1 then 'st' when 2 then 'nd' when 3 then 'rd' else 'th' end end as suffix from part"
+)
+_events(
+    "distance_metre",
+    lambda e: e.where("pass_end_x is not null").select("event_id", F.expr(metres("location_x", "location_y", "pass_end_x", "pass_end_y")).alias("m")),
+    f" select event_id, {metres('location_x', 'location_y', 'pass_end_x', 'pass_end_y')} as m from ev where pass_end_x is not null"
+)
+_events(
+    "case_ladder", lambda e: e.groupBy(F.expr(CONTACT_ZONE).alias("zone")).agg(F.count("*").alias("n")),
+    f" select {CONTACT_ZONE} as zone, count(*) as n from ev group by 1"
+)
+_table(
+    "minmax_scale", "customer", lambda t: t.select("c_custkey", min_max("c_acctbal", "c_mktsegment").alias("score")),
+    "select c_custkey, case when max(c_acctbal) over w > min(c_acctbal) over w then (c_acctbal - min(c_acctbal) over w) / (max(c_acctbal) over w - min(c_acctbal) over w) * 100e0 else 0e0 end as score from customer window w as (partition by c_mktsegment)"
+)
+_table(
+    "tumbling_counts", "events",
+    lambda t: t.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(
+        F.unix_micros(F.col("w.start").cast("timestamp")).alias("start"), "event_type", "n"
+    ),
+    "select cast(floor(epoch(ts) / 3600) * 3600 as bigint) * 1000000 as start, event_type, count(*) as n from events group by 1, 2"
+)
 
 # ---- order, rounding and display
 
-_events("row_reset", lambda e: e.select("event_id", (F.row_number().over(Window.partitionBy("match_id").orderBy("seq")) - 1).cast("long").alias("index")), " select event_id, row_number() over (partition by match_id order by seq) - 1 as index from ev")
+_events(
+    "row_reset", lambda e: e.select("event_id", (F.row_number().over(Window.partitionBy("match_id").orderBy("seq")) - 1).cast("long").alias("index")),
+    " select event_id, row_number() over (partition by match_id order by seq) - 1 as index from ev"
+)
 _events("distinct_rows", lambda e: e.select("player_id", "player_name").distinct(), " select distinct player_id, player_name from ev")
 _events(
     "first_two_teams", lambda e: top_k(e.groupBy("match_id", "team_name").agg(F.min("seq").alias("s")), ["match_id"], 2, F.asc("s")).drop("s"),
     ", f as (select match_id, team_name, min(seq) as s from ev group by all) select match_id, team_name, row_number() over (partition by match_id order by s) as rank from f qualify rank <= 2",
 )
 _table("sorted_distinct", "part", lambda t: t.select("p_brand").distinct().orderBy("p_brand"), "select distinct p_brand from part order by 1")
-_table("round_half_even", "lineitem", lambda t: t.select("l_orderkey", "l_linenumber", F.expr(display.rounded("l_quantity / 8", 2)).alias("r")), f"select l_orderkey, l_linenumber, {display.to_duck(display.rounded('l_quantity / 8', 2))} as r from lineitem")
-_table("date_format", "orders", lambda t: t.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")), "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders")
-_SHOWN = {"one": display.decimals("l_quantity / 8", 1), "two": display.decimals("l_quantity / 8", 2), "three": display.decimals("-l_quantity / 16", 3), "part": display.fraction("l_linenumber", "7"), "minute": display.minute("l_linenumber")}
-_table("display_text", "lineitem", lambda t: t.select("l_orderkey", "l_linenumber", *(F.expr(x).alias(c) for c, x in _SHOWN.items())), "select l_orderkey, l_linenumber, " + ", ".join(f"{display.to_duck(x)} as {c}" for c, x in _SHOWN.items()) + " from lineitem")
-_table("circle_angles", "nation", lambda t: t.select("n_nationkey", (F.col("n_nationkey") * 360 / F.lit(25)).alias("degrees")), "select n_nationkey, n_nationkey * 360 / 25e0 as degrees from nation")
+_table(
+    "round_half_even", "lineitem", lambda t: t.select("l_orderkey", "l_linenumber", F.expr(display.rounded("l_quantity / 8", 2)).alias("r")),
+    f"select l_orderkey, l_linenumber, {display.to_duck(display.rounded('l_quantity / 8', 2))} as r from lineitem"
+)
+_table(
+    "date_format", "orders", lambda t: t.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")),
+    "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders"
+)
+_SHOWN = {
+    "one": display.decimals("l_quantity / 8", 1), "two": display.decimals("l_quantity / 8", 2), "three": display.decimals("-l_quantity / 16", 3),
+    "part": display.fraction("l_linenumber", "7"), "minute": display.minute("l_linenumber")
+}
+_table(
+    "display_text", "lineitem", lambda t: t.select("l_orderkey", "l_linenumber", *(F.expr(x).alias(c) for c, x in _SHOWN.items())),
+    "select l_orderkey, l_linenumber, " + ", ".join(f"{display.to_duck(x)} as {c}" for c, x in _SHOWN.items()) + " from lineitem"
+)
+_table(
+    "circle_angles", "nation", lambda t: t.select("n_nationkey", (F.col("n_nationkey") * 360 / F.lit(25)).alias("degrees")),
+    "select n_nationkey, n_nationkey * 360 / 25e0 as degrees from nation"
+)

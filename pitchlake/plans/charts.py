@@ -23,7 +23,9 @@ KINDS = {
 def player_radar(ev: DataFrame, roles: Roles = ROLES, inverted: Sequence[str] = INVERTED, least_minutes: int = 90) -> DataFrame:
     """Per player and role of its position: the role's metrics with place, angle, kind and percentile, and score and rank in the role."""
     rows = [(r, m, i, 360.0 * i / len(ws), next((k for k, ms in KINDS.items() if m in ms), "other")) for r, (_, ws) in roles.items() for i, m in enumerate(ws)]
-    places = F.broadcast(ev.sparkSession.createDataFrame(rows, "role string, metric string, ord int, degrees double, kind string"))  # as many rows as the parameter has
+    places = F.broadcast(
+        ev.sparkSession.createDataFrame(rows, "role string, metric string, ord int, degrees double, kind string")
+    )  # as many rows as the parameter has
     stats = per_90(ev).where(F.col("total_minutes") >= least_minutes)
     x = scored(role_rows(stats, roles, inverted)).where("member").join(places, ["role", "metric"])
     return x.select("player_id", "role", "ord", "metric", "degrees", "kind", "value", (F.col("p") * 100).alias("percentile"), "score", "place")
@@ -34,11 +36,24 @@ def player_distribution(ev: DataFrame, roles: Roles = ROLES, least_minutes: int
     ends (a tenth around the value if all are equal) and the value as text."""
     stats = per_90(ev).where(F.col("total_minutes") >= least_minutes)
     group = Window.partitionBy("role", "metric")
-    x = role_rows(stats, roles).where("member").withColumns({"lo": F.min("value").over(group), "hi": F.max("value").over(group), "n": F.count("value").over(group), "below": F.rank().over(group.orderBy("value")) - 1})
+    x = role_rows(stats, roles).where("member").withColumns(
+        {
+            "lo": F.min("value").over(group), "hi": F.max("value").over(group), "n": F.count("value").over(group),
+            "below": F.rank().over(group.orderBy("value")) - 1
+        }
+    )
     percent = F.floor(100 * F.col("below") / F.col("n")).cast("long")
     flat = F.col("lo") == F.col("hi")
-    x = x.withColumns({"percent": percent, "low": F.when(flat, F.col("value") - 0.1).otherwise(F.col("lo")), "high": F.when(flat, F.col("value") + 0.1).otherwise(F.col("hi"))})
-    return x.select("player_id", "role", "metric", F.expr(f"concat(cast(percent as string), {ordinal('percent')})").alias("percentile"), "low", "high", F.expr(decimals("value", 2)).alias("value"))
+    x = x.withColumns(
+        {
+            "percent": percent, "low": F.when(flat, F.col("value") - 0.1).otherwise(F.col("lo")),
+            "high": F.when(flat, F.col("value") + 0.1).otherwise(F.col("hi"))
+        }
+    )
+    return x.select(
+        "player_id", "role", "metric", F.expr(f"concat(cast(percent as string), {ordinal('percent')})").alias("percentile"), "low", "high",
+        F.expr(decimals("value", 2)).alias("value")
+    )
 
 
 def team_list(ev: DataFrame) -> DataFrame:
@@ -50,7 +65,10 @@ def match_list(ev: DataFrame) -> DataFrame:
     """Matches in order with the name that a user selects one by: teams and score."""
     goals = {side: F.count_if((F.col("team_name") == F.col(f"{side}_team_name")) & F.col("shot_is_goal")).alias(side) for side in ("home", "away")}
     each = ev.groupBy("match_id", "home_team_name", "away_team_name").agg(*goals.values())
-    name = F.concat("home_team_name", F.lit(" vs "), "away_team_name", F.lit(" ("), F.col("home").cast("string"), F.lit(" - "), F.col("away").cast("string"), F.lit(")"))
+    name = F.concat(
+        "home_team_name", F.lit(" vs "), "away_team_name", F.lit(" ("), F.col("home").cast("string"), F.lit(" - "), F.col("away").cast("string"),
+        F.lit(")")
+    )
     return each.select("match_id", "home_team_name", "away_team_name", name.alias("display_name")).orderBy("match_id")
 
 

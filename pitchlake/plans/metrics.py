@@ -57,7 +57,9 @@ GENERAL = {
 DEFENCE = {
     "interceptions": n("type_primary = 'interception'"),
     "clearances": n("type_primary = 'clearance'"),
-    "press_actions": n(f"location_x >= 40 and (type_primary in ('infraction', 'interception') or gd_duel_type = 'defensive_duel' and (coalesce(gd_recovered_possession, false) or coalesce(gd_stopped_progress, false)) or contains(gd_duel_type, 'sliding_tackle'))"),
+    "press_actions": n(
+        f"location_x >= 40 and (type_primary in ('infraction', 'interception') or gd_duel_type = 'defensive_duel' and (coalesce(gd_recovered_possession, false) or coalesce(gd_stopped_progress, false)) or contains(gd_duel_type, 'sliding_tackle'))"
+    ),
     "pressed_passes": n(f"{_PASS} and location_x >= 40"),
 }
 RECOVERIES = {
@@ -103,7 +105,10 @@ _KINDS = {
     "low_crosses": f"{has('cross')} and contains(pass_height, 'low')",
     "high_crosses": f"{has('cross')} and contains(pass_height, 'high')",
 }
-PASSES = {k: v for name, cond in _KINDS.items() for k, v in ((name, n(f"{_PASS} and {cond}")), (f"accurate_{name}", n(f"{_PASS} and {cond} and pass_accurate")))} | {
+PASSES = {
+    k: v for name, cond in _KINDS.items() for k,
+    v in ((name, n(f"{_PASS} and {cond}")), (f"accurate_{name}", n(f"{_PASS} and {cond} and pass_accurate")))
+} | {
     "deep_completions": n(f"{_PASS} and pass_accurate and {_END_DIST} <= 20 and not {has('cross')}"),
     "pass_length": mean_micro("pass_length", f"{_PASS} and pass_length is not null"),
     "final_third_pass_length": mean_micro("pass_length", f"{_PASS} and {_KINDS['final_third_passes']} and pass_length is not null"),
@@ -133,7 +138,10 @@ PLAYER_MATCH = {
     "red_cards": n("infraction_red"),
 }
 _OK = "pass_accurate"
-_TAGGED = {"long_passes": "long_pass", "crosses": "cross", "through_passes": "through_pass", "final_third_passes": "pass_to_final_third", "forward_passes": "forward_pass", "back_passes": "back_pass", "penalty_area_passes": "pass_to_penalty_area"}
+_TAGGED = {
+    "long_passes": "long_pass", "crosses": "cross", "through_passes": "through_pass", "final_third_passes": "pass_to_final_third",
+    "forward_passes": "forward_pass", "back_passes": "back_pass", "penalty_area_passes": "pass_to_penalty_area"
+}
 COUNTING = {
     "goals": n("shot_is_goal"),
     "shots": n(_SHOT),
@@ -144,7 +152,13 @@ COUNTING = {
     "offsides": n("type_primary = 'offside'"),
     "yellow_cards": n("infraction_yellow"),
     "red_cards": n("infraction_red"),
-    **{k: n(exact(t)) for k, t in (("assists", "assist"), ("touches_in_box", "touch_in_box"), ("progressive_runs", "progressive_run"), ("fouls_suffered", "foul_suffered"), ("second_assists", "second_assist"))},
+    **{
+        k: n(exact(t)) for k,
+        t in (
+            ("assists", "assist"), ("touches_in_box", "touch_in_box"), ("progressive_runs", "progressive_run"), ("fouls_suffered", "foul_suffered"),
+            ("second_assists", "second_assist")
+        )
+    },
     "passes": n(_PASS),
     "passes_ok": n(f"{_PASS} and {_OK}"),
     **{k: v for name, t in _TAGGED.items() for k, v in ((name, n(exact(t))), (f"{name}_ok", n(f"{exact(t)} and {_OK}")))},
@@ -168,7 +182,9 @@ COUNTING = {
     "xg": XG("shot_cents is not null"),
     "npxg": XG("type_primary <> 'penalty'"),
     "deep_completions": n(f"{_PASS} and pass_accurate and {metres('pass_end_x', 'pass_end_y', '100', '50')} <= 20 and not {exact('cross')}"),
-    "progressive_passes": n(f"{_PASS} and pass_accurate and pass_end_x - location_x >= case when location_x < 50 and pass_end_x < 50 then 30 when location_x < 50 then 15 else 10 end"),
+    "progressive_passes": n(
+        f"{_PASS} and pass_accurate and pass_end_x - location_x >= case when location_x < 50 and pass_end_x < 50 then 30 when location_x < 50 then 15 else 10 end"
+    ),
 }
 #: Ratios of counts, times 100 but for the first; 0 if there is nothing to divide by.
 RATIOS = {
@@ -187,7 +203,9 @@ TEAM_FOR = {
     "crosses": n(f"{_PASS} and {has('cross')}"),
     "dribbles": n(f"{_DUEL} and gd_take_on"),
     "passes": n(_PASS),
-    "progressive_passes": n(f"{_PASS} and {_GAIN} >= case when location_x <= 50 and pass_end_x <= 50 then 30 when location_x <= 50 and pass_end_x > 50 then 15 when location_x > 50 and pass_end_x > 50 then 10 end"),
+    "progressive_passes": n(
+        f"{_PASS} and {_GAIN} >= case when location_x <= 50 and pass_end_x <= 50 then 30 when location_x <= 50 and pass_end_x > 50 then 15 when location_x > 50 and pass_end_x > 50 then 10 end"
+    ),
     "directness": mean_micro(_GAIN, f"{_PASS} and location_x is not null and pass_end_x is not null"),
     "losses": n(_LOST),
     "aerial_duels": n(f"{_DUEL} and {has('aerial')}"),

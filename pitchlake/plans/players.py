@@ -19,9 +19,15 @@ def minutes_from_lineups(lineups: DataFrame, length: DataFrame) -> DataFrame:
     length: match_id, minutes. Starters play until they go off (their last entry counts), others from their minute on."""
     x = lineups.join(length, "match_id", "left").withColumn("minutes", F.coalesce("minutes", F.lit(90)))
     subs = F.coalesce("substitutions", F.array().cast("array<struct<player_in:bigint,player_out:bigint,minute:int>>"))
-    off = x.select("match_id", "team_id", F.posexplode(subs).alias("i", "s")).groupBy("match_id", "team_id", F.col("s.player_out").alias("player_id")).agg(F.max_by("s.minute", "i").alias("off"))
-    starters = x.select("match_id", "team_id", "minutes", F.explode("lineup").alias("player_id")).join(off, ["match_id", "team_id", "player_id"], "left").select("player_id", "team_id", F.coalesce("off", "minutes").alias("minutes"))
-    later = x.select("team_id", "minutes", F.explode(subs).alias("s")).select(F.col("s.player_in").alias("player_id"), "team_id", (F.col("minutes") - F.col("s.minute")).alias("minutes"))
+    off = x.select("match_id", "team_id", F.posexplode(subs).alias("i", "s")).groupBy(
+        "match_id", "team_id", F.col("s.player_out").alias("player_id")
+    ).agg(F.max_by("s.minute", "i").alias("off"))
+    starters = x.select(
+        "match_id", "team_id", "minutes", F.explode("lineup").alias("player_id")
+    ).join(off, ["match_id", "team_id", "player_id"], "left").select("player_id", "team_id", F.coalesce("off", "minutes").alias("minutes"))
+    later = x.select("team_id", "minutes", F.explode(subs).alias("s")).select(
+        F.col("s.player_in").alias("player_id"), "team_id", (F.col("minutes") - F.col("s.minute")).alias("minutes")
+    )
     return starters.unionByName(later).groupBy("player_id", "team_id").agg(F.sum("minutes").cast("long").alias("total_minutes"))
 
 
@@ -32,9 +38,13 @@ def minutes(ev: DataFrame) -> DataFrame:
 
 def positions(ev: DataFrame) -> DataFrame:
     """The three most frequent positions of each player; ties go to the one seen first."""
-    counts = ev.where("player_id is not null and player_position is not null").groupBy("player_id", "player_position").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    counts = ev.where(
+        "player_id is not null and player_position is not null"
+    ).groupBy("player_id", "player_position").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     top = top_k(counts, ["player_id"], 3, F.desc("n"), F.asc("first"))
-    return top.groupBy("player_id").pivot("rank", [1, 2, 3]).agg(F.first("player_position")).toDF("player_id", "primary_position", "secondary_position", "tertiary_position")
+    return top.groupBy("player_id").pivot("rank", [1, 2, 3]).agg(F.first("player_position")).toDF(
+        "player_id", "primary_position", "secondary_position", "tertiary_position"
+    )
 
 
 def assisted(ev: DataFrame) -> DataFrame:
@@ -50,9 +60,15 @@ def assisted(ev: DataFrame) -> DataFrame:
 def npxg_xa(ev: DataFrame) -> DataFrame:
     """Expected goals without penalties, and expected assists, of players with any."""
     x = assisted(ev).where("type_primary <> 'penalty' and shot_cents is not null or xa_kind is not null").groupBy("player_id").agg(
-        *(F.coalesce(F.sum(F.when(F.expr(c), F.col(x))), F.lit(0)).alias(k) for k, c, x in (("np", "type_primary <> 'penalty'", "shot_cents"), ("xaop", "xa_kind = 'xaop'", "xa_cents"), ("xasp", "xa_kind = 'xasp'", "xa_cents")))
+        *(
+            F.coalesce(F.sum(F.when(F.expr(c), F.col(x))), F.lit(0)).alias(k) for k, c,
+            x in (("np", "type_primary <> 'penalty'", "shot_cents"), ("xaop", "xa_kind = 'xaop'", "xa_cents"), ("xasp", "xa_kind = 'xasp'", "xa_cents"))
+        )
     )
-    return x.select("player_id", (F.col("np") / 50000).alias("npxg"), (F.col("xaop") / 50000).alias("xaop"), (F.col("xasp") / 50000).alias("xasp"), ((F.col("xaop") + F.col("xasp")) / 50000).alias("xa"))
+    return x.select(
+        "player_id", (F.col("np") / 50000).alias("npxg"), (F.col("xaop") / 50000).alias("xaop"), (F.col("xasp") / 50000).alias("xasp"),
+        ((F.col("xaop") + F.col("xasp")) / 50000).alias("xa")
+    )
 
 
 def counting(ev: DataFrame) -> DataFrame:
@@ -66,17 +82,23 @@ GOALKEEPING = ("faced", "conceded", "exits", "recoveries", "passes", "long_passe
 def faced_shots(ev: DataFrame) -> DataFrame:
     """Shots on target by the keeper who faced them: number, goals, and 100 times their value."""
     on_target = ev.where("shot_on_target and shot_gk_id is not null")
-    return on_target.groupBy(F.col("shot_gk_id").alias("player_id")).agg(F.count("*").alias("faced"), F.expr(M.n("shot_is_goal")).alias("conceded"), F.sum("shot_cents").alias("cents"))
+    return on_target.groupBy(F.col("shot_gk_id").alias("player_id")).agg(
+        F.count("*").alias("faced"), F.expr(M.n("shot_is_goal")).alias("conceded"), F.sum("shot_cents").alias("cents")
+    )
 
 
 def goalkeepers(ev: DataFrame) -> DataFrame:
     """Of every player seen in goal: shots on target faced, what was expected and conceded, and play with the ball."""
     own = ev.where("player_id is not null").groupBy("player_id").agg(
-        F.max(F.coalesce(F.col("player_position") == "GK", F.lit(False))).alias("keeper"), F.expr(M.n("type_primary = 'goalkeeper_exit'")).alias("exits"), F.expr(M.n(M.exact("recovery"))).alias("recoveries"),
+        F.max(
+            F.coalesce(F.col("player_position") == "GK", F.lit(False))
+        ).alias("keeper"), F.expr(M.n("type_primary = 'goalkeeper_exit'")).alias("exits"), F.expr(M.n(M.exact("recovery"))).alias("recoveries"),
         F.expr(M.n("type_primary = 'pass'")).alias("passes"), F.expr(M.n(M.exact("long_pass"))).alias("long_passes"),
     )
     x = own.where("keeper").drop("keeper").join(faced_shots(ev), "player_id", "left").na.fill(0, ["faced", "conceded", "cents"])
-    return x.withColumn("prevented", F.col("cents") / 45000 - F.col("conceded")).withColumn("prevented_per_shot", F.when(F.col("faced") > 0, F.col("prevented") / F.col("faced")).otherwise(0.0)).withColumn("psxg", F.col("cents") / 45000).drop("cents")
+    return x.withColumn("prevented", F.col("cents") / 45000 - F.col("conceded")).withColumn(
+        "prevented_per_shot", F.when(F.col("faced") > 0, F.col("prevented") / F.col("faced")).otherwise(0.0)
+    ).withColumn("psxg", F.col("cents") / 45000).drop("cents")
 
 
 _ARRAY, _AT = "array({})", "element_at({}, {})"
@@ -102,7 +124,10 @@ def lineups(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = ev.where("player_id is not null").groupBy("match_id", "team_name", "player_id").agg(F.min("seq").alias("s"), F.min("minute").alias("minute"))
     seen = first.groupBy("match_id", F.col("team_name").alias("team_id")).agg(F.array_sort(F.collect_list(F.struct("s", "player_id", "minute"))).alias("p"))
     off = lambda i: F.when(i < 11, F.get("p", i)["player_id"])
-    subs = F.transform(F.slice("p", F.lit(12), F.size("p")), lambda x, i: F.struct(x["player_id"].alias("player_in"), off(i).alias("player_out"), x["minute"].alias("minute")))
+    subs = F.transform(
+        F.slice("p", F.lit(12), F.size("p")), lambda x,
+        i: F.struct(x["player_id"].alias("player_in"), off(i).alias("player_out"), x["minute"].alias("minute"))
+    )
     start = F.transform(F.slice("p", 1, 11), lambda x: x["player_id"])
     return seen.select("match_id", "team_id", start.alias("lineup"), subs.alias("substitutions")), ev.groupBy("match_id").agg(F.max("minute").alias("minutes"))
 
@@ -124,19 +149,39 @@ def player_table(ev: DataFrame) -> DataFrame:
     of `goalkeepers`, after one window for the next shot."""
     own = threatened(assisted(ev)).where("player_id is not null").groupBy("player_id").agg(
         *aggregates({k: x for k, x in M.COUNTING.items() if k != "npxg"}),
-        *(F.coalesce(F.sum(F.when(F.expr(c), F.col(x))), F.lit(0)).alias(k) for k, c, x in (("np", "type_primary <> 'penalty'", "shot_cents"), ("ao", "xa_kind = 'xaop'", "xa_cents"), ("as", "xa_kind = 'xasp'", "xa_cents"), ("threat", "true", "gain"))),
+        *(
+            F.coalesce(F.sum(F.when(F.expr(c), F.col(x))), F.lit(0)).alias(k) for k, c,
+            x in (
+                ("np", "type_primary <> 'penalty'", "shot_cents"), ("ao", "xa_kind = 'xaop'", "xa_cents"), ("as", "xa_kind = 'xasp'", "xa_cents"),
+                ("threat", "true", "gain")
+            )
+        ),
         F.max("player_name").alias("player_name"), F.max(F.coalesce(F.col("player_position") == "GK", F.lit(False))).alias("keeper"),
         F.expr(M.n("type_primary = 'goalkeeper_exit'")).alias("exits"),
     )
-    own = own.withColumns({k: F.expr(x) for k, x in M.RATIOS.items()} | {"npxg": F.col("np") / 50000, "xaop": F.col("ao") / 50000, "xasp": F.col("as") / 50000, "xa": (F.col("ao") + F.col("as")) / 50000, "xt": F.col("threat") / 100})
-    played = lineup_minutes(ev).groupBy("player_id").agg(F.min_by("team_id", F.struct(-F.col("total_minutes"), "team_id")).alias("team_name"), F.sum("total_minutes").alias("total_minutes"))
+    own = own.withColumns(
+        {k: F.expr(x) for k, x in M.RATIOS.items()} | {
+            "npxg": F.col("np") / 50000, "xaop": F.col("ao") / 50000, "xasp": F.col("as") / 50000, "xa": (F.col("ao") + F.col("as")) / 50000,
+            "xt": F.col("threat") / 100
+        }
+    )
+    played = lineup_minutes(ev).groupBy("player_id").agg(
+        F.min_by("team_id", F.struct(-F.col("total_minutes"), "team_id")).alias("team_name"), F.sum("total_minutes").alias("total_minutes")
+    )
     x = own.join(faced_shots(ev), "player_id", "left").na.fill(0, ["faced", "conceded", "cents"])
     prevented = F.col("cents") / 45000 - F.col("conceded")
-    keeping = {"faced": F.col("faced"), "conceded": F.col("conceded"), "exits": F.col("exits"), "recoveries": F.col("recoveries"), "passes": F.col("passes"), "long_passes": F.col("long_passes"), "prevented": prevented, "prevented_per_shot": F.when(F.col("faced") > 0, prevented / F.col("faced")).otherwise(0.0), "psxg": F.col("cents") / 45000}
+    keeping = {
+        "faced": F.col("faced"), "conceded": F.col("conceded"), "exits": F.col("exits"), "recoveries": F.col("recoveries"), "passes": F.col("passes"),
+        "long_passes": F.col("long_passes"), "prevented": prevented,
+        "prevented_per_shot": F.when(F.col("faced") > 0, prevented / F.col("faced")).otherwise(0.0), "psxg": F.col("cents") / 45000
+    }
     x = x.withColumns({f"gk_{c}": F.when(F.col("keeper"), keeping[c].cast("double")).otherwise(0.0) for c in GOALKEEPING})
     x = x.join(played, "player_id", "left").join(positions(ev), "player_id", "left")
     whole = F.coalesce("total_minutes", F.lit(0)).cast("long").alias("total_minutes")
-    return x.select("player_id", "player_name", "team_name", whole, F.col("primary_position").alias("position"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in TABLE))
+    return x.select(
+        "player_id", "player_name", "team_name", whole, F.col("primary_position").alias("position"),
+        *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in TABLE)
+    )
 
 
 def per_90(ev: DataFrame) -> DataFrame:
@@ -163,12 +208,17 @@ def role_rows(stats: DataFrame, roles: Roles = ROLES, inverted: Sequence[str] =
     """Per player and role: whether its position is of the role (member), and if so a row for each metric of the role with
     weight, value and percentile p among the members; a row without these if not."""
     each = [
-        F.struct(F.lit(i).alias("role_id"), F.lit(r).alias("role"), F.coalesce(F.col("position").isin(*ps), F.lit(False)).alias("member"), F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(float(w)).alias("weight"), F.col(m).alias("value")) for m, w in ws.items())).alias("items"))
+        F.struct(
+            F.lit(i).alias("role_id"), F.lit(r).alias("role"), F.coalesce(F.col("position").isin(*ps), F.lit(False)).alias("member"),
+            F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(float(w)).alias("weight"), F.col(m).alias("value")) for m, w in ws.items())).alias("items")
+        )
         for i, (r, (ps, ws)) in enumerate(roles.items())
     ]
     who = ["player_id", "player_name", "team_name"]
     x = stats.select(*who, "position", F.inline(F.array(*each)))
-    x = x.select(*who, "role_id", "role", "member", F.explode_outer(F.when(F.col("member"), F.col("items"))).alias("i")).select(*who, "role_id", "role", "member", "i.*")
+    x = x.select(
+        *who, "role_id", "role", "member", F.explode_outer(F.when(F.col("member"), F.col("items"))).alias("i")
+    ).select(*who, "role_id", "role", "member", "i.*")
     p = average_rank("value", "role_id", "metric")
     return x.withColumn("p", F.when(F.col("metric").isin(*inverted), 1 - p).otherwise(p))
 
@@ -183,7 +233,9 @@ def scored(rows: DataFrame, per_archetype: bool = False) -> DataFrame:
     return x.withColumn("place", F.when(F.col("member"), F.dense_rank().over(Window.partitionBy("role", "member").orderBy(F.desc("score"))).cast("long")))
 
 
-def archetype_scores(ev: DataFrame, roles: Roles = ROLES, inverted: Sequence[str] = INVERTED, least_minutes: int = 90, per_archetype: bool = False) -> DataFrame:
+def archetype_scores(
+    ev: DataFrame, roles: Roles = ROLES, inverted: Sequence[str] = INVERTED, least_minutes: int = 90, per_archetype: bool = False
+) -> DataFrame:
     """Per player and role: the weighted percentiles (total), their place between the role's least and greatest (score),
     and the rank (place). A player whose position is not of the role has 0 in all three.
 

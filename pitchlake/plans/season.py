@@ -18,25 +18,44 @@ def corners(ev: DataFrame) -> DataFrame:
     """Per team: corner possessions, delivery, first-contact zones, and what the 1st, the 2nd and later contacts bring."""
     taken = first_per_key(ev.where("type_primary = 'corner' and possession_event_index is not null"), ["match_id", "possession_id"], "possession_event_index")
     length = F.expr(metres("location_x", "location_y", "pass_end_x", "pass_end_y"))
-    taken = taken.select("match_id", "possession_id", "team_name", F.col("possession_event_index").alias("c"), F.when(length <= 20, "short").otherwise("direct").alias("delivery"))
-    later = ev.select("match_id", "possession_id", "possession_event_index", "shot_cents", "shot_is_goal", F.expr(CONTACT_ZONE).alias("zone")).join(taken, ["match_id", "possession_id"])
+    taken = taken.select(
+        "match_id", "possession_id", "team_name", F.col("possession_event_index").alias("c"),
+        F.when(length <= 20, "short").otherwise("direct").alias("delivery")
+    )
+    later = ev.select(
+        "match_id", "possession_id", "possession_event_index", "shot_cents", "shot_is_goal", F.expr(CONTACT_ZONE).alias("zone")
+    ).join(taken, ["match_id", "possession_id"])
     step = F.col("possession_event_index") - F.col("c")
     shot = F.col("shot_cents").isNotNull()
     phases = {"first": step == 1, "second": step == 2, "phase2": step > 2}
     each = later.groupBy("match_id", "possession_id", "team_name", "delivery").agg(
         F.coalesce(F.min(F.when(step == 1, F.col("zone"))), F.lit("Unknown")).alias("zone"),
-        *(x for k, c in phases.items() for x in (F.count_if(c & shot).alias(f"{k}_shots"), F.count_if(c & shot & F.col("shot_is_goal")).alias(f"{k}_goals"), F.coalesce(F.sum(F.when(c, F.col("shot_cents"))), F.lit(0)).alias(f"{k}_cents"))),
+        *(
+            x for k,
+            c in phases.items() for x in (
+                F.count_if(c & shot).alias(f"{k}_shots"), F.count_if(c & shot & F.col("shot_is_goal")).alias(f"{k}_goals"),
+                F.coalesce(F.sum(F.when(c, F.col("shot_cents"))), F.lit(0)).alias(f"{k}_cents")
+            )
+        ),
     )
     sums = [F.sum(f"{k}_{x}").alias(f"{k}_{x}") for k in phases for x in ("shots", "goals", "cents")]
     zones = [F.count_if(F.col("zone") == z).alias(name) for z, name in ZONES.items()]
     out = each.groupBy("team_name").agg(F.count("*").alias("corners"), F.count_if(F.col("delivery") == "short").alias("short"), *zones, *sums)
     played = ev.groupBy("team_name").agg(F.count_distinct("match_id").alias("matches"))
     cents = F.col("first_cents") + F.col("second_cents") + F.col("phase2_cents")
-    out = out.join(played, "team_name").withColumns({"corners_per_match": F.col("corners") / F.col("matches"), "xg_per_match": cents / 50000 / F.col("matches"), "xg_per_corner": cents / 50000 / F.col("corners"), "short_pct": 100.0 * F.col("short") / F.col("corners")})
+    out = out.join(played, "team_name").withColumns(
+        {
+            "corners_per_match": F.col("corners") / F.col("matches"), "xg_per_match": cents / 50000 / F.col("matches"),
+            "xg_per_corner": cents / 50000 / F.col("corners"), "short_pct": 100.0 * F.col("short") / F.col("corners")
+        }
+    )
     return out.withColumns({f"{k}_xg": F.col(f"{k}_cents") / 50000 for k in phases}).drop(*(f"{k}_cents" for k in phases))
 
 
-ZONES = {"6Y Box": "zone_six_yard", "Front Area": "zone_front", "Near Post": "zone_near", "Far Post": "zone_far", "Middle Area": "zone_middle", "Back Area": "zone_back", "Unknown": "zone_unknown"}
+ZONES = {
+    "6Y Box": "zone_six_yard", "Front Area": "zone_front", "Near Post": "zone_near", "Far Post": "zone_far", "Middle Area": "zone_middle",
+    "Back Area": "zone_back", "Unknown": "zone_unknown"
+}
 
 
 def team_radar(ev: DataFrame) -> DataFrame:
@@ -44,9 +63,14 @@ def team_radar(ev: DataFrame) -> DataFrame:
     # one row a possession and team: its sums, how far it went, and the holder if the possession's first event is here
     opening = Window.partitionBy("match_id", "possession_id").orderBy("seq")
     marked = possession_changes(ev).withColumn("first", F.row_number().over(opening) == 1)
-    adds = {k: x for k, x in (M.TEAM_FOR | M.TEAM_AGAINST).items() if k not in ("matches", "directness", "xg", "xg_against")} | M.DIRECTNESS | {"cents": M.total("shot_cents", "true")}
+    adds = {
+        k: x for k, x in (M.TEAM_FOR | M.TEAM_AGAINST).items() if k not in ("matches", "directness", "xg", "xg_against")
+    } | M.DIRECTNESS | {"cents": M.total("shot_cents", "true")}
     seconds = F.max(F.when(F.col("first"), F.col("possession_duration_sec")))
-    each = marked.groupBy("match_id", "possession_id", "team_name", "opponent_team_name").agg(*aggregates(adds), F.min("location_x").alias("lo"), F.max("location_x").alias("hi"), F.max(F.when(F.col("first"), F.col("possession_team_name"))).alias("holder"), seconds.alias("sec"))
+    each = marked.groupBy("match_id", "possession_id", "team_name", "opponent_team_name").agg(
+        *aggregates(adds), F.min("location_x").alias("lo"), F.max("location_x").alias("hi"),
+        F.max(F.when(F.col("first"), F.col("possession_team_name"))).alias("holder"), seconds.alias("sec")
+    )
     each = each.withColumn("final_third_entries", F.expr("cast(coalesce(lo < 66.6e0 and hi >= 66.6e0, false) as bigint)"))
     mine = [c for c in adds if c not in M.TEAM_AGAINST] + ["final_third_entries"]
     theirs = [*(c for c in M.TEAM_AGAINST if c != "xg_against"), "cents"]
@@ -54,21 +78,39 @@ def team_radar(ev: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
 
     def side(team: str, kind: int) -> Column:
-        own = [(F.col(c).cast("long") if kind == 0 else none).alias(names[c]) for c in mine] + [(F.col(c).cast("long") if kind == 1 else none).alias(f"a_{c}") for c in theirs]
-        return F.struct(F.col(team).alias("team_name"), *own, F.when(F.lit(kind == 0), F.col("match_id")).alias("played"), F.lit(int(kind == 1)).alias("faced"), F.when(F.lit(kind == 2), F.col("sec")).alias("held"))
+        own = [(F.col(c).cast("long") if kind == 0 else none).alias(names[c]) for c in mine] + [
+            (F.col(c).cast("long") if kind == 1 else none).alias(f"a_{c}") for c in theirs
+        ]
+        return F.struct(
+            F.col(team).alias("team_name"), *own, F.when(F.lit(kind == 0), F.col("match_id")).alias("played"), F.lit(int(kind == 1)).alias("faced"),
+            F.when(F.lit(kind == 2), F.col("sec")).alias("held")
+        )
 
     sums = each.select("match_id", F.inline(F.array(side("team_name", 0), side("opponent_team_name", 1), side("holder", 2)))).groupBy("team_name").agg(
-        *(F.sum(f"f_{c}").alias(c) for c in mine), *(F.sum(f"a_{c}").alias(f"a_{c}") for c in theirs), F.count_distinct("played").alias("matches"), F.max("faced").alias("faced"), F.sum("held").alias("sec")
+        *(F.sum(f"f_{c}").alias(c) for c in mine), *(
+            F.sum(f"a_{c}").alias(f"a_{c}") for c in theirs
+        ), F.count_distinct("played").alias("matches"), F.max("faced").alias("faced"), F.sum("held").alias("sec")
     )
     whole = F.sum("sec").over(Window.partitionBy())
     x = sums.withColumn("possession_share", F.coalesce("sec", F.lit(0.0)) / whole * 100).where("matches > 0 and faced > 0")
-    x = x.withColumns({**{c: F.col(f"a_{c}") for c in theirs if c != "cents"}, "xg": F.col("cents") / 50000, "xg_against": F.col("a_cents") / 50000, "directness": F.col("gain_sum") / F.col("gain_count") / 1000000})
+    x = x.withColumns(
+        {
+            **{c: F.col(f"a_{c}") for c in theirs if c != "cents"}, "xg": F.col("cents") / 50000, "xg_against": F.col("a_cents") / 50000,
+            "directness": F.col("gain_sum") / F.col("gain_count") / 1000000
+        }
+    )
     part = lambda a, b, scale=1.0: F.when(F.col(b) > 0, F.col(a) / F.col(b) * scale).otherwise(0.0)
     each = [c for c in (*M.TEAM_FOR, *M.TEAM_AGAINST, "final_third_entries") if c not in SHARED]
     return x.select(
-        "team_name", "matches", *((F.col(c) / F.col("matches")).alias(c) for c in each), "directness", F.coalesce("possession_share", F.lit(0.0)).alias("possession_share"),
-        part("xg", "shots").alias("xg_per_shot"), part("xg_against", "shots_against").alias("xg_per_shot_against"), part("aerial_duels_won", "aerial_duels", 100.0).alias("aerial_pct"),
-        part("defensive_duels_won", "defensive_duels", 100.0).alias("defensive_duel_pct"), F.when(F.col("press_actions") > 0, F.col("pressed_passes") / F.col("press_actions")).otherwise(999.0).alias("ppda"),
+        "team_name", "matches", *(
+            (F.col(c) / F.col("matches")).alias(c) for c in each
+        ), "directness", F.coalesce("possession_share", F.lit(0.0)).alias("possession_share"),
+        part("xg", "shots").alias("xg_per_shot"), part("xg_against", "shots_against").alias("xg_per_shot_against"), part(
+            "aerial_duels_won", "aerial_duels", 100.0
+        ).alias("aerial_pct"),
+        part("defensive_duels_won", "defensive_duels", 100.0).alias("defensive_duel_pct"), F.when(
+            F.col("press_actions") > 0, F.col("pressed_passes") / F.col("press_actions")
+        ).otherwise(999.0).alias("ppda"),
     )
 
 
@@ -91,7 +133,10 @@ def strength(ev: DataFrame) -> DataFrame:
     against = ev.groupBy(F.col("opponent_team_name").alias("team_name")).agg(goals.alias("ga"), cents.alias("ca"))
     x = own.join(against, "team_name")
     per = lambda g, c: (F.col(g) / F.col("matches") * 0.3 + F.col(c) / 50000 / F.col("matches") * 0.7)
-    return x.select("team_name", "matches", (F.col("gf") / F.col("matches")).alias("goals_for"), (F.col("ga") / F.col("matches")).alias("goals_against"), per("gf", "cf").alias("attack"), per("ga", "ca").alias("defence"))
+    return x.select(
+        "team_name", "matches", (F.col("gf") / F.col("matches")).alias("goals_for"), (F.col("ga") / F.col("matches")).alias("goals_against"),
+        per("gf", "cf").alias("attack"), per("ga", "ca").alias("defence")
+    )
 
 
 def mean(c: str) -> str:
@@ -103,7 +148,9 @@ def strength_limits(ev: DataFrame) -> DataFrame:
     """Axis limits of the strength scatter, a tenth beyond either end, and its mean lines."""
     lo, hi = lambda c: F.min(c) - (F.max(c) - F.min(c)) / 10, lambda c: F.max(c) + (F.max(c) - F.min(c)) / 10
     sides = ("attack", "defence")
-    return strength(ev).agg(*(f(c).alias(f"{c}_{k}") for c in sides for k, f in (("low", lo), ("high", hi))), *(F.expr(mean(c)).alias(f"{c}_mean") for c in sides))
+    return strength(ev).agg(
+        *(f(c).alias(f"{c}_{k}") for c in sides for k, f in (("low", lo), ("high", hi))), *(F.expr(mean(c)).alias(f"{c}_mean") for c in sides)
+    )
 
 
 def strength_diagonals(ev: DataFrame) -> DataFrame:
@@ -149,11 +196,16 @@ def corner_takers(ev: DataFrame) -> DataFrame:
 def match_shots(ev: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("match_id", "team_name").orderBy("seq")).cast("long")
     outcome = F.when(F.col("shot_is_goal"), "goal").when(F.col("shot_on_target"), "on target").otherwise("other")
-    return ev.where("type_primary = 'shot'").select("match_id", "team_name", "event_id", number.alias("number"), "location_x", "location_y", (F.col("shot_cents") / 50000).alias("xg"), outcome.alias("outcome"))
+    return ev.where("type_primary = 'shot'").select(
+        "match_id", "team_name", "event_id", number.alias("number"), "location_x", "location_y", (F.col("shot_cents") / 50000).alias("xg"),
+        outcome.alias("outcome")
+    )
 
 
 def season_shots(ev: DataFrame, against: bool = False) -> DataFrame:
     """Shots without penalties: number, goals, xG and xG per shot of each team, or of its opponents."""
     team = F.col("opponent_team_name" if against else "team_name").alias("team_name")
-    x = ev.where("type_primary = 'shot' and not contains(tags, 'penalty')").groupBy(team).agg(F.count("*").alias("shots"), F.expr(M.n("shot_is_goal")).alias("goals"), F.sum("shot_cents").alias("cents"))
+    x = ev.where("type_primary = 'shot' and not contains(tags, 'penalty')").groupBy(team).agg(
+        F.count("*").alias("shots"), F.expr(M.n("shot_is_goal")).alias("goals"), F.sum("shot_cents").alias("cents")
+    )
     return x.select("team_name", "shots", "goals", (F.col("cents") / 50000).alias("xg"), (F.col("cents") / 50000 / F.col("shots")).alias("xg_per_shot"))

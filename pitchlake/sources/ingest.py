@@ -17,7 +17,10 @@ EVENTS = (
 )
 SCHEDULE = "matches array<struct<matchId:long,seasonId:long,roundId:long,gameweek:int,status:string,dateutc:string,label:string,team1Id:long,team2Id:long,teamsData:map<string,struct<name:string,teamId:long>>,score1:double,score2:double>>"
 LINEUPS = "matchId long, teamsData map<string,struct<formation:struct<lineup:array<struct<playerId:long>>,substitutions:array<struct<playerIn:long,playerOut:long,minute:int>>>>>"
-_BOOLEAN = ("accurate", "isGoal", "onTarget", "keptPossession", "recoveredPossession", "stoppedProgress", "takeOn", "progressedWithBall", "firstTouch", "yellowCard", "redCard")
+_BOOLEAN = (
+    "accurate", "isGoal", "onTarget", "keptPossession", "recoveredPossession", "stoppedProgress", "takeOn", "progressedWithBall", "firstTouch",
+    "yellowCard", "redCard"
+)
 _NUMBER = ("x", "y", "length", "xg", "postShotXg", "duration")
 
 
@@ -75,7 +78,9 @@ def read_entities(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def accessible_seasons(spark: SparkSession, path: str) -> DataFrame:
     """Of landed season responses, a file each, those that name their competition; what isn't JSON counts as no season."""
-    return spark.read.schema(SEASON).option("multiLine", True).option("mode", "PERMISSIVE").json(path).where("competitionName is not null and competitionName <> ''")
+    return spark.read.schema(SEASON).option("multiLine", True).option("mode", "PERMISSIVE").json(path).where(
+        "competitionName is not null and competitionName <> ''"
+    )
 
 
 def missing_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
@@ -107,7 +112,9 @@ def read_schedule(spark: SparkSession, path: str, season: int | None = None) ->
     x = spark.read.schema(SCHEDULE).option("multiLine", True).json(path).select(F.inline("matches"))
     if season is not None:
         x = x.where(F.col("seasonId") == season)
-    return parse_label(x.withColumns({f"data{i}": F.try_element_at("teamsData", F.col(f"team{i}Id").cast("string"))["name"] for i in (1, 2)})).drop("teamsData", "data1", "data2").orderBy(F.col("date").asc_nulls_last(), "matchId")
+    return parse_label(
+        x.withColumns({f"data{i}": F.try_element_at("teamsData", F.col(f"team{i}Id").cast("string"))["name"] for i in (1, 2)})
+    ).drop("teamsData", "data1", "data2").orderBy(F.col("date").asc_nulls_last(), "matchId")
 
 
 def parse_label(x: DataFrame) -> DataFrame:
@@ -117,14 +124,28 @@ def parse_label(x: DataFrame) -> DataFrame:
     name = lambda i: F.when(F.size(teams) == 2, F.trim(F.get(teams, F.lit(i))))
     last = F.trim(F.get(parts, F.lit(1)))
     score = F.when((F.size(parts) == 2) & last.contains("-") & (F.length(last) >= 3), last)
-    numbers = F.when(F.col("score1").isNotNull() & F.col("score2").isNotNull(), F.concat(F.col("score1").cast("int").cast("string"), F.lit(" - "), F.col("score2").cast("int").cast("string")))
-    return x.withColumns({"home": F.coalesce("data1", name(0), F.lit("Unknown Home")), "away": F.coalesce("data2", name(1), F.lit("Unknown Away")), "score": F.coalesce(score, numbers, F.lit("? - ?")), "date": F.try_to_timestamp("dateutc", F.lit("yyyy-MM-dd HH:mm:ss"))})
+    numbers = F.when(
+        F.col("score1").isNotNull() & F.col("score2").isNotNull(),
+        F.concat(F.col("score1").cast("int").cast("string"), F.lit(" - "), F.col("score2").cast("int").cast("string"))
+    )
+    return x.withColumns(
+        {
+            "home": F.coalesce("data1", name(0), F.lit("Unknown Home")), "away": F.coalesce("data2", name(1), F.lit("Unknown Away")),
+            "score": F.coalesce(score, numbers, F.lit("? - ?")), "date": F.try_to_timestamp("dateutc", F.lit("yyyy-MM-dd HH:mm:ss"))
+        }
+    )
 
 
 def read_lineups(spark: SparkSession, path: str) -> DataFrame:
     x = spark.read.schema(LINEUPS).json(path).select("matchId", F.explode("teamsData").alias("team", "data"))
-    subs = F.transform("data.formation.substitutions", lambda s: F.struct(s["playerIn"].alias("player_in"), s["playerOut"].alias("player_out"), s["minute"].alias("minute")))
-    return x.select(F.col("matchId").alias("match_id"), F.col("team").try_cast("long").alias("team_id"), F.col("data.formation.lineup.playerId").alias("lineup"), subs.alias("substitutions"))
+    subs = F.transform(
+        "data.formation.substitutions",
+        lambda s: F.struct(s["playerIn"].alias("player_in"), s["playerOut"].alias("player_out"), s["minute"].alias("minute"))
+    )
+    return x.select(
+        F.col("matchId").alias("match_id"), F.col("team").try_cast("long").alias("team_id"), F.col("data.formation.lineup.playerId").alias("lineup"),
+        subs.alias("substitutions")
+    )
 
 
 def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:

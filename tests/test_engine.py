@@ -26,13 +26,19 @@ def test_entry_runs(spark):
 
 
 def test_average_rank_ties_and_nulls(spark):
-    rank = lambda values: [r.p for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", average_rank("v").alias("p")).orderBy("i").collect()]
+    rank = lambda values: [
+        r.p for r in spark.createDataFrame(
+            [(i, v) for i, v in enumerate(values)], "i int, v double"
+        ).select("i", average_rank("v").alias("p")).orderBy("i").collect()
+    ]
     assert rank([1.0, 2.0, 2.0, 4.0]) == [0.25, 0.625, 0.625, 1.0]
     assert rank([1.0, 2.0, 2.0, None]) == [pytest.approx(1 / 3), pytest.approx(2.5 / 3), pytest.approx(2.5 / 3), None]
 
 
 def test_min_max_and_strict_percentile(spark):
-    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "g string, v double").select("g", "v", min_max("v", "g").alias("s"), strict_percentile("v", "g").alias("p"))
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "g string, v double").select(
+        "g", "v", min_max("v", "g").alias("s"), strict_percentile("v", "g").alias("p")
+    )
     assert sorted(map(tuple, df.collect())) == [("a", 1.0, 0.0, 0.0), ("a", 3.0, 100.0, 50.0), ("b", 5.0, 0.0, 0.0)]
 
 
@@ -47,7 +53,9 @@ def test_box_edges(spark):
 
 
 def test_recovery_thirds_count_the_edge_twice(spark):
-    df = spark.createDataFrame([("interception", x, None) for x in (33.3, 66.6, 66.7, None)], "type_primary string, location_x double, gd_recovered_possession boolean")
+    df = spark.createDataFrame(
+        [("interception", x, None) for x in (33.3, 66.6, 66.7, None)], "type_primary string, location_x double, gd_recovered_possession boolean"
+    )
     row = df.agg(*match.aggregates(metrics.RECOVERIES)).first()
     assert (row.recoveries, row.recoveries_low, row.recoveries_mid, row.recoveries_high) == (4, 2, 2, 1)
 
@@ -70,7 +78,10 @@ def test_no_python_in_plans(spark):
 
 
 def test_minutes_from_lineups(spark):
-    lineups = spark.createDataFrame([(1, 10, [1, 2], [(3, 1, 60), (4, 3, 80)]), (2, 10, [1, 2], [(3, 1, 30), (5, 1, 50)]), (3, 10, [1], None)], "match_id int, team_id int, lineup array<bigint>, substitutions array<struct<player_in:bigint,player_out:bigint,minute:int>>")
+    lineups = spark.createDataFrame(
+        [(1, 10, [1, 2], [(3, 1, 60), (4, 3, 80)]), (2, 10, [1, 2], [(3, 1, 30), (5, 1, 50)]), (3, 10, [1], None)],
+        "match_id int, team_id int, lineup array<bigint>, substitutions array<struct<player_in:bigint,player_out:bigint,minute:int>>"
+    )
     length = spark.createDataFrame([(1, 95), (2, 90)], "match_id int, minutes int")
     got = {r.player_id: r.total_minutes for r in players.minutes_from_lineups(lineups, length).collect()}
     assert got == {1: 60 + 50 + 90, 2: 185, 3: 35 + 60, 4: 15, 5: 40}
@@ -89,7 +100,10 @@ def test_derived_lineups_and_table(spark):
 
 def test_threat_ends_where_its_type_says(spark):
     schema = "type_primary string, pass_accurate boolean, player_id int, location_x double, location_y double, pass_end_x double, pass_end_y double, carry_end_x double, carry_end_y double"
-    rows = [("pass", True, 1, 10.0, 50.0, None, None, 99.0, 50.0), ("touch", None, 2, 10.0, 50.0, 99.0, 50.0, None, None), ("pass", True, 3, 10.0, 50.0, 99.0, 50.0, 1.0, 1.0)]
+    rows = [
+        ("pass", True, 1, 10.0, 50.0, None, None, 99.0, 50.0), ("touch", None, 2, 10.0, 50.0, 99.0, 50.0, None, None),
+        ("pass", True, 3, 10.0, 50.0, 99.0, 50.0, 1.0, 1.0)
+    ]
     assert {r.player_id: r.xt for r in players.expected_threat(spark.createDataFrame(rows, schema)).collect()} == {3: pytest.approx(0.25)}
 
 
@@ -139,7 +153,10 @@ def test_landed_entities(spark, tmp_path):
 
 
 def test_schedule_and_lineups(spark, tmp_path):
-    game = lambda i, s, date: {"matchId": i, "seasonId": s, "label": "A - B, 1-0", "dateutc": date, "team1Id": 1, "team2Id": 2, "teamsData": {"1": {"name": "A FC", "teamId": 1}}}
+    game = lambda i, s, date: {
+        "matchId": i, "seasonId": s, "label": "A - B, 1-0", "dateutc": date, "team1Id": 1, "team2Id": 2,
+        "teamsData": {"1": {"name": "A FC", "teamId": 1}}
+    }
     (tmp_path / "s.json").write_text(json.dumps({"matches": [game(1, 9, "2025-02-01 10:00:00"), game(2, 9, "2025-01-01 10:00:00"), game(3, 8, None)]}))
     got = [(r.matchId, r.home, r.away, r.score) for r in ingest.read_schedule(spark, str(tmp_path / "s.json"), 9).collect()]
     assert got == [(2, "A FC", "B", "1-0"), (1, "A FC", "B", "1-0")]
@@ -162,11 +179,20 @@ def test_tables_written_read_and_missing(spark, tmp_path):
 
 
 def test_json_events_and_labels(spark, tmp_path):
-    rows = [{"id": 1, "matchId": 7, "location": {"x": 50, "y": "bad"}, "shot": {"isGoal": True}, "type": {"primary": "shot", "secondary": ["a"]}, "possession": {"duration": "12.3s"}}, {"id": 2, "matchId": 7, "shot": {"isGoal": "0"}}]
+    rows = [
+        {
+            "id": 1, "matchId": 7, "location": {"x": 50, "y": "bad"}, "shot": {"isGoal": True}, "type": {"primary": "shot", "secondary": ["a"]},
+            "possession": {"duration": "12.3s"}
+        },
+        {"id": 2, "matchId": 7, "shot": {"isGoal": "0"}}
+    ]
     (tmp_path / "e.json").write_text("\n".join(map(json.dumps, rows)))
     a, b = ingest.read_events(spark, str(tmp_path / "e.json")).orderBy("seq").collect()
     assert (a.location_x, a.location_y, a.shot_isGoal, a.possession_duration, a.type_secondary) == (50.0, None, True, 12.3, ["a"])
     assert b.shot_isGoal is False and b.location_x is None
-    df = spark.createDataFrame([("A - B, 2-1", None, None, None, None, "2025-01-01 10:00:00"), ("A - B - C, 1", "X", None, 3.0, 0.0, "bad"), (None, None, None, None, None, None)], "label string, data1 string, data2 string, score1 double, score2 double, dateutc string")
+    df = spark.createDataFrame(
+        [("A - B, 2-1", None, None, None, None, "2025-01-01 10:00:00"), ("A - B - C, 1", "X", None, 3.0, 0.0, "bad"), (None, None, None, None, None, None)],
+        "label string, data1 string, data2 string, score1 double, score2 double, dateutc string"
+    )
     got = [(r.home, r.away, r.score, r.date is None) for r in ingest.parse_label(df).collect()]
     assert got == [("A", "B", "2-1", False), ("X", "Unknown Away", "3 - 0", True), ("Unknown Home", "Unknown Away", "? - ?", True)]

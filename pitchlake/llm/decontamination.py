@@ -45,11 +45,16 @@ def _seeds(words: str, length: int, tolerance: float, edge: int) -> F.Column:
         seed = F.xxhash64(F.lit(length), F.lit(m), *own)
         return F.when(own[0].isNotNull() & own[-1].isNotNull(), seed) if edge else seed
 
-    places = lambda h: F.transform(F.sequence(F.lit(-edge), F.size(h) - span + edge), lambda i: F.array(*(at(h, i, m, mask) for m, mask in enumerate(masks))))
+    places = lambda h: F.transform(
+        F.sequence(F.lit(-edge), F.size(h) - span + edge), lambda i: F.array(*(at(h, i, m, mask) for m, mask in enumerate(masks)))
+    )
     return F.flatten(F.element_at(F.transform(F.array(hashes), places), 1))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, tolerance: float = 0.2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", by_text: bool = False) -> DataFrame:
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, tolerance: float = 0.2, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text: str = "text", by_text: bool = False
+) -> DataFrame:
     """Pairs of a document and a benchmark item that overlap: id, item id, n_equal, n_window.
 
     Words are runs of letters and digits in lower case. An overlap: of some `window` consecutive words of the item (all,
@@ -59,9 +64,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, toleranc
     ties of windows. `by_text`: pairs are of an id and a text, and the text's xxhash64 comes out as h. An empty table on
     either side gives no rows. Extra columns are not read."""
     whose = ["doc_id", "h"] if by_text else ["doc_id"]
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).where("item_text is not null").select("item_id", F.xxhash64("item_text").alias("item_h"), _words("item_text").alias("item")).where(F.size("item") > 0).distinct()
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).where("item_text is not null").select(
+        "item_id", F.xxhash64("item_text").alias("item_h"), _words("item_text").alias("item")
+    ).where(F.size("item") > 0).distinct()
     items = materialize(items.withColumn("w", F.least(F.lit(window), F.size("item"))), "items")
-    width, count = items.agg(F.coalesce(F.sum(F.expr("aggregate(item, 0L, (n, x) -> n + length(x))")), F.lit(0)), F.coalesce(F.sum(F.size("item")), F.lit(0))).first()
+    width, count = items.agg(
+        F.coalesce(F.sum(F.expr("aggregate(item, 0L, (n, x) -> n + length(x))")), F.lit(0)), F.coalesce(F.sum(F.size("item")), F.lit(0))
+    ).first()
     small = len(MASKS) * count <= MOST_SEEDS and width <= MOST_ITEM_BYTES
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text")).where("doc_text is not null")
     tokens = own.select("doc_id", F.xxhash64("doc_text").alias("h"), _words("doc_text").alias("words"))
@@ -72,11 +81,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, toleranc
         n = len(masks)
         known = items.where(F.col("w") == length).select("item_id", "item_h", F.posexplode(_seeds("item", length, tolerance, 0)).alias("j", "seed"))
         spots = known.select("seed", "item_id", "item_h", F.floor(F.col("j") / n).cast("int").alias("j"), F.lit(span).alias("span")).distinct()
-        places = tokens.where(F.size("words") >= span - 2 * edge).where(F.size("words") > 0).select("doc_id", "h", F.posexplode(_seeds("words", length, tolerance, edge)).alias("i", "seed")).where("seed is not null")
-        hits = places.join(F.broadcast(spots) if small else spots, "seed").select("doc_id", "h", (F.floor(F.col("i") / n) - edge).cast("int").alias("i"), "item_id", "item_h", "j", "span").distinct()
+        places = tokens.where(F.size("words") >= span - 2 * edge).where(F.size("words") > 0).select(
+            "doc_id", "h", F.posexplode(_seeds("words", length, tolerance, edge)).alias("i", "seed")
+        ).where("seed is not null")
+        hits = places.join(F.broadcast(spots) if small else spots, "seed").select(
+            "doc_id", "h", (F.floor(F.col("i") / n) - edge).cast("int").alias("i"), "item_id", "item_h", "j", "span"
+        ).distinct()
         found = hits if found is None else found.union(hits)
     if found is None:
-        return docs.limit(0).select(F.col(id_col).alias("doc_id"), *([F.xxhash64(text_col).alias("h")] if by_text else [])).join(benchmark.limit(0).select(F.col(item_col).alias("item_id")), F.lit(False)).select(*whose, "item_id", F.lit(0).cast("long").alias("n_equal"), F.lit(0).cast("long").alias("n_window")).withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
+        return docs.limit(0).select(
+            F.col(id_col).alias("doc_id"), *([F.xxhash64(text_col).alias("h")] if by_text else [])
+        ).join(benchmark.limit(0).select(F.col(item_col).alias("item_id")), F.lit(False)).select(
+            *whose, "item_id", F.lit(0).cast("long").alias("n_equal"), F.lit(0).cast("long").alias("n_window")
+        ).withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
     hits = materialize(found, "seed-hits")
     # texts cross the network once, and are cut into words only where something was hit
     spot = hits.withColumnsRenamed({"doc_id": "hit_id", "h": "hit_h"})
@@ -87,10 +104,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, toleranc
     mine = [F.col("item_id").eqNullSafe(F.col("own_id")), F.col("item_h") == F.col("own_h")]
     around = hit_texts.join(spot, same).join(F.broadcast(of_item) if small else of_item, mine)
     # the item's words before and after the seed that some window with it has, cut to the document
-    shape = around.withColumn("lo", F.greatest(F.col("j") - (F.col("w") - F.col("span")), F.lit(0))).withColumn("hi", F.least(F.col("j") + F.col("w"), F.size("item")))
-    near = shape.select(*whose, "item_id", "w", F.slice("item", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("a"), F.expr("transform(sequence(lo, hi - 1), p -> if(i - j + p < 0, null, get(words, i - j + p)))").alias("b"))
+    shape = around.withColumn(
+        "lo", F.greatest(F.col("j") - (F.col("w") - F.col("span")), F.lit(0))
+    ).withColumn("hi", F.least(F.col("j") + F.col("w"), F.size("item")))
+    near = shape.select(
+        *whose, "item_id", "w", F.slice("item", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("a"),
+        F.expr("transform(sequence(lo, hi - 1), p -> if(i - j + p < 0, null, get(words, i - j + p)))").alias("b")
+    )
     equal = near.select(*whose, "item_id", "w", F.expr("zip_with(a, b, (x, y) -> if(x <=> y, 1, 0))").alias("e"))
-    best = equal.select(*whose, "item_id", F.col("w").cast("long").alias("n_window"), F.expr("array_max(transform(sequence(1, size(e) - w + 1), s -> aggregate(slice(e, s, w), 0, (n, x) -> n + x)))").cast("long").alias("n_equal"))
+    best = equal.select(
+        *whose, "item_id", F.col("w").cast("long").alias("n_window"),
+        F.expr("array_max(transform(sequence(1, size(e) - w + 1), s -> aggregate(slice(e, s, w), 0, (n, x) -> n + x)))").cast("long").alias("n_equal")
+    )
     enough = best.where(F.col("n_window") - F.col("n_equal") <= F.floor(F.col("n_window") * tolerance))
     # an id may stand for items of several lengths: the best of the longest window
     out = enough.groupBy(*whose, "item_id").agg(F.max(F.struct("n_window", "n_equal")).alias("x")).select(*whose, "item_id", "x.n_equal", "x.n_window")

@@ -26,7 +26,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = materialize(large, "large-star")
         discard(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = large.join(least, "u").select(
+            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+        ).select("e.*").where("u <> v").distinct()
         edges = materialize(small, "small-star")
         discard(large)
         now = _state(edges)

@@ -145,7 +145,14 @@ class Jaccard:
             for part, sets in _each_set(batches, words):
                 n = np.array([len(s) for s in sets], np.int64)
                 coarse, fine = sketches(sets)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_hash(s) if len(s) else 0 for s in sets], pa.int64()), pa.array(n), pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH, coarse), pa.array(fine, pa.binary()), *part.columns[2:]], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), pa.array([set_hash(s) if len(s) else 0 for s in sets], pa.int64()), pa.array(n),
+                        pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH, coarse), pa.array(fine, pa.binary()),
+                        *part.columns[2:]
+                    ],
+                    names=names
+                )
                 block += sets
                 size += int(n.sum())
                 if size >= BLOCK:
@@ -154,7 +161,13 @@ class Jaccard:
             kept, counts = fold(kept, counts, block)
             if len(kept):
                 rest = [pa.nulls(len(kept), part.column(2 + i).type) for i in range(len(more))]
-                yield pa.RecordBatch.from_arrays([_long(kept), pa.nulls(len(kept), pa.int64()), pa.array(counts), pa.nulls(len(kept), pa.list_(pa.int64())), pa.nulls(len(kept), pa.binary()), *rest], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _long(kept), pa.nulls(len(kept), pa.int64()), pa.array(counts), pa.nulls(len(kept), pa.list_(pa.int64())),
+                        pa.nulls(len(kept), pa.binary()), *rest
+                    ],
+                    names=names
+                )
 
         kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in more)
         return base.select("id", "text", *(f.name for f in more)).mapInArrow(run, f"id long, class long, n long, sketch array<long>, fine binary{kinds}")
@@ -197,7 +210,13 @@ class Jaccard:
                     size = np.array([len(s) for s in sets_])
                     pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                     repeat = lambda x, t, size=size: pa.array(np.repeat(np.array(x, t), size))
-                    yield pa.RecordBatch.from_arrays([_long(np.concatenate(sets_)), repeat(classes, np.int64), repeat(sizes, np.int32), pa.array(pos.astype(np.int32)), pa.array(np.concatenate(kinds).astype(np.int8))], names=["g", "class", "n", "pos", "kind"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            _long(np.concatenate(sets_)), repeat(classes, np.int64), repeat(sizes, np.int32), pa.array(pos.astype(np.int32)),
+                            pa.array(np.concatenate(kinds).astype(np.int8))
+                        ],
+                        names=["g", "class", "n", "pos", "kind"]
+                    )
 
         return base.select("id", "text").mapInArrow(run, "g long, class long, n int, pos int, kind byte")
 
@@ -221,7 +240,12 @@ class Jaccard:
                 stay = []
                 for r in batch.select(batch.schema.names[2:]).to_pylist():
                     fine = r["a_fine"] is not None and r["b_fine"] is not None
-                    x, y = (np.unpackbits(np.frombuffer(r[f"{t}_fine"], np.uint8) if fine else np.array(r[f"{t}_sketch"], np.int64).view(np.uint8), bitorder="little") for t in "ab")
+                    x, y = (
+                        np.unpackbits(
+                            np.frombuffer(r[f"{t}_fine"], np.uint8) if fine else np.array(r[f"{t}_sketch"], np.int64).view(np.uint8),
+                            bitorder="little"
+                        ) for t in "ab"
+                    )
                     bins = min(len(x), len(y))
                     x, y = (v.reshape(bins, -1).sum(axis=1) & 1 for v in (x, y))
                     differ = x != y
@@ -252,7 +276,9 @@ class Jaccard:
         sides = pairs.join(of("a"), "a").join(of("b"), "b").select(F.greatest("a_", "b_").alias("x"), F.least("a_", "b_").alias("y"))
         parts = F.ceil(F.col("x.k") / PART).cast("int")
         sides = materialize(sides.select("x", "y", parts.alias("parts"), F.pmod(F.xxhash64("y.class"), parts).cast("int").alias("part")), f"{name}-sides")
-        hubs = sides.select("x", "part").distinct().select(F.col("x.id").alias("id"), F.col("x.class").alias("hub"), "part", F.lit(0).alias("role"), F.col("x.class").alias("class"))
+        hubs = sides.select("x", "part").distinct().select(
+            F.col("x.id").alias("id"), F.col("x.class").alias("hub"), "part", F.lit(0).alias("role"), F.col("x.class").alias("class")
+        )
         sent = hubs.union(sides.select("y.id", F.col("x.class").alias("hub"), "part", F.lit(1).alias("role"), "y.class"))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +311,9 @@ class Jaccard:
     def links(self, base: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(keys, links between classes that connect whatever any links connect)."""
         keys = materialize(self.keys(base), "shingle-keys")
-        rows = self.prefixes(base, self.frequent(keys)).withColumn("salt", F.when(F.col("kind") == HOT, F.pmod("class", F.lit(HOT_PARTS))).otherwise(0).cast("int"))
+        rows = self.prefixes(base, self.frequent(keys)).withColumn(
+            "salt", F.when(F.col("kind") == HOT, F.pmod("class", F.lit(HOT_PARTS))).otherwise(0).cast("int")
+        )
         by_shingle = Window.partitionBy("g", "salt").orderBy("class")
         head = by_shingle.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         around = rows.withColumns({"least": F.first("class").over(head), "next": F.lead("class").over(by_shingle)})
@@ -295,16 +323,25 @@ class Jaccard:
         # before: a class's shared shingles before this one; prev: the last of them; k: all of them
         of_class = Window.partitionBy("class")
         in_order = of_class.orderBy("pos")
-        postings = materialize(shared.withColumns({"before": F.row_number().over(in_order) - 1, "prev": F.lag("g").over(in_order), "k": F.count("*").over(of_class)}), "postings")
+        postings = materialize(
+            shared.withColumns({"before": F.row_number().over(in_order) - 1, "prev": F.lag("g").over(in_order), "k": F.count("*").over(of_class)}),
+            "postings"
+        )
         first = materialize(self._head_pairs(postings), "first-pairs")
         met_first = first.select(F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b")).distinct()
         compared = self.verify(base, keys, met_first, "first")
         groups = components(compared.where("link"))
         # star: the one class that a class was compared with at first, and how far it is
-        star = first.select("class", "head", F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b")).join(compared, ["a", "b"]).select("class", "head", "apart")
+        star = first.select(
+            "class", "head", F.least("class", "head").alias("a"), F.greatest("class", "head").alias("b")
+        ).join(compared, ["a", "b"]).select("class", "head", "apart")
         labels = groups.withColumnRenamed("node", "class").join(star, "class", "full")
-        known = postings.drop("k").join(labels.hint("merge"), "class", "left").withColumns({"component": F.coalesce("component", "class"), "apart": F.coalesce("apart", F.lit(0.0)), "head": F.coalesce("head", "class")}).repartition("g")
-        lists = known.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(F.count("*").alias("parts"), F.sum("k").alias("rows"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1").select("g", "main", "rows")
+        known = postings.drop("k").join(labels.hint("merge"), "class", "left").withColumns(
+            {"component": F.coalesce("component", "class"), "apart": F.coalesce("apart", F.lit(0.0)), "head": F.coalesce("head", "class")}
+        ).repartition("g")
+        lists = known.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(
+            F.count("*").alias("parts"), F.sum("k").alias("rows"), F.max_by("component", F.struct("k", "component")).alias("main")
+        ).where("parts > 1").select("g", "main", "rows")
         mixed = materialize(known.join(lists, "g"), "mixed")
         sketch = keys.where("n > 0").groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("fine").alias("fine"))
         small = mixed.where(F.col("rows") < BIG)
@@ -313,7 +350,13 @@ class Jaccard:
         even = (100 + self.percent) * apart <= (100 - self.percent) * (F.col("l_n") + F.col("r_n")).cast("long")
         pairs = self._crossing(small, F.lit(True)).union(self._crossing(big, even)).groupBy("a", "b").agg(F.min("x").alias("x"))
         pairs = pairs.join(met_first, ["a", "b"], "left_anti")
-        flat = materialize(pairs.select("a", "b", F.col("x.kind").alias("kind"), F.col("x.g").alias("g"), *(F.col(f"x.{t}_.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("n", "pos", "before"))), "candidates")
+        flat = materialize(
+            pairs.select(
+                "a", "b", F.col("x.kind").alias("kind"), F.col("x.g").alias("g"),
+                *(F.col(f"x.{t}_.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("n", "pos", "before"))
+            ),
+            "candidates"
+        )
         of = lambda t: sketch.toDF(t, f"{t}_sketch", f"{t}_fine").hint("merge")
         near = self.suffixes_near(flat.join(of("a"), "a").join(of("b"), "b").select("a", "b", *flat.columns[2:], "a_sketch", "b_sketch", "a_fine", "b_fine"))
         rest = materialize(near, "rest-pairs")
@@ -332,10 +375,15 @@ class Jaccard:
         once = (F.col("r_component") == F.col("main")) | (F.col("l_class") < F.col("r_class"))
         begins = ~F.col("l_prev").eqNullSafe(F.col("r_prev")) | F.col("l_prev").isNull()
         within = (F.col("l_head") != F.col("r_head")) | (F.abs(F.col("l_apart") - F.col("r_apart")) <= (100 - self.percent) / 100 + 1e-9)
-        met = left.join(right.hint("merge"), "g").where((F.col("l_component") != F.col("r_component")) & once & begins & within & self.may_link("l_", "r_") & even)
+        met = left.join(right.hint("merge"), "g").where(
+            (F.col("l_component") != F.col("r_component")) & once & begins & within & self.may_link("l_", "r_") & even
+        )
         turn = F.col("l_class") < F.col("r_class")
         side = lambda x, y: F.struct(*(F.when(turn, F.col(f"{x}{c}")).otherwise(F.col(f"{y}{c}")).alias(c) for c in ("n", "pos", "before")))
-        return met.select(F.least("l_class", "r_class").alias("a"), F.greatest("l_class", "r_class").alias("b"), F.struct("kind", "g", side("l_", "r_").alias("a_"), side("r_", "l_").alias("b_")).alias("x"))
+        return met.select(
+            F.least("l_class", "r_class").alias("a"), F.greatest("l_class", "r_class").alias("b"),
+            F.struct("kind", "g", side("l_", "r_").alias("a_"), side("r_", "l_").alias("b_")).alias("x")
+        )
 
     def _head_pairs(self, postings: DataFrame) -> DataFrame:
         """(class, head): the head that a class meets most often in its lists; none for a class that meets no other.
@@ -346,7 +394,9 @@ class Jaccard:
         order = Window.partitionBy("g").orderBy(F.desc("k"), "class").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         cold = postings.where(F.col("kind") != HOT).withColumns({f"_{c}": F.first(c).over(order) for c in columns})
         hot = postings.where(F.col("kind") == HOT)
-        heads = hot.groupBy("g").agg(F.max_by(F.struct(*columns), F.struct("k", "class")).alias("h")).select("g", *(F.col(f"h.{c}").alias(f"_{c}") for c in columns))
+        heads = hot.groupBy("g").agg(
+            F.max_by(F.struct(*columns), F.struct("k", "class")).alias("h")
+        ).select("g", *(F.col(f"h.{c}").alias(f"_{c}") for c in columns))
         headed = cold.unionByName(hot.join(F.broadcast(heads), "g"))
         met = headed.where((F.col("_class") != F.col("class")) & self.may_link("", "_")).groupBy("class", "_class").agg(F.count("*").alias("times"))
         return met.groupBy("class").agg(F.max_by("_class", F.struct("times", "_class")).alias("head"))
@@ -363,12 +413,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
     keys, links = Jaccard(percent, words).links(base)
     groups = components(links).withColumnRenamed("node", "class")
     rows = keys.where("class is not null")
-    classes = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least")).join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    classes = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("least")).join(groups, "class", "left").withColumn(
+        "component", F.coalesce("component", "class")
+    )
     least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     named = classes.select("class", "component").join(least, "component").select("class", "component_id")
     back = lambda c: F.nullif(c, F.lit(LEAST))
     kind = docs.schema[id_col].dataType
-    return rows.join(named, "class", "left").select(back(F.col("id")).cast(kind).alias(id_col), F.col("n").alias("n_shingles"), back(F.coalesce("component_id", "id")).cast(kind).alias("component_id"))
+    return rows.join(named, "class", "left").select(
+        back(F.col("id")).cast(kind).alias(id_col), F.col("n").alias("n_shingles"),
+        back(F.coalesce("component_id", "id")).cast(kind).alias("component_id")
+    )
 
 
 def surplus(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

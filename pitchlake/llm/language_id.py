@@ -112,12 +112,21 @@ def train(labelled: DataFrame, min_rate: float = 5e-6, share: float = 0.2) -> Fi
                 for name in sorted(set(langs)):
                     found = [h for h, _ in grams(*letters_of([texts[i] or "" for i in np.flatnonzero(langs == name)]))]
                     keys, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
-
-    counted = materialize(labelled.where("lang is not null").select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "gram-counts")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"]
+                    )
+
+    counted = materialize(
+        labelled.where("lang is not null").select("text", "lang").mapInArrow(
+            count, "lang string, gram long, n long"
+        ).groupBy("gram", "lang").agg(F.sum("n").alias("n")),
+        "gram-counts"
+    )
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     rates = counted.join(F.broadcast(totals), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("rate"))  # totals: a row a language
-    kept = rates.groupBy("gram").agg(F.collect_list(F.struct("lang", "rate")).alias("x")).select("gram", F.explode(F.filter("x", lambda e: e["rate"] >= min_rate)).alias("e"), F.array_max(F.transform("x", lambda e: e["rate"])).alias("top"))
+    kept = rates.groupBy("gram").agg(F.collect_list(F.struct("lang", "rate")).alias("x")).select(
+        "gram", F.explode(F.filter("x", lambda e: e["rate"] >= min_rate)).alias("e"), F.array_max(F.transform("x", lambda e: e["rate"])).alias("top")
+    )
     rows = kept.where(F.col("e.rate") >= share * F.col("top")).select("e.lang", "gram").toPandas()
     names = [r["lang"] for r in totals.collect()]
     discard(counted)

@@ -24,20 +24,59 @@ from .base import ROLLING, chunks, mix, read_table, text_bytes
 UNKNOWN = "unknown"
 #: Usual notices of each licence family, and paragraphs of the licences themselves.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "agpl": ("Licensed under the GNU Affero General Public License, version 3.", "This program is free software under the terms of the GNU Affero General Public License"),
-    "apache": ("Licensed under the Apache License, Version 2.0.", "You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
-    "bsd": ("Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
-    "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    "agpl": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software under the terms of the GNU Affero General Public License"
+    ),
+    "apache": (
+        "Licensed under the Apache License, Version 2.0.", "You may obtain a copy of the License at apache.org/licenses/LICENSE-2.0",
+        "SPDX-License-Identifier: Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+    ),
+    "bsd": (
+        "Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ),
+    "cc-by": (
+        "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-4.0"
+    ),
+    "cc-by-sa": (
+        "Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0"
+    ),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "cc0": ("Released into the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights"),
-    "gpl": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it under the terms of the GNU General Public License", "SPDX-License-Identifier: GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "You should have received a copy of the GNU General Public License along with this program."),
-    "isc": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"),
+    "gpl": (
+        "This work is licensed under the GNU General Public License, version 3.",
+        "This program is free software: you can redistribute it under the terms of the GNU General Public License",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program."
+    ),
+    "isc": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "SPDX-License-Identifier: ISC"
+    ),
     "lgpl": ("Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"),
-    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    "mit": (
+        "Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "SPDX-License-Identifier: MIT",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    ),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "proprietary": ("All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."),
-    "unlicense": ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "SPDX-License-Identifier: Unlicense"),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense"
+    ),
 }
 ORDERS = (1, 2, 3)
 #: Of held-out paragraphs without a licence, the share that may be taken for one.
@@ -199,7 +238,10 @@ def fit(plain: list[str], variants: int = 40, steps: int = 400, seed: int = 7) -
     model.temperature = min((float(t) for t in np.geomspace(0.25, 4, 33)), key=loss)
     if len(z):
         known, right = truth[:, -1] == 0, z.argmax(axis=1) == truth.argmax(axis=1)
-        model.held = {"false": float(1 - right[~known].mean()) if (~known).any() else 0.0, "missed": float(1 - right[known].mean()) if known.any() else 0.0, "loss": loss(model.temperature)}
+        model.held = {
+            "false": float(1 - right[~known].mean()) if (~known).any() else 0.0, "missed": float(1 - right[known].mean()) if known.any() else 0.0,
+            "loss": loss(model.temperature)
+        }
     return model
 
 
@@ -207,7 +249,9 @@ def sample_paragraphs(docs: DataFrame, text_col: str, sample_docs: int) -> list[
     """The lines and blocks of the `sample_docs` different texts that have the least hashes."""
     h = F.xxhash64(text_col)
     some = docs.where(F.col(text_col).isNotNull()).select(h.alias("h")).distinct().orderBy("h").limit(sample_docs)
-    rows = docs.where(F.col(text_col).isNotNull()).select(h.alias("h"), F.col(text_col).alias("text")).join(F.broadcast(some), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
+    rows = docs.where(F.col(text_col).isNotNull()).select(
+        h.alias("h"), F.col(text_col).alias("text")
+    ).join(F.broadcast(some), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
     out = [p for r in rows for p in r["text"].split("\n") if p.strip()]
     return out + [p.replace("\n", " ") for r in rows for p in r["text"].split("\n\n") if "\n" in p.strip()]
 
@@ -240,9 +284,17 @@ def scan(docs: DataFrame, sample_docs: int = 48, confirm: float = 0.6, id_col: s
                 if rows:
                     doc = np.searchsorted(first, [x for x, *_ in rows], "right") - 1
                     place, lines, family, probability, similarity = (list(c) for c in zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + doc)), pa.array(np.array(place) - first[doc]), pa.array(lines), pa.array(family), pa.array(probability), pa.array(similarity), pa.array([s >= confirm for s in similarity])], names=["id", "paragraph", "lines", "family", "probability", "similarity", "confirmed"])
-
-    return docs.mapInArrow(run, f"id {kind}, paragraph long, lines long, family string, probability double, similarity double, confirmed boolean").withColumnRenamed("id", id_col)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array(a + doc)), pa.array(np.array(place) - first[doc]), pa.array(lines), pa.array(family),
+                            pa.array(probability), pa.array(similarity), pa.array([s >= confirm for s in similarity])
+                        ],
+                        names=["id", "paragraph", "lines", "family", "probability", "similarity", "confirmed"]
+                    )
+
+    return docs.mapInArrow(
+        run, f"id {kind}, paragraph long, lines long, family string, probability double, similarity double, confirmed boolean"
+    ).withColumnRenamed("id", id_col)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

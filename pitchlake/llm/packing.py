@@ -69,7 +69,13 @@ def encode_ids(texts: list[str], path: str, cache_size: int = 1 << 17) -> tuple[
     edge = np.concatenate([[0], np.cumsum(each)])
     offsets = running[edge]
     if any(odd):
-        whole = {i: np.array(e.ids, "<u4") for i, e in zip((i for i, o in enumerate(odd) if o), lib.encode_batch_fast([t for t, o in zip(texts, odd, strict=True) if o], add_special_tokens=False), strict=True)}
+        whole = {
+            i: np.array(e.ids, "<u4") for i,
+            e in zip(
+                (i for i, o in enumerate(odd) if o),
+                lib.encode_batch_fast([t for t, o in zip(texts, odd, strict=True) if o], add_special_tokens=False), strict=True
+            )
+        }
         parts = [whole.get(i, out[offsets[i] : offsets[i + 1]]) for i in range(len(texts))]
         out, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     return out, offsets
@@ -136,7 +142,10 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, places:
         if open_.rooms:  # a row for each window left open, with its room
             n = len(open_.rooms)
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array([part_id + w for _, w in open_.rooms]), none, pa.array([r for r, _ in open_.rooms])], names=[*NAMES, "room"])
+            yield pa.RecordBatch.from_arrays(
+                [none, none, none, none, none, pa.array([part_id + w for _, w in open_.rooms]), none, pa.array([r for r, _ in open_.rooms])],
+                names=[*NAMES, "room"]
+            )
 
     placed = materialize(docs.mapInArrow(place, PIECE + ", room long"), "packed")
     left = placed.where("room > 0").select("sequence_id", "room")
@@ -158,7 +167,10 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, places:
     keyed = left.withColumn("g", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
     moved = keyed.groupBy("g").applyInArrow(merge, "old long, into long, shift long")
     out = placed.where("room = 0").join(moved, F.col("sequence_id") == F.col("old"), "left")
-    return out.select(F.col("doc_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", F.coalesce("into", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).cast("long").alias("offset"))
+    return out.select(
+        F.col("doc_id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", F.coalesce("into", "sequence_id").alias("sequence_id"),
+        (F.col("offset") + F.coalesce("shift", F.lit(0))).cast("long").alias("offset")
+    )
 
 
 NAMES = [x.split()[0] for x in PIECE.split(", ")]

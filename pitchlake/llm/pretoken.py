@@ -20,7 +20,10 @@ WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 
 def character_classes() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((ODD if (c := unicodedata.category(chr(i))) in ("Cn", "Cs", "Co") else kinds.get(c[0], OTHER) for i in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    out = np.fromiter(
+        (ODD if (c := unicodedata.category(chr(i))) in ("Cn", "Cs", "Co") else kinds.get(c[0], OTHER) for i in range(sys.maxunicode + 1)), np.uint8,
+        sys.maxunicode + 1
+    )
     out[WHITE_SPACE] = SPACE
     return out
 

@@ -86,7 +86,9 @@ def passage_spans(raw: np.ndarray, offsets: np.ndarray, least_words: int, window
     return of[a], a - first[of[a]], k, ROLLING.between(sums, a, a + k).view(np.int64)
 
 
-def remove_repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, windows: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def remove_repeated_passages(
+    docs: DataFrame, least_words: int = LEAST_WORDS, windows: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
     """Per row of `docs`: id, text (what stays), n_words, n_removed (words), and the columns `keep`.
 
     Words compare in lower case, whatever the white space between them; it goes with the word before it, and at a
@@ -97,7 +99,10 @@ def remove_repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, wi
     one document to this operator: neither is a later copy of the other. A null id sorts before all others. An empty
     table gives no rows. Other columns, whatever their names, are not read."""
     rest = {c: f"keep{i}" for i, c in enumerate(keep)}
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in rest.items()))
+    base = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("own_id"),
+        F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in rest.items())
+    )
 
     def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +111,10 @@ def remove_repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, wi
                 raw, offsets = text_bytes(pa.array([(t or "").lower() for t in part.column(2).to_pylist()], pa.large_string()))
                 doc, pos, n, x = passage_spans(raw, offsets, least_words, windows)
                 if len(doc):
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array(pos << 32 | n), pa.array(x)], names=["id", "h", "run", "x"])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), pa.array(pos << 32 | n), pa.array(x)],
+                        names=["id", "h", "run", "x"]
+                    )
 
     spans = base.select("id", "h", "text").mapInArrow(spans_of, "id long, h long, run long, x long")
     place = F.struct("id", "h", "run")
@@ -133,7 +141,10 @@ def remove_repeated_passages(docs: DataFrame, least_words: int = LEAST_WORDS, wi
                         pieces = np.concatenate([at[i : i + 1], starts[first[i] + 1 : first[i + 1]], at[i + 1 : i + 2]])
                         texts[i] = data[at[i] : at[i + 1]][np.repeat(~covered, np.diff(pieces))].tobytes().decode()
                         removed[i] = int(covered.sum())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(np.diff(first).astype(np.int64)), pa.array(removed, pa.int64()), *part.columns[3:]], names=["own_id", "text", "n_words", "n_removed", *rest.values()])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(texts, pa.string()), pa.array(np.diff(first).astype(np.int64)), pa.array(removed, pa.int64()), *part.columns[3:]],
+                    names=["own_id", "text", "n_words", "n_removed", *rest.values()]
+                )
 
     kept = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in rest.items())
     out = joined.mapInArrow(rebuild, f"own_id {docs.schema[id_col].dataType.simpleString()}, text string, n_words long, n_removed long{kept}")

@@ -69,11 +69,17 @@ def _histogram(keyed: DataFrame, probes: list[int]) -> list[tuple[int, int, int
             seen[has] = True
         some = np.flatnonzero(rows | seen)
         mask = ~seen[some]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(size[some]), pa.array(rows[some]), *(pa.array(x[some], mask=mask) for x in (k0, d0, k1, d1))], names=["i", "b", "r", "k0", "d0", "k1", "d1"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array(size[some]), pa.array(rows[some]), *(pa.array(x[some], mask=mask) for x in (k0, d0, k1, d1))],
+            names=["i", "b", "r", "k0", "d0", "k1", "d1"]
+        )
 
     rows = (
         keyed.mapInArrow(count, "i int, b long, r long, k0 long, d0 long, k1 long, d1 long").groupBy("i")
-        .agg(F.sum("b").alias("b"), F.sum("r").alias("r"), F.min(F.when(F.col("k0").isNotNull(), F.struct("k0", "d0"))).alias("x"), F.max(F.when(F.col("k1").isNotNull(), F.struct("k1", "d1"))).alias("y")).collect()
+        .agg(
+            F.sum("b").alias("b"), F.sum("r").alias("r"), F.min(F.when(F.col("k0").isNotNull(), F.struct("k0", "d0"))).alias("x"),
+            F.max(F.when(F.col("k1").isNotNull(), F.struct("k1", "d1"))).alias("y")
+        ).collect()
     )
     join = lambda x: None if x is None else ((x[0] - LOW) << 64) | (x[1] - LOW)
     out: list = [(0, 0, None, None)] * len(probes)
@@ -112,7 +118,9 @@ def find_splitters(keyed: DataFrame, total: int, targets: list[int], tolerances:
     return [p for _, p in best]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.0005, piece_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_by_bytes(
+    docs: DataFrame, shards: int = 8, tolerance: float = 0.0005, piece_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Put every row into one of `shards` shards of nearly equal bytes.
 
     Size: UTF-8 bytes of the text plus 1; a null text has size 1 and the checksum of an empty one. Equal texts lie side
@@ -121,7 +129,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.0005,
     rows. Other columns of `docs` are not read. Returns id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = materialize(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("d")), "shard-keys"
+        docs.select(
+            F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("k"),
+            F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("d")
+        ), "shard-keys"
     )
     total = keyed.agg(F.sum("size")).first()[0] or 0
     per = max(8, min(max(8, MOST_PIECES // shards), -(-total // (shards * piece_bytes))))
@@ -149,7 +161,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.0005,
     starts = docs.sparkSession.createDataFrame(list(enumerate(first)), "piece int, first long")  # as many rows as pieces, MOST_PIECES at most
     numbered = placed.repartition(pieces, "piece").withColumn("slot", slot).join(F.broadcast(starts), "piece")
     shard = F.floor(F.col("piece") / per).cast("int").alias("shard")
-    return numbered.select(F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), shard, (F.col("slot") + F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return numbered.select(
+        F.col("doc_id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), shard,
+        (F.col("slot") + F.col("first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    )
 
 
 def op8_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,7 +130,10 @@ def _common(rows: list[bytes], group: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(group: np.ndarray, copies: np.ndarray, place: np.ndarray, before: list[bytes], after: list[bytes], first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
+def repeated_windows(
+    group: np.ndarray, copies: np.ndarray, place: np.ndarray, before: list[bytes], after: list[bytes], first: np.ndarray, last: np.ndarray,
+    length: int
+) -> list[tuple[int, int, int, int]]:
     """Rows in order of (group, after): (row, d, d of the end, row with the first place) for runs of repeated windows.
 
     before: the bytes before the anchor, from right to left; first, last: the least and the greatest d; place: the order of text positions."""
@@ -187,7 +190,13 @@ class SuffixDedup:
                 raw, offsets = text_bytes(batch.column(2))
                 ids, hashes = (batch.column(i).to_numpy() for i in (0, 1))
                 for doc, s, e, p, key, content in anchors(raw, offsets, length):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(hashes[doc]), pa.array(p), pa.array((p - e).astype(np.int16)), pa.array((p - s).astype(np.int16)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))], names=["id", "h", "p", "d0", "d1", "key", "content"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ids[doc]), pa.array(hashes[doc]), pa.array(p), pa.array((p - e).astype(np.int16)),
+                            pa.array((p - s).astype(np.int16)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))
+                        ],
+                        names=["id", "h", "p", "d0", "d1", "key", "content"]
+                    )
 
         return base.mapInArrow(run, "id long, h long, p long, d0 short, d1 short, key long, content long")
 
@@ -216,7 +225,9 @@ class SuffixDedup:
                                 common = xxhash.xxh3_64_intdigest(before[: BAND * k] + after[: length - BAND * k - BAND + 1])
                                 rows.append((*own, (common >> 7 << 6 | k) + LEAST, lo, hi, before[:hi], after[: length - lo]))
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), CONTEXT.types, strict=True)], schema=CONTEXT)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), CONTEXT.types, strict=True)], schema=CONTEXT
+                        )
 
         return joined.mapInArrow(run, CONTEXT_SQL)
 
@@ -255,9 +266,15 @@ class SuffixDedup:
             col = {c: table.column(c).to_numpy() for c in ("key", "content", "copies", "id", "h", "p", "lo", "hi")}
             place = np.empty(table.num_rows, np.int64)
             place[np.lexsort((col["p"], col["h"], col["id"]))] = np.arange(table.num_rows)
-            runs = repeated_windows(group, col["copies"], place, table.column("before").to_pylist(), table.column("after").to_pylist(), col["lo"].astype(np.int64), col["hi"].astype(np.int64), length)
+            runs = repeated_windows(
+                group, col["copies"], place, table.column("before").to_pylist(), table.column("after").to_pylist(), col["lo"].astype(np.int64),
+                col["hi"].astype(np.int64), length
+            )
             row, lo, hi, win = (np.array(x, np.int64) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.int64),) * 4
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (col["key"][row], col["content"][row], lo.astype(np.int16), hi.astype(np.int16), col["id"][win], col["h"][win], col["p"][win])], names=FOUND)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (col["key"][row], col["content"][row], lo.astype(np.int16), hi.astype(np.int16), col["id"][win], col["h"][win], col["p"][win])],
+                names=FOUND
+            )
 
         dealt = contexts.repartition("key", "part").sortWithinPartitions("key", "part", "after")
         return dealt.mapInArrow(run, FOUND_SQL)
@@ -269,7 +286,10 @@ class SuffixDedup:
         keys = contents.groupBy("key").agg(F.sum("copies").alias("n"), F.count("*").alias("contents")).where("n > 1").drop("n")
         shared = materialize(contents.join(keys, "key").select("key", "content", "copies", "contents", "first.*"), "shared")
         # one content only: all its windows are repeated, in its copies
-        alone = shared.where("contents = 1").select("key", "content", F.col("d0").alias("lo"), F.col("d1").alias("hi"), F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("p").alias("p0"))
+        alone = shared.where("contents = 1").select(
+            "key", "content", F.col("d0").alias("lo"), F.col("d1").alias("hi"), F.col("id").alias("id0"), F.col("h").alias("h0"),
+            F.col("p").alias("p0")
+        )
         found = alone.union(self._in_suffix_order(self._contexts(base, shared.where("contents > 1"))))
         hits = places.select("id", "h", "p", "key", "content").join(found, ["key", "content"])
         if keep_first:
@@ -294,12 +314,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     of everything stays. A cut may fall within a character, hence `kept` is binary. A null text counts as empty. Rows
     equal in id and text are copies of each other; with `keep_first` they count as one document. A null id comes before
     all others. An empty table gives no rows. Extra columns are not read."""
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(text_col).alias("h"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text")
+    )
     ranges = SuffixDedup(length, hot).ranges(base, keep_first)
     size = ranges.agg(F.count("*"), F.sum(F.size("ranges"))).first()
     if 40 * size[0] + 40 * (size[1] or 0) <= MOST_BYTES:
         ranges = F.broadcast(ranges)
-    joined = base.withColumn("own", F.nullif("id", F.lit(LEAST)).cast(docs.schema[id_col].dataType)).join(ranges, ["id", "h"], "left").select("own", "text", "ranges")
+    joined = base.withColumn(
+        "own", F.nullif("id", F.lit(LEAST)).cast(docs.schema[id_col].dataType)
+    ).join(ranges, ["id", "h"], "left").select("own", "text", "ranges")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,7 +345,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
                     edges = [0, *(e for m in merged for e in m), len(data)]
                     kept = b"".join(data[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
                     rows.append((len(data), len(data) - len(kept), len(merged), kept))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))], names=["own", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(a, b - a),
+                        *(pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True))
+                    ],
+                    names=["own", "n_bytes", "n_removed", "n_spans", "kept"]
+                )
 
     out = joined.mapInArrow(rebuild, f"own {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("own", id_col)

@@ -88,7 +88,10 @@ def frequent_lengths(docs: DataFrame, path: str, table_size: int, summary_size:
     return dict(zip(whole, _encode_lengths(lib, whole), strict=True))
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 2048, table_size: int = 1 << 15, summary_size: int = 1 << 15, cache_size: int = 1 << 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(
+    docs: DataFrame, path: str, limit: int = 2048, table_size: int = 1 << 15, summary_size: int = 1 << 15, cache_size: int = 1 << 17,
+    id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens, over_limit. A null text counts as empty: 0 and 0. Ids may repeat or be
     null: one row comes out for each that goes in. An empty table gives no rows. Extra columns are not read."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -122,7 +125,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, table_size: int
             if odd.any():
                 total[odd] = _encode_lengths(lib, [t for t, o in zip(texts, odd, strict=True) if o])
             size = np.diff(text_bytes(part.column(1))[1])
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(total), pa.array(total > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(size), pa.array(total), pa.array(total > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
+            )
 
     return docs.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("doc_id", id_col)
 

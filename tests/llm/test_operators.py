@@ -38,7 +38,10 @@ def texts():
     near = base[3].split()
     near[10] = "other"
     long = words(rng, 9000)
-    return [None, "", " \n\t", "one", "one two three", "ONE two three", *base, base[0], base[0], " ".join(near), f"{base[5]} {shared} {base[6]}", f"{base[7]} {shared}", shared + shared, "a" * 1500, "é" * 700 + shared, long, long + " end", "İstanbul ﬁn <|endoftext|> it's"]
+    return [
+        None, "", " \n\t", "one", "one two three", "ONE two three", *base, base[0], base[0], " ".join(near), f"{base[5]} {shared} {base[6]}",
+        f"{base[7]} {shared}", shared + shared, "a" * 1500, "é" * 700 + shared, long, long + " end", "İstanbul ﬁn <|endoftext|> it's"
+    ]
 
 
 @pytest.fixture(scope="module")
@@ -132,7 +135,10 @@ def test_decontamination(spark, docs):
     changed = list(item)
     changed[12] = changed[25] = "zzz"
     rows = [(1, "pre " + " ".join(item)), (2, " ".join(changed).upper()), (3, " ".join(item[:9])), (4, words(rng, 60)), (5, None), (None, " ".join(item))]
-    found = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(10, " ".join(item)), (11, None), (12, "too short")], "item_id long, text string"))
+    found = find_leaks(
+        spark.createDataFrame(rows, "doc_id long, text string"),
+        spark.createDataFrame([(10, " ".join(item)), (11, None), (12, "too short")], "item_id long, text string")
+    )
     got = {(r.doc_id, r.item_id): (r.n_equal, r.n_window) for r in found.collect()}
     assert got == {(1, 10): (13, 13), (2, 10): (13, 13), (None, 10): (13, 13)}
 
@@ -165,7 +171,10 @@ def test_decontamination_finds_all_allowed_substitutions(spark):
             changed = [f"other{k}" if k in gone else w for k, w in enumerate(item)]
             docs_.append(" ".join(["a", *changed, "b", "c"]))
         docs_ += [" ".join(item[2:]), " ".join(item[1:]) + "!", " ".join(item[:-1]), " ".join([*item, "and", *item])]
-    items += [(14, "quite another text", "x", 2), (14, items[13][1], "x", 2), (None, "null id of an item here", "x", 3), (20, None, "x", 4), (21, " ... ", "x", 5)]
+    items += [
+        (14, "quite another text", "x", 2), (14, items[13][1], "x", 2), (None, "null id of an item here", "x", 3), (20, None, "x", 4),
+        (21, " ... ", "x", 5)
+    ]
     docs_ += ["there is quite another text in it", "NULL id; of an item, here", "", None, "...", words(rng, 30)]
     rows = [(i, t, 7, 8, 9) for i, t in enumerate(docs_)]
     rows += [rows[40], (None, docs_[40], 1, 1, 1)]
@@ -184,7 +193,9 @@ def test_license_scan(spark):
     rng = random.Random(3)
     plain = [(i, "\n".join(words(rng, 20) for _ in range(4)), None) for i in range(40)]
     notices = [(100 + i, f"{words(rng, 8)}\n{t[0]}\n{words(rng, 8)}", f) for i, (f, t) in enumerate(sorted(TEMPLATES.items()))]
-    found = scan(spark.createDataFrame([(i, t) for i, t, _ in [*plain, *notices, (500, None, None), (501, "", None)]], "doc_id long, text string")).where("confirmed")
+    found = scan(
+        spark.createDataFrame([(i, t) for i, t, _ in [*plain, *notices, (500, None, None), (501, "", None)]], "doc_id long, text string")
+    ).where("confirmed")
     assert {(r.doc_id, r.paragraph, r.family) for r in found.where("lines = 1").collect()} == {(i, 1, f) for i, _, f in notices}
 
 
@@ -244,7 +255,9 @@ def test_license_scan_against_brute_force(spark):
         k = 0
         while k < len(lines):
             n = next((j for j in range(k, len(lines)) if not licence_words(lines[j])), len(lines)) - k
-            if n > 1 and (x := judge(" ".join(lines[k : k + n]))) and x[2] >= 0.6 and not any(y and y[0] == x[0] and y[2] >= 0.6 for j, y in found.items() if k <= j < k + n):
+            if n > 1 and (x := judge(" ".join(lines[k : k + n]))) and x[2] >= 0.6 and not any(
+                y and y[0] == x[0] and y[2] >= 0.6 for j, y in found.items() if k <= j < k + n
+            ):
                 expected.append((i, k, n, *x))
             k += max(n, 1)
     got = [(r.doc_id, r.paragraph, r.lines, r.family, r.probability, r.similarity) for r in L.scan(df).collect()]
@@ -283,7 +296,9 @@ def test_language_id_against_brute_force(spark, languages):
     alphabets = ["".join(rng.sample("abcdefghijklmnopqrstuvwxyzäöüßéèñç", 12)) for _ in range(languages)]
     speak = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(n))
     known = [(f"l{i:02d}", speak(a, 60)) for i, a in enumerate(alphabets) for _ in range(3)] + [("l00", None), (None, "abc"), ("zz", "123 456")]
-    texts = [speak(a, rng.randint(1, 40)) for a in alphabets for _ in range(4)] + [None, "", "12 34.", "a", "Ä", *["abc defg"] * 2, speak("xyz", 5) + " " + speak(alphabets[1], 5)]
+    texts = [speak(a, rng.randint(1, 40)) for a in alphabets for _ in range(4)] + [
+        None, "", "12 34.", "a", "Ä", *["abc defg"] * 2, speak("xyz", 5) + " " + speak(alphabets[1], 5)
+    ]
     counts = {}
     for name, t in known:
         if name:
@@ -297,7 +312,9 @@ def test_language_id_against_brute_force(spark, languages):
             top[g] = max(top.get(g, 0), r)
     sets = {name: {g for g, r in c.items() if r >= 5e-6 and r >= 0.2 * top[g]} for name, c in rates.items()}
     model = train(spark.createDataFrame(known, "lang string, text string"))
-    got = predict(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string").repartition(3), model).collect()
+    got = predict(
+        spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string").repartition(3), model
+    ).collect()
     assert len(got) == len(texts)
     for r in got:
         found = text_grams(texts[r.doc_id])
@@ -437,5 +454,9 @@ def test_webp_round_trip(docs, texts):
 
 def test_empty_tables(empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    for out in (remove_repeats(empty), near_duplicates(empty), scan(empty), predict(empty, train(empty.select("text", F.lit("en").alias("lang")))), pack(empty, path), count_tokens(empty, public_tokenizers.path("word_bpe_49k.json")), shard_by_bytes(empty), remove_repeated_passages(empty), find_leaks(empty, empty.select(F.col("doc_id").alias("item_id"), "text")), webp.read_payloads(webp.store_texts(empty))):
+    for out in (
+        remove_repeats(empty), near_duplicates(empty), scan(empty), predict(empty, train(empty.select("text", F.lit("en").alias("lang")))),
+        pack(empty, path), count_tokens(empty, public_tokenizers.path("word_bpe_49k.json")), shard_by_bytes(empty), remove_repeated_passages(empty),
+        find_leaks(empty, empty.select(F.col("doc_id").alias("item_id"), "text")), webp.read_payloads(webp.store_texts(empty))
+    ):
         assert out.count() == 0

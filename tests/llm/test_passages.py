@@ -17,7 +17,9 @@ def words(rng, n):
 
 
 def stage(spark, rows):
-    docs = spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs = spark.createDataFrame(
+        [(i, t, "en", "x", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    ).repartition(3)
     return {r.doc_id: r.text for r in corpus_pipeline.repeated_sentences(spark, docs, "").collect()}
 
 
@@ -86,13 +88,27 @@ def spans_of(text):
 def test_spans_against_brute_force(spark):
     """Random texts with white space and marks in all places, repeated rows, null ids, ties, and columns with clashing names."""
     rng = random.Random(2)
-    pool = [" ".join(words(rng, rng.choice([1, 2, 9, 40]))) + rng.choice([".", "!?", "...", "\n", ". \n", ".x. ", ",", ";;", " ,\n. ", "\n\n"]) for _ in range(30)]
-    rows = [(i, rng.choice(["", " ", "\n\t "]) + "".join(p + rng.choice(["", " ", "\t"]) for p in (pool[(k + j) % 30] for k in [rng.randrange(30)] for j in range(rng.randint(1, 8))))) for i in range(150)]
+    pool = [
+        " ".join(words(rng, rng.choice([1, 2, 9, 40]))) + rng.choice([".", "!?", "...", "\n", ". \n", ".x. ", ",", ";;", " ,\n. ", "\n\n"]) for _ in range(30)
+    ]
+    rows = [
+        (
+            i,
+            rng.choice(["", " ", "\n\t "]) + "".join(
+                p + rng.choice(["", " ", "\t"]) for p in (pool[(k + j) % 30] for k in [rng.randrange(30)] for j in range(rng.randint(1, 8)))
+            )
+        ) for i in range(150)
+    ]
     long = " ".join(words(rng, 300))
-    rows += [(None, "É x. " * 30), (500, None), (501, ""), (502, " \n"), (503, "..."), (504, long), (505, long), (506, rows[0][1]), (506, rows[0][1]), (506, rows[1][1]), (507, "one, " * 3_000)]
+    rows += [
+        (None, "É x. " * 30), (500, None), (501, ""), (502, " \n"), (503, "..."), (504, long), (505, long), (506, rows[0][1]), (506, rows[0][1]),
+        (506, rows[1][1]), (507, "one, " * 3_000)
+    ]
     first, seen = {}, {}
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    hashes = {r.text: r.h for r in spark.createDataFrame([(t,) for t in {t for _, t in rows}], "text string").selectExpr("text", "xxhash64(text) as h").collect()}
+    hashes = {
+        r.text: r.h for r in spark.createDataFrame([(t,) for t in {t for _, t in rows}], "text string").selectExpr("text", "xxhash64(text) as h").collect()
+    }
     for i, t in sorted(set(order), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]])):
         for a, _, x in spans_of(t)[2]:
             first.setdefault(x, (i, t, a))

@@ -26,7 +26,10 @@ def result(docs):
 def test_one_of_each_group(spark):
     rng = random.Random(4)
     a, b, c, d, e = (words(rng, 80) for _ in range(5))
-    rows = [(None, a, "x"), (1, a, "x"), (2, a + " end", "x"), (3, b, "x"), (3, b, "x"), (3, c, "x"), (4, b, "x"), (None, d, "x"), (5, e, "y"), (5, e, "x"), (6, None, "x"), (6, None, "x"), (7, "", "x"), (None, "", "x")]
+    rows = [
+        (None, a, "x"), (1, a, "x"), (2, a + " end", "x"), (3, b, "x"), (3, b, "x"), (3, c, "x"), (4, b, "x"), (None, d, "x"), (5, e, "y"),
+        (5, e, "x"), (6, None, "x"), (6, None, "x"), (7, "", "x"), (None, "", "x")
+    ]
     got = result(corpus_pipeline.one_of_each_group(spark, table(spark, rows), ""))
     assert got == sorted([(None, a, "x"), (3, b, "x"), (3, c, "x"), (None, d, "x"), (5, e, "x"), (6, None, "x"), (7, "", "x"), (None, "", "x")], key=str)
 
@@ -35,7 +38,10 @@ def test_decontamination(spark, tmp_path):
     rng = random.Random(6)
     item, clean = words(rng, 40), [words(rng, 60) for _ in range(3)]
     spark.createDataFrame([(10, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    rows = [(None, f"before {item}", "x"), (None, clean[0], "x"), (1, item, "x"), (1, item, "x"), (1, clean[1], "x"), (2, clean[2], "x"), (3, None, "x"), (4, "", "x")]
+    rows = [
+        (None, f"before {item}", "x"), (None, clean[0], "x"), (1, item, "x"), (1, item, "x"), (1, clean[1], "x"), (2, clean[2], "x"), (3, None, "x"),
+        (4, "", "x")
+    ]
     got = result(corpus_pipeline.decontamination(spark, table(spark, rows), str(tmp_path)))
     assert got == sorted([(None, clean[0], "x"), (1, clean[1], "x"), (2, clean[2], "x"), (3, None, "x"), (4, "", "x")], key=str)
 
@@ -45,7 +51,10 @@ def test_language_id(spark):
     rng = random.Random(7)
     speak = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 7))) for _ in range(n))
     known = [(i, speak("abcdefg", 60) if i % 2 else speak("nopqrst", 60), "aa" if i % 2 else "nn") for i in range(40)]
-    odd = [(100, None, None), (101, "", "aa"), (102, "12 + 34", None), (103, speak("ωψχφυτσ", 40), None), (None, known[1][1], None), (1, known[0][1], "aa"), (1, known[0][1], "aa")]
+    odd = [
+        (100, None, None), (101, "", "aa"), (102, "12 + 34", None), (103, speak("ωψχφυτσ", 40), None), (None, known[1][1], None),
+        (1, known[0][1], "aa"), (1, known[0][1], "aa")
+    ]
     df = spark.createDataFrame([(i, t, x, "s", 0) for i, t, x in [*known, *odd]], SCHEMA).repartition(3)
     got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.language_id(spark, df, "").collect()), key=str)
     assert got == sorted([(i, t) for i, t, _ in [*known, *odd[4:]]], key=str)
@@ -62,7 +71,10 @@ def test_all_stages(spark, tmp_path):
     near = clean[3].split()
     near[20] = "changed"
     rows = [(i, t, "aa", "x", len(t)) for i, t in clean.items()]
-    rows += [(100, clean[5], "aa", "x", 0), (101, " ".join(near), "aa", "x", 0), (102, f"{words(rng, 50)} {item} {words(rng, 30)}", "aa", "x", 0), (103, "11 22 33", "aa", "x", 0), (104, None, None, "x", 0)]
+    rows += [
+        (100, clean[5], "aa", "x", 0), (101, " ".join(near), "aa", "x", 0), (102, f"{words(rng, 50)} {item} {words(rng, 30)}", "aa", "x", 0),
+        (103, "11 22 33", "aa", "x", 0), (104, None, None, "x", 0)
+    ]
     one, two = words(rng, 70), words(rng, 70)
     rows += [(200, f"{one} {passage}", "aa", "x", 0), (201, f"{two} {passage}", "aa", "x", 0)]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")

@@ -105,7 +105,10 @@ def block_image(values):
 def test_predictor_modes(mode):
     width, height = 7, 6
     px = picture(width, height, mode)
-    fields = [*head(width, height), (1, 1), (W.PREDICTOR, 2), (0, 3), *small(block_image([mode] * 4)), (0, 1), (0, 1), (0, 1), *codes()[0], *literals(predicted(px, width, 2, [mode] * 4))]
+    fields = [
+        *head(width, height), (1, 1), (W.PREDICTOR, 2), (0, 3), *small(block_image([mode] * 4)), (0, 1), (0, 1), (0, 1), *codes()[0],
+        *literals(predicted(px, width, 2, [mode] * 4))
+    ]
     assert decode(fields) == px
 
 
@@ -113,7 +116,10 @@ def test_predictor_blocks():
     width, height = 13, 9
     modes = [random.Random(4).randrange(14) for _ in range(12)]
     px = picture(width, height, 5)
-    fields = [*head(width, height), (1, 1), (W.PREDICTOR, 2), (0, 3), *small(block_image(modes)), (0, 1), (0, 1), (0, 1), *codes()[0], *literals(predicted(px, width, 2, modes))]
+    fields = [
+        *head(width, height), (1, 1), (W.PREDICTOR, 2), (0, 3), *small(block_image(modes)), (0, 1), (0, 1), (0, 1), *codes()[0],
+        *literals(predicted(px, width, 2, modes))
+    ]
     assert decode(fields) == px
 
 
@@ -135,7 +141,10 @@ def test_cross_colour():
     width, height = 9, 5
     px = picture(width, height, 6)
     factors = [[random.Random(i).randrange(256) for _ in range(3)] for i in range(6)]
-    fields = [*head(width, height), (1, 1), (W.CROSS_COLOUR, 2), (0, 3), *small([[gr, gb, rb, 255] for gr, gb, rb in factors]), (0, 1), (0, 1), (0, 1), *codes()[0], *literals(crossed(px, width, 2, factors))]
+    fields = [
+        *head(width, height), (1, 1), (W.CROSS_COLOUR, 2), (0, 3), *small([[gr, gb, rb, 255] for gr, gb, rb in factors]), (0, 1), (0, 1), (0, 1),
+        *codes()[0], *literals(crossed(px, width, 2, factors))
+    ]
     assert decode(fields) == px
 
 
@@ -254,7 +263,10 @@ def test_encoder_chooses_by_content():
     text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(900)).encode()
     rows = bytes((i // 64 * 3 + i % 64) % 256 for i in range(64 * 120))
     steps = bytes(i // 4 % 256 for i in range(64 * 100))
-    cases = {"text": (text, []), "rows": (rows, [W.PREDICTOR]), "steps": (steps, [W.PREDICTOR]), "dots": (b".... ,,,," * 200, [W.PALETTE]), "two": (b"abcdefgh" * 100, [W.PALETTE])}
+    cases = {
+        "text": (text, []), "rows": (rows, [W.PREDICTOR]), "steps": (steps, [W.PREDICTOR]), "dots": (b".... ,,,," * 200, [W.PALETTE]),
+        "two": (b"abcdefgh" * 100, [W.PALETTE])
+    }
     sizes = [-(-len(b) // 64) * 64 for b, _ in cases.values()]
     data = b"".join(b + b"\0" * (n - len(b)) for (b, _), n in zip(cases.values(), sizes, strict=True))
     files = W.encode_images(np.frombuffer(data, np.uint8), np.array(sizes))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import materialize, read_table
 
@@ -89,11 +90,10 @@ def find_leaks(
         ).distinct()
         found = hits if found is None else found.union(hits)
     if found is None:
-        return docs.limit(0).select(
-            F.col(id_col).alias("doc_id"), *([F.xxhash64(text_col).alias("h")] if by_text else [])
-        ).join(benchmark.limit(0).select(F.col(item_col).alias("item_id")), F.lit(False)).select(
-            *whose, "item_id", F.lit(0).cast("long").alias("n_equal"), F.lit(0).cast("long").alias("n_window")
-        ).withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
+        h = [T.StructField("h", T.LongType())] if by_text else []
+        counts = [T.StructField(c, T.LongType()) for c in ("n_equal", "n_window")]
+        ids = T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType)
+        return docs.sparkSession.createDataFrame([], T.StructType([ids[0], *h, ids[1], *counts]))
     hits = materialize(found, "seed-hits")
     # texts cross the network once, and are cut into words only where something was hit
     spot = hits.withColumnsRenamed({"doc_id": "hit_id", "h": "hit_h"})

@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -155,8 +155,10 @@ def read_stream(bits: Bits, width: int, height: int, main: bool, known: dict | N
 
 def sub_image(bits: Bits, width: int, height: int, known: dict | None = None) -> np.ndarray:
     stream = read_stream(bits, width, height, False, known)
-    pixels, ends = decode_lanes(bits.data, [stream], [stream.at])
-    bits.at = int(ends[0])
+    begin = stream.at >> 3
+    own = bits.data[begin : begin + 16 * width * height + 16]  # a pixel has fewer than 16 bytes
+    pixels, ends = decode_lanes(own, [stream], [stream.at & 7])
+    bits.at = 8 * begin + int(ends[0])
     return pixels[0]
 
 
@@ -187,18 +189,20 @@ def read_header(data: bytes, offset: int, known: dict | None = None) -> Stream:
     return stream
 
 
-def _value(d32: np.ndarray, pos: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _value(ahead: Callable[[np.ndarray], np.ndarray], pos: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A length or distance from its prefix symbol and extra bits; the positions after it."""
     extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
-    add = (d32[pos >> 3] >> (pos & 7).astype(np.uint32)).astype(np.int64) & ((1 << extra) - 1)
+    add = ahead(pos) & ((1 << extra) - 1)
     return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << extra) + add) + 1, pos + extra
 
 
 def decode_lanes(data: bytes | np.ndarray, streams: list[Stream], starts: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
     """ARGB pixels of each stream, whose pixel data begin at the bit positions `starts` of `data`; and where they end."""
     raw = np.frombuffer(data, np.uint8) if not isinstance(data, np.ndarray) else data
-    wide = np.concatenate([raw, np.zeros(12, np.uint8)]).astype(np.uint32)
-    d32 = wide[:-3] | wide[1:-2] << 8 | wide[2:-1] << 16 | wide[3:] << 24
+    # the 64 bits that begin at each byte
+    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+    d64 = np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view("<u8").ravel()
+    last = len(d64) - 1
     sizes = np.array([s.width * s.height for s in streams], np.int64)
     order = np.argsort(-sizes, kind="stable")
     lanes, most = len(streams), int(sizes.max())
@@ -213,16 +217,18 @@ def decode_lanes(data: bytes | np.ndarray, streams: list[Stream], starts: list[i
         base[k] = sets[id(t)]
     tables = np.concatenate(stacked).ravel()
     stride = 1 << TABLE_BITS
+    base *= 5 * stride
     grouped = any(streams[i].groups is not None for i in order)
     group = np.zeros((lanes, most), np.int64) if grouped else None
     if grouped:
         for k, i in enumerate(order):
             if streams[i].groups is not None:
-                group[k, : sizes[i]] = streams[i].groups
-    live = np.searchsorted(-sizes[order], -np.arange(most), "left")  # lanes with a pixel t
+                group[k, : sizes[i]] = streams[i].groups * (5 * stride)
+    live = np.searchsorted(-sizes[order], -np.arange(most), "left").tolist()  # lanes with a pixel t
     width = np.array([streams[i].width for i in order], np.int64)
     cbits = np.array([streams[i].cache_bits for i in order], np.int64)
     cached = int(cbits.max())
+    plain = cached and (cbits == cached).all()
     store = np.zeros(lanes << cached, np.uint32) if cached else None
     shift = (32 - np.maximum(cbits, 1)).astype(np.uint32)
     row = np.arange(lanes, dtype=np.int64) << cached
@@ -230,66 +236,69 @@ def decode_lanes(data: bytes | np.ndarray, streams: list[Stream], starts: list[i
     out = np.zeros((most, lanes), np.uint32)
     left, back = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     copying = 0
-    last = len(d32) - 1
 
-    def symbols(p: np.ndarray, at: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
-        entry = tables[at + (code * stride) + ((d32[np.minimum(p >> 3, last)] >> (p & 7).astype(np.uint32)) & 0x7FFF)]
-        return entry >> 4, p + (entry & 15)
+    def ahead(p: np.ndarray) -> np.ndarray:
+        return (d64.take(p >> 3, mode="clip") >> (p & 7).view(np.uint64)).view(np.int64)
 
+    # every lane decodes green, red, blue and alpha at once; what isn't a literal, or is in a copy, takes less of it
     for t in range(most):
-        m = int(live[t])
-        at = (base[:m] + group[:m, t] if grouped else base[:m]) * (5 * stride)
+        m = live[t]
+        at = base[:m] + group[:m, t] if grouped else base[:m]
+        p = pos[:m]
+        bits = ahead(p)
+        g = tables.take(at + (bits & 0x7FFF))
+        s, used = g >> 4, (g & 15).astype(np.int64)
+        n = used
+        bits = bits >> n & 0x1FFFFFFFFFFFF
+        r = tables.take(at + (stride + (bits & 0x7FFF)))
+        n = n + (r & 15)
+        bits = bits >> (r & 15)
+        b = tables.take(at + (2 * stride + (bits & 0x7FFF)))
+        n += b & 15
+        a = tables.take(at + (3 * stride + (ahead(p + n) & 0x7FFF)))
+        n += a & 15
+        pixel = (s.astype(np.uint32) << 8) | ((r >> 4).astype(np.uint32) << 16) | (b >> 4) | ((a >> 4).astype(np.uint32) << 24)
+        literal = s < 256
         if copying:
             busy = left[:m] > 0
-            who = np.flatnonzero(~busy)
-            copies = np.flatnonzero(busy)
+            n[busy] = 0
+            rest = np.flatnonzero(~(literal | busy))
         else:
-            who, copies = slice(0, m), None
-        p, a = pos[who], at[who]
-        s, p = symbols(p, a, 0)
-        lit = np.flatnonzero(s < 256)
-        rest = np.flatnonzero(s >= 256) if len(lit) < len(s) else None
-        q, al = p[lit], a[lit]
-        red, q = symbols(q, al, 1)
-        blue, q = symbols(q, al, 2)
-        alpha, q = symbols(q, al, 3)
-        p[lit] = q
-        pixel = np.zeros(len(s), np.uint32)
-        pixel[lit] = s[lit].astype(np.uint32) << 8 | red.astype(np.uint32) << 16 | blue | alpha.astype(np.uint32) << 24
-        lane = np.arange(m)[who]
-        if rest is not None:
-            hits = rest[s[rest] >= 280]
+            rest = np.flatnonzero(~literal)
+        if len(rest):
+            n[rest] = used[rest]
+            kind = s[rest]
+            hits = rest[kind >= 280]
             if len(hits):
-                pixel[hits] = store[row[lane[hits]] + s[hits] - 280]
-            refs = rest[s[rest] < 280]
+                pixel[hits] = store[row[hits] + s[hits] - 280]
+            refs = rest[kind < 280]
             if len(refs):
-                length, r = _value(d32, p[refs], s[refs].astype(np.int64) - 256)
-                code, r = symbols(r, a[refs], 4)
-                dist, r = _value(d32, r, code.astype(np.int64))
+                length, q = _value(ahead, p[refs] + used[refs], s[refs].astype(np.int64) - 256)
+                code = tables.take(at[refs] + (4 * stride + (ahead(q) & 0x7FFF)))
+                dist, q = _value(ahead, q + (code & 15), (code >> 4).astype(np.int64))
                 near = dist <= 120
                 k = np.minimum(dist, 120) - 1
-                w = lane[refs]
-                dist = np.where(near, np.maximum(1, NEAR_X[k] + NEAR_Y[k] * width[w]), dist - 120)
+                dist = np.where(near, np.maximum(1, NEAR_X[k] + NEAR_Y[k] * width[refs]), dist - 120)
                 if (dist > t).any():
                     raise ValueError("a reference to before the image")
-                p[refs] = r
-                left[w], back[w] = length, dist
-                pixel[refs] = out[t - dist, w]
-                left[w] -= 1
-                copying += int((left[w] > 0).sum())
-        pos[who] = p
-        out[t, who] = pixel
-        if copies is not None and len(copies):
-            out[t, copies] = out[t - back[copies], copies]
+                n[refs] = q - p[refs]
+                left[refs], back[refs] = length - 1, dist
+                pixel[refs] = out[t - dist, refs]
+        p += n  # a view of pos
+        if copying:
+            copies = np.flatnonzero(busy)
+            pixel[copies] = out[t - back[copies], copies]
             left[copies] -= 1
             copying -= int((left[copies] == 0).sum())
+        if len(rest) and len(refs):
+            copying += int((left[refs] > 0).sum())
+        out[t, :m] = pixel
         if cached:
-            x = out[t, :m]
-            key = (x * HASH) >> shift[:m]
-            if (cbits[:m] == 0).any():
+            key = (pixel * HASH) >> shift[:m]
+            if not plain:
                 key = np.where(cbits[:m] == 0, 0, key)
-            store[row[:m] + key] = x
-    if (pos > 8 * len(raw)).any():
+            store[row[:m] + key] = pixel
+    if (pos > 8 * len(raw)).any() or last < 0:
         raise ValueError("image data ends early")
     pixels: list = [None] * lanes
     ends = np.zeros(lanes, np.int64)
@@ -311,7 +320,10 @@ def _predict(mode: int, left: np.ndarray, top: np.ndarray, topright: np.ndarray,
     if mode == 5:
         return _halves(_halves(left, topright), top)
     if mode <= 10:
-        return (_halves(left, topleft), _halves(left, top), _halves(topleft, top), _halves(top, topright), _halves(_halves(left, topleft), _halves(top, topright)))[mode - 6]
+        return (
+            _halves(left, topleft), _halves(left, top), _halves(topleft, top), _halves(top, topright),
+            _halves(_halves(left, topleft), _halves(top, topright))
+        )[mode - 6]
     if mode == 11:
         guess = left + top - topleft
         return left if np.abs(guess - left).sum() < np.abs(guess - top).sum() else top
@@ -426,6 +438,8 @@ MOST_BYTES = 4 * WIDTH * MOST_ROWS
 COPY, MOST_COPY = 4, 4096
 #: A palette with at most so many colours is tried, in images of so many pixels at least.
 COLOURS, LEAST_PIXELS = 16, 128
+#: Pixels of images that are decoded together, as if all were as large as the largest.
+AREA = 6 << 20
 #: Bits that the predictor must save.
 OVERHEAD = 512
 
@@ -445,7 +459,9 @@ def huffman_lengths(weights: list[int]) -> list[int]:
 
 def byte_weights() -> list[int]:
     """A rule for text: blank and small letters often, marks, digits, capitals and upper bytes less, the rest seldom."""
-    return [1024 if b == 0x20 else 256 if chr(b) in "aeinorsth" else 96 if 0x61 <= b <= 0x7A else 24 if b in b"\n.,\0" or 0x80 <= b < 0xD0 else 6 if 0x21 <= b < 0x7F else 1 for b in range(256)]
+    return [
+        1024 if b == 0x20 else 256 if chr(b) in "aeinorsth" else 96 if 0x61 <= b <= 0x7A else 24 if b in b"\n.,\0" or 0x80 <= b < 0xD0 else 6 if 0x21 <= b < 0x7F else 1 for b in range(256)
+    ]
 
 
 def _code_bits(lengths: list[int]) -> list[tuple[int, int]]:
@@ -627,7 +643,10 @@ def _emit(px: np.ndarray, count: np.ndarray, height: np.ndarray, kind: str, tran
         values[at], sizes[at] = total, bits
     values, sizes = values[emit], sizes[emit]
     kept = np.cumsum(np.concatenate([[0], emit]))[first]
-    heads = [[*_packed([(0x2F, 8), (WIDTH - 1, 14), (h - 1, 14), (1, 1), (0, 3), *own, (0, 1)]), *header] for h, own in zip(height.tolist(), transforms, strict=True)]
+    heads = [
+        [*_packed([(0x2F, 8), (WIDTH - 1, 14), (h - 1, 14), (1, 1), (0, 3), *own, (0, 1)]), *header] for h,
+        own in zip(height.tolist(), transforms, strict=True)
+    ]
     lead = np.array([len(x) for x in heads])
     each = np.diff(np.append(kept, len(values))) + lead
     at = np.cumsum(each) - each
@@ -669,17 +688,21 @@ def encode_images(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     px, count = payload.view(np.uint32), sizes // 4
     first = np.cumsum(count) - count
     image = np.repeat(np.arange(len(count)), count)
-    # the number of colours
-    order = np.lexsort((px, image))
-    new = np.ones(len(px), bool)
-    new[1:] = (px[order[1:]] != px[order[:-1]]) | (image[order[1:]] != image[order[:-1]])
-    colours = np.bincount(image[order[new]], minlength=len(count))
+    # few colours: looked for where the first pixels have few
+    large = np.flatnonzero(count >= LEAST_PIXELS)
+    lead = np.sort(px[first[large][:, None] + np.arange(LEAST_PIXELS)], axis=1)
+    large = large[(lead[:, 1:] != lead[:, :-1]).sum(axis=1) < COLOURS]
+    palette = [i for i in large.tolist() if len(np.unique(px[first[i] : first[i] + count[i]])) <= COLOURS]
     # bits of literals by the codes for texts, or for residuals
-    bits = lambda x, kind: np.add.reduceat((lambda c, g, p: g[c[:, 1]] + p[c[:, 0]] + p[c[:, 2]] + p[c[:, 3]])(x.view(np.uint8).reshape(-1, 4), encoder(kind)[1][1][:256].astype(np.int64), encoder(kind)[2][1].astype(np.int64)), first)
+    bits = lambda x, kind: np.add.reduceat(
+        (lambda c, g, p: g[c[:, 1]] + p[c[:, 0]] + p[c[:, 2]] + p[c[:, 3]])(
+            x.view(np.uint8).reshape(-1, 4), encoder(kind)[1][1][:256].astype(np.int64), encoder(kind)[2][1].astype(np.int64)
+        ),
+        first
+    )
     left = _residuals(px, (np.arange(len(px)) - np.repeat(first, count)) // WIDTH)
     cost = np.stack([bits(px, "text"), bits(left[1], "residual") + OVERHEAD, bits(left[2], "residual") + OVERHEAD])
     mode = cost.argmin(axis=0)
-    palette = (colours <= COLOURS) & (count >= LEAST_PIXELS)
     mode[palette] = 3
     out: list[bytes] = [b""] * len(count)
     for m, kind in ((0, "text"), (1, "residual"), (2, "residual")):
@@ -719,9 +742,25 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 payload = np.zeros(int(sizes.sum()), np.uint8)
                 begin = np.cumsum(sizes) - sizes
                 payload[np.arange(int(n.sum())) + np.repeat(begin - (offsets[a:b] - offsets[a]), n)] = raw[offsets[a] : offsets[b]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(encode_payloads(payload, sizes), pa.binary()), pa.array(n)], names=["id", "media", "n_bytes"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(encode_payloads(payload, sizes), pa.binary()), pa.array(n)],
+                    names=["id", "media", "n_bytes"]
+                )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, media binary, n_bytes long").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        run, f"id {docs.schema[id_col].dataType.simpleString()}, media binary, n_bytes long"
+    ).withColumnRenamed("id", id_col)
+
+
+def _alike(pixels: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of images in rising order of size whose number times the largest is at most AREA (one image at least)."""
+    i = 0
+    while i < len(pixels):
+        j = i + 1
+        while j < len(pixels) and pixels[j] * (j + 1 - i) <= AREA:
+            j += 1
+        yield i, j
+        i = j
 
 
 def read_payloads(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -731,20 +770,30 @@ def read_payloads(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
-            # images are decoded in lockstep: those of like size go together
-            batch = batch.take(pa.array(np.argsort(np.diff(text_bytes(batch.column(1))[1]), kind="stable")))
-            _, offsets = text_bytes(batch.column(1))
-            for a, b in chunks(offsets, 4 << 20):
+            # images are decoded in lockstep, so those of like size go together
+            batch = batch.take(pa.array(np.argsort(batch.column(2).to_numpy(), kind="stable")))
+            for a, b in _alike(batch.column(2).to_numpy() // 4 + WIDTH):
                 media = batch.column(1).slice(a, b - a).to_pylist()
                 rows = []
                 for m, images in zip(media, decode_batch(media, known), strict=True):
                     data = b"".join(x.tobytes() for x in images)
                     x = np.frombuffer(data, np.uint8)
                     upper = np.bincount(x >> 4, minlength=16)
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(m), hashlib.sha256(m).hexdigest(), "{}|{:.4f}".format(",".join(map(str, upper)), x.mean())))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *(pa.array(list(c)) for c in zip(*rows, strict=True))], names=["id", *OUT])
-
-    return stored.select(F.col(id_col).alias("id"), "media", "n_bytes").mapInArrow(run, f"id {stored.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+                    rows.append(
+                        (
+                            len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(m), hashlib.sha256(m).hexdigest(),
+                            "{}|{:.4f}".format(",".join(map(str, upper)), x.mean())
+                        )
+                    )
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), *(pa.array(list(c)) for c in zip(*rows, strict=True))],
+                    names=["id", *OUT]
+                )
+
+    return stored.select(F.col(id_col).alias("id"), "media", "n_bytes").mapInArrow(
+        run,
+        f"id {stored.schema[id_col].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    ).withColumnRenamed("id", id_col)
 
 
 OUT = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

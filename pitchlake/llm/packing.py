@@ -25,24 +25,26 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .base import chunks, materialize, ragged, read_table, text_bytes
-from .pretoken import Pretokens
+from .pretoken import Cache, Pretokens
 
 CHUNK_BYTES = 1 << 20
 MERGE_GROUP = 1 << 15
+#: Pre-tokens in a worker's cache.
+CACHE_SIZE = 1 << 18
 #: Longer pre-tokens (code points) aren't kept in the worker's cache, so that it is bounded in bytes.
 MOST_CHARS = 256
 _KEPT: dict = {}
 
 
-def _tools(path: str) -> tuple[Tokenizer, Pretokens, dict[str, bytes]]:
+def _tools(path: str) -> tuple[Tokenizer, Pretokens, Cache]:
     if path not in _KEPT:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads wait for each other
         lib = Tokenizer.from_file(path)
-        _KEPT[path] = lib, Pretokens(False, tuple(x.content for x in lib.get_added_tokens_decoder().values())), {}
+        _KEPT[path] = lib, Pretokens(False, tuple(x.content for x in lib.get_added_tokens_decoder().values())), Cache(CACHE_SIZE)
     return _KEPT[path]
 
 
-def encode_ids(texts: list[str], path: str, cache_size: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+def encode_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, end to end, and the n + 1 offsets: equal to the tokenizer's without added special tokens."""
     lib, pre, cache = _tools(path)
     odd = [pre.odd(t) for t in texts]
@@ -51,15 +53,13 @@ def encode_ids(texts: list[str], path: str, cache_size: int = 1 << 17) -> tuple[
     joined = "".join(plain)
     at, back = pre.distinct(code, starts, ends)
     words = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-    ids = list(map(cache.get, words))
+    ids = cache.get_all(words)
     miss = [k for k, x in enumerate(ids) if x is None]
-    if len(cache) + len(miss) > cache_size:
-        cache.clear()
     for a in range(0, len(miss), 20_000):
         some = miss[a : a + 20_000]
         for k, e in zip(some, lib.encode_batch_fast([words[k] for k in some], add_special_tokens=False), strict=True):
             ids[k] = array("I", e.ids).tobytes()
-    cache.update((words[k], ids[k]) for k in miss if len(words[k]) <= MOST_CHARS)
+    cache.add([(words[k], ids[k]) for k in miss if len(words[k]) <= MOST_CHARS])
     flat = np.frombuffer(b"".join(ids), np.uint32)
     n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     begin = np.cumsum(n) - n

@@ -28,6 +28,29 @@ def character_classes() -> np.ndarray:
     return out
 
 
+class Cache:
+    """A bounded table of a worker, in two halves: when the young one is full it becomes the old one, and what is used
+    again moves back, so that frequent entries stay."""
+
+    def __init__(self, size: int) -> None:
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def get_all(self, words: list[str]) -> list:
+        """The value of each word, None for those that aren't there."""
+        out = list(map(self.young.get, words))
+        if self.old:
+            again = self.old.get
+            for k in [k for k, x in enumerate(out) if x is None]:
+                if (x := again(words[k])) is not None:
+                    out[k] = self.young[words[k]] = x
+        return out
+
+    def add(self, items: list[tuple]) -> None:
+        if len(self.young) + len(items) > self.half:
+            self.old, self.young = self.young, {}
+        self.young.update(items[: self.half])
+
+
 class Pretokens:
     """lower: the pattern of the lower-casing word vocabulary (white space dropped, digits single); else that of the byte-level one."""
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .base import chunks, discard, materialize, most_frequent, read_table, text_bytes
-from .pretoken import Pretokens
+from .pretoken import Cache, Pretokens
 
 CHUNK_BYTES = 1 << 20
 #: Longer pre-tokens (code points) get into no summary.
@@ -89,7 +89,7 @@ def frequent_lengths(docs: DataFrame, path: str, table_size: int, summary_size:
 
 
 def count_tokens(
-    docs: DataFrame, path: str, limit: int = 2048, table_size: int = 1 << 15, summary_size: int = 1 << 15, cache_size: int = 1 << 17,
+    docs: DataFrame, path: str, limit: int = 2048, table_size: int = 1 << 15, summary_size: int = 1 << 15, cache_size: int = 1 << 18,
     id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens, over_limit. A null text counts as empty: 0 and 0. Ids may repeat or be
@@ -100,7 +100,7 @@ def count_tokens(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib, pre = _tools(path)
         known: dict[str, int] = table.value
-        cache: dict[str, int] = _KEPT.setdefault(("lengths", path), {})
+        cache: Cache = _KEPT.setdefault(("lengths", path), Cache(cache_size))
         for part, texts in _batches(batches, "text"):
             odd = np.array([pre.odd(t) for t in texts], bool)
             plain = ["" if o else t for t, o in zip(texts, odd, strict=True)]
@@ -108,16 +108,16 @@ def count_tokens(
             joined = "".join(plain)
             at, back = pre.distinct(code, starts, ends)
             words = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            n = [known.get(w) or cache.get(w, -1) for w in words]
-            miss = [k for k, x in enumerate(n) if x < 0]
+            n = list(map(known.get, words))
+            rest = [k for k, x in enumerate(n) if x is None]
+            for k, x in zip(rest, cache.get_all([words[k] for k in rest]), strict=True):
+                n[k] = x
+            miss = [k for k in rest if n[k] is None]
             if miss:
                 new = _encode_lengths(lib, [words[k] for k in miss])
-                if len(cache) + len(new) > cache_size:
-                    cache.clear()
                 for k, x in zip(miss, new, strict=True):
                     n[k] = x
-                    if len(words[k]) <= MOST_CHARS:
-                        cache[words[k]] = x
+                cache.add([(words[k], n[k]) for k in miss if len(words[k]) <= MOST_CHARS])
             n = np.array(n, np.int64)
             running = np.concatenate([[0], np.cumsum(n[back])])
             edge = np.concatenate([[0], np.cumsum(each)])

@@ -29,8 +29,8 @@ from .pretoken import Cache, Pretokens
 
 CHUNK_BYTES = 1 << 20
 MERGE_GROUP = 1 << 15
-#: Pre-tokens in a worker's cache.
-CACHE_SIZE = 1 << 18
+#: Pre-tokens in a worker's cache, and those that it keeps from one task to the next.
+CACHE_SIZE, CACHE_KEPT = 1 << 19, 1 << 16
 #: Longer pre-tokens (code points) aren't kept in the worker's cache, so that it is bounded in bytes.
 MOST_CHARS = 256
 _KEPT: dict = {}
@@ -139,6 +139,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, places:
                             window, offset, _ = open_.put(len(rows), length)
                         rows.append((doc, start, length, crc, total, part_id + window, offset, 0))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=[*NAMES, "room"])
+        _tools(path)[2].trim(CACHE_KEPT)
         if open_.rooms:  # a row for each window left open, with its room
             n = len(open_.rooms)
             none = pa.nulls(n, pa.int64())

@@ -8,14 +8,17 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from itertools import islice
 
 import numpy as np
 
-from .base import ROLLING, mix, ragged
+from .base import mix, ragged
 
 LETTER, NUMBER, SPACE, OTHER, ODD = 1, 2, 3, 0, 4
 #: The code points with the White_Space property.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+BASE = np.uint64(0x9E3779B97F4A7C15)
+UNBASE = np.uint64(pow(int(BASE), -1, 2**64))
 
 
 def character_classes() -> np.ndarray:
@@ -50,6 +53,10 @@ class Cache:
             self.old, self.young = self.young, {}
         self.young.update(items[: self.half])
 
+    def trim(self, most: int) -> None:
+        """Keep the `most` latest entries only."""
+        self.old, self.young = {}, dict(islice(self.young.items(), max(0, len(self.young) - most), None))
+
 
 class Pretokens:
     """lower: the pattern of the lower-casing word vocabulary (white space dropped, digits single); else that of the byte-level one."""
@@ -57,6 +64,7 @@ class Pretokens:
     def __init__(self, lower: bool, special: tuple[str, ...]) -> None:
         self.lower, self.special = lower, special
         self.classes = character_classes()
+        self.power = self.unpower = np.ones(1, np.uint64)
 
     def odd(self, text: str) -> bool:
         """Must this text go to the tokenizer whole?"""
@@ -133,7 +141,8 @@ class Pretokens:
         differ = np.ones(len(n), bool)
         if len(even):
             first = np.cumsum(n[even]) - n[even]
-            differ[even] = np.logical_or.reduceat(code[ragged(starts[even], n[even])] != code[ragged(starts[like[even]], n[even])], first)
+            unlike = code[ragged(starts[even], n[even])] != code[ragged(starts[like[even]], n[even])]
+            differ[even] = np.logical_or.reduceat(unlike, first)
         own: dict[bytes, int] = {}
         more: list[int] = []
         for k in np.flatnonzero(differ).tolist():
@@ -145,5 +154,10 @@ class Pretokens:
         return np.concatenate([at, np.array(more, np.int64)]), back
 
     def hashes(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        sums = ROLLING.sums(mix(code.astype(np.uint64) + np.uint64(0x51ED27)))
-        return ROLLING.between(sums, starts, ends)
+        """A polynomial modulo 2**64 of each: quick, and enough to bring equal ones together, as `distinct` compares them."""
+        if len(self.power) <= len(code):
+            n = max(len(code) + 1, 1 << 16)
+            self.power, self.unpower = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (BASE, UNBASE))
+        sums = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(mix(code.astype(np.uint64) + np.uint64(0x51ED27)) * self.power[: len(code)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * self.unpower[starts] + (ends - starts).astype(np.uint64))

@@ -408,8 +408,17 @@ def test_hash_collisions_of_pre_tokens():
         def hashes(self, code, starts, ends):
             return np.zeros(len(starts), np.uint64)
 
-    code, starts, ends, _ = Same(False, ()).cut(["one two three one", " two one"])
-    at, back = Same(False, ()).distinct(code, starts, ends)
+    rng = random.Random(5)
+    for alphabet in ("ab", "aé中", "a😀b"):
+        texts = [" ".join("".join(rng.choice(alphabet) for _ in range(rng.choice([1, 2, 3, 4, 5, 7, 8, 9, 17]))) for _ in range(60)) for _ in range(5)]
+        collide(Same(False, ()), [*texts, "", texts[0]])
+    collide(Same(False, ()), ["one two three one", " two one"])
+    collide(Same(False, ()), ["", ""])
+
+
+def collide(pre, texts):
+    code, starts, ends, _ = pre.cut(texts)
+    at, back = pre.distinct(code, starts, ends)
     name = lambda k: code[starts[k] : ends[k]].tobytes()
     assert [name(at[k]) for k in back] == [name(k) for k in range(len(starts))] and len({name(k) for k in at}) == len(at)
 

@@ -95,14 +95,14 @@ def find_leaks(
         ids = T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType)
         return docs.sparkSession.createDataFrame([], T.StructType([ids[0], *h, ids[1], *counts]))
     hits = materialize(found, "seed-hits")
-    # texts cross the network once, and are cut into words only where something was hit
+    # texts cross the network once, at every size, and are cut into words only where something was hit
     spot = hits.withColumnsRenamed({"doc_id": "hit_id", "h": "hit_h"})
     same = [F.col("doc_id").eqNullSafe(F.col("hit_id")), F.col("h") == F.col("hit_h")]
     texts = own.withColumn("h", F.xxhash64("doc_text"))
-    hit_texts = texts.join(spot.select("hit_id", "hit_h").distinct(), same, "left_semi").select("doc_id", "h", _words("doc_text").alias("words"))
+    hit_texts = texts.join(spot.select("hit_id", "hit_h").distinct().hint("merge"), same, "left_semi").select("doc_id", "h", _words("doc_text").alias("words"))
     of_item = items.select(F.col("item_id").alias("own_id"), F.col("item_h").alias("own_h"), "item", "w")
     mine = [F.col("item_id").eqNullSafe(F.col("own_id")), F.col("item_h") == F.col("own_h")]
-    around = hit_texts.join(spot, same).join(F.broadcast(of_item) if small else of_item, mine)
+    around = hit_texts.join(spot.hint("merge"), same).join(F.broadcast(of_item) if small else of_item, mine)
     # the item's words before and after the seed that some window with it has, cut to the document
     shape = around.withColumn(
         "lo", F.greatest(F.col("j") - (F.col("w") - F.col("span")), F.lit(0))

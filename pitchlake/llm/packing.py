@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 from .base import chunks, materialize, ragged, read_table, text_bytes
 from .pretoken import Cache, Pretokens
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 2 << 20
 MERGE_GROUP = 1 << 15
 #: Pre-tokens in a worker's cache, and those that it keeps from one task to the next.
 CACHE_SIZE, CACHE_KEPT = 1 << 19, 1 << 16
@@ -57,9 +57,14 @@ def encode_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     miss = [k for k, x in enumerate(ids) if x is None]
     for a in range(0, len(miss), 20_000):
         some = miss[a : a + 20_000]
-        for k, e in zip(some, lib.encode_batch_fast([words[k] for k in some], add_special_tokens=False), strict=True):
-            ids[k] = array("I", e.ids).tobytes()
-    cache.add([(words[k], ids[k]) for k in miss if len(words[k]) <= MOST_CHARS])
+        names = [words[k] for k in some]
+        new = [array("I", e.ids).tobytes() for e in lib.encode_batch_fast(names, add_special_tokens=False)]
+        for k, x in zip(some, new, strict=True):
+            ids[k] = x
+        if max(map(len, names)) > MOST_CHARS:
+            short = [i for i, w in enumerate(names) if len(w) <= MOST_CHARS]
+            names, new = [names[i] for i in short], [new[i] for i in short]
+        cache.add(names, new)
     flat = np.frombuffer(b"".join(ids), np.uint32)
     n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     begin = np.cumsum(n) - n

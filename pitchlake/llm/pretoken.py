@@ -41,17 +41,18 @@ class Cache:
     def get_all(self, words: list[str]) -> list:
         """The value of each word, None for those that aren't there."""
         out = list(map(self.young.get, words))
-        if self.old:
-            again = self.old.get
-            for k in [k for k, x in enumerate(out) if x is None]:
-                if (x := again(words[k])) is not None:
-                    out[k] = self.young[words[k]] = x
+        if self.old and None in out:
+            miss = [k for k, x in enumerate(out) if x is None]
+            again = {k: x for k, x in zip(miss, map(self.old.get, [words[k] for k in miss]), strict=True) if x is not None}
+            for k, x in again.items():
+                out[k] = x
+            self.young.update(zip([words[k] for k in again], again.values(), strict=True))
         return out
 
-    def add(self, items: list[tuple]) -> None:
-        if len(self.young) + len(items) > self.half:
+    def add(self, words: list[str], values: list) -> None:
+        if len(self.young) + len(words) > self.half:
             self.old, self.young = self.young, {}
-        self.young.update(items[: self.half])
+        self.young.update(zip(words[: self.half], values[: self.half], strict=True))
 
     def trim(self, most: int) -> None:
         """Keep the `most` latest entries only."""

@@ -117,7 +117,8 @@ def count_tokens(
                 new = _encode_lengths(lib, [words[k] for k in miss])
                 for k, x in zip(miss, new, strict=True):
                     n[k] = x
-                cache.add([(words[k], n[k]) for k in miss if len(words[k]) <= MOST_CHARS])
+                short = [k for k in miss if len(words[k]) <= MOST_CHARS]
+                cache.add([words[k] for k in short], [n[k] for k in short])
             n = np.array(n, np.int64)
             running = np.concatenate([[0], np.cumsum(n[back])])
             edge = np.concatenate([[0], np.cumsum(each)])

@@ -216,9 +216,6 @@ TEAM_FOR = {
     "fouls": n("type_primary = 'infraction'"),
     "press_actions": n(f"location_x >= 40 and type_primary in ('infraction', 'interception', 'duel')"),
 }
-#: TEAM_FOR's mean in parts that add up.
-_GAINED = f"case when {_PASS} and location_x is not null and pass_end_x is not null then {micro(_GAIN)} end"
-DIRECTNESS = {"gain_sum": f"cast(sum({_GAINED}) as bigint)", "gain_count": f"count({_GAINED})"}
 TEAM_AGAINST = {
     "goals_against": n("shot_is_goal"),
     "xg_against": XG("shot_cents is not null"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import hundredths
@@ -60,45 +60,16 @@ ZONES = {
 
 def team_radar(ev: DataFrame) -> DataFrame:
     """Per team and match played: what it does, what its opponents do, and its shares."""
-    # one row a possession and team: its sums, how far it went, and the holder if the possession's first event is here
-    opening = Window.partitionBy("match_id", "possession_id").orderBy("seq")
-    marked = possession_changes(ev).withColumn("first", F.row_number().over(opening) == 1)
-    adds = {
-        k: x for k, x in (M.TEAM_FOR | M.TEAM_AGAINST).items() if k not in ("matches", "directness", "xg", "xg_against")
-    } | M.DIRECTNESS | {"cents": M.total("shot_cents", "true")}
-    seconds = F.max(F.when(F.col("first"), F.col("possession_duration_sec")))
-    each = marked.groupBy("match_id", "possession_id", "team_name", "opponent_team_name").agg(
-        *aggregates(adds), F.min("location_x").alias("lo"), F.max("location_x").alias("hi"),
-        F.max(F.when(F.col("first"), F.col("possession_team_name"))).alias("holder"), seconds.alias("sec")
+    own = possession_changes(ev).groupBy("team_name").agg(*aggregates(M.TEAM_FOR))
+    against = ev.groupBy(F.col("opponent_team_name").alias("team_name")).agg(*aggregates(M.TEAM_AGAINST))
+    third = ev.groupBy("match_id", "team_name", "possession_id").agg(F.min("location_x").alias("lo"), F.max("location_x").alias("hi")).groupBy("team_name").agg(
+        F.expr(M.n("lo < 66.6e0 and hi >= 66.6e0")).alias("final_third_entries")
     )
-    each = each.withColumn("final_third_entries", F.expr("cast(coalesce(lo < 66.6e0 and hi >= 66.6e0, false) as bigint)"))
-    mine = [c for c in adds if c not in M.TEAM_AGAINST] + ["final_third_entries"]
-    theirs = [*(c for c in M.TEAM_AGAINST if c != "xg_against"), "cents"]
-    names = {**{c: f"f_{c}" for c in mine}, **{f"a_{c}": f"a_{c}" for c in theirs}}
-    none = F.lit(None).cast("long")
-
-    def side(team: str, kind: int) -> Column:
-        own = [(F.col(c).cast("long") if kind == 0 else none).alias(names[c]) for c in mine] + [
-            (F.col(c).cast("long") if kind == 1 else none).alias(f"a_{c}") for c in theirs
-        ]
-        return F.struct(
-            F.col(team).alias("team_name"), *own, F.when(F.lit(kind == 0), F.col("match_id")).alias("played"), F.lit(int(kind == 1)).alias("faced"),
-            F.when(F.lit(kind == 2), F.col("sec")).alias("held")
-        )
-
-    sums = each.select("match_id", F.inline(F.array(side("team_name", 0), side("opponent_team_name", 1), side("holder", 2)))).groupBy("team_name").agg(
-        *(F.sum(f"f_{c}").alias(c) for c in mine), *(
-            F.sum(f"a_{c}").alias(f"a_{c}") for c in theirs
-        ), F.count_distinct("played").alias("matches"), F.max("faced").alias("faced"), F.sum("held").alias("sec")
-    )
-    whole = F.sum("sec").over(Window.partitionBy())
-    x = sums.withColumn("possession_share", F.coalesce("sec", F.lit(0.0)) / whole * 100).where("matches > 0 and faced > 0")
-    x = x.withColumns(
-        {
-            **{c: F.col(f"a_{c}") for c in theirs if c != "cents"}, "xg": F.col("cents") / 50000, "xg_against": F.col("a_cents") / 50000,
-            "directness": F.col("gain_sum") / F.col("gain_count") / 1000000
-        }
+    held = first_per_key(ev, ["match_id", "possession_id"], "seq").groupBy(F.col("possession_team_name").alias("team_name")).agg(
+        F.coalesce(F.sum("possession_duration_sec"), F.lit(0.0)).alias("sec")
     )
+    held = held.withColumn("possession_share", F.col("sec") / F.sum("sec").over(Window.partitionBy()) * 100).drop("sec")
+    x = own.join(against, "team_name").join(third, "team_name").join(held, "team_name", "left")
     part = lambda a, b, scale=1.0: F.when(F.col(b) > 0, F.col(a) / F.col(b) * scale).otherwise(0.0)
     each = [c for c in (*M.TEAM_FOR, *M.TEAM_AGAINST, "final_third_entries") if c not in SHARED]
     return x.select(

@@ -47,7 +47,7 @@ def _tools(path: str) -> tuple[Tokenizer, Pretokens, Cache]:
 def encode_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, end to end, and the n + 1 offsets: equal to the tokenizer's without added special tokens."""
     lib, pre, cache = _tools(path)
-    odd = [pre.odd(t) for t in texts]
+    odd = pre.odd(texts)
     plain = ["" if o else t for t, o in zip(texts, odd, strict=True)]
     code, starts, ends, each = pre.cut(plain)
     joined = "".join(plain)

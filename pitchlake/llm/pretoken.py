@@ -67,11 +67,24 @@ class Pretokens:
         self.classes = character_classes()
         self.power = self.unpower = np.ones(1, np.uint64)
 
-    def odd(self, text: str) -> bool:
-        """Must this text go to the tokenizer whole?"""
-        if "<|" in text and any(s in text for s in self.special):
-            return True
-        return self.lower and not text.isascii() and (not unicodedata.is_normalized("NFC", text) or "İ" in text)
+    def odd(self, texts: list[str]) -> list[bool]:
+        """Which texts must go to the tokenizer whole: those with a special token's string, with a code point that Python's
+        tables don't know (the libraries' own, newer tables may), and, for the lower-casing vocabulary, those that aren't
+        normalized or have the one letter that lower-cases to two."""
+        out = ["<|" in t and any(s in t for s in self.special) for t in texts]
+        wide = [i for i, t in enumerate(texts) if not t.isascii()]
+        if not wide:
+            return out
+        if self.lower:
+            for i in wide:
+                out[i] = out[i] or not unicodedata.is_normalized("NFC", texts[i]) or "İ" in texts[i]
+        code = np.frombuffer("".join(texts[i] for i in wide).encode("utf-32-le", "surrogatepass"), np.uint32)
+        unknown = np.flatnonzero(self.classes[code] == ODD)
+        if len(unknown):
+            ends = np.cumsum([len(texts[i]) for i in wide])
+            for k in np.unique(np.searchsorted(ends, unknown, "right")).tolist():
+                out[wide[k]] = True
+        return out
 
     def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Code points of all texts, begin and end of each pre-token in them, and the number of pre-tokens of each text."""
@@ -82,7 +95,6 @@ class Pretokens:
         if not n:
             return code, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         kind = self.classes[code]
-        kind[kind == ODD] = OTHER
         first = np.zeros(n + 1, bool)
         first[edges] = True
         before = np.empty(n, np.uint8)

@@ -1,8 +1,8 @@
 """Token counts by a two-tier lookup on the map side.
 
-First pass: every partition counts its pre-tokens in a summary of bounded size (when the summary is full, all counts
-are lowered until half of it is free, so a pre-token that is frequent in a partition is never lost). The summaries are
-summed, and of at most `table_size` of the most frequent pre-tokens the token counts are broadcast in a hash table by
+First pass: every partition counts its pre-tokens in a summary of bounded size. What occurs once in a batch of 1 MB
+isn't counted there, and when the summary is full, all counts are lowered until half of it is free; so a pre-token may be
+missing from the table, which costs its encoding as a miss, not a wrong count. The summaries are summed, and of at most `table_size` of the most frequent pre-tokens the token counts are broadcast in a hash table by
 pre-token. Those above MOST_CHARS stay out of summaries, table and caches, so that these are bounded in bytes. Second
 pass: each batch looks its distinct pre-tokens up there, then in the worker's own bounded cache, and encodes what is
 left. No pre-token of a text is shuffled; only the summaries are, at most `summary_size` rows a partition.
@@ -60,7 +60,7 @@ def frequent_lengths(docs: DataFrame, path: str, table_size: int, summary_size:
         _, pre = _tools(path)
         kept: dict[str, int] = {}
         for _, texts in _batches(batches, text_col):
-            plain = [t for t in texts if not pre.odd(t)]
+            plain = [t for t, o in zip(texts, pre.odd(texts), strict=True) if not o]
             code, starts, ends, _ = pre.cut(plain)
             joined = "".join(plain)
             at, back = pre.distinct(code, starts, ends)
@@ -82,7 +82,7 @@ def frequent_lengths(docs: DataFrame, path: str, table_size: int, summary_size:
     discard(counted)
     lib, pre = _tools(path)
     # alone, a word must still be one pre-token
-    whole = [w for w in words if not pre.odd(w)]
+    whole = [w for w, o in zip(words, pre.odd(words), strict=True) if not o]
     alone = pre.cut(whole)[3]
     whole = [w for w, n in zip(whole, alone.tolist(), strict=True) if n == 1]
     return dict(zip(whole, _encode_lengths(lib, whole), strict=True))
@@ -102,7 +102,7 @@ def count_tokens(
         known: dict[str, int] = table.value
         cache: Cache = _KEPT.setdefault(("lengths", path), Cache(cache_size))
         for part, texts in _batches(batches, "text"):
-            odd = np.array([pre.odd(t) for t in texts], bool)
+            odd = np.array(pre.odd(texts), bool)
             plain = ["" if o else t for t, o in zip(texts, odd, strict=True)]
             code, starts, ends, each = pre.cut(plain)
             joined = "".join(plain)

@@ -4,6 +4,7 @@ from .decontamination import OP1_SQL, op1_decontaminate
 from .jaccard_join import op6_jaccard_join
 from .language_id import op5_language_id
 from .license_scan import op2_license_scan
+from .mixing import OP12_SQL, op12_mix_sources
 from .packing import op4_pack
 from .sentence_spans import OP9_SQL, op9_sentence_spans
 from .sharding import op8_shard_bytes
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_shard_bytes": op8_shard_bytes,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_webp": op10_webp,
+    "op12_mix_sources": op12_mix_sources,
 }
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op9_sentence_spans": OP9_SQL}
+ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op9_sentence_spans": OP9_SQL, "op12_mix_sources": OP12_SQL}

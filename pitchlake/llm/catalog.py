@@ -1,6 +1,7 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
 from .decontamination import OP1_SQL, op1_decontaminate
+from .divergence import OP13_SQL, op13_divergence_audit
 from .jaccard_join import op6_jaccard_join
 from .language_id import op5_language_id
 from .license_scan import op2_license_scan
@@ -24,5 +25,8 @@ QUERIES = {
     "op9_sentence_spans": op9_sentence_spans,
     "op10_webp": op10_webp,
     "op12_mix_sources": op12_mix_sources,
+    "op13_divergence_audit": op13_divergence_audit,
+}
+ORACLE_SQL = {
+    "op1_decontaminate": OP1_SQL, "op9_sentence_spans": OP9_SQL, "op12_mix_sources": OP12_SQL, "op13_divergence_audit": OP13_SQL
 }
-ORACLE_SQL = {"op1_decontaminate": OP1_SQL, "op9_sentence_spans": OP9_SQL, "op12_mix_sources": OP12_SQL}

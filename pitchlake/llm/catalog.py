@@ -1,5 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
+from .conversation_repair import op11_repair_conversations
 from .decontamination import OP1_SQL, op1_decontaminate
 from .divergence import OP13_SQL, op13_divergence_audit
 from .jaccard_join import op6_jaccard_join
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_shard_bytes": op8_shard_bytes,
     "op9_sentence_spans": op9_sentence_spans,
     "op10_webp": op10_webp,
+    "op11_repair_conversations": op11_repair_conversations,
     "op12_mix_sources": op12_mix_sources,
     "op13_divergence_audit": op13_divergence_audit,
 }

@@ -48,14 +48,26 @@ def flatten(schema: T.StructType, prefix: str = "") -> list[Column]:
     return out
 
 
+def split_corrupt(raw: DataFrame, corrupt: str, column: str) -> tuple[DataFrame, DataFrame]:
+    """Readable and corrupt records of `raw`. Spark refuses to read the corrupt ones alone, so a condition that always holds
+    makes it read `column` as well, whatever else is asked for."""
+    read = F.pmod(F.hash(column), F.lit(2)) < 2
+    return raw.where(F.col(corrupt).isNull() & read), raw.where(F.col(corrupt).isNotNull() & read)
+
+
 def read_events(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """One event a line; missing fields are null columns. `seq` orders the rows: file name, then place in the file.
+    """One event a line; missing fields are null columns; a line of JSON that can't be read is no event (`feed.read_lines`
+    returns those as well). `seq` orders the rows: file name, then place in the file.
 
     It is a struct, compared field by field: the file, where the split that a row was read from begins in it, and the
     place in that split. (Spark packs splits into partitions by size, so a row number alone would follow that.)"""
-    raw = spark.read.schema(EVENTS).option("mode", "PERMISSIVE").format(fmt).load(path)
+    if fmt == "json":
+        raw = spark.read.schema(f"{EVENTS}, _corrupt string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").json(path)
+        raw, _ = split_corrupt(raw, "_corrupt", "id")
+    else:
+        raw = spark.read.schema(EVENTS).format(fmt).load(path)
     seq = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
-    return raw.select(seq.alias("seq"), *flatten(raw.schema))
+    return raw.select(seq.alias("seq"), *flatten(T.StructType([f for f in raw.schema if f.name != "_corrupt"])))
 
 
 #: What the landed lists of other entities hold: the array's name, and its elements' fields.

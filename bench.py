@@ -24,7 +24,9 @@ def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     conf = {
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
-        "spark.sql.session.timeZone": "UTC"
+        "spark.sql.session.timeZone": "UTC",
+        # the adapter's formulas make methods that the JVM doesn't compile; below this size Spark splits them
+        "spark.sql.codegen.hugeMethodLimit": "8000"
     }
     spark = SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

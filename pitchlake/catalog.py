@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 
 from .functions import display
 from .functions.pitch import CONTACT_ZONE, IN_BOX, TARGET_ZONE, goal_distance, metres, threat
-from .operators.relational import average_rank, first_per_key, min_max, next_value, possession_changes, share, strict_percentile, top_k
+from .operators.ranking import average_share, dense_from_top, numbered, ranked, reverse_blocks, strict_percent
+from .operators.relational import best_of, first_per_key, min_max, next_value, possession_changes, share, top_k
 from .plans import charts, match, players, season
 from .plans import metrics as M
+from .sources import feed
 from .sources.adapter import EV_SQL, football_events
 from .sources.ingest import boolean, number, parse_label
+from .sources.scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,7 +123,8 @@ _events(
     + ", ".join(
         f"cast(sum({n}_shots) as bigint) as {n}_shots, cast(sum({n}_goals) as bigint) as {n}_goals, cast(sum({n}_cents) as double) as {n}_cents" for n in _PHASES
     )
-    + " from e group by all) select g.* exclude (first_cents, second_cents, phase2_cents), matches, cast(corners as double) / matches as corners_per_match, (first_cents + second_cents + phase2_cents) / 50000 / matches as xg_per_match, (first_cents + second_cents + phase2_cents) / 50000 / corners as xg_per_corner, 100e0 * short / corners as short_pct, "
+    + " from e group by all) select g.* exclude (first_cents, second_cents, phase2_cents), matches, cast(corners as double) / matches as corners_per_match, (first_cents + second_cents + phase2_cents) / 50000 / matches as xg_per_match, (first_cents + second_cents + phase2_cents) / 50000 / corners as xg_per_corner, 100e0 * short / corners as short_pct, 100e0 * (corners - short) / corners as direct_pct, "
+    + ", ".join(f"100e0 * {n} / corners as {n}_pct" for n in season.ZONES.values()) + ", "
     + ", ".join(f"{n}_cents / 50000 as {n}_xg" for n in _PHASES) + " from g join m using (team_name)",
 )
 _EACH = [c for c in (*M.TEAM_FOR, *M.TEAM_AGAINST, "final_third_entries") if c not in season.SHARED]
@@ -249,6 +254,10 @@ _ROLES = (
     "ar as (select q.player_id, player_name, team_name, e.role, coalesce(total, 0e0) as total, coalesce(score, 0e0) as score, coalesce(place, 0) as place from q cross join (select distinct role from w) e left join sp on sp.player_id = q.player_id and sp.role = e.role)"
 )
 _events("archetype_scores", players.archetype_scores, f"{_ROLES} select * from ar")
+_events(
+    "best_role", players.best_role,
+    f"{_ROLES} select player_id, arg_max(role, (score, -role_id)) as role, max(score) as score from sp join (select distinct role_id, role from w) using (role) group by 1"
+)
 _KIND = {m: k for k, ms in charts.KINDS.items() for m in ms}
 _PLACE_ROWS = ", ".join(
     f"('{r}', '{m}', {i}, {360.0 * i / len(ws)!r}e0, '{_KIND.get(m, 'other')}')" for r, (_, ws) in players.ROLES.items() for i, m in enumerate(ws)
@@ -263,6 +272,20 @@ _events(
     f"select player_id, role, metric, concat(cast(percent as string), {display.ordinal('percent')}) as percentile, case when lo = hi then value - 0.1e0 else lo end as low, case when lo = hi then value + 0.1e0 else hi end as high, {display.to_duck(display.decimals('value', 2))} as value from d",
 )
 
+_G, _S, _KN, _W = charts.POINTS - 1, charts.SHARE, charts.KERNEL, charts.WIDTH
+_events(
+    "role_densities", charts.role_densities,
+    f"{_ROLES}, d0 as (select role, metric, min(value) as lo, max(value) as hi, count(*) as n from r group by all having max(value) > min(value)), "
+    f"d1 as (select r.role, r.metric, lo, hi, n, (value - lo) / (hi - lo) * {_G} as pos from r join d0 using (role, metric)), "
+    f"d2 as (select *, cast(least(floor(pos), {_G - 1}) as bigint) as j from d1), d3 as (select *, cast(floor((pos - j) * {_S} + 0.5e0) as bigint) as rw from d2), "
+    f"d4 as (select role, metric, lo, hi, n, bin, sum(wt) as wt from (select role, metric, lo, hi, n, j as bin, {_S} - rw as wt from d3 union all select role, metric, lo, hi, n, j + 1, rw from d3) group by all), "
+    "d5 as (select role, metric, cast(sum(wt) as double) as w0, cast(sum(wt * bin) as double) as w1, cast(sum(wt * bin * bin) as double) as w2 from d4 group by all), "
+    f"d6 as (select d0.*, w0, greatest(cast(floor(sqrt(greatest(w2 / w0 - w1 / w0 * (w1 / w0), 0e0) * n / (n - 1)) * pow(cast(n as double), -0.2e0) * {_W} + 0.5e0) as bigint), 1) as h from d0 join d5 using (role, metric)), "
+    f"d7 as (select d6.*, point from d6, range(0, {charts.POINTS}) t(point)), "
+    f"d8 as (select p.role, p.metric, point, p.lo, p.hi, p.n, w0, h, sum(wt * cast(floor(exp(((point - bin) * {_W}) / cast(h as double) * (((point - bin) * {_W}) / cast(h as double)) * -0.5e0) * {_KN} + 0.5e0) as bigint)) as total from d7 p join d4 using (role, metric) group by all) "
+    f"select role, metric, cast(point as int) as point, lo + point * ((hi - lo) / {_G}) as x, cast(total as double) / w0 / {_KN} / (cast(h as double) / {_W} * ((hi - lo) / {_G})) * {charts.INVERSE_ROOT!r}e0 as density, n from d8",
+)
+
 # ---- lists to select from
 
 _events("team_list", charts.team_list, " select distinct unnest([home_team_name, away_team_name]) as team from ev order by 1")
@@ -426,20 +449,29 @@ _events(
     " select event_id, max(location_x) over (partition by match_id, possession_id) as far from ev"
 )
 _table(
-    "avg_pct_rank", "customer", lambda t: t.select("c_custkey", average_rank("c_nationkey", "c_mktsegment").alias("pct")),
+    "avg_pct_rank", "customer", lambda t: ranked(t, "c_nationkey", "c_mktsegment", pct=average_share()).select("c_custkey", "pct"),
     "select c_custkey, (rank() over (partition by c_mktsegment order by c_nationkey) + (count(*) over (partition by c_mktsegment, c_nationkey) - 1) / 2e0) / count(c_nationkey) over (partition by c_mktsegment) as pct from customer"
 )
 _table(
     "dense_rank_desc", "part",
-    lambda t: t.select("p_partkey", F.dense_rank().over(Window.partitionBy("p_brand").orderBy(F.desc("p_size"))).cast("long").alias("place")),
+    lambda t: ranked(t, "p_size", "p_brand", place=dense_from_top()).select("p_partkey", "place"),
     "select p_partkey, dense_rank() over (partition by p_brand order by p_size desc) as place from part"
 )
 _table(
-    "strict_pct", "part", lambda t: t.select("p_partkey", strict_percentile("p_size", "p_brand").alias("pct")),
+    "strict_pct", "part", lambda t: ranked(t, "p_size", "p_brand", pct=strict_percent()).select("p_partkey", "pct"),
     "select p_partkey, 100e0 * (rank() over (partition by p_brand order by p_size) - 1) / count(*) over (partition by p_brand) as pct from part"
 )
 _table(
-    "reverse_block", "orders",
+    "reverse_block", "orders", lambda t: reverse_blocks(t.select("o_orderkey"), 10, F.desc("o_orderkey")),
+    "select o_orderkey, cast(floor((count(*) over () - row_number() over (order by o_orderkey)) / 10) + 1 as bigint) as block from orders"
+)
+_table(
+    "row_index", "lineitem",
+    lambda t: numbered(t.select("l_orderkey", "l_linenumber"), F.col("l_orderkey"), F.col("l_linenumber"), name="index"),
+    "select l_orderkey, l_linenumber, row_number() over (order by l_orderkey, l_linenumber) - 1 as index from lineitem"
+)
+_table(
+    "reverse_block_by_customer", "orders",
     lambda t: t.select(
         "o_orderkey",
         (
@@ -471,6 +503,14 @@ _table(
     "head_tail", "orders", lambda t: t.orderBy("o_orderkey").limit(15).union(t.orderBy(F.desc("o_orderkey")).limit(15)).select("o_orderkey"),
     "(select o_orderkey from orders order by o_orderkey limit 15) union all (select o_orderkey from orders order by o_orderkey desc limit 15)"
 )
+_table(
+    "argmax_columns", "part",
+    lambda t: t.select(
+        "p_partkey",
+        best_of({"size": F.col("p_size") * 40.0, "price": F.when(F.col("p_size") > 5, F.col("p_retailprice")), "key": F.col("p_partkey") % 50 * 40.0 - 1.0}).alias("best")
+    ),
+    "select p_partkey, case when p_size * 40e0 > -1 and p_size * 40e0 >= coalesce(case when p_size > 5 then p_retailprice end, -1) and p_size * 40e0 >= p_partkey % 50 * 40e0 - 1 then 'size' when p_size > 5 and p_retailprice >= p_partkey % 50 * 40e0 - 1 then 'price' else 'key' end as best from part",
+)
 _table(
     "argmax_pick", "lineitem",
     lambda t: t.groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_quantity", -F.col("l_linenumber"))).alias("line")),
@@ -573,3 +613,45 @@ _table(
     "circle_angles", "nation", lambda t: t.select("n_nationkey", (F.col("n_nationkey") * 360 / F.lit(25)).alias("degrees")),
     "select n_nationkey, n_nationkey * 360 / 25e0 as degrees from nation"
 )
+
+
+# ---- landed feeds and stores, made of the event table
+
+_LANDED = ["event_id as id", "match_id as matchId", "minute", "struct(type_primary as primary) as type", "struct(cast(location_x as string) as x, cast(location_y as string) as y) as location",
+    "struct(team_name as name) as team", "struct(player_id as id, player_name as name) as player", "struct(cast(pass_accurate as string) as accurate) as pass"]
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """The events as documents, a file a match, written and read as a feed."""
+    at = f"{scratch_dir(spark)}/feed-{uuid.uuid4().hex}"
+    events = football_events(spark, d).select("match_id", F.struct("seq", F.struct(*map(F.expr, _LANDED)).alias("e")).alias("x"))
+    each = events.groupBy("match_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["e"]).alias("events"))
+    each.select("match_id", F.to_json(F.struct(F.col("match_id").alias("matchId"), "events")).alias("value")).write.partitionBy("match_id").text(at)
+    return feed.read_documents(spark, f"{at}/*/*.txt").events
+
+
+_FED = "matchId", "id", "minute", "type_primary", "location_x", "location_y", "team_name", "player_name", "pass_accurate"
+_add(
+    "feed_documents", lambda s, d: _documents(s, d).select(*_FED, F.col("seq.row").alias("place")),
+    EV_SQL + " select match_id as matchId, event_id as id, minute, type_primary, location_x, location_y, team_name, player_name, pass_accurate, row_number() over (partition by match_id order by seq) - 1 as place from ev"
+)
+
+
+def _appended(spark: SparkSession, d: str) -> DataFrame:
+    """A store that took the same feed twice."""
+    at = f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}"
+    events = football_events(spark, d).select("match_id", "event_id", "type_primary")
+    for _ in range(2):
+        feed.append_matches(events, at, "match_id")
+    return spark.read.schema("event_id long, type_primary string, match_id long").parquet(at)
+
+
+_add("append_twice", _appended, EV_SQL + " select event_id, type_primary, match_id from ev")
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    name = f"events_{uuid.uuid4().hex}"
+    return match.attacks(feed.store_by_match(football_events(spark, d), name, 8, f"{scratch_dir(spark)}/{name}"))
+
+
+_add("match_attacks_stored", _stored, ORACLE_SQL["match_attacks"])

@@ -49,3 +49,20 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
 def share(count: str, *partition: str) -> Column:
     """Percent of the partition's total."""
     return 100.0 * F.col(count) / F.sum(count).over(Window.partitionBy(*partition))
+
+
+def best_of(columns: dict[str, Column | str], floor: float = -1.0) -> Column:
+    """The name of the greatest of several columns; the first named wins ties. Null, and what is no greater than `floor`, is
+    out; null if nothing is left."""
+    each = [F.struct((F.col(c) if isinstance(c, str) else c).cast("double").alias("v"), F.lit(-i).alias("i"), F.lit(n).alias("name")) for i, (n, c) in enumerate(columns.items())]
+    return F.array_max(F.filter(F.array(*each), lambda x: x["v"] > floor))["name"]
+
+
+def united(key: str, **parts: DataFrame) -> DataFrame:
+    """A full join of tables with at most one row a key, as one aggregation of their union: a struct column for each table,
+    null where it has no row. Tables that come from one source need no renaming for it, as they do in joins."""
+    rows = None
+    for name, df in parts.items():
+        mine = df.select(key, F.struct(*(c for c in df.columns if c != key)).alias(name))
+        rows = mine if rows is None else rows.unionByName(mine, allowMissingColumns=True)
+    return rows.groupBy(key).agg(*(F.first(n, ignorenulls=True).alias(n) for n in parts))

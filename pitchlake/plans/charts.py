@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.display import decimals, ordinal
-from .players import INVERTED, ROLES, Roles, per_90, role_rows, scored
+from ..sources.scratch import written
+from .players import INVERTED, ROLES, Roles, per_90, qualified, role_rows, role_scores, roles_table
 
 #: What a metric tells of a player; others are "other".
 KINDS = {
@@ -22,40 +23,81 @@ KINDS = {
 
 def player_radar(ev: DataFrame, roles: Roles = ROLES, inverted: Sequence[str] = INVERTED, least_minutes: int = 90) -> DataFrame:
     """Per player and role of its position: the role's metrics with place, angle, kind and percentile, and score and rank in the role."""
-    rows = [(r, m, i, 360.0 * i / len(ws), next((k for k, ms in KINDS.items() if m in ms), "other")) for r, (_, ws) in roles.items() for i, m in enumerate(ws)]
-    places = F.broadcast(
-        ev.sparkSession.createDataFrame(rows, "role string, metric string, ord int, degrees double, kind string")
-    )  # as many rows as the parameter has
-    stats = per_90(ev).where(F.col("total_minutes") >= least_minutes)
-    x = scored(role_rows(stats, roles, inverted)).where("member").join(places, ["role", "metric"])
-    return x.select("player_id", "role", "ord", "metric", "degrees", "kind", "value", (F.col("p") * 100).alias("percentile"), "score", "place")
+    table = roles_table(ev.sparkSession, roles, inverted)
+    stats = qualified(ev, least_minutes)
+    n = stats.count()
+    rows = written(role_rows(stats, table, n), "role-rows")
+    scores = role_scores(rows, most_rows=n).select("player_id", "role_id", "score", "place")
+    sizes = table.groupBy("role_id").agg(F.count(F.lit(1)).alias("size"))
+    kind = F.coalesce(*(F.when(F.col("metric").isin(*ms), k) for k, ms in KINDS.items()), F.lit("other"))
+    x = rows.join(sizes, "role_id").join(scores, ["player_id", "role_id"])
+    return x.select(
+        "player_id", "role", "ord", "metric", (F.col("ord") * 360.0 / F.col("size")).alias("degrees"), kind.alias("kind"), "value",
+        (F.col("p") * 100).alias("percentile"), "score", "place"
+    )
 
 
 def player_distribution(ev: DataFrame, roles: Roles = ROLES, least_minutes: int = 90) -> DataFrame:
     """Where a player's value lies among the players of each of its roles: strict percentile with its ordinal, the axis'
     ends (a tenth around the value if all are equal) and the value as text."""
-    stats = per_90(ev).where(F.col("total_minutes") >= least_minutes)
-    group = Window.partitionBy("role", "metric")
-    x = role_rows(stats, roles).where("member").withColumns(
-        {
-            "lo": F.min("value").over(group), "hi": F.max("value").over(group), "n": F.count("value").over(group),
-            "below": F.rank().over(group.orderBy("value")) - 1
-        }
-    )
-    percent = F.floor(100 * F.col("below") / F.col("n")).cast("long")
-    flat = F.col("lo") == F.col("hi")
-    x = x.withColumns(
-        {
-            "percent": percent, "low": F.when(flat, F.col("value") - 0.1).otherwise(F.col("lo")),
-            "high": F.when(flat, F.col("value") + 0.1).otherwise(F.col("hi"))
-        }
-    )
+    stats = qualified(ev, least_minutes)
+    x = role_rows(stats, roles_table(ev.sparkSession, roles), stats.count())
+    flat = F.col("low") == F.col("high")
+    x = x.withColumn("percent", F.floor(100 * F.col("below") / F.col("of")).cast("long"))
     return x.select(
-        "player_id", "role", "metric", F.expr(f"concat(cast(percent as string), {ordinal('percent')})").alias("percentile"), "low", "high",
+        "player_id", "role", "metric", F.expr(f"concat(cast(percent as string), {ordinal('percent')})").alias("percentile"),
+        F.when(flat, F.col("value") - 0.1).otherwise(F.col("low")).alias("low"), F.when(flat, F.col("value") + 0.1).otherwise(F.col("high")).alias("high"),
         F.expr(decimals("value", 2)).alias("value")
     )
 
 
+#: Points of a density curve, and the units in which its sums are whole: of a value's weight, of the kernel, of the bandwidth.
+POINTS, SHARE, KERNEL, WIDTH = 128, 1000, 1_000_000, 1000
+
+
+def density_curves(values: DataFrame, *groups: str, value: str = "value", points: int = POINTS) -> DataFrame:
+    """Per group with at least two different values: a Gaussian kernel density estimate at `points` places from the least to
+    the greatest value, bandwidth by Scott's rule (deviation times n to the power -1/5).
+
+    Each value is shared between the two places around it (linear binning), so a group of any size becomes `points` sums;
+    the kernel is summed over these. Sums are of whole numbers and don't depend on the order of rows. Null is left out.
+    Returns groups, point, x, density and n."""
+    v, at, last = F.col(value), F.col("_at"), points - 1
+    known = values.where(v.isNotNull())
+    ends = known.groupBy(*groups).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"), F.count(F.lit(1)).alias("n")).where("_hi > _lo")
+    x = known.join(ends, [*groups]).withColumn("_at", (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * last)
+    low = F.least(F.floor(at), F.lit(last - 1)).cast("long")
+    right = F.floor((at - low) * SHARE + 0.5).cast("long")
+    shares = F.array(F.struct(low.alias("bin"), (SHARE - right).alias("w")), F.struct((low + 1).alias("bin"), right.alias("w")))
+    bins = x.select(*groups, "_lo", "_hi", "n", F.inline(shares)).groupBy(*groups, "_lo", "_hi", "n", "bin").agg(F.sum("w").alias("w"))
+    bins = bins.groupBy(*groups, "_lo", "_hi", "n").agg(
+        F.sum("w").alias("_w"), F.sum(F.col("w") * F.col("bin")).alias("_w1"), F.sum(F.col("w") * F.col("bin") * F.col("bin")).alias("_w2"),
+        F.collect_list(F.struct("bin", "w")).alias("_bins")
+    )  # at most `points` bins a group
+    n, w, w1, w2 = (F.col(c).cast("double") for c in ("n", "_w", "_w1", "_w2"))
+    variance = F.greatest(w2 / w - w1 / w * (w1 / w), F.lit(0.0)) * n / (n - 1)
+    width = F.greatest(F.floor(F.sqrt(variance) * F.pow(n, F.lit(-0.2)) * WIDTH + 0.5).cast("long"), F.lit(1).cast("long"))
+    bins = bins.withColumn("_h", width).withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
+    away = lambda b: (F.col("point") - b["bin"]) * WIDTH / F.col("_h")
+    kernel = lambda b: b["w"] * F.floor(F.exp(away(b) * away(b) * -0.5) * KERNEL + 0.5).cast("long")
+    total = F.aggregate("_bins", F.lit(0).cast("long"), lambda s, b: s + kernel(b))
+    step = (F.col("_hi") - F.col("_lo")) / last
+    return bins.select(
+        *groups, F.col("point").cast("int").alias("point"), (F.col("_lo") + F.col("point") * step).alias("x"),
+        (total.cast("double") / w / KERNEL / (F.col("_h").cast("double") / WIDTH * step) * INVERSE_ROOT).alias("density"), "n"
+    )
+
+
+#: 1 / sqrt(2 pi)
+INVERSE_ROOT = 0.3989422804014327
+
+
+def role_densities(ev: DataFrame, roles: Roles = ROLES, least_minutes: int = 90) -> DataFrame:
+    """Density curves of each metric of a role over the role's players."""
+    stats = qualified(ev, least_minutes)
+    return density_curves(role_rows(stats, roles_table(ev.sparkSession, roles), stats.count()), "role", "metric")
+
+
 def team_list(ev: DataFrame) -> DataFrame:
     """All teams, sorted."""
     return ev.select(F.explode(F.array("home_team_name", "away_team_name")).alias("team")).where("team is not null").distinct().orderBy("team")

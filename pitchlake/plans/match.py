@@ -14,7 +14,7 @@ TEAM = ["match_id", "team_name"]
 
 
 def aggregates(table: dict[str, str]) -> list[Column]:
-    return [F.expr(x).alias(name) for name, x in table.items()]
+    return [F.expr(f"{x} as {name}") for name, x in table.items()]
 
 
 def general(ev: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.pitch import threat
-from ..operators.relational import average_rank, min_max, next_value, top_k
+from ..operators.ranking import WINDOW_ROWS, average_share, dense_from_top, ranked
+from ..operators.relational import next_value, top_k, united
+from ..sources.scratch import written
 from . import metrics as M
 from .match import aggregates
 from .match import players as match_players
@@ -136,6 +138,18 @@ def lineup_minutes(ev: DataFrame) -> DataFrame:
     return minutes_from_lineups(*lineups(ev))
 
 
+def played_minutes(ev: DataFrame) -> DataFrame:
+    """What `lineup_minutes` says, by windows within a match, which need no lineups and no joins: a player among the first
+    eleven of a team to appear stays until the one eleven places later comes on, others from their first minute on."""
+    seen = ev.groupBy("match_id", "team_name", "player_id").agg(F.min("seq").alias("s"), F.min("minute").alias("on"), F.max("minute").alias("last"))
+    seen = seen.withColumn("end", F.max("last").over(Window.partitionBy("match_id"))).where("player_id is not null")
+    order = Window.partitionBy("match_id", "team_name").orderBy("s")
+    off = F.coalesce(F.lead("on", 11).over(order), "end")
+    x = seen.withColumns({"place": F.row_number().over(order), "off": off})
+    minutes = F.when(F.col("place") <= 11, F.col("off")).otherwise(F.col("end") - F.col("on"))
+    return x.groupBy("player_id", F.col("team_name").alias("team_id")).agg(F.sum(minutes).cast("long").alias("total_minutes"))
+
+
 #: Metrics of a player table that are not scaled to 90 minutes.
 FIXED = (*M.RATIOS, "gk_prevented_per_shot")
 TABLE = [*(c for c in (*M.COUNTING, *M.RATIOS) if c != "npxg"), "npxg", "xaop", "xasp", "xa", "xt", *(f"gk_{c}" for c in GOALKEEPING)]
@@ -152,46 +166,42 @@ def player_table(ev: DataFrame) -> DataFrame:
         *(
             F.coalesce(F.sum(F.when(F.expr(c), F.col(x))), F.lit(0)).alias(k) for k, c,
             x in (
-                ("np", "type_primary <> 'penalty'", "shot_cents"), ("ao", "xa_kind = 'xaop'", "xa_cents"), ("as", "xa_kind = 'xasp'", "xa_cents"),
+                ("np", "type_primary <> 'penalty'", "shot_cents"), ("ao", "xa_kind = 'xaop'", "xa_cents"), ("sp", "xa_kind = 'xasp'", "xa_cents"),
                 ("threat", "true", "gain")
             )
         ),
         F.max("player_name").alias("player_name"), F.max(F.coalesce(F.col("player_position") == "GK", F.lit(False))).alias("keeper"),
         F.expr(M.n("type_primary = 'goalkeeper_exit'")).alias("exits"),
     )
-    own = own.withColumns(
-        {k: F.expr(x) for k, x in M.RATIOS.items()} | {
-            "npxg": F.col("np") / 50000, "xaop": F.col("ao") / 50000, "xasp": F.col("as") / 50000, "xa": (F.col("ao") + F.col("as")) / 50000,
-            "xt": F.col("threat") / 100
-        }
+    own = own.selectExpr(
+        "*", *(f"{x} as {k}" for k, x in M.RATIOS.items()), "np / 50000 as npxg", "ao / 50000 as xaop", "sp / 50000 as xasp", "(ao + sp) / 50000 as xa",
+        "threat / 100 as xt"
     )
-    played = lineup_minutes(ev).groupBy("player_id").agg(
+    played = played_minutes(ev).groupBy("player_id").agg(
         F.min_by("team_id", F.struct(-F.col("total_minutes"), "team_id")).alias("team_name"), F.sum("total_minutes").alias("total_minutes")
     )
-    x = own.join(faced_shots(ev), "player_id", "left").na.fill(0, ["faced", "conceded", "cents"])
-    prevented = F.col("cents") / 45000 - F.col("conceded")
+    first = positions(ev).select("player_id", F.col("primary_position").alias("position"))
+    x = united("player_id", own=own, shots=faced_shots(ev), played=played, seen=first).where("own is not null")
+    faced, conceded, cents = (f"coalesce(shots.{c}, 0)" for c in ("faced", "conceded", "cents"))
+    prevented = f"({cents} / 45000 - {conceded})"
     keeping = {
-        "faced": F.col("faced"), "conceded": F.col("conceded"), "exits": F.col("exits"), "recoveries": F.col("recoveries"), "passes": F.col("passes"),
-        "long_passes": F.col("long_passes"), "prevented": prevented,
-        "prevented_per_shot": F.when(F.col("faced") > 0, prevented / F.col("faced")).otherwise(0.0), "psxg": F.col("cents") / 45000
-    }
-    x = x.withColumns({f"gk_{c}": F.when(F.col("keeper"), keeping[c].cast("double")).otherwise(0.0) for c in GOALKEEPING})
-    x = x.join(played, "player_id", "left").join(positions(ev), "player_id", "left")
-    whole = F.coalesce("total_minutes", F.lit(0)).cast("long").alias("total_minutes")
-    return x.select(
-        "player_id", "player_name", "team_name", whole, F.col("primary_position").alias("position"),
-        *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in TABLE)
+        "faced": faced, "conceded": conceded, "prevented": prevented, "prevented_per_shot": f"case when {faced} > 0 then {prevented} / {faced} else 0e0 end",
+        "psxg": f"{cents} / 45000"
+    } | {c: f"own.{c}" for c in ("exits", "recoveries", "passes", "long_passes")}
+    values = {c: f"own.{c}" for c in TABLE if not c.startswith("gk_")} | {f"gk_{c}": f"case when own.keeper then {x} end" for c, x in keeping.items()}
+    return x.selectExpr(
+        "player_id", "own.player_name", "played.team_name", "cast(coalesce(played.total_minutes, 0) as bigint) as total_minutes", "seen.position",
+        *(f"coalesce(cast({values[c]} as double), 0e0) as {c}" for c in TABLE)
     )
 
 
 def per_90(ev: DataFrame) -> DataFrame:
     """The player table with all metrics but ratios by 90 minutes; 0 without minutes."""
-    x = player_table(ev)
-    scaled = (F.col(c) if c in FIXED else F.when(F.col("total_minutes") > 0, F.col(c) / F.col("total_minutes") * 90).otherwise(0.0).alias(c) for c in TABLE)
-    return x.select("player_id", "player_name", "team_name", "total_minutes", "position", *scaled)
+    scaled = (c if c in FIXED else f"case when total_minutes > 0 then {c} / total_minutes * 90 else 0e0 end as {c}" for c in TABLE)
+    return player_table(ev).selectExpr("player_id", "player_name", "team_name", "total_minutes", "position", *scaled)
 
 
-#: An example of roles: positions, and weights of metrics. Pass your own to archetype_scores.
+#: An example of roles: positions, and weights of metrics. Pass your own to archetype_scores, or a table of them.
 ROLES = {
     "Finisher": (("CF", "SS", "AMF"), {"goals": 10, "shots": 3, "xg_per_shot": 2, "npxg": 4}),
     "Link": (("CF", "AMF", "DMF", "LCMF", "RCMF"), {"passes": 5, "dribbles": 2, "losses": 3, "xa": 3, "loss_index": 1}),
@@ -201,36 +211,57 @@ ROLES = {
     "Keeper": (("GK",), {"gk_prevented_per_shot": 6, "gk_conceded": 3, "gk_exits": 1, "passes_pct": 1}),
 }
 INVERTED = ("losses", "loss_index", "gk_conceded")
-Roles = Mapping[str, tuple[Sequence[str], Mapping[str, float]]]
+Roles = Mapping[str, tuple[Sequence[str], Mapping[str, float]]] | DataFrame
+ROLE_TABLE = "role_id int, role string, positions array<string>, ord int, metric string, weight double, inverted boolean"
 
 
-def role_rows(stats: DataFrame, roles: Roles = ROLES, inverted: Sequence[str] = INVERTED) -> DataFrame:
-    """Per player and role: whether its position is of the role (member), and if so a row for each metric of the role with
-    weight, value and percentile p among the members; a row without these if not."""
-    each = [
-        F.struct(
-            F.lit(i).alias("role_id"), F.lit(r).alias("role"), F.coalesce(F.col("position").isin(*ps), F.lit(False)).alias("member"),
-            F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(float(w)).alias("weight"), F.col(m).alias("value")) for m, w in ws.items())).alias("items")
-        )
-        for i, (r, (ps, ws)) in enumerate(roles.items())
-    ]
-    who = ["player_id", "player_name", "team_name"]
-    x = stats.select(*who, "position", F.inline(F.array(*each)))
-    x = x.select(
-        *who, "role_id", "role", "member", F.explode_outer(F.when(F.col("member"), F.col("items"))).alias("i")
-    ).select(*who, "role_id", "role", "member", "i.*")
-    p = average_rank("value", "role_id", "metric")
-    return x.withColumn("p", F.when(F.col("metric").isin(*inverted), 1 - p).otherwise(p))
-
-
-def scored(rows: DataFrame, per_archetype: bool = False) -> DataFrame:
-    """Adds to `role_rows` the player's total, score and place in the role, null for those who aren't members."""
+def roles_table(spark: SparkSession, roles: Roles = ROLES, inverted: Sequence[str] = INVERTED) -> DataFrame:
+    """Roles as a table, a row a metric of a role (ROLE_TABLE): role_id orders the roles, ord a role's metrics. A table is
+    taken as it is, so that roles can come from a file, any number of them."""
+    if isinstance(roles, DataFrame):
+        return roles
+    rows = [
+        (i, role, list(at), j, metric, float(weight), metric in inverted)
+        for i, (role, (at, weights)) in enumerate(roles.items()) for j, (metric, weight) in enumerate(weights.items())
+    ]
+    return spark.createDataFrame(rows, ROLE_TABLE)
+
+
+def qualified(ev: DataFrame, least_minutes: int) -> DataFrame:
+    """Per-90 values of players with enough minutes, written: ranks read them more than once."""
+    return written(per_90(ev).where(F.col("total_minutes") >= least_minutes), "players")
+
+
+def role_rows(stats: DataFrame, roles: DataFrame, most_rows: int | None = None) -> DataFrame:
+    """stats: players with metrics; roles: as ROLE_TABLE. A row for each player, role of its position and metric of that role:
+    weight, value, percentile p (inverted where less is better), and what `rank_table` says of the value in the role.
+
+    Metrics become rows and meet the roles by (position, metric), so the plan is the same for any number of roles. A role's
+    metric that the players don't have is left out. most_rows: at least the number of players (see `ranked`)."""
+    names = [c for c in stats.columns if c not in ("player_id", "player_name", "team_name", "total_minutes", "position")]
+    values = stats.unpivot(["player_id", "player_name", "team_name", "position"], names, "metric", "value")
+    places = roles.withColumn("position", F.explode(F.array_distinct("positions"))).drop("positions")
+    rows = values.join(places, ["position", "metric"]).drop("position")
+    rows = ranked(rows, "value", "role_id", "metric", most_rows=most_rows, p=average_share(), below=F.col("below"), of=F.col("of"), low=F.col("low"), high=F.col("high"))
+    return rows.withColumn("p", F.when(F.col("inverted"), 1 - F.col("p")).otherwise(F.col("p")))
+
+
+def role_scores(rows: DataFrame, per_archetype: bool = False, most_rows: int | None = None) -> DataFrame:
+    """Per player and role of `role_rows`: total, score and place in the role. most_rows: at least the number of players."""
+    # a player's rows meet once, for the percentiles that hold and for the totals
+    rows = rows.repartition("player_id")
     p = F.col("p") if per_archetype else F.max_by("p", "role_id").over(Window.partitionBy("player_id", "metric"))
     # percentiles and weights in millionths: their sums don't depend on the order of rows
-    x = rows.withColumn("part", F.floor(F.coalesce(p, F.lit(0.0)) * F.col("weight") * 1000000 + 0.5).cast("long"))
-    x = x.withColumn("total", F.sum("part").over(Window.partitionBy("player_id", "role")) / 1000000).drop("part")
-    x = x.withColumn("score", F.when(F.col("member"), min_max("total", "role")))
-    return x.withColumn("place", F.when(F.col("member"), F.dense_rank().over(Window.partitionBy("role", "member").orderBy(F.desc("score"))).cast("long")))
+    part = F.floor(F.coalesce(p, F.lit(0.0)) * F.col("weight") * 1000000 + 0.5).cast("long")
+    totals = rows.withColumn("part", part).groupBy("player_id", "role_id", "role").agg((F.sum("part") / 1000000).alias("total"))
+    score = F.when(F.col("high") > F.col("low"), (F.col("total") - F.col("low")) / (F.col("high") - F.col("low")) * 100.0).otherwise(0.0)
+    if most_rows is not None and most_rows <= WINDOW_ROWS:
+        role = Window.partitionBy("role_id")
+        scores = totals.withColumns({"low": F.min("total").over(role), "high": F.max("total").over(role)}).withColumn("score", score)
+    else:
+        totals = written(totals, "totals")
+        scores = totals.join(totals.groupBy("role_id").agg(F.min("total").alias("low"), F.max("total").alias("high")), "role_id").withColumn("score", score)
+    return ranked(scores.drop("low", "high"), "score", "role_id", most_rows=most_rows, place=dense_from_top())
 
 
 def archetype_scores(
@@ -240,7 +271,24 @@ def archetype_scores(
     and the rank (place). A player whose position is not of the role has 0 in all three.
 
     A player's percentile in a metric is that among the positions of the last role, in order, that has the player's
-    position and the metric; with `per_archetype` that of the role itself. `roles`: name → (positions, weights)."""
-    rows = scored(role_rows(per_90(ev).where(F.col("total_minutes") >= least_minutes), roles, inverted), per_archetype)
-    values = ("total", "score", "place")
-    return rows.groupBy("player_id", "role", "player_name", "team_name").agg(*(F.first(c).alias(c) for c in values)).na.fill(0, list(values))
+    position and the metric; with `per_archetype` that of the role itself. `roles`: name → (positions, weights), or a table
+    (see roles_table)."""
+    table = roles_table(ev.sparkSession, roles, inverted)
+    stats = qualified(ev, least_minutes)
+    n = stats.count()
+    found = role_scores(role_rows(stats, table, n), per_archetype, n).select("player_id", "role", "total", "score", "place")
+    every = table.agg(F.sort_array(F.collect_set("role")).alias("roles"))  # one row
+    pairs = stats.select("player_id", "player_name", "team_name").crossJoin(F.broadcast(every)).withColumn("role", F.explode("roles")).drop("roles")
+    return pairs.join(found, ["player_id", "role"], "left").select(
+        "player_id", "role", "player_name", "team_name", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "score", "place"))
+    )
+
+
+def best_role(ev: DataFrame, roles: Roles = ROLES, inverted: Sequence[str] = INVERTED, least_minutes: int = 90) -> DataFrame:
+    """Of each player with a role of its position: the role with the greatest score, the first in order if several have it."""
+    table = roles_table(ev.sparkSession, roles, inverted)
+    stats = qualified(ev, least_minutes)
+    n = stats.count()
+    scores = role_scores(role_rows(stats, table, n), most_rows=n)
+    top = F.max(F.struct("score", (-F.col("role_id")).alias("i"), "role")).alias("top")
+    return scores.groupBy("player_id").agg(top).select("player_id", "top.role", "top.score")

@@ -46,8 +46,9 @@ def corners(ev: DataFrame) -> DataFrame:
     out = out.join(played, "team_name").withColumns(
         {
             "corners_per_match": F.col("corners") / F.col("matches"), "xg_per_match": cents / 50000 / F.col("matches"),
-            "xg_per_corner": cents / 50000 / F.col("corners"), "short_pct": 100.0 * F.col("short") / F.col("corners")
-        }
+            "xg_per_corner": cents / 50000 / F.col("corners"), "short_pct": 100.0 * F.col("short") / F.col("corners"),
+            "direct_pct": 100.0 * (F.col("corners") - F.col("short")) / F.col("corners")
+        } | {f"{z}_pct": 100.0 * F.col(z) / F.col("corners") for z in ZONES.values()}
     )
     return out.withColumns({f"{k}_xg": F.col(f"{k}_cents") / 50000 for k in phases}).drop(*(f"{k}_cents" for k in phases))
 

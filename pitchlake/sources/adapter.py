@@ -98,9 +98,15 @@ EVENT = {
 
 
 def football_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`shot_cents` holds 100 * value, an integer: expected goals are shot_cents / 50000, so their sums are exact."""
-    df = spark.read.parquet(f"{sf_dir}/events.parquet")
-    for layer, keep in ((KEYS, False), (TEAMS, True), (EVENT, False)):
+    """`shot_cents` holds 100 * value, an integer: expected goals are shot_cents / 50000, so their sums are exact.
+
+    A table in fewer pieces than there are cores is dealt out by match before the formulas are computed; what is grouped by
+    match later needs no further exchange then. Larger ones are read as they lie, and aggregated before they are exchanged."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(*(f"{x} as {c}" for c, x in KEYS.items()))
+    cores = spark.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        df = df.repartition(cores, "m")
+    for layer, keep in ((TEAMS, True), (EVENT, False)):
         df = df.selectExpr(*(["*"] if keep else []), *(f"{x} as {c}" for c, x in layer.items()))
     return df
 

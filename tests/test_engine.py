@@ -93,7 +93,7 @@ def test_derived_lineups_and_table(spark):
     assert table.count() == ev.where("player_id is not null").select("player_id").distinct().count()
     assert table.where("total_minutes < 0 or total_minutes is null").count() == 0
     scores = players.archetype_scores(ev)
-    inside = players.role_rows(players.per_90(ev).where("total_minutes >= 90")).where("member").select("player_id", "role").distinct()
+    inside = players.role_rows(players.qualified(ev, 90), players.roles_table(spark)).select("player_id", "role").distinct()
     outside = scores.join(inside, ["player_id", "role"], "left_anti")
     assert outside.count() > 0 and outside.where("total <> 0 or score <> 0 or place <> 0").count() == 0
 

@@ -14,13 +14,15 @@ where a run of shingles that both have begins (the shared shingle before it is n
 not where both were compared with one head and their distances to it differ by more than linked sets can (the Jaccard
 distance obeys the triangle inequality). No filter drops a pair that links.
 
-Lists of BIG rows or more join with sketches of the sets, so that only pairs that may link come out of them. A shingle in
+Lists of BIG rows or more join with sketches of the sets, so that only pairs that may link come out of them; they are dealt
+out by the sizes of sets and, where many classes are outside a list's main group, in parts of OTHERS of them. A shingle in
 many sets (kind HOT, by the table) is dealt out by class as well, and its head is found by an aggregate
 that combines on the map side, so no list is held or sorted in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +43,8 @@ HOT_FROM, HOT_PARTS = 1_000, 1_024
 PART = 128
 #: 64-bit numbers in a set's sketch.
 SKETCH = 8
-#: In lists of so many rows pairs must pass the sketches to come out.
-BIG = 32
+#: In lists of so many rows pairs must pass the sketches to come out; those outside a list's main group are dealt into parts of so many.
+BIG, OTHERS = 32, 1_024
 #: So many shingles are counted together for a partition's summary; what occurs once in a block isn't frequent.
 BLOCK = 1 << 20
 
@@ -338,17 +340,21 @@ class Jaccard:
         labels = groups.withColumnRenamed("node", "class").join(star, "class", "full")
         known = postings.drop("k").join(labels.hint("merge"), "class", "left").withColumns(
             {"component": F.coalesce("component", "class"), "apart": F.coalesce("apart", F.lit(0.0)), "head": F.coalesce("head", "class")}
-        ).repartition("g")
-        lists = known.groupBy("g", "component").agg(F.count("*").alias("k")).groupBy("g").agg(
-            F.count("*").alias("parts"), F.sum("k").alias("rows"), F.max_by("component", F.struct("k", "component")).alias("main")
-        ).where("parts > 1").select("g", "main", "rows")
-        mixed = materialize(known.join(lists, "g"), "mixed")
+        )
+        known = materialize(known, "known")
+        lists = known.groupBy("g", "kind", "component").agg(F.count("*").alias("k")).groupBy("g", "kind").agg(
+            F.count("*").alias("parts"), F.sum("k").alias("rows"), F.max_by("component", F.struct("k", "component")).alias("main"), F.max("k").alias("of_main")
+        ).where("parts > 1").select("g", "kind", "main", "rows", (F.col("rows") - F.col("of_main")).alias("others"))
+        # what is told of HOT lists goes to all executors (no more of them than the table has), so their rows stay where they are
+        cold = known.where(F.col("kind") != HOT).join(lists.where(F.col("kind") != HOT).drop("kind"), "g")
+        hot = known.where(F.col("kind") == HOT).join(F.broadcast(lists.where(F.col("kind") == HOT).drop("kind")), "g")
+        mixed = materialize(cold.unionByName(hot), "mixed")
         sketch = keys.where("n > 0").groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("fine").alias("fine"))
         small = mixed.where(F.col("rows") < BIG)
         big = mixed.where(F.col("rows") >= BIG).join(sketch.select("class", "sketch").hint("merge"), "class")
         apart = sum((F.bit_count(F.get("l_sketch", F.lit(i)).bitwiseXOR(F.get("r_sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
         even = (100 + self.percent) * apart <= (100 - self.percent) * (F.col("l_n") + F.col("r_n")).cast("long")
-        pairs = self._crossing(small, F.lit(True)).union(self._crossing(big, even)).groupBy("a", "b").agg(F.min("x").alias("x"))
+        pairs = self._crossing(small, F.lit(True), 0).union(self._crossing(big, even, OTHERS)).groupBy("a", "b").agg(F.min("x").alias("x"))
         pairs = pairs.join(met_first, ["a", "b"], "left_anti")
         flat = materialize(
             pairs.select(
@@ -360,22 +366,37 @@ class Jaccard:
         of = lambda t: sketch.toDF(t, f"{t}_sketch", f"{t}_fine").hint("merge")
         near = self.suffixes_near(flat.join(of("a"), "a").join(of("b"), "b").select("a", "b", *flat.columns[2:], "a_sketch", "b_sketch", "a_fine", "b_fine"))
         rest = materialize(near, "rest-pairs")
-        discard(postings, mixed, flat)
+        discard(postings, known, mixed, flat)
         links = compared.where("link").select("a", "b")
         if rest.isEmpty():
             return keys, links
         return keys, links.union(self.verify(base, keys, rest, "rest").where("link").select("a", "b"))
 
-    def _crossing(self, mixed: DataFrame, even: Column) -> DataFrame:
-        """(a, b, x): pairs of classes of a list that are in different groups and pass the filters, with the place where they met."""
+    def _crossing(self, mixed: DataFrame, even: Column, others: int) -> DataFrame:
+        """(a, b, x): pairs of classes of a list that are in different groups and pass the filters, with the place where they met.
+
+        With `others`, a list is joined by sizes of sets, as sets of very different sizes don't link, and its classes outside
+        the main group are dealt into parts of about so many, each of which meets all classes of like size."""
         columns = [c for c in ("class", "n", "pos", "before", "prev", "component", "head", "apart", "sketch") if c in mixed.columns]
         # one of a pair is always outside its list's main group
         left = mixed.where("component <> main").select("g", "kind", *(F.col(c).alias(f"l_{c}") for c in columns))
         right = mixed.select("g", "main", *(F.col(c).alias(f"r_{c}") for c in columns))
+        on = ["g"]
+        if others:
+            # sets that link are at most one step of this scale apart (a little wider than their greatest ratio)
+            step = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(100 / min(self.percent, 99)))).cast("int")
+            parts = F.greatest(F.ceil(F.col("others") / others), F.lit(1)).cast("int")
+            mixed = mixed.withColumns({"step": step, "parts": parts})
+            left = mixed.where("component <> main").select(
+                "g", "kind", "step", F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part"), *(F.col(c).alias(f"l_{c}") for c in columns)
+            )
+            right = mixed.select("g", "main", "parts", F.explode(F.array(*(F.col("step") + i for i in (-1, 0, 1)))).alias("step"), *(F.col(c).alias(f"r_{c}") for c in columns))
+            right = right.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).drop("parts")
+            on = ["g", "step", "part"]
         once = (F.col("r_component") == F.col("main")) | (F.col("l_class") < F.col("r_class"))
         begins = ~F.col("l_prev").eqNullSafe(F.col("r_prev")) | F.col("l_prev").isNull()
         within = (F.col("l_head") != F.col("r_head")) | (F.abs(F.col("l_apart") - F.col("r_apart")) <= (100 - self.percent) / 100 + 1e-9)
-        met = left.join(right.hint("merge"), "g").where(
+        met = left.join(right.hint("merge"), on).where(
             (F.col("l_component") != F.col("r_component")) & once & begins & within & self.may_link("l_", "r_") & even
         )
         turn = F.col("l_class") < F.col("r_class")

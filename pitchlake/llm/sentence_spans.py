@@ -4,7 +4,8 @@ Texts are cut into units: sentences, and these after commas, semicolons and colo
 units: from each unit on the fewest, two at least, that have LEAST_WORDS words. Spans are hashed and grouped by hash
 over all documents; of each hash that occurs more than once the first span, by (doc_id, position), stays, and the units
 that any other span covers are removed. Grouping a hash combines on the map side, so a passage in a third of all
-documents costs one row a task.
+documents costs one row a task there; where rows meet their hash's first place again, those of the most frequent hashes
+get it by broadcast and are not dealt out by hash. (A hash that isn't among MOST_HOT has at most a MOST_HOT-th of all rows.)
 
 A repeat of 51 words holds such a span wherever it begins, if its units are of usual length. Where punctuation is rare
 it may not; with `windows` (the pipeline's stage) runs of WORDS words are compared as well, which begin at
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ROLLING, chunks, materialize, mix, read_table, text_bytes
+from .base import ROLLING, chunks, materialize, mix, most_frequent, read_table, text_bytes
 
 LEAST = -(2**63)
 MARKS = b".!?,;:"
 LEAST_WORDS = 30
+#: Hashes that more rows have, MOST_HOT of the most frequent at most, go to all executors with their first place.
+HOT_ROWS, MOST_HOT = 10_000, 4_096
 #: A run of words, and of so many neighbouring runs the one with the least hash is compared: together 49 words.
 WORDS, WINDOW = 34, 16
 
@@ -98,10 +101,10 @@ def remove_repeated_passages(
     either end, may stay. A null text stays null with 0 words; an empty one stays empty. Rows equal in id and text are
     one document to this operator: neither is a later copy of the other. A null id sorts before all others. An empty
     table gives no rows. Other columns, whatever their names, are not read."""
-    rest = {c: f"keep{i}" for i, c in enumerate(keep)}
+    kept_as = {c: f"keep{i}" for i, c in enumerate(keep)}
     base = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("own_id"),
-        F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in rest.items())
+        F.col(text_col).alias("text"), *(F.col(c).alias(n) for c, n in kept_as.items())
     )
 
     def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +121,18 @@ def remove_repeated_passages(
 
     spans = base.select("id", "h", "text").mapInArrow(spans_of, "id long, h long, run long, x long")
     place = F.struct("id", "h", "run")
-    often = spans.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
-    repeated = materialize(spans.join(often, "x", "left_semi"), "repeated-runs")
-    first = repeated.groupBy("x").agg(F.min(place).alias("first"))
-    gone = repeated.join(first, "x").where(place != F.col("first")).groupBy("id", "h").agg(F.collect_set("run").alias("gone"))
-    joined = base.join(gone, ["id", "h"], "left").select("own_id", "text", "gone", *rest.values())
+    often = materialize(spans.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), "repeated-hashes")
+    hot = F.broadcast(most_frequent(often.where(F.col("n") > HOT_ROWS), MOST_HOT).select("x", F.lit(True).alias("hot")))
+    # rows of a hot hash are known to repeat: in the join they lie where their document's hash says, and meet nothing
+    key = F.when(F.col("hot"), F.xxhash64("id", "h", "run")).otherwise(F.col("x"))
+    again = often.select(F.col("x").alias("key"), F.lit(True).alias("again"))
+    met = spans.join(hot, "x", "left").withColumn("key", key).join(again, "key", "left").where("hot or again")
+    repeated = materialize(met.select("id", "h", "run", "x", F.coalesce("hot", F.lit(False)).alias("hot")), "repeated-runs")
+    firsts = lambda rows: rows.groupBy("x").agg(F.min(place).alias("first"))  # noqa: E731  combines on the map side
+    some, rest = repeated.where("hot"), repeated.where("not hot")
+    later = some.join(F.broadcast(firsts(some)), "x").union(rest.join(firsts(rest), "x")).where(place != F.col("first"))
+    gone = later.groupBy("id", "h").agg(F.collect_set("run").alias("gone"))
+    joined = base.join(gone, ["id", "h"], "left").select("own_id", "text", "gone", *kept_as.values())
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,12 +153,12 @@ def remove_repeated_passages(
                         removed[i] = int(covered.sum())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(texts, pa.string()), pa.array(np.diff(first).astype(np.int64)), pa.array(removed, pa.int64()), *part.columns[3:]],
-                    names=["own_id", "text", "n_words", "n_removed", *rest.values()]
+                    names=["own_id", "text", "n_words", "n_removed", *kept_as.values()]
                 )
 
-    kept = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in rest.items())
+    kept = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in kept_as.items())
     out = joined.mapInArrow(rebuild, f"own_id {docs.schema[id_col].dataType.simpleString()}, text string, n_words long, n_removed long{kept}")
-    return out.withColumnsRenamed({"own_id": id_col, "text": text_col} | {n: c for c, n in rest.items()})
+    return out.withColumnsRenamed({"own_id": id_col, "text": text_col} | {n: c for c, n in kept_as.items()})
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,9 @@ def _below(k: np.ndarray, d: np.ndarray, probes: list[int]) -> np.ndarray:
     """For each probe, the number of rows of the sorted batch with a key below it."""
     pk, pd = (np.array(x, np.int64) for x in zip(*map(_split, probes), strict=True))
     lo, hi = np.searchsorted(k, pk, "left"), np.searchsorted(k, pk, "right")
-    return np.array([a + np.searchsorted(d[a:b], y, "left") if a < b else a for a, b, y in zip(lo, hi, pd, strict=True)], np.int64)
+    for i in np.flatnonzero(lo < hi).tolist():  # only probes that fall on a key of the batch need the second part
+        lo[i] += np.searchsorted(d[lo[i] : hi[i]], pd[i], "left")
+    return lo.astype(np.int64)
 
 
 def _histogram(keyed: DataFrame, probes: list[int]) -> list[tuple[int, int, int | None, int | None]]:

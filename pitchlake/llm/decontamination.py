@@ -63,7 +63,8 @@ def find_leaks(
     the most equal words in such a window around a seed hit. An item of under five words must be there word for word.
     Null and empty texts have no words and no pairs. Null ids are kept as one id; repeated rows give one pair, as do
     ties of windows. `by_text`: pairs are of an id and a text, and the text's xxhash64 comes out as h. An empty table on
-    either side gives no rows. Extra columns are not read."""
+    either side gives no rows. Extra columns are not read. Of a very long text the words are one array in memory; it is
+    read twice, and crosses the network once if anything in it is hit."""
     whose = ["doc_id", "h"] if by_text else ["doc_id"]
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).where("item_text is not null").select(
         "item_id", F.xxhash64("item_text").alias("item_h"), _words("item_text").alias("item")

@@ -429,7 +429,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
     Texts compare in lower case (A-Z only); words are runs of other bytes than blank, tab and line ends. A text with
     fewer than `words` words is one shingle; a null text, or one without words, has none and links with nothing: its
     component is its own id. Rows with equal ids are documents of their own, with that id. A null id comes before all
-    others, and stays null where it is a component's least. An empty table gives no rows. Extra columns are not read."""
+    others, and stays null where it is a component's least. An empty table gives no rows. Extra columns are not read. Ties
+    of distance or size don't matter: only groups come out. A very long text is in memory with its set, eight bytes a word
+    and some; two of them where they are compared."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.col(text_col).alias("text"))
     keys, links = Jaccard(percent, words).links(base)
     groups = components(links).withColumnRenamed("node", "class")
@@ -452,7 +454,8 @@ def surplus(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "d
 
     A row here stands for the `copies` rows of `docs` with that id (null is an id) and text. Only rows here with
     `stays` false, or true with copies > 1, come out: of the first kind all rows go, of the second all but one. In each
-    group the one with the least (id, h) stays, a null id before all others; a text without words is its own group."""
+    group the one with the least (id, h) stays, a null id before all others; a text without words is its own group. Very
+    long texts and empty tables: as in `near_duplicates`."""
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     keys, links = Jaccard(percent, words).links(base)
     rows = keys.where("class is not null").groupBy("id", "h", "class").agg(F.count("*").alias("copies"), F.max("n").alias("n"))

@@ -138,7 +138,8 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
     language contains).
 
     `und` with score 0 for a null text or one without letters, or if nothing was learned; ties go to the language first
-    by name. Columns that aren't named here are not read; repeated rows come out repeated."""
+    by name. Columns that aren't named here are not read; repeated rows come out repeated. An empty table gives no rows. A
+    very long text is in memory as a whole, with some tens of bytes a letter."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

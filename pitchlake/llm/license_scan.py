@@ -11,6 +11,7 @@ family counts as confirmed if the paragraph has enough of the word pairs of one
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 from .base import ROLLING, chunks, mix, read_table, text_bytes
 
 UNKNOWN = "unknown"
+#: So many sampled paragraphs, of so many bytes each, are fitted on at most.
+SAMPLE_PARAGRAPHS, SAMPLE_BYTES = 4_096, 1 << 16
+WHITE = " \t\n\x0b\x0c\r"
 #: Usual notices of each licence family, and paragraphs of the licences themselves.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "agpl": (
@@ -171,11 +175,38 @@ class Model:
         return paragraph[head], e / e.sum(axis=1, keepdims=True)
 
 
-def _dense(model: Model, texts: list[str]) -> np.ndarray:
-    words, line, _, _ = line_words(*_encode(texts))
-    p, f = model.features(words, line)
-    out = np.zeros((len(texts), len(model.vocabulary)))
-    out[p, f] = 1
+class Sparse:
+    """Rows of zeros and ones, as (row, column) of the ones in row order."""
+
+    def __init__(self, model: Model, texts: list[str]) -> None:
+        words, line, _, _ = line_words(*_encode(texts))
+        row, column = model.features(words, line)
+        both = np.unique(row.astype(np.int64) * len(model.vocabulary) + column)
+        self.row, self.column = np.divmod(both, len(model.vocabulary))
+        self.shape = len(texts), len(model.vocabulary)
+
+    def rows(self, keep: np.ndarray) -> Sparse:
+        """The rows of a mask, numbered anew."""
+        out = copy.copy(self)
+        some = keep[self.row]
+        out.row, out.column = (np.cumsum(keep) - 1)[self.row[some]], self.column[some]
+        out.shape = int(keep.sum()), self.shape[1]
+        return out
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return _summed(self.row, w[self.column], self.shape[0])
+
+    def transposed_times(self, g: np.ndarray) -> np.ndarray:
+        order = np.argsort(self.column, kind="stable")
+        return _summed(self.column[order], g[self.row[order]], self.shape[1])
+
+
+def _summed(key: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows of `values` by `key`, which is in rising order."""
+    out = np.zeros((n, values.shape[1]))
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    if len(first):
+        out[key[first]] = np.add.reduceat(values, first, axis=0)
     return out
 
 
@@ -187,10 +218,11 @@ def fit(plain: list[str], variants: int = 40, steps: int = 400, seed: int = 7) -
     vocabulary = np.unique(np.concatenate([h for x in lists.values() for h in x]))
     pairs = [(families.index(f), np.searchsorted(vocabulary, np.unique(x[1] if len(x) > 1 else x[0]))) for (f, _), x in lists.items()]
     model = Model(families, vocabulary, np.zeros((len(vocabulary), len(families))), np.zeros(len(families)), 1.0, pairs)
-    sample = _dense(model, plain) if plain else np.zeros((0, len(vocabulary)))
     clean = np.ones(len(plain), bool)
-    for _, own in pairs:
-        clean &= sample[:, own].mean(axis=1) < 0.5
+    if plain:
+        sample = Sparse(model, plain)
+        for _, own in pairs:
+            clean &= np.bincount(sample.row[np.isin(sample.column, own)], minlength=len(plain)) < 0.5 * len(own)
     plain = [t for t, c in zip(plain, clean, strict=True) if c]
     pool = [w for t in plain for w in t.split()[:50]] or ["word"]
     texts, labels = [], []
@@ -212,18 +244,19 @@ def fit(plain: list[str], variants: int = 40, steps: int = 400, seed: int = 7) -
                 labels.append(len(families) - 1)
     texts += plain
     labels += [len(families) - 1] * len(plain)
-    x, y = _dense(model, texts), np.eye(len(families))[labels]
-    held = rng.random(len(x)) < 0.25
-    weight = (len(x) / len(families) / y.sum(axis=0).clip(1))[np.array(labels)]
+    x, y = Sparse(model, texts), np.eye(len(families))[labels]
+    held = rng.random(len(texts)) < 0.25
+    weight = (len(texts) / len(families) / y.sum(axis=0).clip(1))[np.array(labels)]
     weight = weight / weight[~held].mean()
     w, b = model.weights, model.bias
+    seen, apart = x.rows(~held), x.rows(held)
     for _ in range(steps):
-        z = x[~held] @ w + b
+        z = seen.times(w) + b
         e = np.exp(z - z.max(axis=1, keepdims=True))
         g = (e / e.sum(axis=1, keepdims=True) - y[~held]) * weight[~held, None] / (~held).sum()
-        w -= 4.0 * (x[~held].T @ g + 1e-4 * w)
+        w -= 4.0 * (seen.transposed_times(g) + 1e-4 * w)
         b -= 4.0 * g.sum(axis=0)
-    z, truth = x[held] @ w + b, y[held]
+    z, truth = apart.times(w) + b, y[held]
     negative = z[truth[:, -1] == 1]
     if len(negative):
         over = negative[:, :-1].max(axis=1) - negative[:, -1]
@@ -245,15 +278,19 @@ def fit(plain: list[str], variants: int = 40, steps: int = 400, seed: int = 7) -
     return model
 
 
-def sample_paragraphs(docs: DataFrame, text_col: str, sample_docs: int) -> list[str]:
-    """The lines and blocks of the `sample_docs` different texts that have the least hashes."""
+def sample_paragraphs(docs: DataFrame, text_col: str, sample_docs: int, most: int = SAMPLE_PARAGRAPHS, most_bytes: int = SAMPLE_BYTES) -> list[str]:
+    """Lines and blocks of the `sample_docs` different texts that have the least hashes: `most` of them, by hash, of at most
+    `most_bytes` each, so that what the driver fits on is bounded however long the texts are."""
     h = F.xxhash64(text_col)
     some = docs.where(F.col(text_col).isNotNull()).select(h.alias("h")).distinct().orderBy("h").limit(sample_docs)
-    rows = docs.where(F.col(text_col).isNotNull()).select(
-        h.alias("h"), F.col(text_col).alias("text")
-    ).join(F.broadcast(some), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()
-    out = [p for r in rows for p in r["text"].split("\n") if p.strip()]
-    return out + [p.replace("\n", " ") for r in rows for p in r["text"].split("\n\n") if "\n" in p.strip()]
+    texts = docs.where(F.col(text_col).isNotNull()).select(h.alias("h"), F.col(text_col).alias("text")).join(F.broadcast(some), "h").groupBy("h").agg(
+        F.min("text").alias("text")
+    )
+    lines = texts.select("h", F.lit(0).alias("kind"), F.posexplode(F.split("text", "\n")).alias("place", "p"))
+    blocks = texts.select("h", F.lit(1).alias("kind"), F.posexplode(F.split("text", "\n\n")).alias("place", "p")).where(F.trim("p", F.lit(WHITE)).contains("\n"))
+    found = lines.union(blocks).where((F.trim("p", F.lit(WHITE)) != "") & (F.octet_length("p") <= most_bytes))
+    rows = found.orderBy(F.xxhash64("p"), "h", "kind", "place").limit(most).collect()
+    return [r["p"].replace("\n", " ") for r in sorted(rows, key=lambda r: (r["kind"], r["h"], r["place"]))]
 
 
 def scan(docs: DataFrame, sample_docs: int = 48, confirm: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,8 +300,9 @@ def scan(docs: DataFrame, sample_docs: int = 48, confirm: float = 0.6, id_col: s
 
     A block of lines comes out only if it is confirmed and none of its lines is for the same family. Null and empty texts
     have no licence. Repeated rows come out repeated, null ids as they are; ties go to the family first by name. An empty
-    table gives no rows. Extra columns are not read. The model is fitted on at most `sample_docs` documents; all
-    paragraphs of all documents are classified, whole."""
+    table gives no rows. Extra columns are not read. The model is fitted on at most SAMPLE_PARAGRAPHS
+    paragraphs of at most `sample_docs` documents; all paragraphs of all documents are classified, whole, in chunks of a few
+    MB (a longer text is a chunk of its own)."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(fit(sample_paragraphs(docs, "text", sample_docs)))
     kind = docs.schema["id"].dataType.simpleString()

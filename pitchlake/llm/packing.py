@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -55,10 +54,14 @@ def encode_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     words = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
     ids = cache.get_all(words)
     miss = [k for k, x in enumerate(ids) if x is None]
-    for a in range(0, len(miss), 20_000):
-        some = miss[a : a + 20_000]
+    for a in range(0, len(miss), 4_096):
+        some = miss[a : a + 4_096]
         names = [words[k] for k in some]
-        new = [array("I", e.ids).tobytes() for e in lib.encode_batch_fast(names, add_special_tokens=False)]
+        # as the words of one input they cost one encoding together
+        found = lib.encode(names, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(found.ids, np.uint32).tobytes()
+        ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(names)))).tolist()
+        new = [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)]
         for k, x in zip(some, new, strict=True):
             ids[k] = x
         if max(map(len, names)) > MOST_CHARS:
@@ -119,7 +122,8 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, places:
 
     A document's ids are the tokenizer's and then `end_id`, so a null or empty text is one piece of one id. Equal ids
     or rows are packed once for each row. A null id stays null. An empty table gives no rows; extra columns are not
-    read. Sequence ids are unique, not dense; the last, partly filled ones may be padded to a smaller power of two."""
+    read. Windows of equal room are taken by number. A very long text is encoded as a whole, in memory of many times its size.
+    Sequence ids are unique, not dense; the last, partly filled ones may be padded to a smaller power of two."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

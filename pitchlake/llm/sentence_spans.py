@@ -100,7 +100,8 @@ def remove_repeated_passages(
     repeat of WORDS + WINDOW - 1 words or more, WORDS at least go, and what no run covers, fewer than WINDOW words at
     either end, may stay. A null text stays null with 0 words; an empty one stays empty. Rows equal in id and text are
     one document to this operator: neither is a later copy of the other. A null id sorts before all others. An empty
-    table gives no rows. Other columns, whatever their names, are not read."""
+    table gives no rows. Other columns, whatever their names, are not read. A very long text is in memory as a whole, with
+    some tens of bytes a word."""
     kept_as = {c: f"keep{i}" for i, c in enumerate(keep)}
     base = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(text_col).alias("h"), F.col(id_col).alias("own_id"),

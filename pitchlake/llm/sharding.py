@@ -128,7 +128,7 @@ def shard_by_bytes(
     Size: UTF-8 bytes of the text plus 1; a null text has size 1 and the checksum of an empty one. Equal texts lie side
     by side in one shard, cut only where a splitter falls among them. A null id sorts first. Rows equal in both text and
     id are interchangeable: they stay together and their slots are in no particular order. An empty table gives no
-    rows. Other columns of `docs` are not read. Returns id, size, text_crc32, law, shard, slot, grown_shard."""
+    rows. Other columns of `docs` are not read. A very long text is read once, for its size and hashes. Returns id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = materialize(
         docs.select(

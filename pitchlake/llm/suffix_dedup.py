@@ -313,7 +313,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     another document, in the input as it is; with `keep_first` only if it begins earlier, by (id, position), so one copy
     of everything stays. A cut may fall within a character, hence `kept` is binary. A null text counts as empty. Rows
     equal in id and text are copies of each other; with `keep_first` they count as one document. A null id comes before
-    all others. An empty table gives no rows. Extra columns are not read."""
+    all others. An empty table gives no rows. Extra columns are not read. A very long text is looked at in pieces of
+    PIECE_BYTES, with `length` - 1 bytes in common; only where bytes are cut out is it in memory as a whole."""
     base = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.xxhash64(text_col).alias("h"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text")

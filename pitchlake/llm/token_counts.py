@@ -53,6 +53,16 @@ def _encode_lengths(lib: Tokenizer, words: list[str]) -> list[int]:
     return out
 
 
+def _word_lengths(lib: Tokenizer, words: list[str]) -> np.ndarray:
+    """Token counts of single pre-tokens: as the words of one input they cost one encoding together."""
+    out = [np.zeros(0, np.int64)]
+    for i in range(0, len(words), 4_096):
+        some = words[i : i + 4_096]
+        found = lib.encode(some, is_pretokenized=True, add_special_tokens=False)
+        out.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
+    return np.concatenate(out)
+
+
 def frequent_lengths(docs: DataFrame, path: str, table_size: int, summary_size: int, text_col: str) -> dict[str, int]:
     """Token counts of the most frequent pre-tokens of all documents, `table_size` at most."""
 
@@ -85,7 +95,7 @@ def frequent_lengths(docs: DataFrame, path: str, table_size: int, summary_size:
     whole = [w for w, o in zip(words, pre.odd(words), strict=True) if not o]
     alone = pre.cut(whole)[3]
     whole = [w for w, n in zip(whole, alone.tolist(), strict=True) if n == 1]
-    return dict(zip(whole, _encode_lengths(lib, whole), strict=True))
+    return dict(zip(whole, _word_lengths(lib, whole).tolist(), strict=True))
 
 
 def count_tokens(
@@ -114,7 +124,7 @@ def count_tokens(
                 n[k] = x
             miss = [k for k in rest if n[k] is None]
             if miss:
-                new = _encode_lengths(lib, [words[k] for k in miss])
+                new = _word_lengths(lib, [words[k] for k in miss]).tolist()
                 for k, x in zip(miss, new, strict=True):
                     n[k] = x
                 short = [k for k in miss if len(words[k]) <= MOST_CHARS]

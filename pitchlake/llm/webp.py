@@ -731,7 +731,9 @@ def encode_payloads(payload: np.ndarray, sizes: np.ndarray) -> list[bytes]:
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 6 << 20) -> DataFrame:
     """Per row: id, media (binary: WebP files), n_bytes. The text's UTF-8 bytes, filled up with zeros to a positive
-    multiple of 64; a null text counts as empty. Rows may repeat; extra columns are not read."""
+    multiple of 64; a null text counts as empty. Rows may repeat; extra columns are not read. An empty table gives no rows.
+    Of coding choices that tie in bits the first is taken (text, left, upper, palette), so equal texts give equal files. A
+    text beyond MOST_BYTES is several files one after another; all its files are in memory together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -765,7 +767,10 @@ def _alike(pixels: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def read_payloads(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Decode `media` and compute what the pixels say: sizes, checksums, and the feature: the number of bytes with each
-    upper half (16 counts) and the mean byte."""
+    upper half (16 counts) and the mean byte.
+
+    stored: id, media and n_bytes as `store_texts` wrote them; extra columns, also of the names that come out, are not read. Rows may
+    repeat, ids may be null; an empty table gives no rows. A file of a MB is decoded in as many steps as it has pixels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}

@@ -8,11 +8,15 @@ import datetime
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from pitchlake import catalog
+from pitchlake.plans import match
+from pitchlake.sources.adapter import football_events
+from pitchlake.sources.feed import store_by_match
 
 HEADLINE = (
     "match_general", "match_attacks", "match_transitions", "match_duels", "match_possession", "match_passes", "match_players", "team_corners",
@@ -48,6 +52,19 @@ def main() -> None:
                 f"| {name} | {sf_dir.rpartition('sf')[2]} | {read} | {rows} | {seconds[name]} | {exchanges} | {cpus} | {datetime.date.today()} |",
                 file=sys.stderr
             )
+    if "--store" in sys.argv:
+        # the reports of a match, read from the table as it is and from one bucketed by match
+        events = football_events(spark, sf_dir)
+        stored = store_by_match(events, "bench_events", int(cpus), tempfile.mkdtemp(prefix="spark-bench-"))
+        for name in ("general", "attacks", "transitions", "duels", "possession"):
+            for form, table in (("plain", events), ("stored", stored)):
+                times = []
+                for _ in range(6):
+                    began = time.perf_counter()
+                    getattr(match, name)(table).write.format("noop").mode("overwrite").save()
+                    times.append(time.perf_counter() - began)
+                print(f"| match {name} | {form} | {statistics.median(times[1:]):.3f} |", file=sys.stderr)
+        spark.sql("drop table bench_events")
     print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": sf_dir.rstrip("/").rpartition("sf")[2]}))
 
 

@@ -14,8 +14,8 @@ where a run of shingles that both have begins (the shared shingle before it is n
 not where both were compared with one head and their distances to it differ by more than linked sets can (the Jaccard
 distance obeys the triangle inequality). No filter drops a pair that links.
 
-Lists of BIG rows or more join with sketches of the sets, so that only pairs that may link come out of them; they are dealt
-out by the sizes of sets and, where many classes are outside a list's main group, in parts of OTHERS of them. A shingle in
+Lists of BIG rows or more join with sketches of the sets, so that only pairs that may link come out of them. Those of LARGE
+are dealt out by the sizes of sets and, where many classes are outside the main group, in parts of OTHERS of them. A shingle in
 many sets (kind HOT, by the table) is dealt out by class as well, and its head is found by an aggregate
 that combines on the map side, so no list is held or sorted in one task.
 """
@@ -43,8 +43,9 @@ HOT_FROM, HOT_PARTS = 1_000, 1_024
 PART = 128
 #: 64-bit numbers in a set's sketch.
 SKETCH = 8
-#: In lists of so many rows pairs must pass the sketches to come out; those outside a list's main group are dealt into parts of so many.
-BIG, OTHERS = 32, 1_024
+#: In lists of BIG rows pairs must pass the sketches to come out; in those of LARGE the classes outside the main group are
+#: dealt into parts of OTHERS.
+BIG, LARGE, OTHERS = 32, 8_192, 1_024
 #: So many shingles are counted together for a partition's summary; what occurs once in a block isn't frequent.
 BLOCK = 1 << 20
 
@@ -352,9 +353,10 @@ class Jaccard:
         sketch = keys.where("n > 0").groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("fine").alias("fine"))
         small = mixed.where(F.col("rows") < BIG)
         big = mixed.where(F.col("rows") >= BIG).join(sketch.select("class", "sketch").hint("merge"), "class")
+        usual, large = big.where(F.col("rows") < LARGE), big.where(F.col("rows") >= LARGE)
         apart = sum((F.bit_count(F.get("l_sketch", F.lit(i)).bitwiseXOR(F.get("r_sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
         even = (100 + self.percent) * apart <= (100 - self.percent) * (F.col("l_n") + F.col("r_n")).cast("long")
-        pairs = self._crossing(small, F.lit(True), 0).union(self._crossing(big, even, OTHERS)).groupBy("a", "b").agg(F.min("x").alias("x"))
+        pairs = self._crossing(small, F.lit(True)).union(self._crossing(usual, even)).union(self._crossing(large, even, OTHERS)).groupBy("a", "b").agg(F.min("x").alias("x"))
         pairs = pairs.join(met_first, ["a", "b"], "left_anti")
         flat = materialize(
             pairs.select(
@@ -372,7 +374,7 @@ class Jaccard:
             return keys, links
         return keys, links.union(self.verify(base, keys, rest, "rest").where("link").select("a", "b"))
 
-    def _crossing(self, mixed: DataFrame, even: Column, others: int) -> DataFrame:
+    def _crossing(self, mixed: DataFrame, even: Column, others: int = 0) -> DataFrame:
         """(a, b, x): pairs of classes of a list that are in different groups and pass the filters, with the place where they met.
 
         With `others`, a list is joined by sizes of sets, as sets of very different sizes don't link, and its classes outside

@@ -97,11 +97,12 @@ def build_filter(sets: dict[str, np.ndarray]) -> Filter:
     return out
 
 
-def train(labelled: DataFrame, min_rate: float = 5e-6, share: float = 0.2) -> Filter:
+def train(labelled: DataFrame, min_rate: float = 5e-6, share: float = 0.0) -> Filter:
     """The filter from all rows (text, lang) of `labelled`; rows without lang don't count.
 
-    A language's set: its n-grams with a rate of `min_rate` at least that is `share` of the highest rate in any language
-    at least; so 1 / `min_rate` at most."""
+    A language's set: its n-grams with a rate of `min_rate` at least, so 1 / `min_rate` at most, which bounds the filter.
+    With `share`, those go whose rate is under that share of the highest in any language; it is off, so that the filter gives
+    all languages that contain an n-gram."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

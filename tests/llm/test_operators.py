@@ -306,11 +306,7 @@ def test_language_id_against_brute_force(spark, languages):
                 counts.setdefault(name, {}).setdefault(g, 0)
                 counts[name][g] += 1
     rates = {name: {g: n / sum(c.values()) for g, n in c.items()} for name, c in counts.items()}
-    top = {}
-    for c in rates.values():
-        for g, r in c.items():
-            top[g] = max(top.get(g, 0), r)
-    sets = {name: {g for g, r in c.items() if r >= 5e-6 and r >= 0.2 * top[g]} for name, c in rates.items()}
+    sets = {name: {g for g, r in c.items() if r >= 5e-6} for name, c in rates.items()}
     model = train(spark.createDataFrame(known, "lang string, text string"))
     got = predict(
         spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string").repartition(3), model

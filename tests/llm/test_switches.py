@@ -58,7 +58,7 @@ def sets_of(rows):
 
 
 def test_jaccard_join(monkeypatch, docs, rows):
-    got = both(monkeypatch, jaccard_join, {"HOT_FROM": 3, "BIG": 2, "OTHERS": 2, "MOST_IDS": 0, "PART": 3}, lambda: near_duplicates(docs))
+    got = both(monkeypatch, jaccard_join, {"HOT_FROM": 3, "BIG": 2, "LARGE": 4, "OTHERS": 2, "MOST_IDS": 0, "PART": 3}, lambda: near_duplicates(docs))
     sets, root = sets_of(rows), {i: i for i, _ in rows}
     for i in sets:
         for j in range(i):

@@ -35,21 +35,31 @@ def masks_of(length: int, tolerance: float) -> tuple[tuple[tuple[int, ...], ...]
     return tuple(tuple(range(r, length, may + 1)) for r in range(may + 1)), length, may
 
 
-def _seeds(words: str, length: int, tolerance: float, edge: int) -> F.Column:
-    """All seed hashes of an array of words, those of one place together, as many as masks; null where a mask reaches over
-    the array's ends. The first place is -`edge`, the last as far beyond. Each word is hashed once."""
-    masks, span, _ = masks_of(length, tolerance)
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def _seeds(words: str, lengths: list[int], window: int, tolerance: float, beyond: bool) -> F.Column:
+    """For each length, as (w, seeds), all seed hashes of an array of words, those of one place together, as many as masks;
+    null where a mask reaches over the array's ends. Each word is hashed once, for all lengths.
+
+    With `beyond`, a length under `window` (a whole item, which may lack words at either end of a text) begins as many places
+    before the text as words may differ, and ends as far beyond."""
 
-    def at(h: F.Column, i: F.Column, m: int, mask: tuple[int, ...]) -> F.Column:
+    def at(h: F.Column, i: F.Column, length: int, m: int, mask: tuple[int, ...], edge: int) -> F.Column:
         own = [F.get(h, i + o) for o in mask]
         seed = F.xxhash64(F.lit(length), F.lit(m), *own)
         return F.when(own[0].isNotNull() & own[-1].isNotNull(), seed) if edge else seed
 
-    places = lambda h: F.transform(
-        F.sequence(F.lit(-edge), F.size(h) - span + edge), lambda i: F.array(*(at(h, i, m, mask) for m, mask in enumerate(masks)))
-    )
-    return F.flatten(F.element_at(F.transform(F.array(hashes), places), 1))
+    def of_length(h: F.Column, length: int) -> F.Column:
+        masks, span, may = masks_of(length, tolerance)
+        edge = may if beyond and length < window else 0
+        last = F.size(h) - span + edge
+        places = F.transform(
+            F.sequence(F.lit(-edge), F.greatest(last, F.lit(-edge))),
+            lambda i: F.array(*(at(h, i, length, m, mask, edge) for m, mask in enumerate(masks)))
+        )
+        seeds = F.when((last >= -edge) & (F.size(h) > 0), F.flatten(places))
+        return F.struct(F.lit(length).alias("w"), seeds.alias("seeds"))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.element_at(F.transform(F.array(hashes), lambda h: F.array(*(of_length(h, n) for n in lengths))), 1)
 
 
 def find_leaks(
@@ -76,20 +86,23 @@ def find_leaks(
     small = len(MASKS) * count <= MOST_SEEDS and width <= MOST_ITEM_BYTES
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text")).where("doc_text is not null")
     tokens = own.select("doc_id", F.xxhash64("doc_text").alias("h"), _words("doc_text").alias("words"))
+    lengths = sorted(r["w"] for r in items.select("w").distinct().collect())  # `window` values at most
     found = None
-    for length in sorted(r["w"] for r in items.select("w").distinct().collect()):  # `window` values at most
-        masks, span, may = masks_of(length, tolerance)
-        edge = 0 if length == window else may  # a whole item may lack words at either end of a text
-        n = len(masks)
-        known = items.where(F.col("w") == length).select("item_id", "item_h", F.posexplode(_seeds("item", length, tolerance, 0)).alias("j", "seed"))
-        spots = known.select("seed", "item_id", "item_h", F.floor(F.col("j") / n).cast("int").alias("j"), F.lit(span).alias("span")).distinct()
-        places = tokens.where(F.size("words") >= span - 2 * edge).where(F.size("words") > 0).select(
-            "doc_id", "h", F.posexplode(_seeds("words", length, tolerance, edge)).alias("i", "seed")
+    if lengths:
+        # (length, masks, span, places before a text): a row a length
+        shapes = [(n, len(masks), span, may if n < window else 0) for n in lengths for masks, span, may in [masks_of(n, tolerance)]]
+        shape = F.element_at(F.create_map(*(c for n, k, span, edge in shapes for c in (F.lit(n), F.struct(F.lit(k).alias("n"), F.lit(span).alias("span"), F.lit(edge).alias("edge"))))), F.col("w"))
+        known = items.select("item_id", "item_h", "w", F.explode(_seeds("item", lengths, window, tolerance, False)).alias("s")).where("s.w = w").select(
+            "item_id", "item_h", "w", F.posexplode("s.seeds").alias("j", "seed")
+        )
+        spots = known.withColumn("shape", shape).select("seed", "item_id", "item_h", F.floor(F.col("j") / F.col("shape.n")).cast("int").alias("j"), "shape.*").distinct()
+        # the documents are read and their words hashed once, whatever the lengths of the items
+        places = tokens.select("doc_id", "h", F.explode(_seeds("words", lengths, window, tolerance, True)).alias("s")).select(
+            "doc_id", "h", F.posexplode("s.seeds").alias("i", "seed")
         ).where("seed is not null")
-        hits = places.join(F.broadcast(spots) if small else spots, "seed").select(
-            "doc_id", "h", (F.floor(F.col("i") / n) - edge).cast("int").alias("i"), "item_id", "item_h", "j", "span"
+        found = places.join(F.broadcast(spots) if small else spots, "seed").select(
+            "doc_id", "h", (F.floor(F.col("i") / F.col("n")) - F.col("edge")).cast("int").alias("i"), "item_id", "item_h", "j", "span"
         ).distinct()
-        found = hits if found is None else found.union(hits)
     if found is None:
         h = [T.StructField("h", T.LongType())] if by_text else []
         counts = [T.StructField(c, T.LongType()) for c in ("n_equal", "n_window")]

@@ -16,7 +16,7 @@ from .plans import charts, match, players, season
 from .plans import metrics as M
 from .sources import feed
 from .sources.adapter import EV_SQL, football_events
-from .sources.ingest import boolean, number, parse_label
+from .sources.ingest import boolean, number, parse_label, read_lineups, read_schedule
 from .sources.scratch import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -655,3 +655,47 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("match_attacks_stored", _stored, ORACLE_SQL["match_attacks"])
+
+
+def _landed(df: DataFrame, name: str, *parts: str) -> str:
+    """`df` (value: JSON text) written as text files, for a reader of landed feeds."""
+    at = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*parts).text(at)
+    return at + "/*" * len(parts)
+
+
+def _schedule(spark: SparkSession, d: str) -> DataFrame:
+    """The matches as schedule documents, one for each round of ten; every third has no score in its label, every fifth no label."""
+    goals = charts.match_list(football_events(spark, d)).withColumn("goals", F.regexp_extract_all("display_name", F.lit(r"\((\d+) - (\d+)\)"), F.lit(0))[0])
+    numbers = F.split(F.translate("goals", "()", ""), " - ")
+    label = F.concat("home_team_name", F.lit(" - "), "away_team_name", F.when(F.col("match_id") % 3 != 0, F.concat(F.lit(", "), numbers[0], F.lit("-"), numbers[1])).otherwise(F.lit("")))
+    one = F.struct(
+        F.col("match_id").alias("matchId"), F.when(F.col("match_id") % 5 != 0, label).alias("label"), numbers[0].cast("double").alias("score1"),
+        numbers[1].cast("double").alias("score2"), F.lit("2025-01-31 18:00:00").alias("dateutc")
+    )
+    rounds = goals.groupBy((F.col("match_id") / 10).cast("long").alias("round")).agg(F.collect_list(one).alias("matches"))
+    return read_schedule(spark, _landed(rounds.select("round", F.to_json(F.struct("matches")).alias("value")), "schedule", "round"))
+
+
+_add(
+    "feed_schedule", lambda s, d: _schedule(s, d).select("matchId", "home", "away", "score"),
+    EV_SQL + f"{_MATCHES} select match_id as matchId, case when match_id % 5 <> 0 then home_team_name else 'Unknown Home' end as home, "
+    "case when match_id % 5 <> 0 then away_team_name else 'Unknown Away' end as away, case when match_id % 5 <> 0 and match_id % 3 <> 0 then home || '-' || away else home || ' - ' || away end as score from ml join mg using (match_id, home_team_name, away_team_name)"
+)
+
+
+def _lineups(spark: SparkSession, d: str) -> DataFrame:
+    """Minutes from landed lineup documents: the derived lineups, written a line a match and read as a feed."""
+    ev = football_events(spark, d)
+    lineups, length = players.lineups(ev)
+    formation = F.struct(
+        F.transform("lineup", lambda p: F.struct(p.alias("playerId"))).alias("lineup"),
+        F.transform("substitutions", lambda x: F.struct(x["player_in"].alias("playerIn"), x["player_out"].alias("playerOut"), x["minute"].alias("minute"))).alias("substitutions")
+    )
+    teams = F.map_from_entries(F.collect_list(F.struct(F.regexp_extract("team_id", r"(\d+)", 1), F.struct(formation.alias("formation")))))
+    each = lineups.groupBy("match_id").agg(teams.alias("teamsData"))
+    landed = read_lineups(spark, _landed(each.select(F.to_json(F.struct(F.col("match_id").alias("matchId"), "teamsData")).alias("value")), "lineups"))
+    return players.minutes_from_lineups(landed, length)
+
+
+_add("feed_lineups", _lineups, f"{EV_SQL}{_LINEUP} select player_id, cast(substr(team_id, 6) as bigint) as team_id, total_minutes from lm")

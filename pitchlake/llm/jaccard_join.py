@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import ROLLING, chunks, discard, materialize, mix, most_frequent, read_table, text_bytes
+from .base import ROLLING, chunks, discard, materialize, mix, most_frequent, read_table, text_bytes, tidied
 from .graph import components
 
 LEAST = -(2**63)
@@ -173,7 +173,7 @@ class Jaccard:
                 )
 
         kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in more)
-        return base.select("id", "text", *(f.name for f in more)).mapInArrow(run, f"id long, class long, n long, sketch array<long>, fine binary{kinds}")
+        return base.select("id", "text", *(f.name for f in more)).mapInArrow(tidied(run), f"id long, class long, n long, sketch array<long>, fine binary{kinds}")
 
     def frequent(self, keys: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """The most frequent shingles (rising) and their counts: `table_size` at most."""
@@ -221,7 +221,7 @@ class Jaccard:
                         names=["g", "class", "n", "pos", "kind"]
                     )
 
-        return base.select("id", "text").mapInArrow(run, "g long, class long, n int, pos int, kind byte")
+        return base.select("id", "text").mapInArrow(tidied(run), "g long, class long, n int, pos int, kind byte")
 
     def may_link(self, a: str, b: str) -> Column:
         """The length and the positional filter for two prefix rows with the same shingle.
@@ -261,7 +261,7 @@ class Jaccard:
                     stay.append(near)
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(stay, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-        return pairs.mapInArrow(run, "a long, b long")
+        return pairs.mapInArrow(tidied(run), "a long, b long")
 
     def verify(self, base: DataFrame, keys: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         """`pairs` (a, b: classes) compared: a, b, apart (their Jaccard distance), link.
@@ -307,7 +307,7 @@ class Jaccard:
 
         texts = base.join(ids, "id", "left_semi").join(sent.hint("merge"), "id").select("id", "text", "hub", "part", "role", "class")
         dealt = texts.repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "class")
-        out = materialize(dealt.mapInArrow(compare, "a long, b long, apart double, link boolean"), f"{name}-compared")
+        out = materialize(dealt.mapInArrow(tidied(compare), "a long, b long, apart double, link boolean"), f"{name}-compared")
         discard(wanted, sides)
         return out
 

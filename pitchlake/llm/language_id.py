@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import chunks, discard, materialize, mix, read_table, text_bytes
+from .base import chunks, discard, materialize, mix, read_table, text_bytes, tidied
 from .pretoken import LETTER, character_classes
 
 SIZES = (3, 4)
@@ -119,7 +119,7 @@ def train(labelled: DataFrame, min_rate: float = 5e-6, share: float = 0.0) -> Fi
 
     counted = materialize(
         labelled.where("lang is not null").select("text", "lang").mapInArrow(
-            count, "lang string, gram long, n long"
+            tidied(count), "lang string, gram long, n long"
         ).groupBy("gram", "lang").agg(F.sum("n").alias("n")),
         "gram-counts"
     )
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: Filter, id_col: str = "doc_id", text_col: st
     names = [f"k{i}" for i in range(len(out))]
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, out, strict=True))
     own = docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(n) for n, c in zip(names, out, strict=True)))
-    return own.mapInArrow(run, f"{kinds}, lang_pred string, score double").withColumnsRenamed(dict(zip(names, out, strict=True)))
+    return own.mapInArrow(tidied(run), f"{kinds}, lang_pred string, score double").withColumnsRenamed(dict(zip(names, out, strict=True)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .base import chunks, materialize, ragged, read_table, text_bytes
+from .base import chunks, materialize, ragged, read_table, text_bytes, tidied
 from .pretoken import Cache, Pretokens
 
 CHUNK_BYTES = 2 << 20
@@ -157,7 +157,7 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, places:
                 names=[*NAMES, "room"]
             )
 
-    placed = materialize(docs.mapInArrow(place, PIECE + ", room long"), "packed")
+    placed = materialize(docs.mapInArrow(tidied(place), PIECE + ", room long"), "packed")
     left = placed.where("room > 0").select("sequence_id", "room")
     groups = max(1, -(-left.count() // MERGE_GROUP))
 

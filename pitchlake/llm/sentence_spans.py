@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ROLLING, chunks, materialize, mix, most_frequent, read_table, text_bytes
+from .base import ROLLING, chunks, materialize, mix, most_frequent, read_table, text_bytes, tidied
 
 LEAST = -(2**63)
 MARKS = b".!?,;:"
@@ -120,7 +120,7 @@ def remove_repeated_passages(
                         names=["id", "h", "run", "x"]
                     )
 
-    spans = base.select("id", "h", "text").mapInArrow(spans_of, "id long, h long, run long, x long")
+    spans = base.select("id", "h", "text").mapInArrow(tidied(spans_of), "id long, h long, run long, x long")
     place = F.struct("id", "h", "run")
     often = materialize(spans.groupBy("x").agg(F.count("*").alias("n")).where("n > 1"), "repeated-hashes")
     hot = F.broadcast(most_frequent(often.where(F.col("n") > HOT_ROWS), MOST_HOT).select("x", F.lit(True).alias("hot")))
@@ -158,7 +158,7 @@ def remove_repeated_passages(
                 )
 
     kept = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for c, n in kept_as.items())
-    out = joined.mapInArrow(rebuild, f"own_id {docs.schema[id_col].dataType.simpleString()}, text string, n_words long, n_removed long{kept}")
+    out = joined.mapInArrow(tidied(rebuild), f"own_id {docs.schema[id_col].dataType.simpleString()}, text string, n_words long, n_removed long{kept}")
     return out.withColumnsRenamed({"own_id": id_col, "text": text_col} | {n: c for c, n in kept_as.items()})
 
 

@@ -35,17 +35,35 @@ MOST_CHARS = 256
 _KEPT: dict = {}
 
 
-def _tools(path: str) -> tuple[Tokenizer, Pretokens, Cache]:
+def _tools(path: str) -> tuple[Tokenizer, Pretokens, Cache, np.ndarray]:
+    """The tokenizer, its cuts, the worker's cache and the bytes of each id."""
     if path not in _KEPT:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; more threads wait for each other
         lib = Tokenizer.from_file(path)
-        _KEPT[path] = lib, Pretokens(False, tuple(x.content for x in lib.get_added_tokens_decoder().values())), Cache(CACHE_SIZE)
+        names = lib.get_vocab(with_added_tokens=False)
+        widths = np.zeros(max(names.values()) + 1, np.int64)
+        widths[list(names.values())] = list(map(len, names))  # a byte-level vocabulary writes each byte as one character
+        _KEPT[path] = lib, Pretokens(False, tuple(x.content for x in lib.get_added_tokens_decoder().values())), Cache(CACHE_SIZE), widths
     return _KEPT[path]
 
 
+def _encode_words(lib: Tokenizer, widths: np.ndarray, words: list[str], joined: bool) -> list[bytes]:
+    """Ids of each pre-token, encoded together: as the words of one input, or `joined` as one text, for those of a blank
+    and letters, which the tokenizer's pattern cuts apart again. Where a word's ids end follows from their bytes."""
+    source = "".join(words) if joined else words
+    ids = np.array(lib.encode_batch_fast([source], is_pretokenized=not joined, add_special_tokens=False)[0].ids, np.uint32)
+    until = np.cumsum(widths[ids])
+    edges = np.cumsum([len(w.encode()) for w in words])
+    ends = np.searchsorted(until, edges) + 1
+    if len(ids) != ends[-1] or (until[ends - 1] != edges).any():  # an id that isn't its bytes: each on its own
+        return [np.array(e.ids, np.uint32).tobytes() for e in lib.encode_batch_fast([[w] for w in words], is_pretokenized=True, add_special_tokens=False)]
+    raw, ends = ids.tobytes(), (4 * ends).tolist()
+    return [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+
+
 def encode_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, end to end, and the n + 1 offsets: equal to the tokenizer's without added special tokens."""
-    lib, pre, cache = _tools(path)
+    lib, pre, cache, widths = _tools(path)
     odd = pre.odd(texts)
     plain = ["" if o else t for t, o in zip(texts, odd, strict=True)]
     code, starts, ends, each = pre.cut(plain)
@@ -54,20 +72,19 @@ def encode_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     words = [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
     ids = cache.get_all(words)
     miss = [k for k, x in enumerate(ids) if x is None]
-    for a in range(0, len(miss), 4_096):
-        some = miss[a : a + 4_096]
-        names = [words[k] for k in some]
-        # as the words of one input they cost one encoding together
-        found = lib.encode(names, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(found.ids, np.uint32).tobytes()
-        ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(names)))).tolist()
-        new = [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)]
-        for k, x in zip(some, new, strict=True):
-            ids[k] = x
-        if max(map(len, names)) > MOST_CHARS:
-            short = [i for i, w in enumerate(names) if len(w) <= MOST_CHARS]
-            names, new = [names[i] for i in short], [new[i] for i in short]
-        cache.add(names, new)
+    led = [words[k][0] == " " and words[k][1:].isalpha() for k in miss]
+    for kind in (True, False):
+        mine = [k for k, x in zip(miss, led, strict=True) if x is kind]
+        for a in range(0, len(mine), 4_096):
+            some = mine[a : a + 4_096]
+            names = [words[k] for k in some]
+            new = _encode_words(lib, widths, names, kind)
+            for k, x in zip(some, new, strict=True):
+                ids[k] = x
+            if max(map(len, names)) > MOST_CHARS:
+                short = [i for i, w in enumerate(names) if len(w) <= MOST_CHARS]
+                names, new = [names[i] for i in short], [new[i] for i in short]
+            cache.add(names, new)
     flat = np.frombuffer(b"".join(ids), np.uint32)
     n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     begin = np.cumsum(n) - n

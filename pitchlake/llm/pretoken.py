@@ -11,6 +11,7 @@ import unicodedata
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 
 from .base import mix, ragged
 
@@ -148,7 +149,8 @@ class Pretokens:
     def distinct(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One place of each distinct pre-token, and for each pre-token the number of its place. They are brought together
         by hash, and compared with their place's code points; one that differs gets a place of its own."""
-        _, at, back = np.unique(self.hashes(code, starts, ends), return_index=True, return_inverse=True)
+        back = pa.array(self.hashes(code, starts, ends)).dictionary_encode().indices.to_numpy().astype(np.int64)
+        at = np.flatnonzero(np.diff(np.maximum.accumulate(back), prepend=-1))  # numbers are given by first place
         n, like = ends - starts, at[back]
         even = np.flatnonzero(n == n[like])
         differ = np.ones(len(n), bool)

@@ -99,6 +99,37 @@ def test_a_second_load_changes_nothing_and_a_new_match_only_its_partition(spark,
         feed.append_matches(first.withColumn("matchId", F.lit(None).cast("long")), store)
 
 
+def test_matches_that_share_folders(spark, documents, tmp_path):
+    store = str(tmp_path / "store")
+    counts = lambda: {r.matchId: r["count"] for r in spark.read.parquet(store).groupBy("matchId").count().collect()}
+    first = feed.read_documents(spark, documents).events.drop("seq")
+    feed.append_matches(first.limit(0), store, together=50)  # nothing yet
+    feed.append_matches(first, store, together=50)
+    before = changed(store)
+    assert counts() == {11: 3, 99: 1} and sorted(k.split("/")[-2] for k in before) == ["matchId_by50=0", "matchId_by50=1"]
+    feed.append_matches(first, store, together=50)
+    assert changed(store) == before
+    new = first.withColumn("matchId", F.col("matchId") + 1).where("matchId = 12").unionByName(first)
+    feed.append_matches(new, store, together=50)
+    after = changed(store)
+    assert {k: after[k] for k in before} == before and len(after) == 3 and counts() == {11: 3, 12: 3, 99: 1}
+    feed.append_matches(first.where("matchId = 11 and id = 1"), store, replace=True, together=50)
+    assert counts() == {11: 1, 12: 3, 99: 1}
+    far = {k: v for k, v in before.items() if "_by50=1" in k}
+    assert {k: v for k, v in changed(store).items() if "_by50=1" in k} == far
+    assert spark.read.parquet(store).where("matchId = 99").first().shot_xg == 0.5
+    for other in (1, 40):
+        with pytest.raises(ValueError):
+            feed.append_matches(first, store, together=other)
+
+
+def test_files_of_a_store_do_not_grow_with_its_matches(spark, tmp_path):
+    for n in (200, 400):
+        rows = spark.range(5 * n).select((F.col("id") % n).alias("matchId"), "id")
+        feed.append_matches(rows, str(tmp_path / f"{n}"), together=500)
+        assert len(changed(tmp_path / f"{n}")) == 1 and spark.read.parquet(str(tmp_path / f"{n}")).select("matchId", "id").distinct().count() == 5 * n
+
+
 @pytest.fixture(scope="module")
 def store(spark, tmp_path_factory):
     events = football_events(spark, SF)

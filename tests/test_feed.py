@@ -48,6 +48,32 @@ def test_documents(spark, documents):
     assert [(r.file.rpartition("/")[2], r.text) for r in got.rejected.collect()] == [("13.json", '{"events": [{"id": 5')]
 
 
+def test_documents_of_a_line_each(spark, tmp_path):
+    folder = tmp_path / "season_7"
+    folder.mkdir()
+    docs = [{"matchId": 11, "events": [event(3), event(1), event(2)]}, {"events": [event(4, 12, shot={"xg": "0.5"}), event(9)]}, {"matchId": 14, "events": []}]
+    lines = [json.dumps(d) for d in docs]
+    (folder / "part-77.txt").write_text("\n".join([lines[0], '{"events": [{"id": 5', *lines[1:]]) + "\n")
+    (folder / "part-78.txt").write_text(json.dumps({"matchId": 15, "events": [event(6), event(5)]}))
+    got = feed.read_documents(spark, str(folder), whole=False)
+    rows = got.events.orderBy("seq").collect()
+    assert [(r.matchId, r.id, r.seq.row) for r in rows] == [(11, 3, 0), (11, 1, 1), (11, 2, 2), (12, 4, 0), (None, 9, 1), (15, 6, 0), (15, 5, 1)]
+    assert rows[3].shot_xg == 0.5 and got.events.columns == feed.read_documents(spark, str(folder)).events.columns
+    assert [(r.file.rpartition("/")[2], r.text) for r in got.rejected.collect()] == [("part-77.txt", '{"events": [{"id": 5')]
+
+
+@pytest.mark.parametrize("query", ["feed_documents", "feed_schedule", "feed_lineups"])
+def test_landed_files_do_not_grow_with_the_matches(spark, tmp_path, monkeypatch, query):
+    from pitchlake import catalog
+
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.unionByName(events.withColumn("event_id", F.col("event_id") + 100_000)).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(catalog, "scratch_dir", lambda _: str(tmp_path / "scratch"))
+    catalog.QUERIES[query](spark, str(tmp_path)).collect()
+    files = [f for _, _, found in os.walk(tmp_path / "scratch") for f in found if f.endswith(".txt")]
+    assert 1 <= len(files) <= 4  # not one for each of 20 matches
+
+
 def test_lines_give_the_same_events(spark, documents, lines):
     got = feed.read_lines(spark, lines)
     names = [c for c in got.events.columns if c != "seq"]

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -20,7 +21,7 @@ from pitchlake.llm.license_scan import TEMPLATES, scan  # noqa: E402
 from pitchlake.llm.packing import pack  # noqa: E402
 from pitchlake.llm.sentence_spans import remove_repeated_passages  # noqa: E402
 from pitchlake.llm.sharding import shard_by_bytes  # noqa: E402
-from pitchlake.llm.suffix_dedup import previous_factors, remove_repeats  # noqa: E402
+from pitchlake.llm.suffix_dedup import SuffixDedup, previous_factors, remove_repeats  # noqa: E402
 from pitchlake.llm.token_counts import count_tokens  # noqa: E402
 
 SCHEMA = "doc_id long, text string, h string, id string, key string"
@@ -74,6 +75,29 @@ def test_suffix_dedup(docs, texts, first, hot):
         assert got[i] == (len(b), int(gone.sum()), spans, bytes(np.frombuffer(b, np.uint8)[~gone])), i
 
 
+def test_suffix_dedup_of_a_passage_in_unlike_texts(spark, monkeypatch):
+    """No group of what is ordered in one task has more contents than `hot`, whatever surrounds a passage that all texts have."""
+    rng, length, most = random.Random(9), 80, 6
+    passage = words(rng, 18)
+    data = [f"{words(rng, 20)} {passage[i % 3 * 9 :]} {words(rng, 20)}" for i in range(40)]
+    data += [data[3], data[4].replace("a", "b", 1)]
+    groups, before = [], SuffixDedup._in_suffix_order
+
+    def seen(self, contexts):
+        groups.extend(r.n for r in contexts.groupBy("key", "part").agg(F.countDistinct("content").alias("n")).collect())
+        return before(self, contexts)
+
+    monkeypatch.setattr(SuffixDedup, "_in_suffix_order", seen)
+    rows = [*enumerate(data), (3, data[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in remove_repeats(docs, length, keep_first=False, hot=most).collect()}
+    assert 1 < max(groups) <= most
+    count = Counter(t[s : s + length] for _, t in rows for s in range(len(t) - length + 1))
+    for i, t in enumerate(data):
+        gone = {b for s in range(len(t) - length + 1) if count[t[s : s + length]] > 1 for b in range(s, s + length)}
+        assert got[i] == (len(t), len(gone), len([b for b in gone if b - 1 not in gone]), "".join(c for b, c in enumerate(t) if b not in gone).encode()), i
+
+
 def test_previous_factors():
     text = "abracadabra"
     order = sorted(range(len(text)), key=lambda i: text[i:])
